@@ -79,6 +79,7 @@ class Arr:
     preds: list[tuple[str, str, Obj]] = field(default_factory=list)
     anon: Obj | None = None  # element created by a name step on an empty predicate array
     marks: list[Mark] = field(default_factory=list)
+    pad_null: bool = False  # plain nested set leaves holes (JSON null), the FHIR writer pads {}
 
 
 Node = Leaf | Obj | Arr
@@ -197,7 +198,7 @@ class TargetTree:
             child.marks.append(Mark(ordinal, cond))
             return
         if child is None:
-            child = Arr() if self._as_array(full, key, rest[0]) else Obj()
+            child = Arr(pad_null=not self.heuristics) if self._as_array(full, key, rest[0]) else Obj()
             node.children[key] = child
         if isinstance(child, Leaf):
             raise CompileError(f"path '{full}' is written both as a value and as a parent")
@@ -366,7 +367,7 @@ def _build_arr(node: Arr, cutoff) -> Val | None:
         cols = []
         for e in elems:
             if e is None or e.dtype is None:
-                if isinstance(et, T.StructType) and not leafy:
+                if isinstance(et, T.StructType) and not leafy and not node.pad_null:
                     cols.append(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in et.fields]))
                 else:
                     cols.append(F.lit(None).cast(et))
