@@ -391,3 +391,229 @@ def q_path_root(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     r = map_in(s, cfg("Root", "Basic", fm(0, "$ROOT", "source")), keep=("s_suppkey",), keep_original=False)
     return r.df.select("s_suppkey", F.to_json(F.col("item.source")).alias("root_json"))
+
+
+# --------------------------------------------------------------------------- writes (tree shapes)
+
+
+@register("set_index_padding", """
+SELECT c_custkey,
+  '[{},{"value":' || CAST(to_json(c_name) AS VARCHAR) || '}]' AS telecom_json,
+  '[null,' || CAST(to_json(c_mktsegment) AS VARCHAR) || ']' AS profile_json
+FROM customer""")
+def q_set_index_padding(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    m = cfg("Padding", "Patient", fm(0, "c_name", "telecom[1].value"), fm(1, "c_mktsegment", "meta.profile[1]"))
+    r = map_in(c, m, keep=("c_custkey",), keep_original=False)
+    return r.df.select("c_custkey", F.to_json("item.telecom").alias("telecom_json"),
+                       F.to_json("item.meta.profile").alias("profile_json"))
+
+
+@register("set_predicate", """
+SELECT c_custkey,
+  '[{"url":"name","valueString":' || CAST(to_json(c_name) AS VARCHAR) || '}'
+  || CASE WHEN c_mktsegment = 'BUILDING' THEN ''
+          ELSE ',{"url":"segment","valueString":' || CAST(to_json(c_mktsegment) AS VARCHAR) || '}' END
+  || ']' AS extension_json
+FROM customer""")
+def q_set_predicate(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_name",
+                                            F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("seg"))
+    m = cfg("Predicate", "Patient", fm(0, "c_name", "extension[?url='name'].valueString"),
+            fm(1, "seg", "extension[?url='segment'].valueString"))
+    r = map_in(c, m, keep=("c_custkey",), keep_original=False)
+    return r.df.select("c_custkey", F.to_json("item.extension").alias("extension_json"))
+
+
+@register("set_fanout", """
+SELECT c_custkey,
+  CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 2 END AS INTEGER) AS n_names,
+  c_mktsegment AS family0,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_name END AS text1,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END AS family1
+FROM customer""")
+def q_set_fanout(spark, sf):
+    c = table(spark, sf, "customer").select(
+        "c_custkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_name")).alias("nm"), "c_mktsegment")
+    m = cfg("Fanout", "Patient", fm(0, "nm", "name[1].text"), fm(1, "c_mktsegment", "name.family"))
+    r = map_in(c, m, keep=("c_custkey",), keep_original=False)
+    n = F.col("item.name")
+    return r.df.select("c_custkey", F.size(n).alias("n_names"), F.get(n, 0)["family"].alias("family0"),
+                       F.get(n, 1)["text"].alias("text1"), F.get(n, 1)["family"].alias("family1"))
+
+
+CONTAINER_PROFILE = None  # built lazily (needs the config classes only)
+
+
+def _container_profile():
+    from weft.plans.config import Definition, Element, profile_from_definition
+
+    d = Definition("http://example.org/sd/patient", "Patient", (
+        Element("Patient", 0, "*", ordinal=0),
+        Element("Patient.address", 0, "*", ordinal=1),
+        Element("Patient.maritalStatus", 0, "1", ordinal=2),
+    ))
+    return profile_from_definition(d)
+
+
+@register("set_container", """
+SELECT c_custkey,
+  '[{"city":' || CAST(to_json(c_name) AS VARCHAR) || '}]' AS address_json,
+  '{"text":' || CAST(to_json(c_mktsegment) AS VARCHAR) || '}' AS marital_json,
+  '{"0":{"title":' || c_custkey || '}}' AS photo_json
+FROM customer""")
+def q_set_container(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    m = cfg("Container", "Patient", fm(0, "c_name", "address.city"), fm(1, "c_mktsegment", "maritalStatus.text"),
+            fm(2, "c_custkey", "photo[0].title"))
+    r = map_in(c, m, _container_profile(), keep=("c_custkey",), keep_original=False)
+    return r.df.select("c_custkey", F.to_json("item.address").alias("address_json"),
+                       F.to_json("item.maritalStatus").alias("marital_json"), F.to_json("item.photo").alias("photo_json"))
+
+
+# --------------------------------------------------------------------------- map-out
+
+
+def _patients_as_resources(spark, sf):
+    from weft.operators.map_out import map_out  # noqa: F401
+
+    return customer_patients(spark, sf).df.select("c_custkey", "item.*")
+
+
+PATIENT_TO_JSON = cfg("PatientToJson", "Patient", fm(0, "patient.key", "id"), fm(1, "patient.names[0]", "name[0].text"),
+                      fm(2, "sex", "gender"), direction="FROM_FHIR")
+PATIENT_TO_CSV = cfg("PatientToCsv", "Patient", fm(0, "full_name", "name[0].text"), fm(1, "segment.code", "gender"),
+                     fm(2, "key", "id"), source_type="CSV", direction="FROM_FHIR")
+
+
+@register("map_out_json", f"""
+SELECT c_custkey, '{{"patient":{{"key":' || c_custkey || ',"names":[' || CAST(to_json(c_name) AS VARCHAR)
+  || ']}},"sex":' || CAST(to_json({GENDER_SQL}) AS VARCHAR) || '}}' AS out_json
+FROM customer""")
+def q_map_out_json(spark, sf):
+    from weft.operators.map_out import map_out
+
+    r = map_out(_patients_as_resources(spark, sf), PATIENT_TO_JSON, keep=("c_custkey",), keep_original=False)
+    return r.df.select("c_custkey", F.to_json("item").alias("out_json"))
+
+
+@register("map_out_csv", f"""
+SELECT c_custkey, c_name AS full_name, {GENDER_SQL} AS segment, c_custkey AS key FROM customer""")
+def q_map_out_csv(spark, sf):
+    from weft.operators.map_out import map_out
+
+    r = map_out(_patients_as_resources(spark, sf), PATIENT_TO_CSV, keep=("c_custkey",), keep_original=False)
+    return r.df.select("c_custkey", F.col("item.full_name").alias("full_name"), F.col("item.segment").alias("segment"),
+                       F.col("item.key").alias("key"))
+
+
+@register("drop_empty_output", """
+SELECT c_custkey AS id, c_mktsegment AS sex FROM customer WHERE c_mktsegment <> 'BUILDING'""")
+def q_drop_empty_output(spark, sf):
+    from weft.operators.map_out import map_out
+
+    res = table(spark, sf, "customer").select(
+        F.lit("Patient").alias("resourceType"), F.col("c_custkey").alias("id"),
+        F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("gender"))
+    r = map_out(res, cfg("OnlySex", "Patient", fm(0, "sex", "gender"), direction="FROM_FHIR"), keep=("id",),
+                keep_original=False)
+    return r.df.select("id", F.col("item.sex").alias("sex"))
+
+
+@register("resource_type_filter", """
+SELECT event_id,
+  CAST(CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS INTEGER) AS n_errors,
+  CASE WHEN event_type <> 'purchase' THEN 'Expected ''purchase'', got ''' || event_type || '''. Skipping.' END AS message,
+  CASE WHEN event_type = 'purchase' THEN event_id END AS eid
+FROM events""")
+def q_resource_type_filter(spark, sf):
+    from weft.operators.map_out import map_out
+
+    res = table(spark, sf, "events").select(F.col("event_type").alias("resourceType"), "event_id")
+    r = map_out(res, cfg("Purchases", "purchase", fm(0, "eid", "event_id"), direction="FROM_FHIR"),
+                keep=("event_id",), keep_original=False)
+    return r.df.select("event_id", F.size("errors").alias("n_errors"), F.get("errors", 0)["message"].alias("message"),
+                       F.col("item.eid").alias("eid"))
+
+
+# --------------------------------------------------------------------------- profile-driven completion
+
+
+def _encounter_profile(order: str = "check"):
+    from weft.plans.config import Definition, Element, profile_from_definition
+
+    els = [
+        Element("Encounter", 0, "*", ordinal=0),
+        Element("Encounter.status", 1, "1", default_value="finished", default_type="code", data_types=("code",), ordinal=1),
+        Element("Encounter.class", 1, "1", data_types=("Coding",), ordinal=2),
+        Element("Encounter.class.system", 0, "1", fixed_value="http://terminology.hl7.org/CodeSystem/v3-ActCode",
+                fixed_type="uri", data_types=("uri",), ordinal=3),
+        Element("Encounter.length.value", 0, "1", fixed_value="30", fixed_type="integer", data_types=("decimal",), ordinal=4),
+        Element("Encounter.serviceType", 0, "1", fixed_value='{"text":"order"}', data_types=("CodeableConcept",), ordinal=5),
+        Element("Encounter.priority.text", 0, "1", default_value="routine", data_types=("string",), ordinal=6),
+    ]
+    if order == "check":
+        els += [Element("Encounter.subject", 1, "1", ordinal=7), Element("Encounter.subject.reference", 1, "1", ordinal=8),
+                Element("Encounter.period.start", 1, "1", ordinal=9)]
+    elif order == "suppress":
+        els += [Element("Encounter.subject.reference", 1, "1", ordinal=7), Element("Encounter.subject", 1, "1", ordinal=8)]
+    return profile_from_definition(Definition("http://example.org/sd/encounter", "Encounter", tuple(els)))
+
+
+ENCOUNTER_FILL = cfg("EncounterFill", "Encounter", fm(0, "o_orderkey", "id"), fm(1, "s", "status"),
+                     fm(2, "o_orderpriority", "class.code"), url="http://example.org/sd/encounter")
+
+
+@register("auto_fill", """
+SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), 'finished') AS status,
+  '{"code":' || CAST(to_json(o_orderpriority) AS VARCHAR)
+  || ',"system":"http://terminology.hl7.org/CodeSystem/v3-ActCode"}' AS class_json,
+  '{"value":30}' AS length_json, '{"text":"order"}' AS service_json, 'routine' AS priority_text,
+  CAST(0 AS INTEGER) AS n_errors
+FROM orders""")
+def q_auto_fill(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("s"),
+                                          "o_orderpriority")
+    r = map_in(o, ENCOUNTER_FILL, _encounter_profile("fill"), keep=("o_orderkey",), keep_original=False)
+    return r.df.select("o_orderkey", F.col("item.status").alias("status"), F.to_json("item.class").alias("class_json"),
+                       F.to_json("item.length").alias("length_json"), F.to_json("item.serviceType").alias("service_json"),
+                       F.col("item.priority.text").alias("priority_text"), F.size("errors").alias("n_errors"))
+
+
+def _mandatory(spark, sf, order):
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_orderstatus").alias("s"), "o_orderpriority",
+        F.when(F.col("o_orderstatus") != "F", F.col("o_custkey").cast("string")).alias("cust"),
+        F.when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("start"))
+    m = cfg("EncounterCheck", "Encounter", fm(0, "o_orderkey", "id"), fm(1, "s", "status"),
+            fm(2, "o_orderpriority", "class.code"), fm(3, "cust", "subject.reference"), fm(4, "start", "period.start"),
+            url="http://example.org/sd/encounter")
+    r = map_in(o, m, _encounter_profile(order), keep=("o_orderkey",), keep_original=False)
+    return r.df.select("o_orderkey", F.posexplode("errors").alias("pos", "e")).select(
+        "o_orderkey", (F.col("pos") + 1).cast("int").alias("err_pos"), F.col("e.fieldSourcePath").alias("source"),
+        F.col("e.fieldTargetPath").alias("target"), F.col("e.inputValue").alias("input_value"),
+        F.col("e.message").alias("message"), F.col("e.details").alias("details"))
+
+
+def _mand_sql(rows: list[tuple[int, str, str]]) -> str:
+    parts = []
+    for ordn, target, cond in rows:
+        parts.append(
+            f"SELECT o_orderkey, {ordn} AS ord, '{target}' AS target FROM orders WHERE {cond}")
+    return ("WITH e AS (" + " UNION ALL ".join(parts) + ")\n"
+            "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY ord) AS INTEGER) AS err_pos,\n"
+            "  'N/A (FHIR Profile Post-check)' AS source, target, '\"undefined\"' AS input_value,\n"
+            "  'Mandatory FHIR element ''' || target || ''' (min: 1) is missing, null, or an empty array in the final resource.' AS message,\n"
+            "  '{\"rule\":\"cardinalityMin: 1\"}' AS details FROM e")
+
+
+@register("mandatory_check", _mand_sql([
+    (1, "subject", "o_orderstatus = 'F'"), (2, "subject.reference", "o_orderstatus = 'F'"),
+    (3, "period.start", "o_orderstatus <> 'O'")]))
+def q_mandatory_check(spark, sf):
+    return _mandatory(spark, sf, "check")
+
+
+@register("mandatory_suppression", _mand_sql([(1, "subject.reference", "o_orderstatus = 'F'")]))
+def q_mandatory_suppression(spark, sf):
+    return _mandatory(spark, sf, "suppress")

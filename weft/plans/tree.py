@@ -349,11 +349,8 @@ def _build_arr(node: Arr, cutoff) -> Val | None:
         top = max(node.slots)
         leafy = any(isinstance(s, Leaf) for s in node.slots.values())
         elems: list[Val] = []
-        exists: list[Column | None] = []
         for i in range(top + 1):
             slot = node.slots.get(i)
-            later = [m for j, s in node.slots.items() if j >= i for m in s.marks]
-            exists.append(_any(later, cutoff))
             if slot is None:
                 elems.append(Val(F.lit(None).cast("string"), None) if leafy else None)
             elif isinstance(slot, Leaf):
@@ -373,10 +370,13 @@ def _build_arr(node: Arr, cutoff) -> Val | None:
                     cols.append(F.lit(None).cast(et))
             else:
                 cols.append(conform(e.col, e.dtype, et))
+        # length = highest slot reached + 1 (lower slots are padding); the
+        # outermost test is the highest slot
         count = F.lit(0)
-        for i in range(top, -1, -1):
-            if exists[i] is not None:
-                count = F.when(exists[i], F.lit(i + 1)).otherwise(count)
+        for i in range(0, top + 1):
+            own = _any(node.slots[i].marks, cutoff) if i in node.slots else None
+            if own is not None:
+                count = F.when(own, F.lit(i + 1)).otherwise(count)
         arr = F.slice(F.array(*cols), 1, count)
         return Val(F.when(count > 0, arr), T.ArrayType(et))
     # predicate mode
