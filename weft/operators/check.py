@@ -60,11 +60,12 @@ def resolve_definitions(configs: DataFrame, definitions: DataFrame) -> DataFrame
     c = configs.select(F.col("id").alias("cfg_id"), F.col("name").alias("cfg_name"),
                        F.col("fhirResourceType").alias("rt"), F.col("direction"),
                        F.col("structureDefinitionUrl").alias("sd_url"))
-    by_url = c.join(latest, c["sd_url"] == latest["def_url"], "inner")
-    by_type = c.join(latest, c["rt"] == latest["def_type"], "inner")
+    by_url = c.join(latest, c["sd_url"] == latest["def_url"], "inner").withColumn("_pref", F.lit(0))
+    by_type = c.join(latest, c["rt"] == latest["def_type"], "inner").withColumn("_pref", F.lit(1))
     both = by_url.unionByName(by_type)
-    w = Window.partitionBy("cfg_id").orderBy(F.col("def_at").desc(), F.col("def_id").desc())
-    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    # Q4: an exact url match wins over a same-type profile, then the newest
+    w = Window.partitionBy("cfg_id").orderBy("_pref", F.col("def_at").desc(), F.col("def_id").desc())
+    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_pref")
 
 
 def check_mappings(configs: DataFrame, field_mappings: DataFrame, definitions: DataFrame,

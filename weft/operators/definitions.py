@@ -161,7 +161,8 @@ def elements_for(definitions: DataFrame, elements: DataFrame, url: str | None =
     cond = conds[0]
     for c in conds[1:]:
         cond = cond | c
-    w = Window.orderBy(F.col("processedAt").desc(), F.col("id").desc())
+    pref = F.when(F.col("url") == F.lit(url), 0).otherwise(1) if url else F.lit(1)
+    w = Window.orderBy(pref, F.col("processedAt").desc(), F.col("id").desc())
     head = latest_definitions(definitions).where(cond).withColumn("_rn", F.row_number().over(w)) \
         .where("_rn = 1").select(F.col("id").alias("structureDefinitionId"))
     els = elements.join(F.broadcast(head), "structureDefinitionId", "left_semi")

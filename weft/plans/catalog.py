@@ -617,3 +617,314 @@ def q_mandatory_check(spark, sf):
 @register("mandatory_suppression", _mand_sql([(1, "subject.reference", "o_orderstatus = 'F'")]))
 def q_mandatory_suppression(spark, sf):
     return _mandatory(spark, sf, "suppress")
+
+
+# --------------------------------------------------------------------------- profiles (documents derived from `part`)
+
+PART_URL = "'http://example.org/sd/part-' || p_partkey"
+_EL_FIELDS = ("path string, min int, max string, short string, type array<struct<code:string>>, fixedString string, "
+              "defaultValueCode string, fixedInteger int, fixedCodeableConcept struct<text:string>")
+
+
+def _el(path=None, mn=None, mx=None, short=None, types=None, fixed_string=None, default_code=None, fixed_int=None,
+        fixed_cc=None):
+    def c(v, t):
+        if v is None:
+            return F.lit(None).cast(t)
+        return v.cast(t) if hasattr(v, "cast") else F.lit(v).cast(t)
+
+    ty = (F.array(*[F.struct(F.lit(t).alias("code")) for t in types]) if types is not None
+          else F.lit(None).cast("array<struct<code:string>>"))
+    return F.struct(c(path, "string").alias("path"), c(mn, "int").alias("min"), c(mx, "string").alias("max"),
+                    c(short, "string").alias("short"), ty.alias("type"), c(fixed_string, "string").alias("fixedString"),
+                    c(default_code, "string").alias("defaultValueCode"), c(fixed_int, "int").alias("fixedInteger"),
+                    (fixed_cc if fixed_cc is not None else F.lit(None).cast("struct<text:string>")).alias("fixedCodeableConcept"))
+
+
+def part_documents(spark, sf, names=None) -> DataFrame:
+    """One profile document per part row (bare, or wrapped in a Bundle for even sizes;
+    differential instead of snapshot above size 40)."""
+    p = table(spark, sf, "part")
+    size = F.col("p_size")
+    elements = F.array(
+        _el("Part", 0, "*"),
+        _el("Part.name", 1, "1", types=["string"], fixed_string=F.col("p_name")),
+        _el("Part.brand", 0, "1", types=["code"], default_code=F.col("p_brand")),
+        _el("Part.size", F.when(size > 25, 1).otherwise(0), "1", types=["integer"], fixed_int=size),
+        _el("Part.name", 0, "1"),
+        _el(None, 1),
+        _el("Part.type", 0, "1", short=F.col("p_type"), types=["CodeableConcept", ""],
+            fixed_cc=F.struct(F.col("p_type").alias("text"))),
+        _el("Part.status", 1, "1", types=["code"]),
+    )
+    name = names if names is not None else F.col("p_name")
+    sd = F.struct(
+        F.lit("StructureDefinition").alias("resourceType"), F.concat(F.lit("part-"), F.col("p_partkey")).alias("id"),
+        F.concat(F.lit("http://example.org/sd/part-"), F.col("p_partkey")).alias("url"), name.alias("name"),
+        F.lit("Part").alias("type"), size.cast("string").alias("version"),
+        F.when(size <= 40, F.struct(elements.alias("element"))).alias("snapshot"),
+        F.when(size > 40, F.struct(elements.alias("element"))).alias("differential"))
+    bundle = F.struct(F.lit("Bundle").alias("resourceType"), F.array(F.struct(sd.alias("resource"))).alias("entry"))
+    text = F.when(size % 2 == 0, F.to_json(bundle)).otherwise(F.to_json(sd))
+    return p.select("p_partkey", "p_size", F.parse_json(text).alias("doc"))
+
+
+def _ingested(spark, sf):
+    from datetime import datetime
+
+    from weft.operators.definitions import ingest
+
+    return ingest(part_documents(spark, sf), processed_at=F.lit(datetime(2025, 1, 1)).cast("timestamp"))
+
+
+EXPECTED_ELEMENTS = f"""
+WITH el AS (
+  SELECT {PART_URL} AS url, 0 AS ordinal, 'Part' AS path, 0 AS card_min, '*' AS card_max, NULL AS fixed_value,
+         NULL AS fixed_type, NULL AS default_value, NULL AS default_type, '' AS data_types FROM part
+  UNION ALL SELECT {PART_URL}, 1, 'Part.name', 1, '1', p_name, 'string', NULL, NULL, 'string' FROM part
+  UNION ALL SELECT {PART_URL}, 2, 'Part.brand', 0, '1', NULL, NULL, p_brand, 'code', 'code' FROM part
+  UNION ALL SELECT {PART_URL}, 3, 'Part.size', CASE WHEN p_size > 25 THEN 1 ELSE 0 END, '1', CAST(p_size AS VARCHAR),
+                   'integer', NULL, NULL, 'integer' FROM part
+  UNION ALL SELECT {PART_URL}, 6, 'Part.type', 0, '1', '{{"text":' || CAST(to_json(p_type) AS VARCHAR) || '}}',
+                   'codeableconcept', NULL, NULL, 'CodeableConcept' FROM part
+  UNION ALL SELECT {PART_URL}, 7, 'Part.status', 1, '1', NULL, NULL, NULL, NULL, 'code' FROM part
+)"""
+
+
+@register("definition_ingest", EXPECTED_ELEMENTS + """
+SELECT url, CAST(ordinal AS INTEGER) AS ordinal, path, CAST(card_min AS INTEGER) AS card_min, card_max,
+       fixed_value, fixed_type, default_value, default_type, data_types FROM el""")
+def q_definition_ingest(spark, sf):
+    r = _ingested(spark, sf)
+    h = r.definitions.select(F.col("id").alias("structureDefinitionId"), "url")
+    return r.elements.join(h, "structureDefinitionId").select(
+        "url", "ordinal", "path", F.col("cardinalityMin").alias("card_min"), F.col("cardinalityMax").alias("card_max"),
+        F.col("fixedValue").alias("fixed_value"), F.col("fixedValueType").alias("fixed_type"),
+        F.col("defaultValue").alias("default_value"), F.col("defaultValueType").alias("default_type"),
+        F.array_join("dataTypes", ",").alias("data_types"))
+
+
+@register("definition_dedupe", f"""
+SELECT {PART_URL} AS url, CAST(7 AS BIGINT) AS element_count, CAST(6 AS BIGINT) AS stored_count FROM part""")
+def q_definition_dedupe(spark, sf):
+    r = _ingested(spark, sf)
+    stored = r.elements.groupBy("structureDefinitionId").agg(F.count(F.lit(1)).alias("stored_count"))
+    return r.counts.join(stored, "structureDefinitionId").select(
+        "url", F.col("elementCount").alias("element_count"), "stored_count")
+
+
+@register("definition_latest", f"""
+SELECT {PART_URL} AS url, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS name,
+       CAST(CASE WHEN p_size > 25 THEN 2 ELSE 1 END AS INTEGER) AS version_no FROM part""")
+def q_definition_latest(spark, sf):
+    from datetime import datetime
+
+    from weft.operators.definitions import ingest, list_definitions
+
+    v1 = ingest(part_documents(spark, sf), processed_at=F.lit(datetime(2025, 1, 1)).cast("timestamp")).definitions
+    docs2 = part_documents(spark, sf, names=F.upper("p_name")).where(F.col("p_size") > 25)
+    v2 = ingest(docs2, processed_at=F.lit(datetime(2025, 6, 1)).cast("timestamp")).definitions
+    both = v1.unionByName(v2)
+    return list_definitions(both).select(
+        "url", "name", F.when(F.month("processedAt") == 6, 2).otherwise(1).cast("int").alias("version_no"))
+
+
+@register("definition_filters", EXPECTED_ELEMENTS + """
+SELECT url, count(*) FILTER (WHERE card_min >= 1) AS n_mandatory,
+  count(*) FILTER (WHERE fixed_value IS NOT NULL OR default_value IS NOT NULL) AS n_fixed_or_default,
+  count(*) FILTER (WHERE card_min >= 1 AND (fixed_value IS NOT NULL OR default_value IS NOT NULL)) AS n_both,
+  count(DISTINCT CASE WHEN starts_with(path, 'Part.') THEN substr(path, 6) ELSE path END) AS n_paths
+FROM el GROUP BY url""")
+def q_definition_filters(spark, sf):
+    r = _ingested(spark, sf)
+    e = r.elements.join(r.definitions.select(F.col("id").alias("structureDefinitionId"), "url", "type"),
+                        "structureDefinitionId")
+    mand = F.col("cardinalityMin") >= 1
+    fod = F.col("fixedValue").isNotNull() | F.col("defaultValue").isNotNull()
+    rel = F.when(F.col("path").startswith(F.concat(F.col("type"), F.lit("."))),
+                 F.expr("substring(path, length(type) + 2)")).otherwise(F.col("path"))
+    return e.groupBy("url").agg(
+        F.count(F.when(mand, 1)).alias("n_mandatory"), F.count(F.when(fod, 1)).alias("n_fixed_or_default"),
+        F.count(F.when(mand & fod, 1)).alias("n_both"), F.count_distinct(rel).alias("n_paths"))
+
+
+# --------------------------------------------------------------------------- mapping check
+
+
+def _part_configs(spark, sf):
+    p = table(spark, sf, "part")
+    cid = F.concat(F.lit("cfg-"), F.col("p_partkey"))
+    configs = p.select(cid.alias("id"), cid.alias("name"), F.lit(None).cast("string").alias("description"),
+                       F.lit("JSON").alias("sourceType"), F.lit("Part").alias("fhirResourceType"),
+                       F.lit("TO_FHIR").alias("direction"),
+                       F.concat(F.lit("http://example.org/sd/part-"), F.col("p_partkey")).alias("structureDefinitionUrl"))
+    size = F.col("p_size")
+
+    def row(o, target, ttype=None, details=None):
+        return F.struct(F.lit(o).alias("ordinal"), target.alias("targetFhirPath"),
+                        F.lit(ttype).cast("string").alias("transformationType"),
+                        (details if details is not None else F.lit(None).cast("string")).alias("transformationDetails"))
+
+    name_val = F.when(size < 10, F.lit("other")).otherwise(F.col("p_name"))
+    rows = F.array(
+        row(0, F.lit("name"), "DEFAULT_VALUE", F.to_json(F.struct(name_val.alias("value")))),
+        row(1, F.lit("brand[0]")),
+        row(2, F.when(size > 25, F.lit("type:main.text")).otherwise(F.lit("size:x"))),
+        row(3, F.lit("color")),
+        row(4, F.lit("size"), "default_value",
+            F.to_json(F.struct((size + F.when(size % 2 == 0, 1).otherwise(0)).alias("value")))),
+        row(5, F.when(size > 25, F.lit("status")).otherwise(F.lit("state"))),
+    )
+    fms = p.select(cid.alias("mappingConfigurationId"), F.explode(rows).alias("m")).select("mappingConfigurationId", "m.*")
+    return configs, fms
+
+
+def _violations(spark, sf):
+    from weft.operators.check import check_mappings
+
+    configs, fms = _part_configs(spark, sf)
+    r = _ingested(spark, sf)
+    return check_mappings(configs, fms, r.definitions, r.elements)
+
+
+VIOLATIONS_SQL = """
+WITH v AS (
+  SELECT 'cfg-' || p_partkey AS cfg_name, 1 AS phase, 0 AS ordinal, 'fixed' AS kind, 'name' AS what, p_partkey FROM part WHERE p_size < 10
+  UNION ALL SELECT 'cfg-' || p_partkey, 1, 3, 'path', 'color', p_partkey FROM part
+  UNION ALL SELECT 'cfg-' || p_partkey, 1, 4, 'fixed', 'size', p_partkey FROM part WHERE p_size % 2 = 0
+  UNION ALL SELECT 'cfg-' || p_partkey, 1, 5, 'path', 'state', p_partkey FROM part WHERE p_size <= 25
+  UNION ALL SELECT 'cfg-' || p_partkey, 2, 7, 'mandatory', 'status', p_partkey FROM part WHERE p_size <= 25
+), r AS (
+  SELECT cfg_name, ordinal, kind,
+    'Mapping ''' || cfg_name || ''' contains invalid FHIR path '''
+      || CASE WHEN kind = 'mandatory' THEN 'Mandatory element ''' ELSE 'Path ''' END || what
+      || ''''' according to StructureDefinition ''http://example.org/sd/part-' || p_partkey || '''.' AS message,
+    CAST(row_number() OVER (PARTITION BY cfg_name ORDER BY phase, ordinal, CASE WHEN kind = 'path' THEN 0 ELSE 1 END) AS INTEGER) AS rank
+  FROM v
+)
+SELECT cfg_name, CAST(ordinal AS INTEGER) AS ordinal, message, rank FROM r WHERE kind = '{kind}'"""
+
+
+def _violations_of(kind):
+    def q(spark, sf):
+        v = _violations(spark, sf)
+        return v.where(F.col("kind") == kind).select("cfg_name", F.col("ordinal").cast("int").alias("ordinal"),
+                                                     "message", F.col("rank").cast("int").alias("rank"))
+
+    return q
+
+
+register("path_existence", VIOLATIONS_SQL.replace("{kind}", "path"))(_violations_of("path"))
+register("fixed_conflict", VIOLATIONS_SQL.replace("{kind}", "fixed"))(_violations_of("fixed"))
+register("mandatory_coverage", VIOLATIONS_SQL.replace("{kind}", "mandatory"))(_violations_of("mandatory"))
+
+
+@register("stored_value_parse", """
+SELECT p_partkey, kind, parsed FROM (
+  SELECT p_partkey, 'int' AS kind, CAST(p_size AS VARCHAR) AS parsed FROM part
+  UNION ALL SELECT p_partkey, 'code', CAST(to_json(p_brand) AS VARCHAR) FROM part
+  UNION ALL SELECT p_partkey, 'bool', CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END FROM part
+  UNION ALL SELECT p_partkey, 'cc', '{"text":' || CAST(to_json(p_type) AS VARCHAR) || '}' FROM part
+  UNION ALL SELECT p_partkey, 'dec', CAST(p_size AS VARCHAR) || '.5' FROM part
+  UNION ALL SELECT p_partkey, 'none', NULL FROM part
+  UNION ALL SELECT p_partkey, 'badjson', NULL FROM part
+  UNION ALL SELECT p_partkey, 'unknown', CAST(to_json(p_name) AS VARCHAR) FROM part)""")
+def q_stored_value_parse(spark, sf):
+    from weft.functions.coerce import stored_value_column
+
+    p = table(spark, sf, "part")
+    size = F.col("p_size").cast("string")
+
+    def r(kind, value, typ):
+        return F.struct(F.lit(kind).alias("kind"), value.alias("v"), F.lit(typ).cast("string").alias("t"))
+
+    rows = F.array(
+        r("int", F.concat(size, F.lit("abc")), "integer"), r("code", F.col("p_brand"), "code"),
+        r("bool", F.when(F.col("p_size") > 25, F.lit("TRUE")).otherwise(F.lit("no")), "boolean"),
+        r("cc", F.concat(F.lit('{"text":"'), F.col("p_type"), F.lit('"}')), "CodeableConcept"),
+        r("dec", F.concat(size, F.lit(".5")), "decimal"), r("none", F.col("p_name"), None),
+        r("badjson", F.concat(F.lit("{"), F.col("p_name")), "Reference"), r("unknown", F.col("p_name"), "Foo"))
+    x = p.select("p_partkey", F.explode(rows).alias("x"))
+    return x.select("p_partkey", F.col("x.kind").alias("kind"),
+                    stored_value_column(F.col("x.v"), F.col("x.t")).alias("parsed"))
+
+
+# --------------------------------------------------------------------------- sources and sinks
+
+
+def _order_pages(spark, sf):
+    o = table(spark, sf, "orders")
+    entry_t = "struct<fullUrl:string,resource:struct<resourceType:string,id:bigint>>"
+
+    def entry(full, rt, rid):
+        res = F.struct(F.lit(rt).alias("resourceType"), rid.alias("id")) if rt else F.lit(None).cast(
+            "struct<resourceType:string,id:bigint>")
+        return F.struct(F.lit(full).cast("string").alias("fullUrl"), res.alias("resource")).cast(entry_t)
+
+    page = F.struct(
+        F.when(F.col("o_orderstatus") == "P", "OperationOutcome").otherwise("Bundle").alias("resourceType"),
+        F.array(entry(None, "Encounter", F.col("o_orderkey")), entry("urn:x", None, None),
+                entry(None, "Patient", F.col("o_custkey"))).alias("entry"),
+        F.array(F.struct(F.lit("self").alias("relation"), F.lit("self").alias("url")),
+                F.struct(F.lit("next").alias("relation"),
+                         F.when(F.col("o_orderstatus") == "O",
+                                F.concat(F.lit("page-"), (F.col("o_orderkey") + 1).cast("string"))).alias("url"))).alias("link"))
+    return o.select("o_orderkey", F.parse_json(F.to_json(page)).alias("page"))
+
+
+@register("bundle_explode", """
+SELECT o_orderkey, CAST(0 AS INTEGER) AS entry_pos, 'Encounter' AS resource_type, CAST(o_orderkey AS VARCHAR) AS resource_id
+FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL
+SELECT o_orderkey, CAST(2 AS INTEGER), 'Patient', CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderstatus <> 'P'""")
+def q_bundle_explode(spark, sf):
+    from weft.sources.bundles import bundle_resources
+
+    r = bundle_resources(_order_pages(spark, sf), "page", keep=("o_orderkey",))
+    return r.select("o_orderkey", F.col("entry_pos").cast("int").alias("entry_pos"),
+                    F.try_variant_get("resource", "$.resourceType", "string").alias("resource_type"),
+                    F.to_json(F.try_variant_get("resource", "$.id", "variant")).alias("resource_id"))
+
+
+@register("next_link", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'page-' || (o_orderkey + 1) END AS next_url FROM orders""")
+def q_next_link(spark, sf):
+    from weft.sources.bundles import next_link
+
+    return _order_pages(spark, sf).select("o_orderkey", next_link(F.col("page")).alias("next_url"))
+
+
+@register("identifier_resolution", """
+SELECT CASE WHEN p_size > 33 THEN 'http://example.org/sd/part-' || p_partkey
+            WHEN p_size > 16 THEN 'StructureDefinition/part-' || p_partkey
+            WHEN p_size > 5 THEN 'part-' || p_partkey
+            ELSE 'http://nowhere.example/part-' || p_partkey END AS identifier,
+       CASE WHEN p_size > 33 OR p_size <= 5 THEN 'url' ELSE 'id' END AS kind,
+       CASE WHEN p_size > 5 THEN 'http://example.org/sd/part-' || p_partkey END AS url
+FROM part""")
+def q_identifier_resolution(spark, sf):
+    from weft.operators.definitions import resolve_identifiers
+
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey").cast("string")
+    ident = (F.when(F.col("p_size") > 33, F.concat(F.lit("http://example.org/sd/part-"), k))
+             .when(F.col("p_size") > 16, F.concat(F.lit("StructureDefinition/part-"), k))
+             .when(F.col("p_size") > 5, F.concat(F.lit("part-"), k))
+             .otherwise(F.concat(F.lit("http://nowhere.example/part-"), k)))
+    ids = p.select(ident.alias("identifier"))
+    return resolve_identifiers(ids, _ingested(spark, sf).definitions).select("identifier", "kind", "url")
+
+
+@register("push_plan", """
+SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'POST' ELSE 'PUT' END AS method,
+  'http://fhir.example.org/Patient' || CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE '/' || c_custkey END AS url
+FROM customer""")
+def q_push_plan(spark, sf):
+    from weft.sinks import push_plan
+
+    c = table(spark, sf, "customer").select(
+        "c_custkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_custkey")).alias("rid"), "c_name")
+    r = map_in(c, cfg("Push", "Patient", fm(0, "rid", "id"), fm(1, "c_name", "name[0].text")),
+               keep=("c_custkey",), keep_original=False)
+    plan = push_plan(r.df, "Patient", "http://fhir.example.org", "PUT", keep=("c_custkey",))
+    return plan.select("c_custkey", "method", "url")

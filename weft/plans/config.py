@@ -166,10 +166,12 @@ def find_definition(
     cond = conds[0]
     for c in conds[1:]:
         cond = cond | c
+    # Q4: an exact url match wins over another profile of the same type, then the newest
+    pref = F.when(F.col("url") == F.lit(url), 0).otherwise(1) if url else F.lit(1)
     head = (
         latest_definitions(definitions)
         .where(cond)
-        .orderBy(F.col("processedAt").desc(), F.col("id").desc())
+        .orderBy(pref, F.col("processedAt").desc(), F.col("id").desc())
         .limit(1)
         .collect()
     )

@@ -110,7 +110,7 @@ def pretty_json(col: Column) -> Column:
 
 
 def push_plan(items: DataFrame, resource_type: str, base_url: str, method: str = "POST",
-              item_col: str = "item") -> DataFrame:
+              item_col: str = "item", keep: tuple[str, ...] = ()) -> DataFrame:
     """K5 request planning: ``method``, ``url``, ``body`` per resource.  PUT needs
     an id (idempotent on retry); without one it falls back to POST."""
     rid = F.col(f"{item_col}.id") if "id" in items.schema[item_col].dataType.fieldNames() else F.lit(None)
@@ -118,7 +118,8 @@ def push_plan(items: DataFrame, resource_type: str, base_url: str, method: str =
     put = (F.lit(method.upper()) == "PUT") & rid_txt.isNotNull() & (rid_txt != "")
     eff = F.when(put, F.lit("PUT")).otherwise(F.lit("POST"))
     url = F.when(put, F.concat(F.lit(f"{base_url}/{resource_type}/"), rid_txt)).otherwise(F.lit(f"{base_url}/{resource_type}"))
-    return items.select(eff.alias("method"), url.alias("url"), F.to_json(F.col(item_col)).alias("body"))
+    return items.select(*[F.col(c) for c in keep], eff.alias("method"), url.alias("url"),
+                        F.to_json(F.col(item_col)).alias("body"))
 
 
 def push(plan: DataFrame, sender: Callable[[str, str, str], tuple[int, str | None]]) -> DataFrame:

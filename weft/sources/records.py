@@ -58,11 +58,12 @@ def read_json_records(spark: SparkSession, path: str, multi_line: bool = False,
     )
 
 
-def parse_json_column(df: DataFrame, text_col: str) -> DataFrame:
+def parse_json_column(df: DataFrame, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """JSON text column → ``record`` VARIANT; unparsable text keeps its text
     in ``_corrupt_record`` so map-in reports it instead of failing the job."""
     parsed = F.try_parse_json(F.col(text_col))
     return df.select(
+        *[F.col(c) for c in keep],
         parsed.alias(RECORD),
         F.when(parsed.isNull() & F.col(text_col).isNotNull(), F.col(text_col)).alias("_corrupt_record"),
     )
