@@ -928,3 +928,101 @@ def q_push_plan(spark, sf):
                keep=("c_custkey",), keep_original=False)
     plan = push_plan(r.df, "Patient", "http://fhir.example.org", "PUT", keep=("c_custkey",))
     return plan.select("c_custkey", "method", "url")
+
+
+@register("flatten_csv", f"""
+SELECT c_custkey, 'Patient' AS resourceType, 'http://example.org/sd/patient' AS "meta.profile", c_custkey AS id,
+  '[object Object]' AS name, {GENDER_SQL} AS gender FROM customer""")
+def q_flatten_csv(spark, sf):
+    from weft.sinks import flatten_columns
+
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    m = MappingConfig(CUSTOMER_TO_PATIENT.name, "Patient", mappings=CUSTOMER_TO_PATIENT.mappings,
+                      definition_url="http://example.org/sd/patient")
+    r = map_in(c, m, keep=("c_custkey",), keep_original=False)
+    return r.df.select("c_custkey", *flatten_columns(F.col("item"), r.item_type, ""))
+
+
+@register("csv_cell_typing", """
+SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS j_key, CAST(to_json(c_mktsegment) AS VARCHAR) AS j_seg,
+  CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END AS j_flag, CAST(c_nationkey AS VARCHAR) AS j_nation,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE '1.5' END AS j_num,
+  '"2025-01-' || lpad(CAST(c_nationkey % 28 + 1 AS VARCHAR), 2, '0') || '"' AS j_date
+FROM customer""")
+def q_csv_cell_typing(spark, sf):
+    from weft.functions.coerce import type_cell
+
+    c = table(spark, sf, "customer")
+    cells = {
+        "j_key": F.col("c_custkey").cast("string"),
+        "j_seg": F.col("c_mktsegment"),
+        "j_flag": F.when(F.col("c_custkey") % 2 == 0, F.lit("TRUE")).otherwise(F.lit("false")),
+        "j_nation": F.lpad(F.col("c_nationkey").cast("string"), 3, "0"),
+        "j_num": F.when(F.col("c_mktsegment") == "BUILDING", F.lit("")).otherwise(F.lit("1.50")),
+        "j_date": F.concat(F.lit("2025-01-"), F.lpad((F.col("c_nationkey") % 28 + 1).cast("string"), 2, "0")),
+    }
+    return c.select("c_custkey", *[F.to_json(type_cell(v)).alias(k) for k, v in cells.items()])
+
+
+def _variant_patients(df: DataFrame) -> DataFrame:
+    r = map_in(df, CUSTOMER_TO_PATIENT, variant_col="record", keep=("c_custkey",), keep_original=False)
+    i = F.col("item")
+    return r.df.select(
+        "c_custkey", F.try_variant_get(i["id"], "$", "bigint").alias("id"),
+        F.try_variant_get(F.get(i["name"], 0)["text"], "$", "string").alias("name_text"),
+        i["gender"].alias("gender"), F.size("errors").alias("n_errors"))
+
+
+@register("json_records", SQL["map_in_customer"])
+def q_json_records(spark, sf):
+    from weft.session import scratch_path
+    from weft.sources.records import read_json_records
+
+    out = scratch_path(spark, f"json_records-{uuid.uuid4().hex}")
+    table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment").write.mode("overwrite").json(out)
+    recs = read_json_records(spark, out)
+    return _variant_patients(recs.select(F.try_variant_get("record", "$.c_custkey", "bigint").alias("c_custkey"),
+                                         "record"))
+
+
+@register("inline_records", SQL["map_in_customer"])
+def q_inline_records(spark, sf):
+    from weft.sources.records import parse_json_column
+
+    c = table(spark, sf, "customer").select(
+        "c_custkey", F.to_json(F.struct("c_custkey", "c_name", "c_mktsegment")).alias("text"))
+    return _variant_patients(parse_json_column(c, "text", keep=("c_custkey",)))
+
+
+@register("stream_map_in", SQL["map_in_customer"])
+def q_stream_map_in(spark, sf):
+    """X1 + X2: the same compiled plan on a Structured Streaming source (availableNow)."""
+    from weft.session import scratch_path
+
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    schema = table(spark, sf, "customer").schema
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", "customer.parquet").option("maxFilesPerTrigger", 1)
+           .parquet(sf).select("c_custkey", "c_name", "c_mktsegment"))
+    out = _patient_columns(map_in(src, CUSTOMER_TO_PATIENT, keep=("c_custkey",), keep_original=False).df)
+
+    def write(batch: DataFrame, batch_id: int) -> None:  # idempotent per batch id
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    q = (out.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+@register("malformed_routing", """
+SELECT 'page' AS kind, page_id AS id, NOT json_valid(html) AS is_malformed FROM pages
+UNION ALL SELECT 'event', event_id, NOT json_valid(props) FROM events""")
+def q_malformed_routing(spark, sf):
+    from weft.sources.records import parse_json_column
+
+    texts = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"),
+                                             F.col("html").alias("text")) \
+        .unionByName(table(spark, sf, "events").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"),
+                                                       F.col("props").alias("text")))
+    parsed = parse_json_column(texts, "text", keep=("kind", "id"))
+    return parsed.select("kind", "id", F.col("_corrupt_record").isNotNull().alias("is_malformed"))
