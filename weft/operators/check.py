@@ -61,7 +61,12 @@ def resolve_definitions(configs: DataFrame, definitions: DataFrame) -> DataFrame
                        F.col("fhirResourceType").alias("rt"), F.col("direction"),
                        F.col("structureDefinitionUrl").alias("sd_url"))
     by_url = c.join(latest, c["sd_url"] == latest["def_url"], "inner").withColumn("_pref", F.lit(0))
-    by_type = c.join(latest, c["rt"] == latest["def_type"], "inner").withColumn("_pref", F.lit(1))
+    # the type fallback needs only the newest definition per type: one row per
+    # type, so configs never pair with every profile of their type
+    w_type = Window.partitionBy("def_type").orderBy(F.col("def_at").desc(), F.col("def_id").desc())
+    newest_by_type = latest.where(F.col("def_type").isNotNull()).withColumn("_rt", F.row_number().over(w_type)) \
+        .where("_rt = 1").drop("_rt")
+    by_type = c.join(newest_by_type, c["rt"] == newest_by_type["def_type"], "inner").withColumn("_pref", F.lit(1))
     both = by_url.unionByName(by_type)
     # Q4: an exact url match wins over a same-type profile, then the newest
     w = Window.partitionBy("cfg_id").orderBy("_pref", F.col("def_at").desc(), F.col("def_id").desc())

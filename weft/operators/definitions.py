@@ -106,27 +106,30 @@ def ingest(docs: DataFrame, doc_col: str = "doc", processed_at: Column | None =
     )
     exploded = ok.select(F.col("id").alias("structureDefinitionId"), "url",
                          F.posexplode("els").alias("ordinal", "el"))
+    # bind each intermediate once (the element as a map, then the chosen keys,
+    # then their values): every later expression reads plain columns
     e = F.col("el")
-    keys = F.map_keys(F.try_variant_get(e, "$", "map<string,variant>"))
-    fixed_key = _first_key(keys, "fixed")
-    default_key = _first_key(keys, "defaultValue")
+    path = _vs(e, "$.path")
     types = F.try_variant_get(e, "$.type", "array<variant>")
     codes = F.filter(F.transform(types, lambda t: _vs(t, "$.code")), lambda c: c.isNotNull() & (c != ""))
-
-    def value_at(key: Column) -> Column:
-        return F.try_element_at(F.try_variant_get(e, "$", "map<string,variant>"), key)
-
-    path = _vs(e, "$.path")
-    rows = exploded.where(path.isNotNull() & (path != "")).select(
-        F.sha2(F.concat_ws("|", F.col("structureDefinitionId"), F.col("ordinal").cast("string")), 256).alias("id"),
+    s1 = exploded.where(path.isNotNull() & (path != "")).select(
         "structureDefinitionId", "url", F.col("ordinal").cast("int").alias("ordinal"), path.alias("path"),
         _vs(e, "$.sliceName").alias("sliceName"), _vs(e, "$.short").alias("shortDescription"),
         _vs(e, "$.definition").alias("definition"), F.coalesce(codes, F.array().cast("array<string>")).alias("dataTypes"),
         F.try_variant_get(e, "$.min", "int").alias("cardinalityMin"), _vs(e, "$.max").alias("cardinalityMax"),
-        F.when(fixed_key.isNotNull(), _stored_text(value_at(fixed_key))).alias("fixedValue"),
-        F.lower(F.substring(fixed_key, 6, 1 << 20)).alias("fixedValueType"),
-        F.when(default_key.isNotNull(), _stored_text(value_at(default_key))).alias("defaultValue"),
-        F.lower(F.substring(default_key, 13, 1 << 20)).alias("defaultValueType"),
+        F.try_variant_get(e, "$", "map<string,variant>").alias("_m"))
+    keys = F.map_keys(F.col("_m"))
+    s2 = s1.select("*", _first_key(keys, "fixed").alias("_fk"), _first_key(keys, "defaultValue").alias("_dk"))
+    s3 = s2.select("*", F.try_element_at(F.col("_m"), F.col("_fk")).alias("_fv"),
+                   F.try_element_at(F.col("_m"), F.col("_dk")).alias("_dv"))
+    rows = s3.select(
+        F.sha2(F.concat_ws("|", F.col("structureDefinitionId"), F.col("ordinal").cast("string")), 256).alias("id"),
+        "structureDefinitionId", "url", "ordinal", "path", "sliceName", "shortDescription", "definition", "dataTypes",
+        "cardinalityMin", "cardinalityMax",
+        F.when(F.col("_fk").isNotNull(), _stored_text(F.col("_fv"))).alias("fixedValue"),
+        F.lower(F.substring(F.col("_fk"), 6, 1 << 20)).alias("fixedValueType"),
+        F.when(F.col("_dk").isNotNull(), _stored_text(F.col("_dv"))).alias("defaultValue"),
+        F.lower(F.substring(F.col("_dk"), 13, 1 << 20)).alias("defaultValueType"),
     )
     counts = rows.groupBy("url", "structureDefinitionId").agg(F.count(F.lit(1)).alias("elementCount"))
     w_dup = Window.partitionBy("structureDefinitionId", "path").orderBy("ordinal")
