@@ -110,6 +110,22 @@ def is_blank_text(s: Column) -> Column:
     return s.rlike(BLANK_RE)
 
 
+def can_be_blank(v: Val) -> bool:
+    """Only text (or dynamic values) can print as blank; numbers, booleans,
+    dates and objects never do, so their blank test is statically false."""
+    return isinstance(v.dtype, (T.StringType, T.VariantType, T.ArrayType))
+
+
+def is_blank(v: Val) -> Column:
+    """``v == null || String(v).trim() === ''`` without a regex where the type rules it out."""
+    if v.dtype is None:
+        return F.lit(True)
+    if not can_be_blank(v):
+        return v.col.isNull()
+    text = js_string(v)
+    return text.isNull() | (F.length(text) == 0) | text.rlike(BLANK_RE)
+
+
 def json_text(v: Val) -> Column:
     """JSON encoding of a value as STRING (NULL for null/undefined)."""
     if v.dtype is None:

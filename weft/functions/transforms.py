@@ -2,9 +2,11 @@
 
 A transformation is a Column builder, not a row function:
 
-    fn(value: Val, details: JSON value, ctx: Context) -> (Val, Column message)
+    fn(value: Val, details: JSON value, ctx: Context) -> (Val, message)
 
-``message`` is NULL when the transformation succeeded.  Registered names are
+``message`` is a Column, NULL when the transformation succeeded — or a
+function of the (bound) result Column, so an expensive result such as a date
+parse is evaluated once and the message derived from it.  Registered names are
 looked up upper-cased.  Users add their own with :func:`register_transformation`;
 a builder may return a ``pandas_udf`` column when no native expression fits.
 """
@@ -92,10 +94,12 @@ def format_date(value: Val, details: Any, ctx: Context) -> tuple[Val, Column]:
     applies = is_js_string(value) & (text != "")
     ts = F.try_to_timestamp(text, F.lit(date_parse_pattern(str(d["inputFormat"]))))
     out = F.date_format(ts, date_format_pattern(str(d["outputFormat"])))
-    msg = F.when(
-        applies & ts.isNull(),
-        F.concat(F.lit("Failed to parse date '"), text, F.lit(f"' with format '{d['inputFormat']}'")),
-    )
+
+    def msg(result: Column) -> Column:
+        # the parse runs once: a string that applied and came out null failed
+        return F.when(applies & result.isNull(),
+                      F.concat(F.lit("Failed to parse date '"), text, F.lit(f"' with format '{d['inputFormat']}'")))
+
     return _same_shape(value, F.when(applies, out).otherwise(text)), msg
 
 

@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.functions.coerce import BLANK_RE, is_undef, js_string, json_text, literal_val, parse_stored
+from weft.functions.coerce import is_blank, is_undef, json_text, literal_val, parse_stored
 from weft.functions.paths import Val, base_path, get_path, get_value, parse_path
 from weft.functions.transforms import Context, lookup_transformation
 from weft.functions.validations import lookup_validation
 from weft.plans.config import MappingConfig, Profile
-from weft.plans.tree import TargetTree
+from weft.plans.tree import TargetTree, _combine
 
 ERROR_TYPE = T.StructType(
     [
@@ -125,45 +125,71 @@ def map_in(
     root1 = record_root(df, variant_col)
     ctx = Context(record=root1)
 
-    # ---- stage 2: per-field value + error
+    # ---- stage 2: value after default, transformed value (bound once each)
     s2 = []
-    finals: dict[int, Val] = {}
+    plans: dict[int, dict] = {}
     fired_static: dict[int, bool] = {}
     for i, m in live:
         src, tgt = m.source_path, m.target_path
         v = raw[i]
         tname = m.transformation
         is_default = tname == "DEFAULT_VALUE"
-        err_cases: list[tuple[Column, Column]] = []
+        pl: dict = {"v": v, "src": src, "tgt": tgt}
         val = v
-        default_fail = None
         if is_default:
             fn = lookup_transformation("DEFAULT_VALUE")
             missing = F.lit(True) if v.undefined else v.col.isNull()
+            pl["missing"] = missing
             if fn is None:
-                default_fail = missing
-                err_cases.append((missing, error_struct(src, tgt, json_text(v), "Transformation",
-                                                         "DEFAULT_VALUE function not registered.", None)))
+                pl["default_err"] = (missing, F.lit("DEFAULT_VALUE function not registered."), None)
             else:
                 dv, msg = fn(v, m.transformation_details, ctx)
                 det = _dumps({"type": "DEFAULT_VALUE", "details": m.transformation_details})
-                default_fail = missing & msg.isNotNull()
-                err_cases.append((default_fail, error_struct(src, tgt, json_text(v), "Transformation", msg, det)))
+                pl["default_err"] = (missing & msg.isNotNull(), msg, det)
                 if v.undefined:
                     val = dv
-                else:
-                    from weft.plans.tree import _combine
-
-                    a, b = _combine([v, dv]) if dv.dtype is not None else (v, v)
-                    val = Val(F.when(missing, b.col).otherwise(a.col), a.dtype)
+                elif dv.dtype is not None:
+                    a_, b_ = _combine([v, dv])
+                    val = Val(F.when(missing, b_.col).otherwise(a_.col), a_.dtype)
             fired_static[i] = isinstance(m.transformation_details, dict) and "value" in m.transformation_details
-        ok = F.lit(True) if default_fail is None else ~default_fail
+            if not val.undefined:
+                s2.append(val.col.alias(f"_d{i}"))
+                val = Val(F.col(f"_d{i}"), val.dtype)
+        pl["val"] = val
+        final = val
+        if tname and not is_default:
+            fn = lookup_transformation(tname)
+            if fn is not None:
+                tval, tmsg = fn(val, m.transformation_details, ctx)
+                pl["t_det"] = _dumps({"type": m.transformation_type, "details": m.transformation_details})
+            else:
+                tval = val
+                tmsg = F.lit(f"Transformation function '{m.transformation_type}' not registered.")
+                pl["t_det"] = None
+            pl["tmsg"] = tmsg
+            final = tval
+        if not final.undefined:
+            s2.append(final.col.alias(f"_t{i}"))
+            final = Val(F.col(f"_t{i}"), final.dtype)
+        pl["final"] = final
+        plans[i] = pl
+    df2a = df1.select(*[F.col(c) for c in cols], *[F.col(f"_v{i}") for i in raw if not raw[i].undefined], *s2)
+
+    # ---- stage 2b: one error struct per field mapping (first failing step wins)
+    s3 = []
+    finals: dict[int, Val] = {}
+    for i, m in live:
+        pl = plans[i]
+        src, tgt, v, val = pl["src"], pl["tgt"], pl["v"], pl["val"]
+        err_cases: list[tuple[Column, Column]] = []
+        ok = F.lit(True)
+        if "default_err" in pl:
+            cond, msg, det = pl["default_err"]
+            err_cases.append((cond, error_struct(src, tgt, json_text(v), "Transformation", msg, det)))
+            ok = ~cond
         if m.validation_type:
             vname = m.validation_type.upper()
-            text = js_string(val)
-            gate = F.lit(True) if vname == "REQUIRED" else (
-                F.lit(False) if val.undefined else (text.isNotNull() & ~text.rlike(BLANK_RE))
-            )
+            gate = F.lit(True) if vname == "REQUIRED" else ~is_blank(val)
             fn = lookup_validation(vname)
             if fn is not None:
                 vmsg = fn(val, m.validation_details, ctx)
@@ -174,29 +200,22 @@ def map_in(
             vfail = ok & gate & vmsg.isNotNull()
             err_cases.append((vfail, error_struct(src, tgt, json_text(val), "Validation", vmsg, det)))
             ok = ok & ~vfail
-        final = val
-        if tname and not is_default:
-            fn = lookup_transformation(tname)
-            if fn is not None:
-                tval, tmsg = fn(val, m.transformation_details, ctx)
-                det = _dumps({"type": m.transformation_type, "details": m.transformation_details})
-            else:
-                tval, tmsg = val, F.lit(f"Transformation function '{m.transformation_type}' not registered.")
-                det = None
+        if "tmsg" in pl:
+            tmsg = pl["tmsg"]
+            if callable(tmsg):
+                tmsg = tmsg(pl["final"].col) if not pl["final"].undefined else F.lit(None).cast("string")
             tfail = ok & tmsg.isNotNull()
-            err_cases.append((tfail, error_struct(src, tgt, json_text(val), "Transformation", tmsg, det)))
-            final = tval
+            err_cases.append((tfail, error_struct(src, tgt, json_text(val), "Transformation", tmsg, pl["t_det"])))
         if err_cases:
             e = None
             for cond, st in err_cases:
                 e = F.when(cond, st) if e is None else e.when(cond, st)
-            s2.append(e.alias(f"_e{i}"))
+            s3.append(e.alias(f"_e{i}"))
         else:
-            s2.append(F.lit(None).cast(ERROR_TYPE).alias(f"_e{i}"))
-        if not final.undefined:
-            s2.append(final.col.alias(f"_t{i}"))
-            finals[i] = Val(F.col(f"_t{i}"), final.dtype)
-    df2 = df1.select(*[F.col(c) for c in cols], *s2)
+            s3.append(F.lit(None).cast(ERROR_TYPE).alias(f"_e{i}"))
+        if not pl["final"].undefined:
+            finals[i] = pl["final"]
+    df2 = df2a.select(*[F.col(c) for c in cols], *[F.col(f"_t{i}") for i in finals], *s3)
 
     # ---- stage 3: assemble the resource and collect errors
     tree = TargetTree(profile.complete, rt)
@@ -254,10 +273,10 @@ def map_in(
 
     item = tree.build(head=[("resourceType", Val(F.lit(rt), T.StringType()))])
     errs = F.array_compact(F.array(*[F.col(f"_e{i}") for i, _ in live])) if live else F.array().cast(ERRORS_TYPE)
-    orig = original_json(df, variant_col) if keep_original else F.lit(None).cast("string")
     sys_col = sys_error if sys_error is not None else F.lit(False)
-    df3 = df2.select(*[F.col(c) for c in keep], item.col.alias("_item"), errs.alias("_errors"),
-                     orig.alias("_orig"), sys_col.alias("_sys"))
+    carry = cols if keep_original else [c for c in cols if c in keep]
+    df3 = df2.select(*[F.col(c) for c in carry], item.col.alias("_item"), errs.alias("_errors"),
+                     sys_col.alias("_sys"))
 
     # ---- stage 4: mandatory check on clean records, system errors
     clean = F.size("_errors") == 0
@@ -294,13 +313,17 @@ def map_in(
         other = F.array_compact(F.array(*r2_terms)) if r2_terms else F.col("_errors")
         expr = F.when(~clean, F.col("_errors"))
         if sys_error is not None:
-            sys_struct = error_struct(None, SYSTEM_TARGET, F.col("_orig"), "Transformation", MSG_NO_TYPE, None)
+            orig_now = original_json(df, variant_col) if keep_original else F.lit(None).cast("string")
+            sys_struct = error_struct(None, SYSTEM_TARGET, orig_now, "Transformation", MSG_NO_TYPE, None)
             expr = expr.when(F.col("_sys"), F.array(sys_struct))
         final_errors = expr.otherwise(other)
-    out = df3.select(
+    df4 = df3.select(*[F.col(c) for c in carry], F.col("_item"), final_errors.alias("_final_errors"))
+    # ---- stage 5: the input record as JSON, built only for error rows
+    orig = original_json(df, variant_col) if keep_original else F.lit(None).cast("string")
+    out = df4.select(
         *[F.col(c) for c in keep],
         F.col("_item").alias("item"),
-        final_errors.alias("errors"),
-        F.when(F.size(final_errors) > 0, F.col("_orig")).alias("original"),
+        F.col("_final_errors").alias("errors"),
+        F.when(F.size("_final_errors") > 0, orig).alias("original"),
     )
     return MapInPlan(out, item.dtype)

@@ -15,6 +15,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # wide compiled mappings produce large generated methods; above ~8 KB of
+    # bytecode the JVM will not JIT a method, so fall back to split code early
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
