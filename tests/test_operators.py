@@ -89,3 +89,75 @@ def test_bundle_scan(spark):
     assert [(r.i, r.entry_pos) for r in res] == [(0, 0)]
     nxt = dict(df.select("i", next_link(F.col("page")).alias("n")).collect())
     assert nxt[0] == "p2"
+
+
+def test_store_roundtrip_and_lookup(spark, tmp_path):
+    from weft.operators.definitions import delete_elements, read_store, store
+    from weft.plans.config import find_definition, resolve_profile
+    from weft.plans.catalog import cfg, fm
+
+    doc = {"resourceType": "StructureDefinition", "url": "http://x/p", "type": "Patient", "id": "p",
+           "snapshot": {"element": [{"path": "Patient", "min": 0, "max": "*"},
+                                    {"path": "Patient.gender", "min": 1, "max": "1"},
+                                    {"path": "Patient.active", "defaultValueBoolean": False, "type": [{"code": "boolean"}]}]}}
+    df = spark.createDataFrame([(json.dumps(doc),)], "t string").select(F.parse_json("t").alias("doc"))
+    root = str(tmp_path / "store")
+    store(ingest(df), root)
+    defs, els = read_store(spark, root)
+    d = find_definition(defs, els, "http://x/p", None)
+    assert [e.path for e in d.elements] == ["Patient", "Patient.gender", "Patient.active"]
+    prof = resolve_profile(spark, cfg("c", "Patient", fm(0, "g", "gender"), url="http://x/p"), defs, els)
+    assert [e.path for e in prof.mandatory] == ["Patient.gender"]
+    assert [e.path for e in prof.fill] == ["Patient.active"]
+    delete_elements(defs.select(F.col("id").alias("structureDefinitionId")), root)
+    assert read_store(spark, root)[1].count() == 0
+
+
+def test_load_mapping_from_tables(spark):
+    from weft.plans.config import FIELD_MAPPINGS_DDL, MAPPING_CONFIGURATIONS_DDL, MappingNotFound, load_mapping
+
+    configs = spark.createDataFrame([("c1", "M", None, "JSON", "Patient", "TO_FHIR", None, None, None)],
+                                    MAPPING_CONFIGURATIONS_DDL)
+    fms = spark.createDataFrame([
+        ("f2", "c1", 1, "b", "name[0].text", None, None, "MIN_LENGTH", '{"min": 2}', None, None, None),
+        ("f1", "c1", 0, "a", "id", None, None, "REQUIRED", None, None, None, None)], FIELD_MAPPINGS_DDL)
+    m = load_mapping(configs, fms, "M")
+    assert [x.target_path for x in m.mappings] == ["id", "name[0].text"]
+    assert m.mappings[1].validation_details == {"min": 2}
+    try:
+        load_mapping(configs, fms, "nope")
+        raise AssertionError("expected MappingNotFound")
+    except MappingNotFound:
+        pass
+
+
+def test_stream_and_sinks(spark, tmp_path):
+    from weft.plans.seeds import OBSERVATION_MAPPING
+    from weft.sinks import pretty_json, write_csv, write_split
+    from weft.streaming import read_record_stream, start_map_in_stream
+
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.json").write_text(
+        '{"vitalSign":{"id":"o1","status":"final","value":72.5,"unit":"bpm"},"patientId":"Patient/1"}\n{"bad": \n')
+    q = start_map_in_stream(read_record_stream(spark, str(src)), OBSERVATION_MAPPING, str(tmp_path / "out"),
+                            str(tmp_path / "ck"), variant_col="record")
+    q.awaitTermination()
+    data = spark.read.text(str(tmp_path / "out" / "batch=0" / "type=data")).collect()
+    errs = spark.read.text(str(tmp_path / "out" / "batch=0" / "type=error")).collect()
+    assert json.loads(data[0].value)["item"]["valueQuantity"] == {"value": 72.5, "unit": "bpm"}
+    assert json.loads(errs[0].value)["error"]["originalItem"] == '{"bad": '
+    recs = inline_records(spark, [{"vitalSign": {"id": "o2", "status": "final"}, "patientId": "Patient/2"}])
+    plan = map_in(recs, OBSERVATION_MAPPING, variant_col="record")
+    write_split(plan.df, str(tmp_path / "split"))
+    assert spark.read.text(str(tmp_path / "split" / "type=data")).count() == 1
+    typed = spark.createDataFrame([("o3", "final")], "id string, st string")
+    from weft.plans.catalog import cfg, fm
+
+    p2 = map_in(typed, cfg("c", "Observation", fm(0, "id", "id"), fm(1, "st", "status"),
+                          fm(2, "st", "code.coding[0].code")))
+    write_csv(p2.df, str(tmp_path / "csv"))
+    header = spark.read.option("header", True).csv(str(tmp_path / "csv")).columns
+    assert header == ["resourceType", "id", "status", "code.coding"]
+    txt = p2.df.select(pretty_json(F.col("item")).alias("p")).first().p
+    assert json.loads(txt)["status"] == "final" and "\n" in txt

@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.functions.paths import Val
+from weft.functions.paths import Val, variant_kind
 
 # Whitespace removed by String.prototype.trim().
 JS_WHITESPACE = (
@@ -50,8 +50,8 @@ def js_number(x: Column) -> Column:
     )
 
 
-def _variant_scalar_string(v: Column) -> Column:
-    kind = F.schema_of_variant(v)
+def _variant_scalar_string(v: Column, kind: Column | None = None) -> Column:
+    kind = F.schema_of_variant(v) if kind is None else kind
     as_str = F.try_variant_get(v, "$", "string")
     return (
         F.when(kind == "STRING", as_str)
@@ -88,10 +88,12 @@ def js_string(v: Val) -> Column:
         et = dt.elementType
         return F.array_join(F.transform(c, lambda e: js_string(Val(e, et))), ",", "")
     if isinstance(dt, T.VariantType):
-        kind = F.schema_of_variant(c)
+        if v.text is not None:
+            return v.text
+        kind = variant_kind(v)
         arr = F.try_variant_get(c, "$", "array<variant>")
-        joined = F.array_join(F.transform(arr, _variant_scalar_string), ",", "")
-        return F.when(kind.startswith("ARRAY"), joined).otherwise(_variant_scalar_string(c))
+        joined = F.array_join(F.transform(arr, lambda e: _variant_scalar_string(e)), ",", "")
+        return F.when(kind.startswith("ARRAY"), joined).otherwise(_variant_scalar_string(c, kind))
     return c.cast("string")
 
 
@@ -102,7 +104,7 @@ def is_js_string(v: Val) -> Column:
     if isinstance(v.dtype, T.StringType):
         return v.col.isNotNull()
     if isinstance(v.dtype, T.VariantType):
-        return F.coalesce(F.schema_of_variant(v.col) == "STRING", F.lit(False))
+        return F.coalesce(variant_kind(v) == "STRING", F.lit(False))
     return F.lit(False)
 
 

@@ -125,6 +125,8 @@ class Val:
 
     col: Column
     dtype: T.DataType | None
+    kind: Column | None = None  # bound schema_of_variant(col), when the compiler has one
+    text: Column | None = None  # bound String(v) of a VARIANT value, when the compiler has one
 
     @property
     def undefined(self) -> bool:
@@ -135,6 +137,11 @@ class Val:
         return isinstance(self.dtype, T.VariantType)
 
 
+def variant_kind(v: Val) -> Column:
+    """``schema_of_variant`` of a VARIANT value, reusing a bound column if present."""
+    return v.kind if v.kind is not None else F.schema_of_variant(v.col)
+
+
 def undefined() -> Val:
     return Val(F.lit(None), None)
 

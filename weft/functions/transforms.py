@@ -36,9 +36,16 @@ MSG_CONCAT_DETAILS = "Invalid details or missing sourceItem for CONCATENATE"
 
 @dataclass(frozen=True)
 class Context:
-    """What a transformation may see besides its value: the whole record."""
+    """What a transformation may see besides its value: the whole record.
+    ``bound`` holds path reads the compiler already bound as columns."""
 
     record: Val
+    bound: dict | None = None
+
+    def read(self, path: str) -> Val:
+        if self.bound and path in self.bound:
+            return self.bound[path]
+        return get_value(self.record, path)
 
 
 Transformation = Callable[[Val, Any, Context], tuple[Val, Column]]
@@ -208,7 +215,7 @@ def concatenate(value: Val, details: Any, ctx: Context) -> tuple[Val, Column]:
         return value, F.lit(MSG_CONCAT_DETAILS)
     sep = d.get("separator")
     sep = "" if sep is None else js_template(sep)
-    parts = [F.coalesce(js_string(get_value(ctx.record, str(p))), F.lit("")) for p in fields]
+    parts = [F.coalesce(js_string(ctx.read(str(p))), F.lit("")) for p in fields]
     if not parts:
         return Val(F.lit(""), T.StringType()), _no_error()
     return Val(F.concat_ws(sep, *parts), T.StringType()), _no_error()

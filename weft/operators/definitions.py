@@ -145,6 +145,39 @@ def store(result: Ingested, root: str) -> None:
     result.definitions.write.mode("append").parquet(f"{root}/definitions")
 
 
+def append_headers(headers: DataFrame, root: str) -> DataFrame:
+    """K7: header-only upsert = append a newer header row (W1 picks it)."""
+    headers.write.mode("append").parquet(f"{root}/definitions")
+    return headers
+
+
+def append_elements(elements: DataFrame, root: str) -> DataFrame:
+    """K7: bulk append of element rows; returns the rows appended."""
+    elements.write.mode("append").parquet(f"{root}/definition_elements")
+    return elements
+
+
+def delete_elements(ids: DataFrame, root: str, id_col: str = "structureDefinitionId") -> None:
+    """K7: delete the elements of definitions.  The store is append-only, so a
+    delete appends tombstones that readers anti-join; nothing is rewritten in
+    place and a retried task cannot lose rows."""
+    ids.select(F.col(id_col).alias("structureDefinitionId"), F.current_timestamp().alias("deletedAt")) \
+        .write.mode("append").parquet(f"{root}/definition_tombstones")
+
+
+def read_store(spark, root: str) -> tuple[DataFrame, DataFrame]:
+    """The stored tables as (definitions, live elements)."""
+    from pyspark.errors import AnalysisException
+
+    defs = spark.read.parquet(f"{root}/definitions")
+    els = spark.read.parquet(f"{root}/definition_elements")
+    try:
+        t = spark.read.parquet(f"{root}/definition_tombstones").select("structureDefinitionId")
+    except AnalysisException:  # no delete has been written yet
+        return defs, els
+    return defs, els.join(t, "structureDefinitionId", "left_anti")
+
+
 def list_definitions(definitions: DataFrame) -> DataFrame:
     """Newest header per url, no elements."""
     return latest_definitions(definitions)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.functions.coerce import is_blank, is_undef, json_text, literal_val, parse_stored
+from weft.functions.coerce import is_blank, is_undef, js_string, json_text, literal_val, parse_stored
 from weft.functions.paths import Val, base_path, get_path, get_value, parse_path
 from weft.functions.transforms import Context, lookup_transformation
 from weft.functions.validations import lookup_validation
@@ -66,17 +66,26 @@ def _dumps(v) -> str:
     return json.dumps(v, separators=(",", ":"), ensure_ascii=False)
 
 
+CORRUPT = "_corrupt_record"
+MSG_MALFORMED = "Unexpected system error: malformed input record"
+
+
+def _record_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c != CORRUPT]
+
+
 def record_root(df: DataFrame, variant_col: str | None = None) -> Val:
     """The whole input record as a Val: the VARIANT column, or a struct of all columns."""
     if variant_col is not None:
         return Val(F.col(variant_col), T.VariantType())
-    return Val(F.struct(*[F.col(c) for c in df.columns]), df.schema)
+    cols = _record_columns(df)
+    return Val(F.struct(*[F.col(c) for c in cols]), T.StructType([df.schema[c] for c in cols]))
 
 
 def original_json(df: DataFrame, variant_col: str | None = None) -> Column:
     if variant_col is not None:
         return F.to_json(F.col(variant_col))
-    return F.to_json(F.struct(*[F.col(c) for c in df.columns]))
+    return F.to_json(F.struct(*[F.col(c) for c in _record_columns(df)]))
 
 
 @dataclass
@@ -114,16 +123,31 @@ def map_in(
     s1 = []
     raw: dict[int, Val] = {}
     live = [(i, m) for i, m in enumerate(cfg.mappings) if m.target_path]  # F7
+    def bind(name: str, v: Val) -> Val:
+        s1.append(v.col.alias(name))
+        if isinstance(v.dtype, T.VariantType):  # the type probe and the text are bound once too
+            s1.append(F.schema_of_variant(F.col(name)).alias(f"{name}_k"))
+            kinded = Val(F.col(name), v.dtype, F.col(f"{name}_k"))
+            s1.append(js_string(kinded).alias(f"{name}_s"))
+            return Val(F.col(name), v.dtype, F.col(f"{name}_k"), F.col(f"{name}_s"))
+        return Val(F.col(name), v.dtype)
+
     for i, m in live:
         v = root if m.source_path == ROOT_PATH else get_value(root, m.source_path or "")
-        if v.undefined:
-            raw[i] = v
-        else:
-            s1.append(v.col.alias(f"_v{i}"))
-            raw[i] = Val(F.col(f"_v{i}"), v.dtype)
+        raw[i] = v if v.undefined else bind(f"_v{i}", v)
+    # paths other mappings read from the record (CONCATENATE) are bound as well
+    bound: dict[str, Val] = {}
+    for i, m in live:
+        d = m.transformation_details
+        if m.transformation == "CONCATENATE" and isinstance(d, dict) and isinstance(d.get("fieldsToConcat"), list):
+            for p in d["fieldsToConcat"]:
+                p = str(p)
+                if p not in bound:
+                    v = get_value(root, p)
+                    bound[p] = v if v.undefined else bind(f"_c{len(bound)}", v)
     df1 = df.select(*[F.col(c) for c in cols], *s1)
     root1 = record_root(df, variant_col)
-    ctx = Context(record=root1)
+    ctx = Context(record=root1, bound=bound)
 
     # ---- stage 2: value after default, transformed value (bound once each)
     s2 = []
@@ -173,7 +197,8 @@ def map_in(
             final = Val(F.col(f"_t{i}"), final.dtype)
         pl["final"] = final
         plans[i] = pl
-    df2a = df1.select(*[F.col(c) for c in cols], *[F.col(f"_v{i}") for i in raw if not raw[i].undefined], *s2)
+    bound_cols = [n for n in df1.columns if n not in cols]
+    df2a = df1.select(*[F.col(c) for c in cols], *[F.col(n) for n in bound_cols], *s2)
 
     # ---- stage 2b: one error struct per field mapping (first failing step wins)
     s3 = []
@@ -274,7 +299,8 @@ def map_in(
     item = tree.build(head=[("resourceType", Val(F.lit(rt), T.StringType()))])
     errs = F.array_compact(F.array(*[F.col(f"_e{i}") for i, _ in live])) if live else F.array().cast(ERRORS_TYPE)
     sys_col = sys_error if sys_error is not None else F.lit(False)
-    carry = cols if keep_original else [c for c in cols if c in keep]
+    corrupt = CORRUPT in cols  # rows the reader could not parse (R6 / X4 route mode)
+    carry = cols if keep_original else [c for c in cols if c in keep or c == CORRUPT]
     df3 = df2.select(*[F.col(c) for c in carry], item.col.alias("_item"), errs.alias("_errors"),
                      sys_col.alias("_sys"))
 
@@ -320,10 +346,17 @@ def map_in(
     df4 = df3.select(*[F.col(c) for c in carry], F.col("_item"), final_errors.alias("_final_errors"))
     # ---- stage 5: the input record as JSON, built only for error rows
     orig = original_json(df, variant_col) if keep_original else F.lit(None).cast("string")
+    errors_out = F.col("_final_errors")
+    if corrupt:
+        bad = F.col(CORRUPT).isNotNull()
+        malformed = error_struct(None, SYSTEM_TARGET, F.to_json(F.array(F.col(CORRUPT))).substr(F.lit(2), F.length(
+            F.to_json(F.array(F.col(CORRUPT)))) - 2), "Transformation", MSG_MALFORMED, None)
+        errors_out = F.when(bad, F.array(malformed)).otherwise(errors_out)
+        orig = F.when(bad, F.col(CORRUPT)).otherwise(orig)
     out = df4.select(
         *[F.col(c) for c in keep],
-        F.col("_item").alias("item"),
-        F.col("_final_errors").alias("errors"),
-        F.when(F.size("_final_errors") > 0, orig).alias("original"),
+        F.when(~F.col(CORRUPT).isNotNull(), F.col("_item")).alias("item") if corrupt else F.col("_item").alias("item"),
+        errors_out.alias("errors"),
+        F.when(F.size(errors_out) > 0, orig).alias("original"),
     )
     return MapInPlan(out, item.dtype)

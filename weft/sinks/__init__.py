@@ -27,7 +27,9 @@ def error_object(errors: Column, original: Column) -> Column:
         e["fieldSourcePath"].alias("fieldSourcePath"), e["fieldTargetPath"].alias("fieldTargetPath"),
         _json_value(e["inputValue"]).alias("inputValue"), e["errorType"].alias("errorType"),
         e["message"].alias("message"), _json_value(e["details"]).alias("details")))
-    return F.struct(errs.alias("errors"), _json_value(original).alias("originalItem"))
+    # an unparsable original (malformed input) is kept as a JSON string
+    orig = F.coalesce(_json_value(original), original.cast("variant"))
+    return F.struct(errs.alias("errors"), orig.alias("originalItem"))
 
 
 def tagged(result: DataFrame) -> DataFrame:

@@ -31,25 +31,12 @@ def read_record_stream(spark: SparkSession, path: str, fmt: str = "json", schema
     return r.schema(schema).format(fmt).load(path)
 
 
-def malformed_errors(df: DataFrame) -> DataFrame:
-    """Rows the parser could not read become error rows (R6 wording)."""
-    from weft.operators.map_in import SYSTEM_TARGET, error_struct
-
-    bad = df.where(F.col("_corrupt_record").isNotNull())
-    e = error_struct(None, SYSTEM_TARGET, F.to_json(F.array(F.col("_corrupt_record"))).substr(2, 1 << 30), "Transformation",
-                     F.lit("Unexpected system error: malformed input record"), None)
-    return bad.select(F.lit(None).alias("item"), F.array(e).alias("errors"), F.col("_corrupt_record").alias("original"))
-
-
 def start_map_in_stream(stream: DataFrame, cfg: MappingConfig, out_dir: str, checkpoint_dir: str,
                         profile: Profile = Profile(), variant_col: str | None = None,
                         available_now: bool = True):
     """X1 + X2: run map-in on a stream and write tagged data/error outputs per batch."""
-    if "_corrupt_record" in stream.columns:
-        clean = stream.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    else:
-        clean = stream
-    plan = map_in(clean, cfg, profile, variant_col=variant_col)
+    # malformed lines stay in the stream: map-in routes them to the error output (X4 route mode)
+    plan = map_in(stream, cfg, profile, variant_col=variant_col)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         tagged(batch).write.mode("overwrite").partitionBy("type").text(f"{out_dir}/batch={batch_id}")
