@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 
 from weft.functions.coerce import stored_value_column
 from weft.plans.config import latest_definitions
+from weft.session import materialize
 
 SLICE_SUFFIX_RE = r"^(.*?):([^.]+)\.(.*)$"
 SLICE_ONLY_RE = r"^(.*?):([^.]+)$"
@@ -76,14 +77,16 @@ def resolve_definitions(configs: DataFrame, definitions: DataFrame) -> DataFrame
 def check_mappings(configs: DataFrame, field_mappings: DataFrame, definitions: DataFrame,
                    elements: DataFrame) -> DataFrame:
     """All violations of all configs: cfg_name, phase, ordinal, kind, message, rank."""
-    resolved = resolve_definitions(configs, definitions)
+    # the three intermediates below are read by several rules; each is cut
+    # from its lineage once instead of re-running the profile pipeline per use
+    resolved = materialize(resolve_definitions(configs, definitions))
     cfg_all = configs.select(F.col("id").alias("cfg_id"), F.col("name").alias("cfg_name"),
                              F.col("fhirResourceType").alias("rt"), F.col("structureDefinitionUrl").alias("sd_url"))
     els = elements.select(F.col("structureDefinitionId").alias("def_id"), "ordinal", "path", "cardinalityMin",
                           "fixedValue", "fixedValueType", "defaultValue", "dataTypes")
     ce = resolved.join(els, "def_id")  # config × its own definition's elements
-    ce = ce.withColumn("rel", F.when(F.col("path").startswith(F.concat(F.col("rt"), F.lit("."))),
-                                     F.expr("substring(path, length(rt) + 2)")).otherwise(F.col("path")))
+    ce = materialize(ce.withColumn("rel", F.when(F.col("path").startswith(F.concat(F.col("rt"), F.lit("."))),
+                                                 F.expr("substring(path, length(rt) + 2)")).otherwise(F.col("path"))))
     n_el = ce.groupBy("cfg_id").agg(F.count(F.lit(1)).alias("n_el"))
 
     # missing definition (or no elements) → one violation, nothing else checked
@@ -95,7 +98,7 @@ def check_mappings(configs: DataFrame, field_mappings: DataFrame, definitions: D
 
     fm = field_mappings.select(F.col("mappingConfigurationId").alias("cfg_id"), "ordinal",
                                F.col("targetFhirPath").alias("target"), "transformationType", "transformationDetails")
-    m = fm.join(resolved.select("cfg_id", "cfg_name", "rt", "direction", "def_url"), "cfg_id")
+    m = materialize(fm.join(resolved.select("cfg_id", "cfg_name", "rt", "direction", "def_url"), "cfg_id"))
 
     # J5 path existence
     rel_set = ce.select("cfg_id", F.col("rel").alias("cand")).distinct()  # A3

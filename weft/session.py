@@ -48,3 +48,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def materialize(df):
+    """Cut lineage of an intermediate used several times: a reliable checkpoint
+    into the shared ``spark.checkpoint.dir`` (survives executor loss, unlike a
+    local checkpoint or cache)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
