@@ -1026,3 +1026,84 @@ def q_malformed_routing(spark, sf):
                                                        F.col("props").alias("text")))
     parsed = parse_json_column(texts, "text", keep=("kind", "id"))
     return parsed.select("kind", "id", F.col("_corrupt_record").isNotNull().alias("is_malformed"))
+
+
+# --------------------------------------------------------------------------- control tables, split output, store
+
+
+def _control_tables(spark):
+    """mapping_configurations / field_mappings rows for two configs (ordinals out of order)."""
+    import json as _json
+
+    from weft.plans.config import FIELD_MAPPINGS_DDL, MAPPING_CONFIGURATIONS_DDL
+
+    configs = spark.createDataFrame([
+        ("c1", "CustomerToPatient", None, "JSON", "Patient", "TO_FHIR", None, None, None),
+        ("c2", "Other", None, "CSV", "Patient", "TO_FHIR", None, None, None)], MAPPING_CONFIGURATIONS_DDL)
+    rows = []
+    for i, m in enumerate(CUSTOMER_TO_PATIENT.mappings):
+        rows.append((f"f{i}", "c1", m.ordinal, m.source_path, m.target_path, m.transformation_type,
+                     None if m.transformation_details is None else _json.dumps(m.transformation_details),
+                     m.validation_type, None if m.validation_details is None else _json.dumps(m.validation_details),
+                     None, None, None))
+    rows.append(("g0", "c2", 0, "x", "gender", None, None, None, None, None, None, None))
+    rows.append(("f9", "c1", 9, "c_name", None, None, None, None, None, None, None, None))  # no target: skipped (F7)
+    fms = spark.createDataFrame(list(reversed(rows)), FIELD_MAPPINGS_DDL)
+    return configs, fms
+
+
+@register("config_load", SQL["map_in_customer"])
+def q_config_load(spark, sf):
+    """S6 + J1 + F7: the configuration is read from control tables by name."""
+    from weft.plans.config import load_mapping
+
+    configs, fms = _control_tables(spark)
+    m = load_mapping(configs, fms, "CustomerToPatient")
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return _patient_columns(map_in(c, m, keep=("c_custkey",), keep_original=False).df)
+
+
+@register("split_write", ORDER_ERRORS_CTE + """
+, flags AS (SELECT o.o_orderkey, EXISTS (SELECT 1 FROM e WHERE e.o_orderkey = o.o_orderkey) AS bad FROM orders o)
+SELECT CASE WHEN bad THEN 'error' ELSE 'data' END AS type, count(*) AS n FROM flags GROUP BY 1""")
+def q_split_write(spark, sf):
+    """K1 + K2: tagged NDJSON written once, split into type=data / type=error folders, read back."""
+    from weft.session import scratch_path
+    from weft.sinks import write_split
+
+    out = scratch_path(spark, f"split-{uuid.uuid4().hex}")
+    write_split(order_checks(spark, sf).df, out)
+    back = spark.read.text(out)
+    return back.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("pretty_json", """
+SELECT c_custkey, true AS same_value, true AS multi_line FROM customer""")
+def q_pretty_json(spark, sf):
+    """K4: pretty text parses back to the same resource."""
+    from weft.sinks import pretty_json
+
+    df = customer_patients(spark, sf).df
+    p = pretty_json(F.col("item"))
+    return df.select("c_custkey", (F.to_json(F.parse_json(p)) == F.to_json(F.parse_json(F.to_json("item")))).alias("same_value"),
+                     F.instr(p, "\n").cast("boolean").alias("multi_line"))
+
+
+@register("store_roundtrip", f"""
+SELECT {PART_URL} AS url, CAST(6 AS BIGINT) AS n_elements FROM part WHERE p_size <= 40""")
+def q_store_roundtrip(spark, sf):
+    """K6 + K7: append a profile version, delete the elements of some definitions
+    (tombstones), read the store back."""
+    from weft.operators.definitions import delete_elements, read_store, store
+    from weft.session import scratch_path
+
+    root = scratch_path(spark, f"store-{uuid.uuid4().hex}")
+    r = _ingested(spark, sf)
+    store(r, root)
+    defs, _ = read_store(spark, root)
+    big = table(spark, sf, "part").where(F.col("p_size") > 40).select(
+        F.concat(F.lit("http://example.org/sd/part-"), F.col("p_partkey")).alias("url"))
+    delete_elements(defs.join(big, "url", "left_semi").select(F.col("id").alias("structureDefinitionId")), root)
+    defs, els = read_store(spark, root)
+    return els.join(defs.select(F.col("id").alias("structureDefinitionId"), "url"), "structureDefinitionId") \
+        .groupBy("url").agg(F.count(F.lit(1)).alias("n_elements"))
