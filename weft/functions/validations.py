@@ -8,6 +8,7 @@ always runs, the others only on non-null, non-blank values.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column
@@ -110,10 +111,20 @@ def lookup_validation(name: str) -> Validation | None:
     return _REGISTRY.get(name.upper())
 
 
-def enable_extended_validations() -> None:
-    """Opt-in: MAX_LENGTH, the one validation the reference defines outside
-    its live registry."""
+@contextmanager
+def extended_validations():
+    """Opt-in for the plans compiled inside the block: MAX_LENGTH, the one
+    validation the reference defines outside its live registry.  Outside the
+    block the name stays "not registered", as in the reference."""
+    had = _REGISTRY.get("MAX_LENGTH")
     register_validation("MAX_LENGTH", max_length)
+    try:
+        yield
+    finally:
+        if had is None:
+            _REGISTRY.pop("MAX_LENGTH", None)
+        else:
+            _REGISTRY["MAX_LENGTH"] = had
 
 
 register_validation("REQUIRED", required)

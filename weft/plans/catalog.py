@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions.validations import enable_extended_validations
+from weft.functions.validations import extended_validations
 from weft.operators.lookup import code_lookup_table
 from weft.operators.map_in import map_in
 from weft.plans.config import FieldMapping, MappingConfig
@@ -253,11 +254,10 @@ def q_concatenate(spark, sf):
 
 
 def _validate(spark, sf, tname, key, col, vtype, details, extended=False):
-    if extended:
-        enable_extended_validations()
     t = table(spark, sf, tname).select(key, col)
     m = cfg("Validate", "Basic", fm(0, col, "code.text", vtype, details))
-    r = map_in(t, m, keep=(key,), keep_original=False)
+    with extended_validations() if extended else nullcontext():
+        r = map_in(t, m, keep=(key,), keep_original=False)  # compiled here
     return r.df.select(key, F.get("errors", 0)["message"].alias("message"))
 
 

@@ -51,8 +51,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Cut lineage of an intermediate used several times: a reliable checkpoint
-    into the shared ``spark.checkpoint.dir`` (survives executor loss, unlike a
-    local checkpoint or cache)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage of an intermediate used several times: write it once as a
+    parquet table under the shared ``spark.checkpoint.dir`` and read it back.
+    One columnar job (``checkpoint()`` would compute twice and serialise rows);
+    the table survives executor loss, unlike a local checkpoint or a cache."""
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"materialized/{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
