@@ -161,3 +161,14 @@ def test_stream_and_sinks(spark, tmp_path):
     assert header == ["resourceType", "id", "status", "code.coding"]
     txt = p2.df.select(pretty_json(F.col("item")).alias("p")).first().p
     assert json.loads(txt)["status"] == "final" and "\n" in txt
+
+
+def test_fanout_padding_and_key_order(spark):
+    from weft.plans.catalog import cfg, fm
+
+    df = spark.createDataFrame([("Ana", "Lima"), (None, "Rocha")], "t string, f string")
+    c = cfg("F", "Patient", fm(0, "t", "name[1].text"), fm(1, "f", "name.family"), fm(2, "f", "meta.profile[1]"))
+    rows = [r.j for r in map_in(df, c).df.select(F.to_json("item").alias("j")).collect()]
+    assert rows[0] == ('{"resourceType":"Patient","name":[{"family":"Lima"},{"text":"Ana","family":"Lima"}],'
+                       '"meta":{"profile":[null,"Lima"]}}')
+    assert rows[1] == '{"resourceType":"Patient","name":[{"family":"Rocha"}],"meta":{"profile":[null,"Rocha"]}}'

@@ -297,7 +297,13 @@ def map_in(
             mapped.setdefault(pb, []).append(cond)
 
     item = tree.build(head=[("resourceType", Val(F.lit(rt), T.StringType()))])
-    errs = F.array_compact(F.array(*[F.col(f"_e{i}") for i, _ in live])) if live else F.array().cast(ERRORS_TYPE)
+    if live:
+        ecols = [F.col(f"_e{i}") for i, _ in live]
+        # clean rows (the common case) skip building and compacting the array
+        any_err = F.coalesce(*ecols).isNotNull() if len(ecols) > 1 else ecols[0].isNotNull()
+        errs = F.when(any_err, F.array_compact(F.array(*ecols))).otherwise(F.array().cast(ERRORS_TYPE))
+    else:
+        errs = F.array().cast(ERRORS_TYPE)
     sys_col = sys_error if sys_error is not None else F.lit(False)
     corrupt = CORRUPT in cols  # rows the reader could not parse (R6 / X4 route mode)
     carry = cols if keep_original else [c for c in cols if c in keep or c == CORRUPT]

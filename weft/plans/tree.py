@@ -136,6 +136,21 @@ def conform(col: Column, src: T.DataType, dst: T.DataType) -> Column:
     return col.cast(dst)
 
 
+def _order_fields(dt: T.DataType, slots: list) -> T.DataType:
+    """Element struct fields in order of first write across the slots, which is
+    the key order the elements get when written one write at a time."""
+    if not isinstance(dt, T.StructType):
+        return dt
+    first: dict[str, int] = {}
+    for slot in slots:
+        if isinstance(slot, Obj):
+            for k, child in slot.children.items():
+                o = min((m.ordinal for m in child.marks), default=1 << 30)
+                first[k] = min(first.get(k, 1 << 30), o)
+    fields = sorted(dt.fields, key=lambda f: first.get(f.name, 1 << 30))
+    return T.StructType(fields)
+
+
 def _combine(vals: list[Val]) -> list[Val]:
     dt = unify([v.dtype for v in vals])
     return [Val(conform(v.col, v.dtype, dt), dt) for v in vals]
@@ -360,7 +375,7 @@ def _build_arr(node: Arr, cutoff) -> Val | None:
         typed = [e for e in elems if e is not None and e.dtype is not None]
         if not typed:
             return None
-        et = unify([e.dtype for e in typed])
+        et = _order_fields(unify([e.dtype for e in typed]), [node.slots[i] for i in sorted(node.slots)])
         cols = []
         for e in elems:
             if e is None or e.dtype is None:
