@@ -172,3 +172,19 @@ def test_fanout_padding_and_key_order(spark):
     assert rows[0] == ('{"resourceType":"Patient","name":[{"family":"Lima"},{"text":"Ana","family":"Lima"}],'
                        '"meta":{"profile":[null,"Lima"]}}')
     assert rows[1] == '{"resourceType":"Patient","name":[{"family":"Rocha"}],"meta":{"profile":[null,"Rocha"]}}'
+
+
+def test_mixed_index_then_filter(spark):
+    import pytest
+
+    from weft.plans.catalog import cfg, fm
+    from weft.plans.tree import CompileError
+
+    df = spark.createDataFrame([("111", "222"), (None, "333")], "cpf string, cns string")
+    c = cfg("M", "Patient", fm(0, "cpf", "identifier[0].value"),
+            fm(1, "cns", "identifier[?system='cns'].value"))
+    rows = [r.j for r in map_in(df, c).df.select(F.to_json("item.identifier").alias("j")).collect()]
+    assert rows == ['[{"value":"111"},{"system":"cns","value":"222"}]', '[{"system":"cns","value":"333"}]']
+    bad = cfg("B", "Patient", fm(0, "cns", "identifier[?system='cns'].value"), fm(1, "cpf", "identifier[1].value"))
+    with pytest.raises(CompileError):
+        map_in(df, bad)

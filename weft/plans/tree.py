@@ -136,19 +136,46 @@ def conform(col: Column, src: T.DataType, dst: T.DataType) -> Column:
     return col.cast(dst)
 
 
-def _order_fields(dt: T.DataType, slots: list) -> T.DataType:
-    """Element struct fields in order of first write across the slots, which is
-    the key order the elements get when written one write at a time."""
+def _key_sequence(obj: Obj, head: str | None = None) -> list[str]:
+    """Keys of one element in the order its writes create them."""
+    keys = sorted(obj.children, key=lambda k: min((m.ordinal for m in obj.children[k].marks), default=1 << 30))
+    return ([head] if head else []) + [k for k in keys if k != head]
+
+
+def _merge_orders(seqs: list[list[str]]) -> list[str]:
+    """One key order consistent with every element's own order (topological
+    merge; ties go to the key seen first)."""
+    first: dict[str, int] = {}
+    after: dict[str, set] = {}
+    indeg: dict[str, int] = {}
+    for seq in seqs:
+        for k in seq:
+            if k not in first:
+                first[k] = len(first)
+                after[k] = set()
+                indeg[k] = 0
+        for x, y in zip(seq, seq[1:]):
+            if y not in after[x]:
+                after[x].add(y)
+                indeg[y] += 1
+    out, ready = [], sorted((k for k in first if indeg[k] == 0), key=first.get)
+    while ready:
+        k = ready.pop(0)
+        out.append(k)
+        for y in after[k]:
+            indeg[y] -= 1
+            if indeg[y] == 0:
+                ready.append(y)
+        ready.sort(key=first.get)
+    return out + [k for k in sorted(first, key=first.get) if k not in out]  # cycles: first-seen
+
+
+def _order_fields(dt: T.DataType, seqs: list[list[str]]) -> T.DataType:
+    """Element struct fields in an order matching how each element is written."""
     if not isinstance(dt, T.StructType):
         return dt
-    first: dict[str, int] = {}
-    for slot in slots:
-        if isinstance(slot, Obj):
-            for k, child in slot.children.items():
-                o = min((m.ordinal for m in child.marks), default=1 << 30)
-                first[k] = min(first.get(k, 1 << 30), o)
-    fields = sorted(dt.fields, key=lambda f: first.get(f.name, 1 << 30))
-    return T.StructType(fields)
+    rank = {k: i for i, k in enumerate(_merge_orders(seqs))}
+    return T.StructType(sorted(dt.fields, key=lambda f: rank.get(f.name, 1 << 30)))
 
 
 def _combine(vals: list[Val]) -> list[Val]:
@@ -227,8 +254,9 @@ class TargetTree:
         if isinstance(seg, Bad):
             return
         if isinstance(seg, Index):
-            if node.mode == "pred":
-                raise CompileError(f"array '{prefix}' mixes index and filter addressing")
+            if node.mode in ("pred", "mixed"):
+                # an index after a filter write may land on a filter-created element: runtime-dependent
+                raise CompileError(f"array '{prefix}' is addressed by index after a filter write")
             node.mode = "index"
             node.marks.append(Mark(ordinal, cond))
             slot = node.slots.get(seg.index)
@@ -248,8 +276,14 @@ class TargetTree:
             return
         if isinstance(seg, Pred):
             if node.mode == "index":
-                raise CompileError(f"array '{prefix}' mixes index and filter addressing")
-            node.mode = "pred"
+                # H3, decidable case: every index write came first and no index
+                # slot carries the filter key, so the filter can only match
+                # elements it created itself, appended after the index slots
+                if any(isinstance(sl, Leaf) or seg.key in sl.children for sl in node.slots.values()):
+                    raise CompileError(f"array '{prefix}': filter [?{seg.key}=...] may match an index slot")
+                node.mode = "mixed"
+            elif node.mode is None:
+                node.mode = "pred"
             node.marks.append(Mark(ordinal, cond))
             for k, v, obj in node.preds:
                 if k == seg.key and v == seg.value:
@@ -263,6 +297,8 @@ class TargetTree:
             return
         # name step on an array: every present element, or a new element 0
         node.marks.append(Mark(ordinal, cond))
+        if node.mode == "mixed":
+            raise CompileError(f"array '{prefix}': a name step over index and filter elements is not supported")
         if node.mode == "pred" or (node.mode is None and node.preds):
             present = [(obj, _any(obj.marks, None)) for _, _, obj in node.preds]
             any_before = _any([m for _, _, o in node.preds for m in o.marks], None)
@@ -356,45 +392,31 @@ def _build_obj(node: Obj, cutoff, always: bool, head: list[tuple[str, Val]] = ()
     return Val(col, st)
 
 
-def _build_arr(node: Arr, cutoff) -> Val | None:
-    present = _any(node.marks, cutoff)
-    if present is None:
-        return None
-    if node.mode == "index" or (node.slots and not node.preds):
-        top = max(node.slots)
-        leafy = any(isinstance(s, Leaf) for s in node.slots.values())
-        elems: list[Val] = []
-        for i in range(top + 1):
-            slot = node.slots.get(i)
-            if slot is None:
-                elems.append(Val(F.lit(None).cast("string"), None) if leafy else None)
-            elif isinstance(slot, Leaf):
-                elems.append(_build(slot, cutoff))
-            else:
-                elems.append(_build_obj(slot, cutoff, always=True))
-        typed = [e for e in elems if e is not None and e.dtype is not None]
-        if not typed:
-            return None
-        et = _order_fields(unify([e.dtype for e in typed]), [node.slots[i] for i in sorted(node.slots)])
-        cols = []
-        for e in elems:
-            if e is None or e.dtype is None:
-                if isinstance(et, T.StructType) and not leafy and not node.pad_null:
-                    cols.append(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in et.fields]))
-                else:
-                    cols.append(F.lit(None).cast(et))
-            else:
-                cols.append(conform(e.col, e.dtype, et))
-        # length = highest slot reached + 1 (lower slots are padding); the
-        # outermost test is the highest slot
-        count = F.lit(0)
-        for i in range(0, top + 1):
-            own = _any(node.slots[i].marks, cutoff) if i in node.slots else None
-            if own is not None:
-                count = F.when(own, F.lit(i + 1)).otherwise(count)
-        arr = F.slice(F.array(*cols), 1, count)
-        return Val(F.when(count > 0, arr), T.ArrayType(et))
-    # predicate mode
+def _index_part(node: Arr, cutoff):
+    """Index slots: (element Vals or None for padding, length Column, leaf slots?)."""
+    top = max(node.slots)
+    leafy = any(isinstance(s, Leaf) for s in node.slots.values())
+    elems: list[Val | None] = []
+    for i in range(top + 1):
+        slot = node.slots.get(i)
+        if slot is None:
+            elems.append(None)
+        elif isinstance(slot, Leaf):
+            elems.append(_build(slot, cutoff))
+        else:
+            elems.append(_build_obj(slot, cutoff, always=True))
+    # length = highest slot reached + 1 (lower slots are padding); the
+    # outermost test is the highest slot
+    count = F.lit(0)
+    for i in range(0, top + 1):
+        own = _any(node.slots[i].marks, cutoff) if i in node.slots else None
+        if own is not None:
+            count = F.when(own, F.lit(i + 1)).otherwise(count)
+    return elems, count, leafy
+
+
+def _pred_part(node: Arr, cutoff) -> list[Val]:
+    """Filter-created elements in order of first write (NULL when not created)."""
     elems = []
     if node.anon is not None:
         a = _build_obj(node.anon, cutoff, always=False)
@@ -409,9 +431,38 @@ def _build_arr(node: Arr, cutoff) -> Val | None:
         e = _build_obj(obj, cutoff, always=False, head=[(k, key_val)])
         if e is not None:
             elems.append(e)
-    if not elems:
+    return elems
+
+
+def _padding(et: T.DataType, leafy: bool, pad_null: bool) -> Column:
+    if isinstance(et, T.StructType) and not leafy and not pad_null:
+        return F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in et.fields])
+    return F.lit(None).cast(et)
+
+
+def _build_arr(node: Arr, cutoff) -> Val | None:
+    present = _any(node.marks, cutoff)
+    if present is None:
+        return None
+    idx = _index_part(node, cutoff) if node.slots else None
+    preds = _pred_part(node, cutoff) if (node.preds or node.anon is not None) else []
+    typed = [e for e in (idx[0] if idx else []) if e is not None and e.dtype is not None] + preds
+    if not typed:
         return None
-    et = unify([e.dtype for e in elems])
-    cols = [conform(e.col, e.dtype, et) for e in elems]
-    arr = F.filter(F.array(*cols), lambda x: x.isNotNull())
+    et = unify([e.dtype for e in typed])
+    seqs = [_key_sequence(node.slots[i]) for i in sorted(node.slots) if isinstance(node.slots[i], Obj)]
+    if node.anon is not None:
+        seqs.append(_key_sequence(node.anon))
+    seqs += [_key_sequence(obj, k) for k, _, obj in node.preds]
+    et = _order_fields(et, seqs)
+    parts = []
+    if idx is not None:
+        elems, count, leafy = idx
+        cols = [_padding(et, leafy, node.pad_null) if e is None or e.dtype is None else conform(e.col, e.dtype, et)
+                for e in elems]
+        parts.append(F.when(count > 0, F.slice(F.array(*cols), 1, count)).otherwise(F.array().cast(T.ArrayType(et))))
+    if preds:
+        pcols = [conform(e.col, e.dtype, et) for e in preds]
+        parts.append(F.filter(F.array(*pcols), lambda x: x.isNotNull()))
+    arr = parts[0] if len(parts) == 1 else F.concat(*parts)
     return Val(F.when(F.size(arr) > 0, arr), T.ArrayType(et))
