@@ -50,3 +50,32 @@ def test_extra_patient_rows(spark, tmp_path):
     assert "CPF deve ter 11 dígitos" in msgs3
     # 1/4/2025 fails the two-digit regex; blank gender would become 'unknown'
     assert any(e.fieldTargetPath == "birthDate" for e in out[4].errors)
+
+
+def test_fixture_edge_rows(spark, tmp_path):
+    """FIXTURES §1 additions: blank gender (N1 → 'unknown'), blank id, short row,
+    blank line, 11-digit cpf with and without a leading zero, 1/4/2025."""
+    p = tmp_path / "edge.csv"
+    p.write_text("id_paciente,nome_completo,data_nascimento,genero,cpf\n"
+                 "5,Bia Costa,01/02/2000,,12345678901\n"
+                 "\n"
+                 ",Caio Reis,02/03/2001,M,\n"
+                 "7,Davi Melo\n"
+                 "8,Eva Nunes,1/4/2025,F,01234567890\n")
+    df = read_csv_records(spark, str(p))
+    rows = map_in(df, CSV_MAPPING, variant_col="record").df.select(
+        F.to_json("item").alias("j"), "errors", "original").collect()
+    assert len(rows) == 4  # the blank line is skipped
+    by_name = {json.loads(r.j)["name"][0]["text"]: r for r in rows}
+    bia = by_name["Bia Costa"]
+    assert bia.errors == []
+    item = json.loads(bia.j)
+    assert item["gender"] == "unknown" and item["identifier"] == [{"value": 12345678901}]
+    assert item["birthDate"] == "2000-02-01"
+    caio = by_name["Caio Reis"]
+    assert [(e.fieldTargetPath, e.message) for e in caio.errors] == [
+        ("id", "Value is required but was missing or empty.")]
+    davi = by_name["Davi Melo"]  # short row: missing cells are missing values
+    assert davi.errors == [] and json.loads(davi.j)["gender"] == "unknown"
+    eva = by_name["Eva Nunes"]
+    assert [e.message for e in eva.errors] == ["Formato esperado DD/MM/YYYY", "CPF deve ter 11 dígitos"]
