@@ -26,7 +26,6 @@ from pyspark.sql.window import Window
 from weft.functions.coerce import js_string
 from weft.functions.paths import Val
 from weft.plans.config import latest_definitions
-from weft.session import materialize
 
 import pyspark.sql.types as T
 
@@ -90,11 +89,11 @@ def ingest(docs: DataFrame, doc_col: str = "doc", processed_at: Column | None =
         .when(url.isNull() | (url == ""), F.lit("Document is not a valid StructureDefinition (missing URL)."))
         .when(n_el == 0, F.concat(F.lit("StructureDefinition "), url, F.lit(" has no snapshot or differential elements.")))
     )
-    # headers, elements and rejects all derive from the checked documents:
-    # parse and check them once (reliable checkpoint in spark.checkpoint.dir)
-    checked = materialize(step.select(
+    # headers, elements and rejects each re-read the documents: measured, a
+    # second parse is cheaper than writing the VARIANT documents out and back
+    checked = step.select(
         "doc_pos", sdc.alias("sd"), url.alias("url"), el_arr.alias("els"), reason.alias("reason"), now.alias("processedAt"),
-    ))
+    )
     ok = checked.where(F.col("reason").isNull())
     # the last document of a batch wins for a url, as sequential upserts would
     w_url = Window.partitionBy("url").orderBy(F.col("doc_pos").desc())
