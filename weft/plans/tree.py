@@ -455,14 +455,28 @@ def _build_arr(node: Arr, cutoff) -> Val | None:
         seqs.append(_key_sequence(node.anon))
     seqs += [_key_sequence(obj, k) for k, _, obj in node.preds]
     et = _order_fields(et, seqs)
+    # presence is known from the write conditions (OR of cheap tests), so the
+    # array expression itself is evaluated once, never re-tested for emptiness
     parts = []
     if idx is not None:
         elems, count, leafy = idx
         cols = [_padding(et, leafy, node.pad_null) if e is None or e.dtype is None else conform(e.col, e.dtype, et)
                 for e in elems]
-        parts.append(F.when(count > 0, F.slice(F.array(*cols), 1, count)).otherwise(F.array().cast(T.ArrayType(et))))
+        idx_present = _any([m for sl in node.slots.values() for m in sl.marks], cutoff)
+        sliced = F.slice(F.array(*cols), 1, count)
+        parts.append((idx_present, sliced))
     if preds:
         pcols = [conform(e.col, e.dtype, et) for e in preds]
-        parts.append(F.filter(F.array(*pcols), lambda x: x.isNotNull()))
-    arr = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return Val(F.when(F.size(arr) > 0, arr), T.ArrayType(et))
+        pred_objs = ([node.anon] if node.anon is not None else []) + [o for _, _, o in node.preds]
+        pred_present = _any([m for o in pred_objs for m in o.marks], cutoff)
+        parts.append((pred_present, F.array_compact(F.array(*pcols))))
+    parts = [(c, a) for c, a in parts if c is not None]
+    if not parts:
+        return None
+    if len(parts) == 1:
+        cond, arr = parts[0]
+    else:
+        empty = F.array().cast(T.ArrayType(et))
+        cond = parts[0][0] | parts[1][0]
+        arr = F.concat(*[F.when(c, a).otherwise(empty) for c, a in parts])
+    return Val(F.when(cond, arr), T.ArrayType(et))
