@@ -188,3 +188,31 @@ def test_mixed_index_then_filter(spark):
     bad = cfg("B", "Patient", fm(0, "cns", "identifier[?system='cns'].value"), fm(1, "cpf", "identifier[1].value"))
     with pytest.raises(CompileError):
         map_in(df, bad)
+
+
+def test_push_with_injected_sender(spark):
+    from weft.plans.catalog import cfg, fm
+    from weft.sinks import push, push_plan
+
+    df = spark.createDataFrame([("1", "Ana"), (None, "Bo")], "id string, n string")
+    plan = push_plan(map_in(df, cfg("P", "Patient", fm(0, "id", "id"), fm(1, "n", "name[0].text"))).df,
+                     "Patient", "http://fhir.test", "PUT")
+
+    def sender(method, url, body):  # stands in for an HTTP client
+        return (200 if method == "PUT" else 201), None
+
+    out = sorted((r.method, r.url, r.status) for r in push(plan, sender).collect())
+    assert out == [("POST", "http://fhir.test/Patient", 201), ("PUT", "http://fhir.test/Patient/1", 200)]
+
+
+def test_failfast_reader(spark, tmp_path):
+    import pytest
+
+    from weft.sources.records import read_json_records
+
+    p = tmp_path / "bad.json"
+    p.write_text('{"a": 1}\n{"a": \n')
+    with pytest.raises(Exception):
+        read_json_records(spark, str(p), on_malformed="fail").collect()
+    rows = read_json_records(spark, str(p)).collect()  # (Spark refuses queries of the corrupt column alone)
+    assert sum(r._corrupt_record is not None for r in rows) == 1

@@ -10,7 +10,6 @@ replaces its own output instead of duplicating it (idempotent sink).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.operators.map_in import map_in
