@@ -216,3 +216,13 @@ def test_failfast_reader(spark, tmp_path):
         read_json_records(spark, str(p), on_malformed="fail").collect()
     rows = read_json_records(spark, str(p)).collect()  # (Spark refuses queries of the corrupt column alone)
     assert sum(r._corrupt_record is not None for r in rows) == 1
+
+
+def test_default_value_explicit_null(spark):
+    from weft.plans.catalog import cfg, fm
+
+    df = spark.createDataFrame([("a",), (None,)], "s string")
+    c = cfg("N", "Patient", fm(0, "s", "meta.status", None, None, "DEFAULT_VALUE", {"value": None}))
+    rows = sorted(r.j for r in map_in(df, c).df.select(F.to_json("item").alias("j")).collect())
+    assert rows == ['{"resourceType":"Patient","meta":{"status":"a"}}',
+                    '{"resourceType":"Patient","meta":{"status":null}}']

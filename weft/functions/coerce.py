@@ -232,10 +232,19 @@ def stored_value_column(value: Column, fhir_type: Column) -> Column:
     )
 
 
+def is_missing(v: Val) -> Column:
+    """What a path read treats as missing: SQL NULL, and a JSON null inside a VARIANT."""
+    if v.dtype is None:
+        return F.lit(True)
+    if isinstance(v.dtype, T.VariantType):
+        return v.col.isNull() | F.coalesce(F.is_variant_null(v.col), F.lit(False))
+    return v.col.isNull()
+
+
 def literal_val(value: Any) -> Val:
     """A Python JSON value as a typed literal Val (scalars typed, objects as VARIANT)."""
-    if value is None:
-        return Val(F.lit(None).cast("string"), T.StringType())
+    if value is None:  # an explicit JSON null is written as null (the key stays)
+        return Val(F.parse_json(F.lit("null")), T.VariantType())
     if isinstance(value, bool):
         return Val(F.lit(value), T.BooleanType())
     if isinstance(value, int):

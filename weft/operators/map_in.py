@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.functions.coerce import is_blank, is_undef, js_string, json_text, literal_val, parse_stored
+from weft.functions.coerce import is_blank, is_missing, is_undef, js_string, json_text, literal_val, parse_stored
 from weft.functions.paths import Val, base_path, get_path, get_value, parse_path
 from weft.functions.transforms import Context, lookup_transformation
 from weft.functions.validations import lookup_validation
@@ -250,7 +250,7 @@ def map_in(
     for i, m in live:
         if i not in finals:
             if fired_static.get(i):
-                fin = Val(F.lit(None).cast("string"), T.StringType())
+                fin = literal_val(None)
             else:
                 continue
         else:
@@ -272,7 +272,7 @@ def map_in(
             read = get_path(before, parse_path(rel))
             present_terms = list(mapped.get(pb, []))
             if not read.undefined:
-                present_terms.append(read.col.isNotNull())
+                present_terms.append(~is_missing(read))
             present = F.lit(False)
             for t in present_terms:
                 present = present | F.coalesce(t, F.lit(False))
@@ -329,7 +329,7 @@ def map_in(
                 empty_arr = (F.size(v.col) == 0) if isinstance(v.dtype, T.ArrayType) else F.lit(False)
                 if isinstance(v.dtype, T.VariantType):
                     empty_arr = F.coalesce(F.to_json(v.col) == "[]", F.lit(False))
-                missing = v.col.isNull() | empty_arr
+                missing = is_missing(v) | empty_arr
                 shown = F.when(v.col.isNull(), F.lit('"undefined"')).otherwise(F.lit('"[]"'))
             b = base_path(rel)
             suppress = F.lit(False)
