@@ -442,9 +442,6 @@ def q_set_fanout(spark, sf):
                        F.get(n, 1)["text"].alias("text1"), F.get(n, 1)["family"].alias("family1"))
 
 
-CONTAINER_PROFILE = None  # built lazily (needs the config classes only)
-
-
 def _container_profile():
     from weft.plans.config import Definition, Element, profile_from_definition
 
@@ -475,8 +472,6 @@ def q_set_container(spark, sf):
 
 
 def _patients_as_resources(spark, sf):
-    from weft.operators.map_out import map_out  # noqa: F401
-
     return customer_patients(spark, sf).df.select("c_custkey", "item.*")
 
 
