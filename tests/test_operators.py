@@ -226,3 +226,26 @@ def test_default_value_explicit_null(spark):
     rows = sorted(r.j for r in map_in(df, c).df.select(F.to_json("item").alias("j")).collect())
     assert rows == ['{"resourceType":"Patient","meta":{"status":"a"}}',
                     '{"resourceType":"Patient","meta":{"status":null}}']
+
+
+def test_auto_fill_below_a_whole_value(spark):
+    """A source array mapped as a whole, then a profile fixed value below it
+    fans out over every element (row-dependent length); an object value is extended."""
+    from weft.plans.catalog import cfg, fm
+
+    d = Definition("http://x/sd2", "Patient", (
+        Element("Patient", 0, "*"),
+        Element("Patient.telecom", 0, "*", ordinal=1),
+        Element("Patient.telecom.system", 0, "1", fixed_value="phone", fixed_type="code", ordinal=2),
+        Element("Patient.maritalStatus.text", 0, "1", default_value="unknown", default_type="string", ordinal=3),
+    ))
+    df = spark.createDataFrame(
+        [([("1",), ("2",)], ("M",)), ([], None), (None, ("S",))],
+        "phones array<struct<value:string>>, ms struct<coding:string>")
+    c = cfg("H", "Patient", fm(0, "phones", "telecom"), fm(1, "ms", "maritalStatus"), url="http://x/sd2")
+    rows = [json.loads(r.j) for r in map_in(df, c, profile_from_definition(d)).df
+            .select(F.to_json("item").alias("j")).collect()]
+    assert rows[0]["telecom"] == [{"value": "1", "system": "phone"}, {"value": "2", "system": "phone"}]
+    assert rows[0]["maritalStatus"] == {"coding": "M", "text": "unknown"}
+    assert rows[1]["telecom"] == [{"system": "phone"}] and rows[1]["maritalStatus"] == {"text": "unknown"}
+    assert rows[2]["telecom"] == [{"system": "phone"}] and rows[2]["maritalStatus"] == {"coding": "S", "text": "unknown"}

@@ -82,7 +82,20 @@ class Arr:
     pad_null: bool = False  # plain nested set leaves holes (JSON null), the FHIR writer pads {}
 
 
-Node = Leaf | Obj | Arr
+@dataclass
+class Hybrid:
+    """A key written first as a whole value and then below it (e.g. a source array
+    mapped to ``telecom``, then ``telecom.system`` auto-filled).  Where the value
+    was written, the later writes patch it; where it was not, they build the
+    container as usual (``fresh``)."""
+
+    leaf: Leaf
+    fresh: Obj | Arr
+    patches: list = field(default_factory=list)  # (ordinal, cond, segments, value)
+    marks: list[Mark] = field(default_factory=list)
+
+
+Node = Leaf | Obj | Arr | Hybrid
 
 
 # ---------------------------------------------------------------- type unification
@@ -239,11 +252,23 @@ class TargetTree:
             child.writes.append((ordinal, cond, value))
             child.marks.append(Mark(ordinal, cond))
             return
+        if isinstance(child, Leaf):  # P8: writes below a value written earlier
+            fresh = Arr(pad_null=not self.heuristics) if self._as_array(full, key, rest[0]) else Obj()
+            child = node.children[key] = Hybrid(child, fresh, marks=list(child.marks))
+        if isinstance(child, Hybrid):
+            if any(o > ordinal for o, _, _ in child.leaf.writes):
+                raise CompileError(f"path '{full}' is written as a value after writes below it")
+            child.patches.append((ordinal, cond, rest, value))
+            child.marks.append(Mark(ordinal, cond))
+            target = child.fresh
+            if isinstance(target, Obj):
+                self._set_obj(target, rest, value, cond, ordinal, full)
+            else:
+                self._set_arr(target, rest, value, cond, ordinal, full)
+            return
         if child is None:
             child = Arr(pad_null=not self.heuristics) if self._as_array(full, key, rest[0]) else Obj()
             node.children[key] = child
-        if isinstance(child, Leaf):
-            raise CompileError(f"path '{full}' is written both as a value and as a parent")
         if isinstance(child, Obj):
             self._set_obj(child, rest, value, cond, ordinal, full)
         else:
@@ -354,7 +379,67 @@ class TargetTree:
         return _any(self.root.marks, cutoff)
 
 
+def _chain(segs, value: Val, cond: Column) -> Val:
+    """A new nested struct holding ``value`` at the name path ``segs``."""
+    seg = segs[0]
+    if not isinstance(seg, (Name, Index)):
+        raise CompileError("only name steps may follow a value written as a whole")
+    name = seg.name if isinstance(seg, Name) else str(seg.index)
+    inner = Val(F.when(cond, value.col), value.dtype) if len(segs) == 1 else _chain(segs[1:], value, cond)
+    return Val(F.when(cond, F.struct(inner.col.alias(name))), T.StructType([T.StructField(name, inner.dtype)]))
+
+
+def _patch(v: Val, segs, value: Val, cond: Column) -> Val:
+    """``setValue`` applied to an existing value column (P8 below a value, P11 over
+    an array of row-dependent length)."""
+    dt = v.dtype
+    seg, rest = segs[0], segs[1:]
+    if isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StructType) and isinstance(seg, Name):
+        et = dt.elementType
+        probe = _patch(Val(F.lit(None).cast(et), et), segs, value, cond)  # element type after the write
+        new_et = probe.dtype
+        empty_case = conform(_chain(segs, value, F.lit(True)).col, _chain(segs, value, F.lit(True)).dtype, new_et)
+        each = F.transform(v.col, lambda x: conform(_patch(Val(x, et), segs, value, cond).col, probe.dtype, new_et))
+        col = F.when(cond & (F.size(v.col) == 0), F.array(empty_case)).otherwise(each)
+        return Val(col, T.ArrayType(new_et))
+    if isinstance(dt, T.StructType) and isinstance(seg, (Name, Index)):
+        name = seg.name if isinstance(seg, Name) else str(seg.index)
+        names = dt.fieldNames()
+        if name in names:
+            cur = Val(v.col.getField(name), dt[name].dataType)
+            if not rest:
+                a, b = _combine([cur, value])
+                new = Val(F.when(cond, b.col).otherwise(a.col), a.dtype)
+            else:
+                new = _patch(cur, rest, value, cond)
+        else:
+            new = Val(F.when(cond, value.col), value.dtype) if not rest else _chain(rest, value, cond)
+        fields = [T.StructField(f.name, new.dtype if f.name == name else f.dataType) for f in dt.fields]
+        if name not in names:
+            fields.append(T.StructField(name, new.dtype))
+        fresh = _chain(segs, value, cond)  # a null struct value gets a new object
+        st = T.StructType(fields)
+        patched = v.col.withField(name, new.col)
+        return Val(F.when(v.col.isNull(), conform(fresh.col, fresh.dtype, st)).otherwise(patched), st)
+    raise CompileError("a value written as a whole can only be extended when it is an object or array of objects")
+
+
 def _build(node: Node, cutoff: int | None, always: bool = False) -> Val | None:
+    if isinstance(node, Hybrid):
+        leaf = _build(node.leaf, cutoff)
+        fresh = _build(node.fresh, cutoff)
+        if leaf is None:
+            return fresh
+        patched = leaf
+        for o, c, segs, value in node.patches:
+            if cutoff is None or o < cutoff:
+                patched = _patch(patched, segs, value, c)
+        if fresh is None:
+            return patched
+        dt = unify([patched.dtype, fresh.dtype])
+        col = F.when(leaf.col.isNotNull(), conform(patched.col, patched.dtype, dt)).otherwise(
+            conform(fresh.col, fresh.dtype, dt))
+        return Val(col, dt)
     if isinstance(node, Leaf):
         ws = [(o, c, v) for o, c, v in node.writes if cutoff is None or o < cutoff]
         if not ws:
