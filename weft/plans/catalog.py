@@ -1102,3 +1102,26 @@ def q_store_roundtrip(spark, sf):
     defs, els = read_store(spark, root)
     return els.join(defs.select(F.col("id").alias("structureDefinitionId"), "url"), "structureDefinitionId") \
         .groupBy("url").agg(F.count(F.lit(1)).alias("n_elements"))
+
+
+@register("auto_fill_fanout", """
+SELECT o_orderkey,
+  CASE WHEN o_orderstatus = 'P' THEN '[{"system":"phone"}]'
+       ELSE '[{"value":' || CAST(to_json(o_orderpriority) AS VARCHAR) || ',"system":"phone"},{"value":'
+            || CAST(to_json(o_orderstatus) AS VARCHAR) || ',"system":"phone"}]' END AS telecom_json
+FROM orders""")
+def q_auto_fill_fanout(spark, sf):
+    """R1 + P11 + H5: a per-row array mapped as a whole, then a profile fixed value
+    fanned out over every element (row-dependent length; empty → one new element)."""
+    from weft.plans.config import Definition, Element, profile_from_definition
+
+    vals = F.array(F.struct(F.col("o_orderpriority").alias("value")), F.struct(F.col("o_orderstatus").alias("value")))
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "P", F.array().cast("array<struct<value:string>>"))
+        .otherwise(vals).alias("phones"))
+    d = Definition("http://example.org/sd/contact", "Patient", (
+        Element("Patient", 0, "*"), Element("Patient.telecom", 0, "*", ordinal=1),
+        Element("Patient.telecom.system", 0, "1", fixed_value="phone", fixed_type="code", ordinal=2)))
+    m = cfg("Fanout", "Patient", fm(0, "phones", "telecom"), url="http://example.org/sd/contact")
+    r = map_in(o, m, profile_from_definition(d), keep=("o_orderkey",), keep_original=False)
+    return r.df.select("o_orderkey", F.to_json("item.telecom").alias("telecom_json"))
