@@ -249,3 +249,12 @@ def test_auto_fill_below_a_whole_value(spark):
     assert rows[0]["maritalStatus"] == {"coding": "M", "text": "unknown"}
     assert rows[1]["telecom"] == [{"system": "phone"}] and rows[1]["maritalStatus"] == {"text": "unknown"}
     assert rows[2]["telecom"] == [{"system": "phone"}] and rows[2]["maritalStatus"] == {"coding": "S", "text": "unknown"}
+
+
+def test_scalar_replaced_by_container(spark):
+    from weft.plans.catalog import cfg, fm
+
+    df = spark.createDataFrame([("x", "t1"), ("y", None), (None, "t3")], "c string, t string")
+    c = cfg("S", "Patient", fm(0, "c", "code"), fm(1, "t", "code.text"))
+    rows = [json.loads(r.j)["code"] for r in map_in(df, c).df.select(F.to_json("item").alias("j")).collect()]
+    assert rows == [{"text": "t1"}, "y", {"text": "t3"}]

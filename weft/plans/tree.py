@@ -430,10 +430,20 @@ def _build(node: Node, cutoff: int | None, always: bool = False) -> Val | None:
         fresh = _build(node.fresh, cutoff)
         if leaf is None:
             return fresh
+        active = [(o, c, segs, value) for o, c, segs, value in node.patches if cutoff is None or o < cutoff]
+        if not isinstance(leaf.dtype, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
+            # A scalar is replaced by a new container at the first write below
+            # it, which the later writes fill — exactly the fresh container
+            if fresh is None or not active:
+                return leaf
+            fired = active[0][1]
+            for _, c, _, _ in active[1:]:
+                fired = fired | c
+            a, b = _combine([leaf, fresh])
+            return Val(F.when(F.coalesce(fired, F.lit(False)), b.col).otherwise(a.col), a.dtype)
         patched = leaf
-        for o, c, segs, value in node.patches:
-            if cutoff is None or o < cutoff:
-                patched = _patch(patched, segs, value, c)
+        for o, c, segs, value in active:
+            patched = _patch(patched, segs, value, c)
         if fresh is None:
             return patched
         dt = unify([patched.dtype, fresh.dtype])
