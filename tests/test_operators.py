@@ -258,3 +258,27 @@ def test_scalar_replaced_by_container(spark):
     c = cfg("S", "Patient", fm(0, "c", "code"), fm(1, "t", "code.text"))
     rows = [json.loads(r.j)["code"] for r in map_in(df, c).df.select(F.to_json("item").alias("j")).collect()]
     assert rows == [{"text": "t1"}, "y", {"text": "t3"}]
+
+
+def test_auto_fill_below_a_whole_variant_value(spark):
+    from weft.plans.catalog import cfg, fm
+
+    d = Definition("http://x/sd3", "Patient", (
+        Element("Patient", 0, "*"),
+        Element("Patient.telecom", 0, "*", ordinal=1),
+        Element("Patient.telecom.system", 0, "1", fixed_value="phone", fixed_type="code", ordinal=2),
+        Element("Patient.maritalStatus.text", 0, "1", default_value="unknown", default_type="string", ordinal=3),
+    ))
+    recs = inline_records(spark, [
+        {"k": 1, "phones": [{"value": "1"}, {"value": "2"}], "ms": {"coding": "M"}},
+        {"k": 2, "phones": [], "ms": "S"},
+        {"k": 3}])
+    c = cfg("HV", "Patient", fm(0, "k", "id"), fm(1, "phones", "telecom"), fm(2, "ms", "maritalStatus"),
+            url="http://x/sd3")
+    rows = {json.loads(r.j)["id"]: json.loads(r.j) for r in map_in(recs, c, profile_from_definition(d), variant_col="record")
+            .df.select(F.to_json("item").alias("j")).collect()}
+    assert rows[1]["telecom"] == [{"system": "phone", "value": "1"}, {"system": "phone", "value": "2"}]
+    assert rows[1]["maritalStatus"] == {"coding": "M", "text": "unknown"}
+    assert rows[2]["telecom"] == [{"system": "phone"}]
+    assert rows[2]["maritalStatus"] == {"text": "unknown"}  # a scalar is replaced by the new object
+    assert rows[3]["telecom"] == [{"system": "phone"}] and rows[3]["maritalStatus"] == {"text": "unknown"}

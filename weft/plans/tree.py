@@ -389,6 +389,42 @@ def _chain(segs, value: Val, cond: Column) -> Val:
     return Val(F.when(cond, F.struct(inner.col.alias(name))), T.StructType([T.StructField(name, inner.dtype)]))
 
 
+def _to_variant(v: Val) -> Column:
+    if isinstance(v.dtype, T.VariantType):
+        return v.col
+    if isinstance(v.dtype, (T.StructType, T.ArrayType, T.MapType)):
+        return F.parse_json(F.to_json(v.col))
+    return v.col.cast(T.VariantType())
+
+
+def _vset(x: Column, segs, value: Column) -> Column:
+    """``setValue`` on a VARIANT per row: into an object, into every object of an
+    array (a new element when empty), or a new object in place of a scalar."""
+    seg = segs[0]
+    if not isinstance(seg, (Name, Index)):
+        raise CompileError("only name steps may follow a value written as a whole")
+    name = F.lit(seg.name if isinstance(seg, Name) else str(seg.index))
+
+    def into_object(o: Column) -> Column:
+        m = F.try_variant_get(o, "$", "map<string,variant>")
+        child = value if len(segs) == 1 else _vset(F.try_element_at(m, name), segs[1:], value)
+        kept = F.map_filter(m, lambda k, _: k != name)
+        return F.to_variant_object(F.map_concat(kept, F.create_map(name, child)))
+
+    def fresh() -> Column:
+        child = value if len(segs) == 1 else _vset(F.lit(None).cast(T.VariantType()), segs[1:], value)
+        return F.to_variant_object(F.create_map(name, child))
+
+    kind = F.schema_of_variant(x)
+    arr = F.try_variant_get(x, "$", "array<variant>")
+    each = F.transform(arr, lambda e: F.when(F.schema_of_variant(e).startswith("OBJECT"), into_object(e)).otherwise(e))
+    return (F.when(x.isNull(), fresh())
+            .when(kind.startswith("OBJECT"), into_object(x))
+            .when(kind.startswith("ARRAY"), F.when(F.size(arr) == 0, F.to_variant_object(F.array(fresh())))
+                  .otherwise(F.to_variant_object(each)))
+            .otherwise(fresh()))
+
+
 def _patch(v: Val, segs, value: Val, cond: Column) -> Val:
     """``setValue`` applied to an existing value column (P8 below a value, P11 over
     an array of row-dependent length)."""
@@ -421,6 +457,8 @@ def _patch(v: Val, segs, value: Val, cond: Column) -> Val:
         st = T.StructType(fields)
         patched = v.col.withField(name, new.col)
         return Val(F.when(v.col.isNull(), conform(fresh.col, fresh.dtype, st)).otherwise(patched), st)
+    if isinstance(dt, T.VariantType):
+        return Val(F.when(cond, _vset(v.col, segs, _to_variant(value))).otherwise(v.col), dt)
     raise CompileError("a value written as a whole can only be extended when it is an object or array of objects")
 
 
