@@ -123,9 +123,9 @@ def map_in(
     s1 = []
     raw: dict[int, Val] = {}
     live = [(i, m) for i, m in enumerate(cfg.mappings) if m.target_path]  # F7
-    def bind(name: str, v: Val) -> Val:
+    def bind(name: str, v: Val, probe: bool = True) -> Val:
         s1.append(v.col.alias(name))
-        if isinstance(v.dtype, T.VariantType):  # the type probe and the text are bound once too
+        if probe and isinstance(v.dtype, T.VariantType):  # the type probe and the text are bound once too
             s1.append(F.schema_of_variant(F.col(name)).alias(f"{name}_k"))
             kinded = Val(F.col(name), v.dtype, F.col(f"{name}_k"))
             s1.append(js_string(kinded).alias(f"{name}_s"))
@@ -134,7 +134,9 @@ def map_in(
 
     for i, m in live:
         v = root if m.source_path == ROOT_PATH else get_value(root, m.source_path or "")
-        raw[i] = v if v.undefined else bind(f"_v{i}", v)
+        # a plain copy (no validation or transformation) never needs the value's text
+        used = bool(m.validation_type or m.transformation_type)
+        raw[i] = v if v.undefined else bind(f"_v{i}", v, probe=used)
     # paths other mappings read from the record (CONCATENATE) are bound as well
     bound: dict[str, Val] = {}
     for i, m in live:
