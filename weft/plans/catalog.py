@@ -1125,3 +1125,17 @@ def q_auto_fill_fanout(spark, sf):
     m = cfg("Fanout", "Patient", fm(0, "phones", "telecom"), url="http://example.org/sd/contact")
     r = map_in(o, m, profile_from_definition(d), keep=("o_orderkey",), keep_original=False)
     return r.df.select("o_orderkey", F.to_json("item.telecom").alias("telecom_json"))
+
+
+@register("set_replace_scalar", """
+SELECT c_custkey,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN CAST(to_json(c_mktsegment) AS VARCHAR)
+       ELSE '{"text":' || CAST(to_json(c_name) AS VARCHAR) || '}' END AS code_json
+FROM customer""")
+def q_set_replace_scalar(spark, sf):
+    """A scalar written first is replaced by the object a later write below it creates."""
+    c = table(spark, sf, "customer").select(
+        "c_custkey", "c_mktsegment", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_name")).alias("nm"))
+    m = cfg("Replace", "Observation", fm(0, "c_mktsegment", "code"), fm(1, "nm", "code.text"))
+    r = map_in(c, m, keep=("c_custkey",), keep_original=False)
+    return r.df.select("c_custkey", F.to_json("item.code").alias("code_json"))
