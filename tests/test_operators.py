@@ -282,3 +282,12 @@ def test_auto_fill_below_a_whole_variant_value(spark):
     assert rows[2]["telecom"] == [{"system": "phone"}]
     assert rows[2]["maritalStatus"] == {"text": "unknown"}  # a scalar is replaced by the new object
     assert rows[3]["telecom"] == [{"system": "phone"}] and rows[3]["maritalStatus"] == {"text": "unknown"}
+
+
+def test_whole_value_after_writes_below(spark):
+    from weft.plans.catalog import cfg, fm
+
+    df = spark.createDataFrame([("t1", "x"), ("t2", None)], "t string, c string")
+    c = cfg("L", "Patient", fm(0, "t", "code.text"), fm(1, "c", "code"))
+    rows = [json.loads(r.j)["code"] for r in map_in(df, c).df.select(F.to_json("item").alias("j")).collect()]
+    assert rows == ["x", {"text": "t2"}]

@@ -93,6 +93,7 @@ class Hybrid:
     fresh: Obj | Arr
     patches: list = field(default_factory=list)  # (ordinal, cond, segments, value)
     marks: list[Mark] = field(default_factory=list)
+    late: Leaf = field(default_factory=Leaf)  # whole-value writes after the writes below
 
 
 Node = Leaf | Obj | Arr | Hybrid
@@ -247,8 +248,14 @@ class TargetTree:
         if not rest:
             if child is None:
                 child = node.children[key] = Leaf()
-            if not isinstance(child, Leaf):
-                raise CompileError(f"path '{full}' is written both as a value and as a parent")
+            if isinstance(child, (Obj, Arr)):  # a whole value written after writes below it
+                child = node.children[key] = Hybrid(Leaf(), child, marks=list(child.marks))
+            if isinstance(child, Hybrid):
+                # it replaces whatever was built before it when it fires
+                child.late.writes.append((ordinal, cond, value))
+                child.late.marks.append(Mark(ordinal, cond))
+                child.marks.append(Mark(ordinal, cond))
+                return
             child.writes.append((ordinal, cond, value))
             child.marks.append(Mark(ordinal, cond))
             return
@@ -256,8 +263,8 @@ class TargetTree:
             fresh = Arr(pad_null=not self.heuristics) if self._as_array(full, key, rest[0]) else Obj()
             child = node.children[key] = Hybrid(child, fresh, marks=list(child.marks))
         if isinstance(child, Hybrid):
-            if any(o > ordinal for o, _, _ in child.leaf.writes):
-                raise CompileError(f"path '{full}' is written as a value after writes below it")
+            if child.late.writes:
+                raise CompileError(f"path '{full}' is written below a value that replaced earlier writes")
             child.patches.append((ordinal, cond, rest, value))
             child.marks.append(Mark(ordinal, cond))
             target = child.fresh
@@ -464,30 +471,46 @@ def _patch(v: Val, segs, value: Val, cond: Column) -> Val:
 
 def _build(node: Node, cutoff: int | None, always: bool = False) -> Val | None:
     if isinstance(node, Hybrid):
-        leaf = _build(node.leaf, cutoff)
-        fresh = _build(node.fresh, cutoff)
-        if leaf is None:
-            return fresh
-        active = [(o, c, segs, value) for o, c, segs, value in node.patches if cutoff is None or o < cutoff]
-        if not isinstance(leaf.dtype, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
-            # A scalar is replaced by a new container at the first write below
-            # it, which the later writes fill — exactly the fresh container
-            if fresh is None or not active:
-                return leaf
-            fired = active[0][1]
-            for _, c, _, _ in active[1:]:
-                fired = fired | c
-            a, b = _combine([leaf, fresh])
-            return Val(F.when(F.coalesce(fired, F.lit(False)), b.col).otherwise(a.col), a.dtype)
-        patched = leaf
-        for o, c, segs, value in active:
-            patched = _patch(patched, segs, value, c)
-        if fresh is None:
-            return patched
-        dt = unify([patched.dtype, fresh.dtype])
-        col = F.when(leaf.col.isNotNull(), conform(patched.col, patched.dtype, dt)).otherwise(
-            conform(fresh.col, fresh.dtype, dt))
-        return Val(col, dt)
+        base = _build_hybrid(node, cutoff)
+        late = _build(node.late, cutoff)
+        if late is None:
+            return base
+        if base is None:
+            return late
+        fired = _any(node.late.marks, cutoff)
+        a, b = _combine([late, base])
+        return Val(F.when(F.coalesce(fired, F.lit(False)), a.col).otherwise(b.col), a.dtype)
+    return _build_plain(node, cutoff, always)
+
+
+def _build_hybrid(node: Hybrid, cutoff: int | None) -> Val | None:
+    leaf = _build(node.leaf, cutoff)
+    fresh = _build(node.fresh, cutoff)
+    if leaf is None:
+        return fresh
+    active = [(o, c, segs, value) for o, c, segs, value in node.patches if cutoff is None or o < cutoff]
+    if not isinstance(leaf.dtype, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
+        # A scalar is replaced by a new container at the first write below
+        # it, which the later writes fill — exactly the fresh container
+        if fresh is None or not active:
+            return leaf
+        fired = active[0][1]
+        for _, c, _, _ in active[1:]:
+            fired = fired | c
+        a, b = _combine([leaf, fresh])
+        return Val(F.when(F.coalesce(fired, F.lit(False)), b.col).otherwise(a.col), a.dtype)
+    patched = leaf
+    for o, c, segs, value in active:
+        patched = _patch(patched, segs, value, c)
+    if fresh is None:
+        return patched
+    dt = unify([patched.dtype, fresh.dtype])
+    col = F.when(leaf.col.isNotNull(), conform(patched.col, patched.dtype, dt)).otherwise(
+        conform(fresh.col, fresh.dtype, dt))
+    return Val(col, dt)
+
+
+def _build_plain(node: Node, cutoff: int | None, always: bool = False) -> Val | None:
     if isinstance(node, Leaf):
         ws = [(o, c, v) for o, c, v in node.writes if cutoff is None or o < cutoff]
         if not ws:
