@@ -80,6 +80,7 @@ class Arr:
     anon: Obj | None = None  # element created by a name step on an empty predicate array
     marks: list[Mark] = field(default_factory=list)
     pad_null: bool = False  # plain nested set leaves holes (JSON null), the FHIR writer pads {}
+    log: list = field(default_factory=list)  # every write reaching this array, in order
 
 
 @dataclass
@@ -285,10 +286,21 @@ class TargetTree:
         seg, rest = segs[0], segs[1:]
         if isinstance(seg, Bad):
             return
+        node.log.append((ordinal, cond, seg, rest, value))
+        runtime_order = (
+            node.mode == "seq"
+            # an index after a filter write may land on a filter-created element
+            or (isinstance(seg, Index) and node.mode in ("pred", "mixed"))
+            # a name step over index slots and filter elements together
+            or (isinstance(seg, Name) and node.mode == "mixed")
+        )
+        if runtime_order:
+            # H3 general case: the array is rebuilt from the write log, one array
+            # step per write, in write order (see _build_seq)
+            node.mode = "seq"
+            node.marks.append(Mark(ordinal, cond))
+            return
         if isinstance(seg, Index):
-            if node.mode in ("pred", "mixed"):
-                # an index after a filter write may land on a filter-created element: runtime-dependent
-                raise CompileError(f"array '{prefix}' is addressed by index after a filter write")
             node.mode = "index"
             node.marks.append(Mark(ordinal, cond))
             slot = node.slots.get(seg.index)
@@ -329,8 +341,6 @@ class TargetTree:
             return
         # name step on an array: every present element, or a new element 0
         node.marks.append(Mark(ordinal, cond))
-        if node.mode == "mixed":
-            raise CompileError(f"array '{prefix}': a name step over index and filter elements is not supported")
         if node.mode == "pred" or (node.mode is None and node.preds):
             present = [(obj, _any(obj.marks, None)) for _, _, obj in node.preds]
             any_before = _any([m for _, _, o in node.preds for m in o.marks], None)
@@ -596,10 +606,91 @@ def _padding(et: T.DataType, leafy: bool, pad_null: bool) -> Column:
     return F.lit(None).cast(et)
 
 
+def _name_chain_type(segs, value_type: T.DataType) -> T.DataType:
+    seg = segs[0]
+    if not isinstance(seg, (Name, Index)):
+        raise CompileError("only name steps may follow an array step that depends on earlier writes")
+    name = seg.name if isinstance(seg, Name) else str(seg.index)
+    inner = value_type if len(segs) == 1 else _name_chain_type(segs[1:], value_type)
+    return T.StructType([T.StructField(name, inner)])
+
+
+def _empty(st: T.StructType) -> Column:
+    return F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields])
+
+
+def _set_in(x: Column, st: T.StructType, segs, value: Val) -> Column:
+    """setValue on one struct element whose type already holds every field written."""
+    seg = segs[0]
+    name = seg.name if isinstance(seg, Name) else str(seg.index)
+    ft = st[name].dataType
+    if len(segs) == 1:
+        return x.withField(name, conform(value.col, value.dtype, ft))
+    if not isinstance(ft, T.StructType):
+        raise CompileError("only name steps may follow an array step that depends on earlier writes")
+    return x.withField(name, _set_in(F.coalesce(x.getField(name), _empty(ft)), ft, segs[1:], value))
+
+
+def _guarded(cond: Column, step):
+    """One array step applied only where its write fired (a one-argument lambda)."""
+    return lambda a: F.when(cond, step(a)).otherwise(a)
+
+
+def _build_seq(node: Arr, cutoff) -> Val | None:
+    """H3 general case: replay the array's writes in order as array steps — an
+    index pads with {} then writes that slot, a filter finds the first element
+    whose key equals the text or appends a new one, a name step writes into
+    every element (or a new one when empty).  Each step is bound once
+    (``transform(array(a), ...)[0]``) so the expression stays linear."""
+    entries = [e for e in node.log if cutoff is None or e[0] < cutoff]
+    if not entries:
+        return None
+    types, seqs = [], []
+    for _, _, seg, rest, value in entries:
+        segs = [seg] + list(rest) if isinstance(seg, Name) else list(rest)
+        t = _name_chain_type(segs, value.dtype) if segs else None
+        if t is None and not isinstance(seg, Pred):
+            raise CompileError("values (not objects) in an array written out of order are not supported")
+        names = [t.fields[0].name] if t is not None else []
+        if isinstance(seg, Pred):
+            kt = T.StructType([T.StructField(seg.key, T.StringType())])
+            t = kt if t is None else unify([kt, t])
+            names = [seg.key] + names
+        types.append(t)
+        seqs.append(names)
+    et = _order_fields(unify(types), seqs)
+    empty = _empty(et)
+    acc = F.array().cast(T.ArrayType(et))
+    for _, c, seg, rest, value in entries:
+        def step(a, seg=seg, rest=rest, value=value):
+            if isinstance(seg, Index):
+                i = seg.index
+                padded = F.concat(a, F.array_repeat(empty, F.greatest(F.lit(i + 1) - F.size(a), F.lit(0))))
+                return F.transform(padded, lambda x, j: F.when(j == i, _set_in(x, et, rest, value) if rest
+                                                                else x).otherwise(x))
+            if isinstance(seg, Pred):
+                hit = F.array_position(F.transform(a, lambda x: F.coalesce(x.getField(seg.key) == seg.value,
+                                                                             F.lit(False))), True)
+                new = empty.withField(seg.key, F.lit(seg.value))
+                new = _set_in(new, et, rest, value) if rest else new
+                upd = F.transform(a, lambda x, j: F.when(j == hit - 1, _set_in(x, et, rest, value) if rest
+                                                         else x).otherwise(x))
+                return F.when(hit > 0, upd).otherwise(F.concat(a, F.array(new)))
+            segs = [seg] + list(rest)
+            return F.when(F.size(a) == 0, F.array(_set_in(empty, et, segs, value))).otherwise(
+                F.transform(a, lambda x: _set_in(x, et, segs, value)))
+
+        acc = F.get(F.transform(F.array(acc), _guarded(c, step)), 0)
+    present = _any(node.marks, cutoff)
+    return Val(F.when(present, acc), T.ArrayType(et))
+
+
 def _build_arr(node: Arr, cutoff) -> Val | None:
     present = _any(node.marks, cutoff)
     if present is None:
         return None
+    if node.mode == "seq":
+        return _build_seq(node, cutoff)
     idx = _index_part(node, cutoff) if node.slots else None
     preds = _pred_part(node, cutoff) if (node.preds or node.anon is not None) else []
     typed = [e for e in (idx[0] if idx else []) if e is not None and e.dtype is not None] + preds
