@@ -1139,3 +1139,23 @@ def q_set_replace_scalar(spark, sf):
     m = cfg("Replace", "Observation", fm(0, "c_mktsegment", "code"), fm(1, "nm", "code.text"))
     r = map_in(c, m, keep=("c_custkey",), keep_original=False)
     return r.df.select("c_custkey", F.to_json("item.code").alias("code_json"))
+
+
+@register("set_replay_order", """
+SELECT c_custkey,
+  CASE WHEN c_mktsegment = 'BUILDING'
+       THEN '[{"use":"BUILDING"},{"system":"cns","period":"BUILDING"}]'
+       ELSE '[{"system":"cns","value":' || CAST(to_json(c_name) AS VARCHAR) || ',"use":'
+            || CAST(to_json(c_mktsegment) AS VARCHAR) || ',"period":' || CAST(to_json(c_mktsegment) AS VARCHAR)
+            || ',"type":' || CAST(to_json(c_name) AS VARCHAR) || '}]' END AS identifier_json
+FROM customer""")
+def q_set_replay_order(spark, sf):
+    """H3: filter, then index, then filter again, then fan-out on one array — whether
+    [0] lands on the filter element depends on which writes fired in the row."""
+    c = table(spark, sf, "customer").select(
+        "c_custkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_name")).alias("cns"), "c_mktsegment")
+    m = cfg("Replay", "Patient", fm(0, "cns", "identifier[?system='cns'].value"),
+            fm(1, "c_mktsegment", "identifier[0].use"), fm(2, "c_mktsegment", "identifier[?system='cns'].period"),
+            fm(3, "cns", "identifier.type"))
+    r = map_in(c, m, keep=("c_custkey",), keep_original=False)
+    return r.df.select("c_custkey", F.to_json("item.identifier").alias("identifier_json"))
