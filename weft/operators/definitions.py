@@ -91,8 +91,10 @@ def ingest(docs: DataFrame, doc_col: str = "doc", processed_at: Column | None =
     )
     # headers, elements and rejects each re-read the documents: measured, a
     # second parse is cheaper than writing the VARIANT documents out and back
+    # the element array is not carried through the per-url shuffle below; it is
+    # re-derived from the chosen document afterwards
     checked = step.select(
-        "doc_pos", sdc.alias("sd"), url.alias("url"), el_arr.alias("els"), reason.alias("reason"), now.alias("processedAt"),
+        "doc_pos", sdc.alias("sd"), url.alias("url"), reason.alias("reason"), now.alias("processedAt"),
     )
     ok = checked.where(F.col("reason").isNull())
     # the last document of a batch wins for a url, as sequential upserts would
@@ -106,8 +108,11 @@ def ingest(docs: DataFrame, doc_col: str = "doc", processed_at: Column | None =
         _vs(s, "$.type").alias("type"), _vs(s, "$.fhirVersion").alias("fhirVersion"),
         _vs(s, "$.description").alias("description"), "processedAt", _vs(s, "$.id").alias("resourceId"),
     )
+    els_again = F.try_variant_get(
+        F.coalesce(_vv(F.col("sd"), "$.snapshot.element"), _vv(F.col("sd"), "$.differential.element")),
+        "$", "array<variant>")
     exploded = ok.select(F.col("id").alias("structureDefinitionId"), "url",
-                         F.posexplode("els").alias("ordinal", "el"))
+                         F.posexplode(els_again).alias("ordinal", "el"))
     # bind each intermediate once (the element as a map, then the chosen keys,
     # then their values): every later expression reads plain columns
     e = F.col("el")
