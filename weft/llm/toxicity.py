@@ -3,7 +3,7 @@
 A term is a word (A-Z lower-cased, ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``) or the first
 PREFIX bytes of a longer one.  Vectors hold the terms whose presence tells
 the labels apart (likelihood ratio G2 over a bounded sample of labelled
-documents), weighted by (1 + ln tf) times an IDF over all documents, and have length 1.
+documents, and a ratio of rates), weighted by (1 + ln tf) times an IDF over all documents, and have length 1.
 
 The examples lie in blocks.  For each term the index knows its largest weight in
 each block, so a block's best possible cosine with a query is known before any
@@ -29,12 +29,14 @@ from weft.llm import text as tx
 
 #: Labelled documents that are read for terms and examples, and terms in the vocabulary, at most.
 SAMPLE, TERMS = 20_000, 4096
-#: Least G2 of a term (1 in 1000 by chance), and least documents of the sample that hold it.
-SIGNIFICANT, LEAST_DOCS = 10.83, 3
+#: Least G2 of a term (by chance one term in a million has it), and least documents of the sample that hold it.
+SIGNIFICANT, LEAST_DOCS = 24.0, 3
+#: How many times likelier a term must be under one label than under the other.
+RATIO = 10.0
 #: Bytes of a prefix term.
 PREFIX = 5
 #: Neighbours that vote, examples of a block, votes of the prior.
-K, BLOCK, PRIOR = 10, 64, 0.5
+K, BLOCK, PRIOR = 10, 64, 1.0
 THRESHOLD = 0.5
 
 SCORE = "score double, predicted int, neighbours array<bigint>, cosines array<double>"
@@ -93,7 +95,8 @@ def _vocabulary(sample: DataFrame, n_terms: int) -> np.ndarray:
     absent1, absent0 = F.lit(float(n1)) - pos, F.lit(float(n0)) - neg
     g2 = 2 * (part(pos, df, F.lit(float(n1))) + part(neg, df, F.lit(float(n0))) + part(absent1, n - df, F.lit(float(n1))) + part(absent0, n - df, F.lit(float(n0))))
     counts = sample.select("_text", "_label").mapInArrow(run, schema).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    best = counts.withColumn("g2", g2).where(f"pos + neg >= {LEAST_DOCS} and g2 >= {SIGNIFICANT}").orderBy(F.desc("g2"), "term").limit(n_terms)
+    ratio = F.abs(F.log((pos + 0.5) / (n1 + 1.0) * (n0 + 1.0) / (neg + 0.5)))
+    best = counts.withColumn("g2", g2).where((df >= LEAST_DOCS) & (F.col("g2") >= SIGNIFICANT) & (ratio >= F.log(F.lit(RATIO)))).orderBy(F.desc("g2"), "term").limit(n_terms)
     return np.sort(np.array([r.term for r in best.select("term").collect()], dtype=np.int64).astype(tx.U64))
 
 
