@@ -1,8 +1,8 @@
 """Whole texts to token ids with a public tokenizer file, each distinct stretch of text encoded once.
 
 Byte-pair tokenizers split a text before they merge, and never merge across the
-place where white space begins.  So a text is cut there (ASCII white space after
-something else), the distinct stretches of a run of documents are found by their
+place where white space begins, nor where letters end and punctuation begins.  So a text is cut there (where
+ASCII white space or punctuation follows something else or an ASCII letter), the distinct stretches of a run of documents are found by their
 hashes, and only those not met before go to the tokenizer; the ids of all the
 others are gathered with numpy.  A text with white space beyond ASCII, where that
 cut could change how neighbouring white space is split, is encoded as one stretch.
@@ -11,20 +11,23 @@ cut could change how neighbouring white space is split, is encoded as one stretc
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
 from weft.llm import text as tx
 
 #: Stretches that a worker remembers, at most; beyond it the memory starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 21
 
 _SPACE = ~tx.SPACED
+_ASCII_LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
+_POINT = np.isin(np.arange(256), [b for b in range(0x21, 0x7F) if not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)])
 _WIDE = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A, 0x80), (0xE2, 0x81, 0x9F), (0xE3, 0x80, 0x80), *((0xE2, 0x80, b) for b in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)))
 
 
 class Encoder:
-    """``spaced``: white space counts for ids; else it only parts words, and is left out of the stretches."""
+    """``spaced``: white space and case count for ids; else white space only parts words and is left out of the stretches, and A-Z are as a-z."""
 
     def __init__(self, path: str, end_id: int, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,21 +40,29 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known = np.zeros(0, dtype=tx.U64)
-        self.where = np.zeros((0, 2), dtype=np.int64)  # begin and number of ids, in the order of known
-        self.pool = np.zeros(1 << 16, dtype=np.int32)
+        self.begin, self.size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)  # of the ids, in the order of known
+        self.pool = np.zeros(1 << 16, dtype=np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32)
         self.used = 0
 
     def _stretches(self, run: tx.Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data = run.data
+        ends_word = np.zeros(len(data), dtype=bool)
+        ends_word[1:] = _POINT[data[1:]] & _ASCII_LETTER[data[:-1]]  # a point right after a letter
         if self.spaced:
-            breaks, _, _ = run.spans(_SPACE)
-            full = run.bounds[:-1][run.bounds[:-1] < run.bounds[1:]]
-            starts = np.unique(np.concatenate([full, breaks]))
+            space = _SPACE[data]
+            ends_word[1:] |= space[1:] & ~space[:-1]
+            ends_word[run.bounds[:-1][run.bounds[:-1] < run.bounds[1:]]] = True
+            starts = np.flatnonzero(ends_word)
             first = np.searchsorted(starts, run.bounds)
-            ends = np.append(starts[1:], len(run.data))
-            some = first[:-1] < first[1:]
-            ends[first[1:][some] - 1] = run.bounds[1:][some]
+            ends = np.append(starts[1:], len(data))
         else:
-            starts, ends, first = run.spans(tx.SPACED)
+            word_s, word_e, _ = run.spans(tx.SPACED)
+            ends_word[word_s] = True
+            starts = np.flatnonzero(ends_word)
+            first = np.searchsorted(starts, run.bounds)
+            ends = np.append(starts[1:], len(data))
+            last = np.append(np.searchsorted(starts, word_s)[1:], len(starts)) - 1  # each word's last stretch
+            ends[last] = word_e
         rows = self._wide(run)
         if len(rows):
             keep = ~np.isin(tx.row_of(first), rows)
@@ -79,7 +90,7 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], add_special_tokens=False)
         ids = [x.ids for x in got]
         size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.concatenate([np.asarray(x, dtype=np.int32) for x in ids]) if len(ids) < 64 else np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), dtype=self.pool.dtype, count=int(size.sum()))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -87,12 +98,12 @@ class Encoder:
         self.used += len(flat)
         at = np.searchsorted(self.known, keys)  # keys are ascending
         self.known = np.insert(self.known, at, keys)
-        self.where = np.insert(self.where, at, np.stack([begin, size], axis=1), axis=0)
+        self.begin, self.size = np.insert(self.begin, at, begin), np.insert(self.size, at, size)
 
     def run(self, run: tx.Run) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a run's rows, each row's closed with the end id, and the rows' bounds in them."""
         starts, ends, first = self._stretches(run)
-        keys, place, again = np.unique(run.hashes(starts, ends), return_index=True, return_inverse=True)
+        keys, place, again = np.unique(run.hashes(starts, ends, lower=not self.spaced), return_index=True, return_inverse=True)
         if len(self.known) + len(keys) > REMEMBERED:
             self._forget()
         at = np.searchsorted(self.known, keys)
@@ -102,11 +113,11 @@ class Encoder:
         if new.any():
             self._learn(run, keys[new], starts[place[new]], ends[place[new]])
             at = np.searchsorted(self.known, keys)
-        begin, size = (self.where[at[again]].T if len(keys) else np.zeros((2, 0), dtype=np.int64))
+        begin, size = self.begin[at][again].astype(np.int64), self.size[at][again].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
         bounds = upto[first] + np.arange(run.rows + 1)
-        return np.insert(ids, upto[first[1:]], self.end_id), bounds
+        return np.insert(ids.astype(np.int32), upto[first[1:]], self.end_id), bounds
 
 
 _held: dict[tuple, Encoder] = {}
