@@ -34,7 +34,7 @@ from weft.session import materialize
 
 SHINGLE = 5
 #: Trees, and values in the longest prefix of one.
-TREES, DEEPEST = 24, 7
+TREES, DEEPEST = 24, 6
 #: Least estimated share of the links that is found.
 RECALL = 0.9995
 #: Representatives and shingles of a block, about.
@@ -140,7 +140,7 @@ def _ties(reps: DataFrame, depth: int) -> DataFrame:
     # a set of fewer than four shingles is 0.8 alike to none but its equal
     under = reps.where("n >= 4").select("rid", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("rid", F.xxhash64("tree", prefix).alias("key"))
     nodes = under.groupBy("key").agg(F.min("rid").alias("least"), F.count("*").alias("members")).where("members > 1").drop("members")
-    return under.join(nodes, "key").where("rid <> least").select(F.col("rid").alias("a"), F.col("least").alias("b"))
+    return under.join(nodes.hint("merge"), "key").where("rid <> least").select(F.col("rid").alias("a"), F.col("least").alias("b"))
 
 
 _ITEM = "rid long, root long, links long, likeness array<bigint>"
@@ -149,11 +149,14 @@ BINS = 20
 
 
 def _verify(docs: DataFrame, members: DataFrame, alike: float) -> DataFrame:
-    """Links of the representatives in ``members`` (rid, comp, mult, h1, h2, rep_doc, n) within their components."""
+    """Links of the representatives in ``members`` (rid, comp, mult, n, rep: id and text hash of a document) within their components.
+
+    ``docs`` has doc_id, text and raw, the text's hash.
+    """
     sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     dealt = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
-    texts = with_sets(docs, "text", "_set").select(F.col("doc_id").alias("rep_doc"), "text", F.col("_set.h1").alias("h1"), F.col("_set.h2").alias("h2"))
-    own = texts.join(dealt.withColumnRenamed("rep_doc", "rd"), (texts.h1 == dealt.h1) & (texts.h2 == dealt.h2) & texts.rep_doc.eqNullSafe(F.col("rd")))
+    # merge joins here and in _ties: neither side has a bound, and the plan is the same at every size
+    own = docs.join(dealt.hint("merge"), docs.doc_id.eqNullSafe(F.col("rep.doc_id")) & (docs.raw == F.col("rep.raw")))
     own = own.select("rid", "comp", "block", "blocks", "mult", "text").dropDuplicates(["rid"])
     # every pair of blocks (i, j), i <= j, is an item; a member is in the items of its block
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
@@ -284,14 +287,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ali
     texts that are the same byte by byte.  Null ids count as documents; a class
     without any id has none.  An empty table gives empty tables.
     """
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("raw"))
     signed = with_sets(own, "text", "_set", signed=True)
-    sketched = materialize(signed.select("doc_id", "_set.*"))
-    grouped = sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep_doc"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("sign").alias("sign"))
+    sketched = materialize(signed.select("doc_id", "raw", "_set.*"))
+    grouped = sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep_doc"), F.min(F.struct("doc_id", "raw")).alias("rep"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("sign").alias("sign"))
     reps = materialize(grouped.withColumn("rid", F.monotonically_increasing_id()))
     depth, results, old = DEEPEST, None, None
     while True:
-        comps = materialize(components(_ties(reps, depth)).join(reps.drop("sign"), F.col("node") == F.col("rid")).select("rid", F.col("root").alias("comp"), "mult", "h1", "h2", "rep_doc", "n"))
+        comps = materialize(components(_ties(reps, depth)).join(reps.drop("sign"), F.col("node") == F.col("rid")).select("rid", F.col("root").alias("comp"), "mult", "rep", "n"))
         size = comps.groupBy("comp").agg(F.count("*").alias("size"))
         if old is None:
             results = materialize(_verify(own, comps, alike))
