@@ -185,6 +185,7 @@ def _verifier(alike: float):
                 held.append(b.slice(lo, hi - lo))
         if held:
             yield from _item(key, held, alike, names)
+        tx.give_back()
 
     return run
 

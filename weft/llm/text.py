@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text worked on at once.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 #: Rows of a batch that Spark hands to Python.
 BATCH_ROWS = 512
 
@@ -194,6 +194,17 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return a task's freed memory to the system: workers live on, and what one task held must not add to the next's."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def annotate(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], pa.StructArray]], ddl: str, out: str) -> DataFrame:
     """The documents, row by row, with a struct column ``out`` of what ``make()``'s function returns for the text column.
 
@@ -211,6 +222,7 @@ def annotate(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Arr
             work = work or make()
             found = work(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

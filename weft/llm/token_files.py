@@ -151,6 +151,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spaced: boo
                 )
         if shard is not None:
             shard.close()
+        tx.give_back()
 
     ordered.mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/index")
 
