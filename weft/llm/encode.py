@@ -61,8 +61,9 @@ class Encoder:
             starts = np.flatnonzero(ends_word)
             first = np.searchsorted(starts, run.bounds)
             ends = np.append(starts[1:], len(data))
-            last = np.append(np.searchsorted(starts, word_s)[1:], len(starts)) - 1  # each word's last stretch
-            ends[last] = word_e
+            if len(word_s):
+                last = np.append(np.searchsorted(starts, word_s)[1:], len(starts)) - 1  # each word's last stretch
+                ends[last] = word_e
         rows = self._wide(run)
         if len(rows):
             keep = ~np.isin(tx.row_of(first), rows)

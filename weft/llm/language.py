@@ -27,7 +27,7 @@ from weft.llm import text as tx
 #: Places of a vector, centroids of a language, and training documents a language that centroids are fitted to, at most.
 DIMENSIONS, CLUSTERS, SAMPLE = 8192, 4, 400
 #: A document is rejected below this part of the cosine that all but one in a hundred of the sample reach.
-REJECT = 0.5
+REJECT = 0.4
 #: Rows whose vectors are held at once.
 ROWS = 256
 
