@@ -34,6 +34,9 @@ def bundle_resources(pages: DataFrame, page_col: str = "page", keep: tuple[str,
 
 
 def read_bundle_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Bundle pages from JSON files (one page per file or per line)."""
-    return (spark.read.schema("page VARIANT").option("singleVariantColumn", "page")
-            .option("multiLine", True).json(path))
+    """Bundle pages from JSON files: one page per file, one per line, or any
+    pages after each other.  Text that isn't JSON gives a null page."""
+    from weft.sources.records import values_of_text
+
+    pages = spark.read.text(path, wholetext=True).select(F.explode(values_of_text(F.col("value"))).alias("text"))
+    return pages.select(F.try_parse_json("text").alias("page"))

@@ -12,50 +12,137 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.functions.coerce import type_cell
 
 RECORD = "record"
+CORRUPT = "_corrupt_record"
 
+#: What a well-formed line has nowhere outside its strings: a closed value with
+#: something after it that neither goes on nor closes what is around it.
+_MORE_FOLLOWS = r"[}\]]\s*[^\s,\]}]"
 
-def _mode(on_malformed: str) -> str:
+
+def _checked(on_malformed: str) -> None:
     if on_malformed not in ("route", "fail"):
         raise ValueError("on_malformed must be 'route' or 'fail'")
-    return "FAILFAST" if on_malformed == "fail" else "PERMISSIVE"
+
+
+def _or_fail(df: DataFrame, on_malformed: str) -> DataFrame:
+    """With "fail", the job ends at the first row that couldn't be read."""
+    if on_malformed == "route":
+        return df
+    bad = F.col(CORRUPT).isNotNull()
+    stop = F.raise_error(F.concat(F.lit("Malformed record: "), F.col(CORRUPT))).cast(T.VariantType())
+    return df.withColumn(RECORD, F.when(bad, stop).otherwise(F.col(RECORD)))
 
 
 def type_csv_columns(df: DataFrame, cell_typing: bool = True) -> DataFrame:
     """C1 over every string column of a CSV DataFrame → one VARIANT object ``record``."""
-    cols = [c for c in df.columns if c != "_corrupt_record"]
+    cols = [c for c in df.columns if c != CORRUPT]
     cell = type_cell if cell_typing else (lambda c: F.when(c != "", c.cast("variant")))
     obj = F.to_variant_object(F.struct(*[cell(F.col(f"`{c}`")).alias(c) for c in cols]))
-    extra = [F.col("_corrupt_record")] if "_corrupt_record" in df.columns else []
+    extra = [F.col(CORRUPT)] if CORRUPT in df.columns else []
     return df.select(obj.alias(RECORD), *extra)
 
 
+def _csv_options(reader, multi_line: bool):
+    return reader.option("header", True).option("inferSchema", False).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
+
+
+def _csv_names(spark: SparkSession, path: str, multi_line: bool) -> list[str]:
+    return _csv_options(spark.read, multi_line).csv(path).columns
+
+
+def _wider(names: list[str]) -> tuple[T.StructType, str]:
+    """A schema of the header's columns and one more, which only a row with too many cells fills."""
+    more = "_more_cells"
+    while more in names:
+        more += "_"
+    return T.StructType([T.StructField(c, T.StringType()) for c in (*names, more, CORRUPT)]), more
+
+
+def _csv_records(raw: DataFrame, names: list[str], more: str, cell_typing: bool, on_malformed: str) -> DataFrame:
+    cells = [F.col(f"`{c}`") for c in names]
+    # one cell beyond the header fits the schema, so the reader has no text of that row: the cells stand for it
+    text = F.coalesce(F.col(CORRUPT), F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in (*cells, F.col(more))]))
+    rows = raw.select(*cells, F.when(F.col(more).isNotNull(), text).alias(CORRUPT))
+    typed = type_csv_columns(rows, cell_typing)
+    return _or_fail(typed.withColumn(RECORD, F.when(F.col(CORRUPT).isNull(), F.col(RECORD))), on_malformed)
+
+
 def read_csv_records(spark: SparkSession, path: str, cell_typing: bool = True,
-                     on_malformed: str = "route") -> DataFrame:
-    """Header row names the fields, blank lines are skipped, cells typed."""
-    raw = (
-        spark.read.option("header", True).option("mode", _mode(on_malformed))
-        .option("inferSchema", False).option("multiLine", False).csv(path)
-    )
-    return type_csv_columns(raw, cell_typing)
+                     on_malformed: str = "route", multi_line: bool = True) -> DataFrame:
+    """Header row names the fields, blank lines are skipped, cells typed.
+
+    Quoted cells may hold separators, line breaks and doubled quotes.  A row
+    with fewer cells than the header lacks the last ones; a row with more goes
+    whole to ``_corrupt_record``.  With ``multi_line`` a file is one task, so large
+    data should come as many files; without it files are split, and no cell
+    may hold a line break.
+    """
+    _checked(on_malformed)
+    names = _csv_names(spark, path, multi_line)
+    schema, more = _wider(names)
+    raw = _csv_options(spark.read, multi_line).option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
+    return _csv_records(raw, names, more, cell_typing, on_malformed)
+
+
+def _top_level_values(text: str) -> list[str]:
+    """The texts of the JSON values that follow each other in ``text``; what can't be read is the last of them."""
+    out, at, read = [], 0, json.JSONDecoder().raw_decode
+    while True:
+        while at < len(text) and text[at] in " \t\r\n\ufeff":
+            at += 1
+        if at == len(text):
+            return out
+        try:
+            _, end = read(text, at)
+        except (ValueError, RecursionError):
+            return [*out, text[at:]]
+        out.append(text[at:end])
+        at = end
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _split_values(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else _top_level_values(t))
+
+
+def values_of_lines(line: Column) -> Column:
+    """The JSON values of a line, as texts.  Lines that hold one value, nearly all, never reach Python."""
+    several = line.rlike(_MORE_FOLLOWS)
+    return F.coalesce(_split_values(F.when(several, line)), F.array(line))
+
+
+def values_of_text(text: Column) -> Column:
+    """The JSON values of a whole file's text, as texts."""
+    return _split_values(text)
+
+
+def json_text_records(texts: DataFrame, values: Column, on_malformed: str = "route", elements: bool = False) -> DataFrame:
+    """Records of a DataFrame's JSON values; with ``elements`` an array gives one record per element."""
+    each = texts.select(F.explode(values).alias("_text")).where(F.trim("_text") != "")
+    out = parse_json_column(each, "_text")
+    if elements:
+        many = F.try_variant_get(F.col(RECORD), "$", "array<variant>")
+        out = out.select(F.explode(F.coalesce(many, F.array(F.col(RECORD)))).alias(RECORD), CORRUPT)
+    return _or_fail(out, on_malformed)
 
 
 def read_json_records(spark: SparkSession, path: str, multi_line: bool = False,
                       on_malformed: str = "route") -> DataFrame:
-    """NDJSON (one value per line) or, with ``multi_line``, whole-file JSON
-    where a top-level array yields one record per element (Q9)."""
-    return (
-        spark.read.schema(f"{RECORD} VARIANT, _corrupt_record STRING")
-        .option("singleVariantColumn", RECORD)
-        .option("mode", _mode(on_malformed))
-        .option("multiLine", multi_line)
-        .json(path)
-    )
+    """JSON values line by line (several may share a line) or, with
+    ``multi_line``, values of whole files, pretty-printed or not, where a
+    top-level array yields one record per element (Q9); a file is then one task."""
+    _checked(on_malformed)
+    lines = spark.read.text(path, wholetext=multi_line)
+    split = values_of_text if multi_line else values_of_lines
+    return json_text_records(lines, split(F.col("value")), on_malformed, elements=multi_line)
 
 
 def parse_json_column(df: DataFrame, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:

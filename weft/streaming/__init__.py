@@ -10,23 +10,32 @@ replaces its own output instead of duplicating it (idempotent sink).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.operators.map_in import map_in
 from weft.plans.config import MappingConfig, Profile
 from weft.sinks import tagged
+from weft.sources import records
 
 
 def read_record_stream(spark: SparkSession, path: str, fmt: str = "json", schema: T.StructType | str | None = None,
                        on_malformed: str = "route", max_files_per_trigger: int | None = None) -> DataFrame:
-    """X1 source: NDJSON records as one VARIANT column (``fmt='json'``), or a typed
-    stream of parquet/csv files with ``schema``."""
+    """X1 source: JSON lines (``fmt='json'``) or CSV files with a header (``fmt='csv'``)
+    as one VARIANT column, read as :mod:`weft.sources.records` reads them; or a
+    typed stream of files with ``schema``.  The CSV header is that of the files there at the start."""
     r = spark.readStream
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "json" and schema is None:
-        return (r.schema("record VARIANT, _corrupt_record STRING").option("singleVariantColumn", "record")
-                .option("mode", "FAILFAST" if on_malformed == "fail" else "PERMISSIVE").json(path))
+        return records.json_text_records(r.text(path), records.values_of_lines(F.col("value")), on_malformed)
+    if fmt == "csv" and schema is None:
+        names = records._csv_names(spark, path, True)
+        wide, more = records._wider(names)
+        raw = records._csv_options(r, True).option("columnNameOfCorruptRecord", records.CORRUPT).schema(wide).csv(path)
+        return records._csv_records(raw, names, more, True, on_malformed)
+    if fmt == "csv":
+        r = r.option("header", True).option("escape", '"').option("multiLine", True)
     return r.schema(schema).format(fmt).load(path)
 
 
