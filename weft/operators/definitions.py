@@ -17,6 +17,8 @@ half-written version.  No MERGE or delete is needed.
 from __future__ import annotations
 
 from dataclasses import dataclass
+import hashlib
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -134,9 +136,9 @@ def ingest(docs: DataFrame, doc_col: str = "doc", processed_at: Column | None =
         "structureDefinitionId", "url", "ordinal", "path", "sliceName", "shortDescription", "definition", "dataTypes",
         "cardinalityMin", "cardinalityMax",
         F.when(F.col("_fk").isNotNull(), _stored_text(F.col("_fv"))).alias("fixedValue"),
-        F.lower(F.substring(F.col("_fk"), 6, 1 << 20)).alias("fixedValueType"),
+        F.lower(F.expr("substring(_fk, 6)")).alias("fixedValueType"),
         F.when(F.col("_dk").isNotNull(), _stored_text(F.col("_dv"))).alias("defaultValue"),
-        F.lower(F.substring(F.col("_dk"), 13, 1 << 20)).alias("defaultValueType"),
+        F.lower(F.expr("substring(_dk, 13)")).alias("defaultValueType"),
     )
     counts = rows.groupBy("url", "structureDefinitionId").agg(F.count(F.lit(1)).alias("elementCount"))
     w_dup = Window.partitionBy("structureDefinitionId", "path").orderBy("ordinal")
@@ -145,30 +147,48 @@ def ingest(docs: DataFrame, doc_col: str = "doc", processed_at: Column | None =
     return Ingested(headers, deduped, rejects, counts)
 
 
-def store(result: Ingested, root: str) -> None:
-    """K6: append the new versions — elements first, then headers (readers go
-    through headers, so a failed run leaves nothing visible)."""
-    result.elements.write.mode("append").parquet(f"{root}/definition_elements")
-    result.definitions.write.mode("append").parquet(f"{root}/definitions")
+def store(result: Ingested, root: str, ingest_id: str | None = None) -> str:
+    """K6: add the new versions — elements first, then headers (readers go
+    through headers, so a failed run leaves nothing visible).
+
+    Each ingest writes folders of its own, ``ingest=<id>``, and replaces them:
+    storing the same ingest again (a retry) changes nothing.  The id, which is
+    returned, is by default a digest of the definitions' ids.
+    """
+    if ingest_id is None:
+        marks = result.definitions.agg(F.count("*"), F.sum(F.xxhash64("id").cast("decimal(38,0)"))).first()
+        ingest_id = hashlib.sha256(f"{marks[0]}:{marks[1]}".encode()).hexdigest()[:32]
+    _write(result.elements, root, "definition_elements", ingest_id)
+    _write(result.definitions, root, "definitions", ingest_id)
+    return ingest_id
+
+
+def _write(rows: DataFrame, root: str, table: str, ingest_id: str) -> None:
+    keep = [c for c in rows.columns if c not in ("storedAt", "ingest")]
+    rows.select(*keep, F.lit(_now()).cast("timestamp").alias("storedAt")).write.mode("overwrite").parquet(f"{root}/{table}/ingest={ingest_id}")
+
+
+def _now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
 def append_headers(headers: DataFrame, root: str) -> DataFrame:
-    """K7: header-only upsert = append a newer header row (W1 picks it)."""
-    headers.write.mode("append").parquet(f"{root}/definitions")
+    """K7: header-only upsert = add a newer header row (W1 picks it)."""
+    _write(headers, root, "definitions", uuid.uuid4().hex)
     return headers
 
 
 def append_elements(elements: DataFrame, root: str) -> DataFrame:
     """K7: bulk append of element rows; returns the rows appended."""
-    elements.write.mode("append").parquet(f"{root}/definition_elements")
+    _write(elements, root, "definition_elements", uuid.uuid4().hex)
     return elements
 
 
 def delete_elements(ids: DataFrame, root: str, id_col: str = "structureDefinitionId") -> None:
-    """K7: delete the elements of definitions.  The store is append-only, so a
-    delete appends tombstones that readers anti-join; nothing is rewritten in
-    place and a retried task cannot lose rows."""
-    ids.select(F.col(id_col).alias("structureDefinitionId"), F.current_timestamp().alias("deletedAt")) \
+    """K7: delete the elements of definitions that are stored so far.  A delete adds
+    tombstones with their time, which readers hold against the elements';
+    nothing is rewritten in place, and what is appended later stays."""
+    ids.select(F.col(id_col).alias("structureDefinitionId"), F.lit(_now()).cast("timestamp").alias("deletedAt")) \
         .write.mode("append").parquet(f"{root}/definition_tombstones")
 
 
@@ -176,13 +196,15 @@ def read_store(spark, root: str) -> tuple[DataFrame, DataFrame]:
     """The stored tables as (definitions, live elements)."""
     from pyspark.errors import AnalysisException
 
-    defs = spark.read.parquet(f"{root}/definitions")
-    els = spark.read.parquet(f"{root}/definition_elements")
+    defs = spark.read.parquet(f"{root}/definitions").drop("storedAt", "ingest")
+    els = spark.read.parquet(f"{root}/definition_elements").drop("ingest")
     try:
-        t = spark.read.parquet(f"{root}/definition_tombstones").select("structureDefinitionId")
+        dead = spark.read.parquet(f"{root}/definition_tombstones")
     except AnalysisException:  # no delete has been written yet
-        return defs, els
-    return defs, els.join(t, "structureDefinitionId", "left_anti")
+        return defs, els.drop("storedAt")
+    dead = dead.groupBy("structureDefinitionId").agg(F.max("deletedAt").alias("deletedAt"))
+    live = els.join(dead, "structureDefinitionId", "left").where(F.col("deletedAt").isNull() | (F.col("storedAt") > F.col("deletedAt")))
+    return defs, live.drop("storedAt", "deletedAt")
 
 
 def list_definitions(definitions: DataFrame) -> DataFrame:
@@ -227,16 +249,16 @@ def resolve_identifiers(ids: DataFrame, definitions: DataFrame, id_col: str = "i
     kind = F.when(ident.startswith("http"), F.lit("url")).otherwise(F.lit("id"))
     key = (
         F.when(ident.startswith("http"), ident)
-        .when(ident.startswith("StructureDefinition/"), F.substring(ident, 21, 1 << 20))
+        .when(ident.startswith("StructureDefinition/"), ident.substr(F.lit(21), F.length(ident)))
         .otherwise(ident)
     )
+    # equal rows are rows of their own: one candidate is chosen per key before the join
     q = ids.select("*", kind.alias("kind"), key.alias("key"))
     latest = latest_definitions(definitions).select(
         F.col("url").alias("def_url"), F.col("resourceId").alias("def_rid"), F.col("processedAt").alias("def_at"))
     by_url = latest.select(F.col("def_url").alias("_k"), "def_url", "def_at", F.lit("url").alias("_kind"))
     by_id = latest.select(F.col("def_rid").alias("_k"), "def_url", "def_at", F.lit("id").alias("_kind"))
-    cand = by_url.unionByName(by_id)
+    w = Window.partitionBy("_kind", "_k").orderBy(F.col("def_at").desc_nulls_last(), "def_url")
+    cand = by_url.unionByName(by_id).where("_k is not null").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     j = q.join(cand, (q["key"] == cand["_k"]) & (q["kind"] == cand["_kind"]), "left")
-    w = Window.partitionBy(*[q[c] for c in ids.columns], q["kind"], q["key"]).orderBy(F.col("def_at").desc_nulls_last())
-    return j.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(
-        *[q[c] for c in ids.columns], "kind", "key", F.col("def_url").alias("url"))
+    return j.select(*[q[c] for c in ids.columns], q["kind"], q["key"], F.col("def_url").alias("url"))
