@@ -13,6 +13,16 @@ def test_split_path_examples():
     assert split_path("") == []
 
 
+def test_brackets_in_quotes_and_unbalanced_ones():
+    assert split_path("a[?k='x].y'].b") == ["a", "[?k='x].y']", "b"]
+    assert split_path("a[?u='http://h/p[0].q'][2].c") == ["a", "[?u='http://h/p[0].q']", "2", "c"]
+    assert split_path("a[?k='v].b") == ["a", "[?k='v]", "b"]
+    assert split_path("a[1.b") == ["a", "[1.b"]
+    assert split_path("[3]x[4][5].") == ["3", "x", "4", "5"]
+    assert split_path(None) == []
+    assert parse_path("a[?k='x].y']") == [Name("a"), Pred("k", "x].y")]
+
+
 def test_parse_path_kinds():
     assert parse_path("a[2].b") == [Name("a"), Index(2), Name("b")]
     assert parse_path("a[?k='v'].b") == [Name("a"), Pred("k", "v"), Name("b")]

@@ -135,22 +135,24 @@ def json_text(v: Val) -> Column:
     if isinstance(v.dtype, T.VariantType):
         return F.to_json(v.col)
     wrapped = F.to_json(F.array(v.col))
-    return F.when(v.col.isNotNull(), F.regexp_extract(wrapped, r"^\[(.*)\]$", 1))
+    return F.when(v.col.isNotNull(), wrapped.substr(F.lit(2), F.length(wrapped) - 2))
 
 
 def type_cell(s: Column) -> Column:
     """C1 — CSV cell text to a VARIANT the way dynamic typing reads it:
     empty → null; true/TRUE/false/FALSE → boolean; numeric text → number
-    (integral → bigint, else double); anything else → string.  Date-only
-    text stays a string."""
+    (integral → bigint, else double) unless it lies beyond ±2^53, where a
+    number would lose digits; anything else → string.  Date-only text stays a
+    string, and so does a date-time, whose text is what a config formats."""
     num = s.rlike(r"^\s*-?(\d+\.?\d*([eE][-+]?\d+)?|\.\d+([eE][-+]?\d+)?)\s*$")
     integral = s.rlike(r"^\s*-?\d{1,18}\s*$")
+    exact = F.abs(F.trim(s).try_cast("double")) < float(1 << 53)
     return (
         F.when(s.isNull() | (s == ""), F.lit(None).cast(T.VariantType()))
         .when(s.isin("true", "TRUE"), F.lit(True).cast(T.VariantType()))
         .when(s.isin("false", "FALSE"), F.lit(False).cast(T.VariantType()))
-        .when(integral, F.trim(s).cast("bigint").cast(T.VariantType()))
-        .when(num, F.trim(s).try_cast("double").cast(T.VariantType()))
+        .when(integral & exact, F.trim(s).try_cast("bigint").cast(T.VariantType()))
+        .when(num & exact, F.trim(s).try_cast("double").cast(T.VariantType()))
         .otherwise(s.cast(T.VariantType()))
     )
 

@@ -55,47 +55,17 @@ class Bad:
 Segment = Name | Index | Pred | Bad
 
 
+# A step is a bracket group (text in single quotes may hold any bracket or dot;
+# without a closing quote or bracket it reaches as far as it can) or a run of
+# name characters; dots only part steps.
+_STEP_RE = re.compile(r"\[(?:'[^']*'|[^'\]])*\]|\[[^\]]*\]?|[^.\[]+")
+_NUMBER_RE = re.compile(r"\[([0-9]+)\]")
+
+
 def split_path(path: str | None) -> list[str]:
-    """Split path text into raw segments: dots outside brackets separate,
-    bracket groups stay whole, ``[n]`` becomes ``n``, empty parts vanish."""
-    if not path:
-        return []
-    out: list[str] = []
-    cur = ""
-    depth = 0
-    i = 0
-    while i < len(path):
-        ch = path[i]
-        if ch == "." and depth == 0:
-            if cur:
-                out.append(cur)
-            cur = ""
-        elif ch == "[":
-            if depth == 0 and cur:
-                out.append(cur)
-                cur = ""
-            cur += ch
-            depth += 1
-        elif ch == "]":
-            cur += ch
-            depth = max(0, depth - 1)
-            if depth == 0:
-                out.append(cur)
-                cur = ""
-                if i + 1 < len(path) and path[i + 1] == ".":
-                    i += 1
-        else:
-            cur += ch
-        i += 1
-    if cur:
-        out.append(cur)
-    res = []
-    for seg in out:
-        if seg.startswith("[") and seg.endswith("]") and seg[1:-1].isdigit() and seg[1:-1].isascii():
-            seg = seg[1:-1]
-        if seg:
-            res.append(seg)
-    return res
+    """The steps of a path as texts; an index group ``[n]`` gives ``n``."""
+    steps = _STEP_RE.findall(path or "")
+    return [_NUMBER_RE.sub(r"\1", s) if _NUMBER_RE.fullmatch(s) else s for s in steps]
 
 
 def parse_path(path: str | None) -> list[Segment]:

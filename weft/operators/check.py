@@ -26,26 +26,30 @@ from weft.functions.coerce import stored_value_column
 from weft.plans.config import latest_definitions
 from weft.session import materialize
 
-SLICE_SUFFIX_RE = r"^(.*?):([^.]+)\.(.*)$"
-SLICE_ONLY_RE = r"^(.*?):([^.]+)$"
-
 
 def path_candidates(p: Column) -> Column:
-    """Keys a mapping target may match, in the order the rules try them."""
+    """Keys a mapping target may match, in the order the rules try them.
+
+    The target itself; without bracket groups; without its first slice name
+    (``a:s.b`` gives ``a.b``, then ``a``); up to a slice name that ends it
+    (``a.b:s`` gives ``a.b``).
+    """
     simple = F.regexp_replace(p, r"\[.*?\]", "")
-    has_suffix = simple.rlike(SLICE_SUFFIX_RE)
-    has_only = simple.rlike(SLICE_ONLY_RE)
-    return F.filter(
-        F.array(
-            p,
-            F.when(simple != p, simple),
-            F.when(has_suffix, F.concat(F.regexp_extract(simple, SLICE_SUFFIX_RE, 1), F.lit("."),
-                                        F.regexp_extract(simple, SLICE_SUFFIX_RE, 3))),
-            F.when(has_suffix, F.regexp_extract(simple, SLICE_SUFFIX_RE, 1)),
-            F.when(has_only, F.regexp_extract(simple, SLICE_ONLY_RE, 1)),
-        ),
-        lambda x: x.isNotNull(),
-    )
+    colon = F.instr(simple, ":")
+    owner = F.substring_index(simple, ":", 1)
+    sliced = F.when(colon > 0, simple.substr(colon + 1, F.length(simple)))
+    dot = F.instr(sliced, ".")
+    below = dot > 1  # a slice name, then more of the path
+    last = F.substring_index(simple, ".", -1)
+    mark = F.instr(last, ":")
+    ends = (mark > 0) & (mark < F.length(last))
+    return F.array_compact(F.array(
+        p,
+        F.when(simple != p, simple),
+        F.when(below, F.concat(owner, sliced.substr(dot, F.length(sliced)))),
+        F.when(below, owner),
+        F.when(ends, simple.substr(F.lit(1), F.length(simple) - F.length(last) + mark - 1)),
+    ))
 
 
 def _invalid(name: Column, what: Column, url: Column) -> Column:

@@ -2,9 +2,9 @@
 
 A CODE_LOOKUP map in a mapping config is compiled into a literal map
 expression.  When the codes live in a table instead, the lookup is a left
-join plus a default.  The lookup side is broadcast only after its row count
-has been checked against a bound; above it the join falls back to a shuffle
-join planned by Catalyst/AQE (which also handles key skew).
+join plus a default.  Keys and codes are compared as the texts a config would
+hold, so a number matches the code that spells it.  Spark picks the join by the
+sizes it measures (``spark.sql.autoBroadcastJoinThreshold``, AQE, skew splits).
 """
 
 from __future__ import annotations
@@ -12,21 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+from weft.functions.coerce import js_string
+from weft.functions.paths import Val
 
 
 def code_lookup_table(df: DataFrame, key: str, codes: DataFrame, code_key: str, code_value: str,
-                      out: str, default=None, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Add ``out`` = codes[code_value] where codes[code_key] == df[key], else ``default``.
+                      out: str, default=None) -> DataFrame:
+    """Add ``out`` = codes[code_value] where codes[code_key] is the text of df[key], else ``default``.
     Duplicate code keys keep one value (first by value order) so rows never multiply."""
-    c = codes.groupBy(F.col(code_key).alias("_lk")).agg(F.min(code_value).alias("_lv"))
-    c = bounded_broadcast(c, max_broadcast_rows)
-    j = df.join(c, df[key] == c["_lk"], "left")
+    as_text = lambda d, c: js_string(Val(F.col(f"`{c}`"), d.schema[c].dataType))
+    c = codes.groupBy(as_text(codes, code_key).alias("_lk")).agg(F.min(F.col(f"`{code_value}`")).alias("_lv"))
+    j = df.withColumn("_key", as_text(df, key)).join(c, F.col("_key") == F.col("_lk"), "left")
     val = F.col("_lv") if default is None else F.coalesce(F.col("_lv"), F.lit(default))
-    return j.withColumn(out, val).drop("_lk", "_lv")
+    return j.withColumn(out, val).drop("_lk", "_lv", "_key")

@@ -36,9 +36,11 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8", app: str = "w
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; only when unset (tests,
     local runs) a scratch folder is chosen.  On a cluster the setting must name
-    shared storage."""
+    shared storage: executors don't see each other's local folders."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="weft-ckpt-", dir=os.environ.get("WEFT_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
