@@ -1,7 +1,7 @@
 """Driver-side path grammar (no Spark needed)."""
 
 from weft.functions.paths import Bad, Index, Name, Pred, base_path, parse_path, split_path
-from weft.functions.patterns import date_parse_pattern, js_regex_to_java
+from weft.functions.patterns import date_format_pattern, date_parse_pattern, date_token_error, js_regex_to_java
 
 
 def test_split_path_examples():
@@ -38,4 +38,8 @@ def test_base_path():
 def test_pattern_translation():
     assert date_parse_pattern("dd/MM/yyyy") == "d/M/y"
     assert js_regex_to_java("^\\d{11}$") == "^\\d{11}\\z"
+    assert date_parse_pattern("yyyyMMdd") == "yyyyMMdd"
+    assert date_format_pattern("do MMMM yyyy") == ["do", " MMMM yyyy"]
+    assert date_token_error("DD/MM/YYYY", False) == "DD" and date_token_error("yyyy-MM-dd'T'HH:mm", True) is None
     assert js_regex_to_java("[$]a\\$") == "[$]a\\$"
+    assert js_regex_to_java("^[[]a{x}b{2}$") == "^[\\[]a\\{x\\}b{2}\\z"

@@ -84,6 +84,11 @@ def parse_path(path: str | None) -> list[Segment]:
     return segs
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def base_path(path: str) -> str:
     """Text before the first ``[``."""
     return path.split("[")[0]

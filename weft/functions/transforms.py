@@ -13,6 +13,7 @@ a builder may return a ``pandas_udf`` column when no native expression fits.
 
 from __future__ import annotations
 
+import zlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from weft.functions.coerce import is_js_string, js_string, literal_val
 from weft.functions.paths import Val, get_value
-from weft.functions.patterns import date_format_pattern, date_parse_pattern
+from weft.functions.patterns import date_format_pattern, date_parse_pattern, date_token_error, has_token
 
 # Messages as the reference words them.
 MSG_DATE_DETAILS = "Invalid details for DATE_FORMAT"
@@ -99,8 +100,19 @@ def format_date(value: Val, details: Any, ctx: Context) -> tuple[Val, Column]:
         return value, _no_error()
     text = js_string(value)
     applies = is_js_string(value) & (text != "")
-    ts = F.try_to_timestamp(text, F.lit(date_parse_pattern(str(d["inputFormat"]))))
-    out = F.date_format(ts, date_format_pattern(str(d["outputFormat"])))
+    source, target = str(d["inputFormat"]), str(d["outputFormat"])
+    for pattern, formatting in ((source, False), (target, True)):
+        bad = date_token_error(pattern, formatting)
+        if bad:  # known before any record is read: an error of each record it applies to, not of the job
+            return value, F.when(applies, F.lit(f"Error formatting date: unsupported token `{bad}` in `{pattern}`"))
+    plain = F.regexp_replace(text, r"(\d)(?:st|nd|rd|th)", "$1") if has_token(source, "do") else text
+    ts = F.try_to_timestamp(plain, F.lit(date_parse_pattern(source)))
+    if has_token(source, "yy"):  # the year that ends so within fifty years from now
+        ts = F.when(F.year(ts) > F.year(F.current_date()) + 50, F.add_months(ts, -1200).cast("timestamp") + (ts - ts.cast("date"))).otherwise(ts)
+    ts = F.when(F.year(ts) <= 9999, ts)
+    day = F.dayofmonth(ts)
+    ending = F.when(day.between(11, 13), "th").when(day % 10 == 1, "st").when(day % 10 == 2, "nd").when(day % 10 == 3, "rd").otherwise("th")
+    out = F.concat(*[F.concat(day.cast("string"), ending) if x == "do" else F.date_format(ts, x) for x in date_format_pattern(target)])
 
     def msg(result: Column) -> Column:
         # the parse runs once: a string that applied and came out null failed
@@ -175,6 +187,10 @@ _KIND_TYPE = {
 }
 
 
+#: More codes than this are looked up by hash.
+_WIDE_MAP = 32
+
+
 def code_lookup(value: Val, details: Any, ctx: Context) -> tuple[Val, Column]:
     """Look the value's text up in the configured map.
 
@@ -189,7 +205,18 @@ def code_lookup(value: Val, details: Any, ctx: Context) -> tuple[Val, Column]:
     has_default = "defaultValue" in d
     kind = _common_literal_type(list(table.values()) + ([d["defaultValue"]] if has_default else []))
     key = F.coalesce(js_string(value), F.lit("undefined"))
-    if table:
+    values = list(table.values())
+    if len(table) > _WIDE_MAP and kind != "variant" and None not in values:
+        # codes lie in buckets by hash, so a look-up reads a few of them however many there are;
+        # the buckets are one constant, read once when the plan is made
+        buckets: list[dict] = [{} for _ in range(len(table) // 4)]
+        for k, v in table.items():
+            buckets[zlib.crc32(str(k).encode()) % len(buckets)][str(k)] = v
+        schema = T.ArrayType(T.MapType(T.StringType(), _KIND_TYPE[kind]))
+        m = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), schema)
+        hit = F.try_element_at(F.get(m, F.crc32(key.cast("binary")) % len(buckets)), key)
+        found = hit.isNotNull()
+    elif table:
         m = F.create_map(*[c for k, v in table.items() for c in (F.lit(str(k)), _typed_lit(v, kind))])
         found = F.map_contains_key(m, key)
         hit = F.try_element_at(m, key)

@@ -1,7 +1,7 @@
 """Mapping check (J5, J6, J7, C7, C8, A3) as joins over the control tables.
 
 Every configuration is checked against the newest definition matching its
-url or resource type.  All three rules become equi-joins on exploded keys,
+url or resource type.  The rules are equi-joins on a config's keys,
 so no rule pairs every mapping with every element:
 
 * J5 path existence — each target yields up to five candidate keys (C7);
@@ -9,8 +9,8 @@ so no rule pairs every mapping with every element:
 * J6 fixed-value conflict — each element yields its path and every prefix
   ending before a ``:`` (slice), so "equal or starts with ``full:``" is an
   equality; the first element in document order wins.
-* J7 mandatory coverage — each target yields all its prefixes, so "some
-  target starts with the element's base path" is an equality.
+* J7 mandatory coverage — each element meets the targets of its config, as
+  one array, and looks for one that starts with its base path.
 
 The result lists every violation with a ``rank``; ``rank = 1`` is the one
 the reference would raise first.
@@ -94,11 +94,16 @@ def check_mappings(configs: DataFrame, field_mappings: DataFrame, definitions: D
     n_el = ce.groupBy("cfg_id").agg(F.count(F.lit(1)).alias("n_el"))
 
     # missing definition (or no elements) → one violation, nothing else checked
+    url, type_ = F.expr("nullif(sd_url, '')"), F.expr("nullif(rt, '')")
     no_def = cfg_all.join(n_el, "cfg_id", "left_anti").select(
-        "cfg_id", "cfg_name", F.lit(0).alias("phase"), F.lit(0).alias("ordinal"), F.lit("definition").alias("kind"),
-        F.concat(F.lit("Required StructureDefinition '"),
-                 F.coalesce(F.col("sd_url"), F.concat(F.lit("type '"), F.col("rt"), F.lit("'"))),
-                 F.lit("' has not been processed or was not found in the database.")).alias("message"))
+        "cfg_id", "cfg_name", F.lit(0).alias("phase"), F.lit(0).alias("ordinal"),
+        F.when(url.isNull() & type_.isNull(), F.lit("incomplete")).otherwise(F.lit("definition")).alias("kind"),
+        F.coalesce(
+            F.concat(F.lit("Required StructureDefinition '"), F.coalesce(url, F.concat(F.lit("type '"), type_, F.lit("'"))),
+                     F.lit("' has not been processed or was not found in the database.")),
+            F.concat(F.lit("Mapping configuration '"), F.col("cfg_name"),
+                     F.lit("' is incomplete for validation (missing structureDefinitionUrl and fhirResourceType).")),
+        ).alias("message"))
 
     fm = field_mappings.select(F.col("mappingConfigurationId").alias("cfg_id"), "ordinal",
                                F.col("targetFhirPath").alias("target"), "transformationType", "transformationDetails")
@@ -114,10 +119,8 @@ def check_mappings(configs: DataFrame, field_mappings: DataFrame, definitions: D
                  F.col("def_url")).alias("message"))
 
     # J6 fixed-value conflict: equality on (path | each prefix before a ':')
-    colon_prefixes = F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.length("path"), F.lit(1))),
-                 lambda i: F.substring(F.col("path"), i, 1) == ":"),
-        lambda i: F.substring(F.col("path"), 1, i - 1))
+    parts = F.split("path", ":")
+    colon_prefixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), ":"))).otherwise(F.array().cast("array<string>"))
     el_keys = ce.select("cfg_id", "ordinal", "fixedValue", "fixedValueType", "dataTypes",
                         F.explode(F.array_union(F.array(F.col("path")), colon_prefixes)).alias("full")) \
         .withColumnRenamed("ordinal", "el_ordinal")
@@ -134,15 +137,15 @@ def check_mappings(configs: DataFrame, field_mappings: DataFrame, definitions: D
         "cfg_id", "cfg_name", F.lit(1).alias("phase"), "ordinal", F.lit("fixed").alias("kind"),
         _invalid(F.col("cfg_name"), F.concat(F.lit("Path '"), F.col("target"), F.lit("'")), F.col("def_url")).alias("message"))
 
-    # J7 mandatory coverage (map-in only): equality on every prefix of every target
-    prefixes = m.where(F.col("target").isNotNull() & (F.length("target") > 0)).select(
-        "cfg_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("target")),
-                                        lambda i: F.substring(F.col("target"), 1, i))).alias("base")).distinct()
+    # J7 mandatory coverage (map-in only): some target of the config starts with
+    # the element's base path; a config's targets are as many as its field mappings
+    targets = m.where(F.col("target").isNotNull() & (F.length("target") > 0)).groupBy("cfg_id").agg(F.collect_set("target").alias("targets"))
     mand = ce.where((F.col("direction") == "TO_FHIR") & (F.coalesce(F.col("cardinalityMin"), F.lit(0)) >= 1)
                     & F.col("fixedValue").isNull()
                     & (F.col("rel") != "") & (F.col("path") != F.col("rt")) & F.col("defaultValue").isNull())
     mand = mand.withColumn("base", F.split_part(F.col("rel"), F.lit("["), F.lit(1)))
-    bad_mand = mand.join(prefixes, ["cfg_id", "base"], "left_anti").select(
+    uncovered = ~F.coalesce(F.exists("targets", lambda t: t.startswith(F.col("base"))), F.lit(False))
+    bad_mand = mand.join(targets, "cfg_id", "left").where(uncovered).select(
         "cfg_id", "cfg_name", F.lit(2).alias("phase"), "ordinal", F.lit("mandatory").alias("kind"),
         _invalid(F.col("cfg_name"), F.concat(F.lit("Mandatory element '"), F.col("rel"), F.lit("'")),
                  F.col("def_url")).alias("message"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions.coerce import is_blank, is_missing, is_undef, js_string, json_text, literal_val, parse_stored
-from weft.functions.paths import Val, base_path, get_path, get_value, parse_path
+from weft.functions.paths import Val, base_path, get_path, get_value, parse_path, column
 from weft.functions.transforms import Context, lookup_transformation
 from weft.functions.validations import lookup_validation
 from weft.plans.config import MappingConfig, Profile
@@ -79,13 +79,13 @@ def record_root(df: DataFrame, variant_col: str | None = None) -> Val:
     if variant_col is not None:
         return Val(F.col(variant_col), T.VariantType())
     cols = _record_columns(df)
-    return Val(F.struct(*[F.col(c) for c in cols]), T.StructType([df.schema[c] for c in cols]))
+    return Val(F.struct(*[column(c) for c in cols]), T.StructType([df.schema[c] for c in cols]))
 
 
 def original_json(df: DataFrame, variant_col: str | None = None) -> Column:
     if variant_col is not None:
         return F.to_json(F.col(variant_col))
-    return F.to_json(F.struct(*[F.col(c) for c in _record_columns(df)]))
+    return F.to_json(F.struct(*[column(c) for c in _record_columns(df)]))
 
 
 @dataclass
@@ -147,7 +147,7 @@ def map_in(
                 if p not in bound:
                     v = get_value(root, p)
                     bound[p] = v if v.undefined else bind(f"_c{len(bound)}", v)
-    df1 = df.select(*[F.col(c) for c in cols], *s1)
+    df1 = df.select(*[column(c) for c in cols], *s1)
     root1 = record_root(df, variant_col)
     ctx = Context(record=root1, bound=bound)
 
@@ -200,7 +200,7 @@ def map_in(
         pl["final"] = final
         plans[i] = pl
     bound_cols = [n for n in df1.columns if n not in cols]
-    df2a = df1.select(*[F.col(c) for c in cols], *[F.col(n) for n in bound_cols], *s2)
+    df2a = df1.select(*[column(c) for c in cols], *[F.col(n) for n in bound_cols], *s2)
 
     # ---- stage 2b: one error struct per field mapping (first failing step wins)
     s3 = []
@@ -242,7 +242,7 @@ def map_in(
             s3.append(F.lit(None).cast(ERROR_TYPE).alias(f"_e{i}"))
         if not pl["final"].undefined:
             finals[i] = pl["final"]
-    df2 = df2a.select(*[F.col(c) for c in cols], *[F.col(f"_t{i}") for i in finals], *s3)
+    df2 = df2a.select(*[column(c) for c in cols], *[F.col(f"_t{i}") for i in finals], *s3)
 
     # ---- stage 3: assemble the resource and collect errors
     tree = TargetTree(profile.complete, rt)
@@ -309,7 +309,7 @@ def map_in(
     sys_col = sys_error if sys_error is not None else F.lit(False)
     corrupt = CORRUPT in cols  # rows the reader could not parse (R6 / X4 route mode)
     carry = cols if keep_original else [c for c in cols if c in keep or c == CORRUPT]
-    df3 = df2.select(*[F.col(c) for c in carry], item.col.alias("_item"), errs.alias("_errors"),
+    df3 = df2.select(*[column(c) for c in carry], item.col.alias("_item"), errs.alias("_errors"),
                      sys_col.alias("_sys"))
 
     # ---- stage 4: mandatory check on clean records, system errors
@@ -351,7 +351,7 @@ def map_in(
             sys_struct = error_struct(None, SYSTEM_TARGET, orig_now, "Transformation", MSG_NO_TYPE, None)
             expr = expr.when(F.col("_sys"), F.array(sys_struct))
         final_errors = expr.otherwise(other)
-    df4 = df3.select(*[F.col(c) for c in carry], F.col("_item"), final_errors.alias("_final_errors"))
+    df4 = df3.select(*[column(c) for c in carry], F.col("_item"), final_errors.alias("_final_errors"))
     # ---- stage 5: the input record as JSON, built only for error rows
     orig = original_json(df, variant_col) if keep_original else F.lit(None).cast("string")
     errors_out = F.col("_final_errors")
@@ -362,7 +362,7 @@ def map_in(
         errors_out = F.when(bad, F.array(malformed)).otherwise(errors_out)
         orig = F.when(bad, F.col(CORRUPT)).otherwise(orig)
     out = df4.select(
-        *[F.col(c) for c in keep],
+        *[column(c) for c in keep],
         F.when(~F.col(CORRUPT).isNotNull(), F.col("_item")).alias("item") if corrupt else F.col("_item").alias("item"),
         errors_out.alias("errors"),
         F.when(F.size(errors_out) > 0, orig).alias("original"),

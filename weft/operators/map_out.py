@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions.coerce import js_string, json_text
-from weft.functions.paths import Val, get_value, parse_path
+from weft.functions.paths import Val, get_value, parse_path, column
 from weft.operators.map_in import ERROR_TYPE, error_struct, original_json, record_root
 from weft.plans.config import MappingConfig
 from weft.plans.tree import TargetTree, _combine
@@ -103,7 +103,7 @@ def map_out(df: DataFrame, cfg: MappingConfig, variant_col: str | None = None,
     errors = F.when(type_ok, F.array().cast(T.ArrayType(ERROR_TYPE))).otherwise(F.array(f1))
     orig = original_json(df, variant_col) if keep_original else F.lit(None).cast("string")
     out = (
-        df.select(*[F.col(c) for c in keep],
+        df.select(*[column(c) for c in keep],
                   F.when(type_ok, item.col).alias("item"), errors.alias("errors"),
                   F.when(~type_ok, orig).alias("original"), (type_ok & present).alias("_present"))
         .where(~type_ok | F.col("_present"))  # F2

@@ -99,7 +99,11 @@ def write_csv(result: DataFrame, path: str, columns: list[str] | None = None, mo
     """K3: data items flattened to CSV with a header; error items skipped.
     ``columns`` restricts/orders the header (the reference takes it from the
     first record; here the schema gives it deterministically)."""
+    from weft.functions.coerce import js_number
+
     flat = flatten(result.where(F.size("errors") == 0))
+    flat = flat.select(*[js_number(F.col(f"`{f.name}`")).alias(f.name) if f.dataType in (T.DoubleType(), T.FloatType()) else F.col(f"`{f.name}`")
+                         for f in flat.schema.fields])
     if columns is not None:
         flat = flat.select(*[F.col(f"`{c}`") if c in flat.columns else F.lit(None).cast("string").alias(c)
                              for c in columns])
