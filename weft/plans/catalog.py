@@ -1159,3 +1159,134 @@ def q_set_replay_order(spark, sf):
             fm(3, "cns", "identifier.type"))
     r = map_in(c, m, keep=("c_custkey",), keep_original=False)
     return r.df.select("c_custkey", F.to_json("item.identifier").alias("identifier_json"))
+
+
+# --- input shapes, patterns and look-ups beyond the plain ones ---
+
+def _dates(spark, sf, shown: str, source: str, target: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", shown).alias("d"))
+    c = cfg("Dates", "Encounter", fm(0, "d", "period.start", None, None, "FORMAT_DATE", {"inputFormat": source, "outputFormat": target}))
+    p = map_in(o, c, keep=("o_orderkey",), keep_original=False)
+    return p.df.select("o_orderkey", F.col("item.period.start").alias("value"), F.get("errors", 0)["message"].alias("message"))
+
+
+@register("format_date_compact", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS value, CAST(NULL AS VARCHAR) AS message FROM orders""")
+def q_format_date_compact(spark, sf):
+    """Numbers that touch are parted by their widths."""
+    return _dates(spark, sf, "yyyyMMdd", "yyyyMMdd", "yyyy-MM-dd")
+
+
+@register("format_date_two_digit_year", """
+SELECT o_orderkey, CASE WHEN y > year(current_date) + 50 THEN y - 100 ELSE y END || strftime(o_orderdate, '-%m-%d') AS value,
+  CAST(NULL AS VARCHAR) AS message
+FROM (SELECT *, 2000 + CAST(strftime(o_orderdate, '%y') AS INTEGER) AS y FROM orders)""")
+def q_format_date_two_digit_year(spark, sf):
+    """A two-digit year is the one nearest to now."""
+    return _dates(spark, sf, "dd/MM/yy", "dd/MM/yy", "yyyy-MM-dd")
+
+
+@register("format_date_ordinal", """
+SELECT o_orderkey, d || CASE WHEN d BETWEEN 11 AND 13 THEN 'th' WHEN d % 10 = 1 THEN 'st' WHEN d % 10 = 2 THEN 'nd' WHEN d % 10 = 3 THEN 'rd' ELSE 'th' END
+  || strftime(o_orderdate, ' %B %Y') AS value, CAST(NULL AS VARCHAR) AS message
+FROM (SELECT *, day(o_orderdate) AS d FROM orders)""")
+def q_format_date_ordinal(spark, sf):
+    return _dates(spark, sf, "yyyy-MM-dd", "yyyy-MM-dd", "do MMMM yyyy")
+
+
+@register("format_date_bad_pattern", """
+SELECT o_orderkey, CAST(NULL AS VARCHAR) AS value, 'Error formatting date: unsupported token `DD` in `DD/MM/YYYY`' AS message FROM orders""")
+def q_format_date_bad_pattern(spark, sf):
+    """A pattern that can't be used is an error of each record, not of the job."""
+    return _dates(spark, sf, "dd/MM/yyyy", "DD/MM/YYYY", "yyyy-MM-dd").withColumn("value", F.lit(None).cast("string"))
+
+
+@register("regex_syntax", r"""
+SELECT page_id, CASE WHEN NOT regexp_matches(url, '^ht{2}ps?://[^\s\[]+e\d$')
+  THEN 'Value ''' || url || ''' does not match pattern /^ht{2}ps?://[^\s[]+e\d$/.' END AS message FROM pages""")
+def q_regex_syntax(spark, sf):
+    """V2: a bracket inside a class is a character."""
+    return _validate(spark, sf, "pages", "page_id", "url", "REGEX", {"pattern": r"^ht{2}ps?://[^\s[]+e\d$"})
+
+
+@register("csv_records", """
+SELECT c_custkey, 'He said "' || c_name || '",' || chr(10) || 'then left' AS text, c_custkey % 5 = 4 AS bad FROM customer WHERE c_custkey % 5 <> 4
+UNION ALL SELECT NULL, NULL, TRUE FROM customer WHERE c_custkey % 5 = 4""")
+def q_csv_records(spark, sf):
+    """S1 over files: quoted line breaks and quotes; rows with a cell too many are reported."""
+    from weft.session import scratch_path
+    from weft.sources.records import read_csv_records
+
+    out = scratch_path(spark, f"csv_records-{uuid.uuid4().hex}")
+    said = F.concat(F.lit('He said "'), F.col("c_name"), F.lit('",\n'), F.lit("then left"))
+    cell = F.concat(F.lit('"'), F.replace(said, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), cell, F.when(F.col("c_custkey") % 5 == 4, F.lit("more")))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey"), line.alias("value"))
+    # each file: the header, then its rows
+    files = rows.groupBy(F.expr("c_custkey div 500").alias("f")).agg(F.concat_ws("\n", F.lit("id,text"), F.concat_ws("\n", F.collect_list("value"))).alias("value"))
+    files.select("f", "value").write.partitionBy("f").text(out)
+    recs = read_csv_records(spark, f"{out}/f=*")
+    r = F.col("record")
+    return recs.select(F.try_variant_get(r, "$.id", "bigint").alias("c_custkey"), F.try_variant_get(r, "$.text", "string").alias("text"),
+                       F.col("_corrupt_record").isNotNull().alias("bad"))
+
+
+@register("json_concatenated", """
+SELECT c_custkey, unnest([1, 2]) AS n, c_name AS name FROM customer""")
+def q_json_concatenated(spark, sf):
+    """Several values on a line are records of their own."""
+    from weft.session import scratch_path
+    from weft.sources.records import read_json_records
+
+    out = scratch_path(spark, f"json_concatenated-{uuid.uuid4().hex}")
+    c = table(spark, sf, "customer")
+    value = lambda n: F.to_json(F.struct(F.col("c_custkey").alias("k"), F.lit(n).alias("n"), F.concat(F.col("c_name"), F.lit("} {")).alias("name")))
+    c.select(F.concat(value(1), value(2)).alias("value")).write.text(out)
+    r = F.col("record")
+    recs = read_json_records(spark, out).where("_corrupt_record is null")
+    return recs.select(F.try_variant_get(r, "$.k", "bigint").alias("c_custkey"), F.try_variant_get(r, "$.n", "int").alias("n"),
+                       F.regexp_replace(F.try_variant_get(r, "$.name", "string"), r"\} \{$", "").alias("name"))
+
+
+@register("code_lookup_large", """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 3000 < 2500 THEN 'name of ' || l_partkey % 3000 ELSE 'none' END AS code FROM lineitem""")
+def q_code_lookup_large(spark, sf):
+    """T4 with thousands of codes: a look-up reads a few, however many there are."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 3000).alias("k"))
+    codes = {str(i): f"name of {i}" for i in range(2500)}
+    c = cfg("Codes", "Device", fm(0, "k", "code", None, None, "CODE_LOOKUP", {"map": codes, "defaultValue": "none"}))
+    p = map_in(li, c, keep=("l_orderkey", "l_linenumber"), keep_original=False)
+    return p.df.select("l_orderkey", "l_linenumber", F.col("item.code").alias("code"))
+
+
+@register("identifier_duplicates", """
+SELECT 'http://example.org/sd/part-' || p_partkey AS identifier, 'http://example.org/sd/part-' || p_partkey AS url, 1 AS one
+FROM part UNION ALL SELECT 'http://example.org/sd/part-' || p_partkey, 'http://example.org/sd/part-' || p_partkey, 1 FROM part""")
+def q_identifier_duplicates(spark, sf):
+    """C11: equal identifiers are rows of their own."""
+    from weft.operators.definitions import resolve_identifiers
+
+    ids = table(spark, sf, "part").select(F.concat(F.lit("http://example.org/sd/part-"), F.col("p_partkey").cast("string")).alias("identifier"))
+    return resolve_identifiers(ids.union(ids), _ingested(spark, sf).definitions).select("identifier", "url", F.lit(1).alias("one"))
+
+
+@register("store_twice", f"""
+SELECT {PART_URL} AS url, CAST(CASE WHEN p_size > 40 THEN 6 ELSE 12 END AS BIGINT) AS n_elements FROM part""")
+def q_store_twice(spark, sf):
+    """K6 + K7: an ingest stored twice is there once; elements appended stay
+    beside it, and after a delete only what is appended later is there."""
+    from weft.operators import definitions as d
+    from weft.session import scratch_path
+
+    root = scratch_path(spark, f"store-{uuid.uuid4().hex}")
+    r = _ingested(spark, sf)
+    d.store(r, root)
+    d.store(r, root)
+    defs, els = d.read_store(spark, root)
+    big = table(spark, sf, "part").where(F.col("p_size") > 40).select(
+        F.concat(F.lit("http://example.org/sd/part-"), F.col("p_partkey").cast("string")).alias("url"))
+    d.delete_elements(defs.join(big, "url", "left_semi").select(F.col("id").alias("structureDefinitionId")), root)
+    d.append_elements(r.elements, root)
+    defs, els = d.read_store(spark, root)
+    return els.join(defs.select(F.col("id").alias("structureDefinitionId"), "url"), "structureDefinitionId") \
+        .groupBy("url").agg(F.count(F.lit(1)).alias("n_elements"))
