@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from weft.operators.definitions import ingest
@@ -303,3 +304,27 @@ def test_whole_value_after_writes_below(spark):
     c = cfg("L", "Patient", fm(0, "t", "code.text"), fm(1, "c", "code"))
     rows = [json.loads(r.j)["code"] for r in map_in(df, c).df.select(F.to_json("item").alias("j")).collect()]
     assert rows == ["x", {"text": "t2"}]
+
+
+@pytest.mark.parametrize(("writes", "expected"), [
+    ([("obj", "code"), ("b", "code.coding[0].code")], {"code": {"text": "t", "coding": [{"code": "B"}]}}),
+    ([("obj", "code"), ("b", "code.coding.code")], {"code": {"text": "t", "coding": [{"code": "B"}]}}),
+    ([("a", "identifier[0].system"), ("b", "identifier[?system='A'].value")], {"identifier": [{"system": "A", "value": "B"}]}),
+    ([("a", "identifier[0].system"), ("b", "identifier[?system='cpf'].value")], {"identifier": [{"system": "A"}, {"system": "cpf", "value": "B"}]}),
+    ([("a", "identifier[?system='cpf'].value"), ("b", "identifier[0].type.coding[0].code")],
+     {"identifier": [{"system": "cpf", "value": "A", "type": {"coding": [{"code": "B"}]}}]}),
+    ([("a", "extension[0]"), ("b", "extension[1].url")], {"extension": ["A", {"url": "B"}]}),
+    ([("b", "extension[2].url"), ("a", "extension[0]")], {"extension": ["A", {}, {"url": "B"}]}),
+    ([("a", "extension[0]"), ("b", "extension.url")], {"extension": ["A"]}),
+    ([("arr", "telecom"), ("b", "telecom[1].use")], {"telecom": [{"value": "v"}, {"use": "B"}]}),
+    ([("arr", "telecom"), ("b", "telecom[?value='v'].use")], {"telecom": [{"value": "v", "use": "B"}]}),
+    ([("missing", "telecom"), ("b", "telecom[?value='v'].use")], {"telecom": [{"value": "v", "use": "B"}]}),
+    ([("a", "resourceType")], {"resourceType": "A"}),
+])
+def test_array_writes_in_any_order(spark, writes, expected):
+    from weft.plans.catalog import cfg, fm
+
+    df = spark.sql("SELECT 'A' AS a, 'B' AS b, named_struct('text', 't') AS obj, array(named_struct('value', 'v')) AS arr, cast(null AS array<struct<value:string>>) AS missing")
+    r = map_in(df, cfg("W", "Observation", *[fm(i, s, t) for i, (s, t) in enumerate(writes)]), keep_original=False)
+    got = json.loads(r.df.select(F.to_json("item").alias("j")).first().j)
+    assert {k: v for k, v in got.items() if k != "resourceType" or k in expected} == expected

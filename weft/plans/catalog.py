@@ -1290,3 +1290,42 @@ def q_store_twice(spark, sf):
     defs, els = d.read_store(spark, root)
     return els.join(defs.select(F.col("id").alias("structureDefinitionId"), "url"), "structureDefinitionId") \
         .groupBy("url").agg(F.count(F.lit(1)).alias("n_elements"))
+
+
+def _written(spark, sf, key: str, *writes) -> DataFrame:
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", F.struct(F.col("c_name").alias("text")).alias("whole"))
+    m = cfg("Writes", "Observation", *[fm(i, s, t) for i, (s, t) in enumerate(writes)])
+    r = map_in(c, m, keep=("c_custkey",), keep_original=False)
+    return r.df.select("c_custkey", F.to_json(f"item.{key}").alias("j"))
+
+
+@register("set_index_then_filter", """
+SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN '[{"system":"BUILDING","value":"' || c_name || '"}]'
+  ELSE '[{"system":"' || c_mktsegment || '"},{"system":"BUILDING","value":"' || c_name || '"}]' END AS j FROM customer""")
+def q_set_index_then_filter(spark, sf):
+    """P10, H3: a filter on the key an index wrote finds that element in some rows and makes one in others."""
+    return _written(spark, sf, "identifier", ("c_mktsegment", "identifier[0].system"), ("c_name", "identifier[?system='BUILDING'].value"))
+
+
+@register("set_mixed_slots", """
+SELECT c_custkey, '["' || c_name || '",{},{"url":"' || c_mktsegment || '"}]' AS j FROM customer""")
+def q_set_mixed_slots(spark, sf):
+    """Values and objects in one array."""
+    return _written(spark, sf, "extension", ("c_mktsegment", "extension[2].url"), ("c_name", "extension[0]"))
+
+
+@register("set_list_below_value", """
+SELECT c_custkey, '{"coding":[{"code":"' || c_mktsegment || '"}],"text":"' || c_name || '"}' AS j FROM customer""")
+def q_set_list_below_value(spark, sf):
+    """A list below an object that was written whole."""
+    return _written(spark, sf, "code", ("whole", "code"), ("c_mktsegment", "code.coding[0].code"))
+
+
+@register("set_resource_type", """
+SELECT c_custkey, '"' || c_mktsegment || '"' AS j FROM customer""")
+def q_set_resource_type(spark, sf):
+    """A write to resourceType replaces the stamp."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    r = map_in(c, cfg("Type", "Observation", fm(0, "c_mktsegment", "resourceType")), keep=("c_custkey",), keep_original=False)
+    whole = F.to_json("item")
+    return r.df.select("c_custkey", F.regexp_extract(whole, r'^\{"resourceType":("[^"]*")\}$', 1).alias("j"))

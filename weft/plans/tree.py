@@ -81,6 +81,8 @@ class Arr:
     marks: list[Mark] = field(default_factory=list)
     pad_null: bool = False  # plain nested set leaves holes (JSON null), the FHIR writer pads {}
     log: list = field(default_factory=list)  # every write reaching this array, in order
+    path: str = ""  # full path of the array
+    choose: object = None  # container choice (P12): (full path, name, next segment) -> array?
 
 
 @dataclass
@@ -95,6 +97,9 @@ class Hybrid:
     patches: list = field(default_factory=list)  # (ordinal, cond, segments, value)
     marks: list[Mark] = field(default_factory=list)
     late: Leaf = field(default_factory=Leaf)  # whole-value writes after the writes below
+    path: str = ""
+    choose: object = None
+    pad_null: bool = False
 
 
 Node = Leaf | Obj | Arr | Hybrid
@@ -232,6 +237,9 @@ class TargetTree:
             return bool(m) and int(m.group(0)) > 1
         return name in LIST_NAMES
 
+    def _array(self, full: str) -> Arr:
+        return Arr(pad_null=not self.heuristics, path=full, choose=self._as_array)
+
     def set(self, segments: list[Segment], value: Val, cond: Column, ordinal: int) -> None:
         """Register ``setValue(record, path, value)`` firing when ``cond``."""
         if not segments or value.dtype is None:
@@ -261,8 +269,8 @@ class TargetTree:
             child.marks.append(Mark(ordinal, cond))
             return
         if isinstance(child, Leaf):  # P8: writes below a value written earlier
-            fresh = Arr(pad_null=not self.heuristics) if self._as_array(full, key, rest[0]) else Obj()
-            child = node.children[key] = Hybrid(child, fresh, marks=list(child.marks))
+            fresh = self._array(full) if self._as_array(full, key, rest[0]) else Obj()
+            child = node.children[key] = Hybrid(child, fresh, marks=list(child.marks), path=full, choose=self._as_array, pad_null=not self.heuristics)
         if isinstance(child, Hybrid):
             if child.late.writes:
                 raise CompileError(f"path '{full}' is written below a value that replaced earlier writes")
@@ -275,7 +283,7 @@ class TargetTree:
                 self._set_arr(target, rest, value, cond, ordinal, full)
             return
         if child is None:
-            child = Arr(pad_null=not self.heuristics) if self._as_array(full, key, rest[0]) else Obj()
+            child = self._array(full) if self._as_array(full, key, rest[0]) else Obj()
             node.children[key] = child
         if isinstance(child, Obj):
             self._set_obj(child, rest, value, cond, ordinal, full)
@@ -287,6 +295,9 @@ class TargetTree:
         if isinstance(seg, Bad):
             return
         node.log.append((ordinal, cond, seg, rest, value))
+        if node.mode == "replay":
+            node.marks.append(Mark(ordinal, cond))
+            return
         runtime_order = (
             node.mode == "seq"
             # an index after a filter write may land on a filter-created element
@@ -310,7 +321,8 @@ class TargetTree:
             if isinstance(slot, Leaf) != want_leaf or any(
                 isinstance(s, Leaf) != want_leaf for s in node.slots.values()
             ):
-                raise CompileError(f"array '{prefix}' holds both values and objects")
+                node.mode = "replay"  # values and objects in one array
+                return
             if want_leaf:
                 slot.writes.append((ordinal, cond, value))
                 slot.marks.append(Mark(ordinal, cond))
@@ -324,7 +336,9 @@ class TargetTree:
                 # slot carries the filter key, so the filter can only match
                 # elements it created itself, appended after the index slots
                 if any(isinstance(sl, Leaf) or seg.key in sl.children for sl in node.slots.values()):
-                    raise CompileError(f"array '{prefix}': filter [?{seg.key}=...] may match an index slot")
+                    node.mode = "replay"  # the filter may match an index slot, by row
+                    node.marks.append(Mark(ordinal, cond))
+                    return
                 node.mode = "mixed"
             elif node.mode is None:
                 node.mode = "pred"
@@ -358,9 +372,10 @@ class TargetTree:
             node.anon.marks.append(Mark(ordinal, c))
             self._set_obj(node.anon, segs, value, c, ordinal, prefix)
             return
-        node.mode = "index"
         if any(isinstance(s, Leaf) for s in node.slots.values()):
-            raise CompileError(f"array '{prefix}' holds both values and objects")
+            node.mode = "replay"
+            return
+        node.mode = "index"
         top = max(node.slots) if node.slots else 0
         for i in range(0, top + 1):
             if i == 0:
@@ -381,10 +396,17 @@ class TargetTree:
 
     def build(self, cutoff: int | None = None, head: list[tuple[str, Val]] = ()) -> Val:
         """The record as a struct Val; ``head`` fields come first (e.g. resourceType)."""
-        parts = [(k, v) for k, v in head]
+        parts = list(head)
+        heads = [k for k, _ in head]
         for k, child in self.root.children.items():
             v = _build(child, cutoff)
-            if v is not None:
+            if v is None:
+                continue
+            if k in heads:  # a write to a head field replaces it where it fires
+                at = heads.index(k)
+                own, given = _combine([v, parts[at][1]])
+                parts[at] = (k, Val(F.coalesce(own.col, given.col), own.dtype))
+            else:
                 parts.append((k, v))
         if not parts:
             return Val(F.struct(F.lit(None).cast("string").alias("_empty")), T.StructType([T.StructField("_empty", T.StringType())]))
@@ -414,32 +436,87 @@ def _to_variant(v: Val) -> Column:
     return v.col.cast(T.VariantType())
 
 
-def _vset(x: Column, segs, value: Column) -> Column:
-    """``setValue`` on a VARIANT per row: into an object, into every object of an
-    array (a new element when empty), or a new object in place of a scalar."""
-    seg = segs[0]
-    if not isinstance(seg, (Name, Index)):
-        raise CompileError("only name steps may follow a value written as a whole")
-    name = F.lit(seg.name if isinstance(seg, Name) else str(seg.index))
+def _bound(x: Column, use) -> Column:
+    """``use(x)`` with ``x`` evaluated once."""
+    return F.get(F.transform(F.array(x), lambda y: use(y)), 0)
+
+
+def _is(x: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(x).startswith(kind), F.lit(False))
+
+
+def _vset(x: Column, segs, value: Column, choose, full: str, pad_null: bool) -> Column:
+    """``setValue`` per row on a VARIANT container ``x``, for any steps: an index
+    pads and writes its slot, a filter finds or appends its element, a name
+    writes into an object or into every object of an array (a new one when
+    it is empty); missing and scalar parents become the container of P12."""
+    seg, rest = segs[0], segs[1:]
+    new_object, null = F.parse_json(F.lit("{}")), F.parse_json(F.lit("null"))
 
     def into_object(o: Column) -> Column:
-        m = F.try_variant_get(o, "$", "map<string,variant>")
-        child = value if len(segs) == 1 else _vset(F.try_element_at(m, name), segs[1:], value)
-        kept = F.map_filter(m, lambda k, _: k != name)
-        return F.to_variant_object(F.map_concat(kept, F.create_map(name, child)))
+        if isinstance(seg, Pred):
+            return o
+        key = seg.name if isinstance(seg, Name) else str(seg.index) if isinstance(seg, Index) else seg.text
+        below = f"{full}.{key}" if full else key
+        fields = F.try_variant_get(o, "$", "map<string,variant>")
+        if not rest:
+            child = value
+        else:
+            made = F.parse_json(F.lit("[]" if choose(below, key, rest[0]) else "{}"))
+            now = F.try_element_at(fields, F.lit(key))
+            child = _bound(F.when(_is(now, "OBJECT") | _is(now, "ARRAY"), now).otherwise(made), lambda c: _vset(c, rest, value, choose, below, pad_null))
+        return F.to_variant_object(F.map_concat(F.map_filter(fields, lambda k, _: k != key), F.create_map(F.lit(key), child)))
+
+    def below_element(e: Column, place: str) -> Column:
+        return _bound(F.when(_is(e, "OBJECT"), e).otherwise(new_object), lambda o: _vset(o, rest, value, choose, place, pad_null))
+
+    def into_array(a: Column) -> Column:
+        if isinstance(seg, Index):
+            i = seg.index
+            filler = new_object if rest and not pad_null else null
+            padded = F.concat(a, F.array_repeat(filler, F.greatest(F.lit(i + 1) - F.size(a), F.lit(0))))
+            return F.transform(padded, lambda e, j: F.when(j == i, below_element(e, f"{full}[{i}]") if rest else value).otherwise(e))
+        if isinstance(seg, Pred):
+            place = f"{full}[?{seg.key}='{seg.value}']"
+            same = lambda e: F.coalesce(_is(e, "OBJECT") & (F.element_at(F.try_variant_get(e, "$", "map<string,variant>"), F.lit(seg.key)).cast("string") == seg.value), F.lit(False))
+            made = F.to_variant_object(F.create_map(F.lit(seg.key), F.lit(seg.value).cast(T.VariantType())))
+            hit = F.array_position(F.transform(a, same), True)
+            into = (lambda e: below_element(e, place)) if rest else (lambda e: e)
+            return F.when(hit > 0, F.transform(a, lambda e, j: F.when(j == hit - 1, into(e)).otherwise(e))).otherwise(F.concat(a, F.array(into(made))))
+        if isinstance(seg, Name):
+            some = F.when(F.size(a) == 0, F.array(new_object)).otherwise(a)
+            return F.transform(some, lambda e: F.when(_is(e, "OBJECT"), into_object(e)).otherwise(e))
+        return a
+
+    listed = F.try_variant_get(x, "$", "array<variant>")
+    return F.when(_is(x, "ARRAY"), F.to_variant_object(_bound(listed, into_array))).otherwise(into_object(x))
+
+
+def _build_replay(node: Arr, cutoff) -> Val | None:
+    """An array whose writes don't fit one element type, or meet each other by row:
+    its write log applied in order to a VARIANT array."""
+    entries = [e for e in node.log if cutoff is None or e[0] < cutoff]
+    if not entries:
+        return None
+    acc, fired = F.parse_json(F.lit("[]")), None
+    for _, c, seg, rest, value in entries:
+        def step(a, c=c, segs=[seg, *rest], value=value):
+            return F.when(c, _vset(a, segs, _to_variant(value), node.choose, node.path, node.pad_null)).otherwise(a)
+
+        acc = _bound(acc, step)
+        fired = c if fired is None else fired | c
+    return Val(F.when(fired, acc), T.VariantType())
 
-    def fresh() -> Column:
-        child = value if len(segs) == 1 else _vset(F.lit(None).cast(T.VariantType()), segs[1:], value)
-        return F.to_variant_object(F.create_map(name, child))
 
-    kind = F.schema_of_variant(x)
-    arr = F.try_variant_get(x, "$", "array<variant>")
-    each = F.transform(arr, lambda e: F.when(F.schema_of_variant(e).startswith("OBJECT"), into_object(e)).otherwise(e))
-    return (F.when(x.isNull(), fresh())
-            .when(kind.startswith("OBJECT"), into_object(x))
-            .when(kind.startswith("ARRAY"), F.when(F.size(arr) == 0, F.to_variant_object(F.array(fresh())))
-                  .otherwise(F.to_variant_object(each)))
-            .otherwise(fresh()))
+def _plain_names(segs, choose, full: str) -> bool:
+    """Whether all steps are names and every container between them an object."""
+    for i, seg in enumerate(segs):
+        if not isinstance(seg, Name):
+            return False
+        full = f"{full}.{seg.name}"
+        if i + 1 < len(segs) and choose(full, seg.name, segs[i + 1]):
+            return False
+    return True
 
 
 def _patch(v: Val, segs, value: Val, cond: Column) -> Val:
@@ -474,8 +551,6 @@ def _patch(v: Val, segs, value: Val, cond: Column) -> Val:
         st = T.StructType(fields)
         patched = v.col.withField(name, new.col)
         return Val(F.when(v.col.isNull(), conform(fresh.col, fresh.dtype, st)).otherwise(patched), st)
-    if isinstance(dt, T.VariantType):
-        return Val(F.when(cond, _vset(v.col, segs, _to_variant(value))).otherwise(v.col), dt)
     raise CompileError("a value written as a whole can only be extended when it is an object or array of objects")
 
 
@@ -509,9 +584,23 @@ def _build_hybrid(node: Hybrid, cutoff: int | None) -> Val | None:
             fired = fired | c
         a, b = _combine([leaf, fresh])
         return Val(F.when(F.coalesce(fired, F.lit(False)), b.col).otherwise(a.col), a.dtype)
-    patched = leaf
-    for o, c, segs, value in active:
-        patched = _patch(patched, segs, value, c)
+    struct_like = isinstance(leaf.dtype, (T.StructType, T.ArrayType))
+    if struct_like and all(_plain_names(segs, node.choose, node.path) for _, _, segs, _ in active):
+        patched = leaf
+        for _, c, segs, value in active:
+            patched = _patch(patched, segs, value, c)
+    else:  # indexes, filters or lists below the value: write into it per row
+        name = node.path.rsplit(".", 1)[-1]
+        col = _to_variant(leaf)
+        for _, c, segs, value in active:
+            made = F.parse_json(F.lit("[]" if node.choose(node.path, name, segs[0]) else "{}"))
+
+            def step(x, c=c, segs=segs, value=value, made=made):
+                base = F.when(_is(x, "OBJECT") | _is(x, "ARRAY"), x).otherwise(made)
+                return F.when(c, _bound(base, lambda y: _vset(y, segs, _to_variant(value), node.choose, node.path, node.pad_null))).otherwise(x)
+
+            col = _bound(col, step)
+        patched = Val(col, T.VariantType())
     if fresh is None:
         return patched
     dt = unify([patched.dtype, fresh.dtype])
@@ -645,6 +734,10 @@ def _build_seq(node: Arr, cutoff) -> Val | None:
     entries = [e for e in node.log if cutoff is None or e[0] < cutoff]
     if not entries:
         return None
+    # values as elements, and lists below an element, need the general form
+    steps = [([seg, *rest] if isinstance(seg, Name) else list(rest), seg) for _, _, seg, rest, _ in entries]
+    if any(not segs and not isinstance(seg, Pred) for segs, seg in steps) or any(not _plain_names(segs, node.choose, node.path) for segs, _ in steps):
+        return _build_replay(node, cutoff)
     types, seqs = [], []
     for _, _, seg, rest, value in entries:
         segs = [seg] + list(rest) if isinstance(seg, Name) else list(rest)
@@ -691,6 +784,8 @@ def _build_arr(node: Arr, cutoff) -> Val | None:
         return None
     if node.mode == "seq":
         return _build_seq(node, cutoff)
+    if node.mode == "replay":
+        return _build_replay(node, cutoff)
     idx = _index_part(node, cutoff) if node.slots else None
     preds = _pred_part(node, cutoff) if (node.preds or node.anon is not None) else []
     typed = [e for e in (idx[0] if idx else []) if e is not None and e.dtype is not None] + preds
