@@ -18,7 +18,9 @@ import numpy as np
 from weft.llm import text as tx
 
 #: Stretches that a worker remembers, at most; beyond it the memory starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 3 << 19
+#: Bytes of text encoded at once: a stretch that comes again in them is looked up once.
+RUN_BYTES = 1 << 20
 
 _SPACE = ~tx.SPACED
 _ASCII_LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])

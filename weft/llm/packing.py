@@ -36,7 +36,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = False, text
     def make():
         def work(column: pa.Array) -> pa.Array:
             encoder, parts = en.encoder(tokenizer, end_id, spaced), []
-            for run in tx.runs(column):
+            for run in tx.runs(column, en.RUN_BYTES):
                 ids, bounds = encoder.run(run)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 n = np.diff(bounds)

@@ -141,7 +141,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spaced: boo
             if shard is None:
                 path = f"{folder}/tokens/{number:06d}-{uuid.uuid4().hex}.arrow"
                 shard = Shard(path, wide, length, batch)
-            for part in tx.runs(b.column(1)):
+            for part in tx.runs(b.column(1), en.RUN_BYTES):
                 ids, bounds = encoder.run(part)
                 before = shard.total
                 shard.add(ids)
