@@ -1,16 +1,15 @@
 """Mapping check (J5, J6, J7, C7, C8, A3) as joins over the control tables.
 
 Every configuration is checked against the newest definition matching its
-url or resource type.  The rules are equi-joins on a config's keys,
-so no rule pairs every mapping with every element:
+url or resource type.  A config's mappings and a definition's elements, both as
+many as one document holds, are gathered to arrays and meet in one row per
+config, where each rule is an array expression:
 
-* J5 path existence — each target yields up to five candidate keys (C7);
-  ``left_semi`` against the definition's distinct relative paths (A3).
-* J6 fixed-value conflict — each element yields its path and every prefix
-  ending before a ``:`` (slice), so "equal or starts with ``full:``" is an
-  equality; the first element in document order wins.
-* J7 mandatory coverage — each element meets the targets of its config, as
-  one array, and looks for one that starts with its base path.
+* J5 path existence — a target yields up to five candidate keys (C7), one of
+  which must be among the definition's relative paths (A3).
+* J6 fixed-value conflict — of the elements that are the target's path or a
+  slice of it, the first in document order wins.
+* J7 mandatory coverage — an element needs a target that starts with its base path.
 
 The result lists every violation with a ``rank``; ``rank = 1`` is the one
 the reference would raise first.
@@ -24,7 +23,6 @@ from pyspark.sql.window import Window
 
 from weft.functions.coerce import stored_value_column
 from weft.plans.config import latest_definitions
-from weft.session import materialize
 
 
 def path_candidates(p: Column) -> Column:
@@ -58,100 +56,95 @@ def _invalid(name: Column, what: Column, url: Column) -> Column:
 
 
 def resolve_definitions(configs: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Newest definition per config by url OR type (two equi-joins, then W1)."""
+    """All configs with the newest definition of their url, else that of their
+    type, else null (def_id, def_url).  Either side of both joins has a row per key."""
     latest = latest_definitions(definitions).select(
         F.col("id").alias("def_id"), F.col("url").alias("def_url"), F.col("type").alias("def_type"),
         F.col("processedAt").alias("def_at"))
+    found = F.struct("def_id", "def_url")
+    w_type = Window.partitionBy("def_type").orderBy(F.col("def_at").desc(), F.col("def_id").desc())
+    by_type = latest.where(F.col("def_type").isNotNull()).withColumn("_rn", F.row_number().over(w_type)) \
+        .where("_rn = 1").select(F.col("def_type").alias("rt"), found.alias("_t"))
+    by_url = latest.select(F.col("def_url").alias("sd_url"), found.alias("_u"))
     c = configs.select(F.col("id").alias("cfg_id"), F.col("name").alias("cfg_name"),
                        F.col("fhirResourceType").alias("rt"), F.col("direction"),
                        F.col("structureDefinitionUrl").alias("sd_url"))
-    by_url = c.join(latest, c["sd_url"] == latest["def_url"], "inner").withColumn("_pref", F.lit(0))
-    # the type fallback needs only the newest definition per type: one row per
-    # type, so configs never pair with every profile of their type
-    w_type = Window.partitionBy("def_type").orderBy(F.col("def_at").desc(), F.col("def_id").desc())
-    newest_by_type = latest.where(F.col("def_type").isNotNull()).withColumn("_rt", F.row_number().over(w_type)) \
-        .where("_rt = 1").drop("_rt")
-    by_type = c.join(newest_by_type, c["rt"] == newest_by_type["def_type"], "inner").withColumn("_pref", F.lit(1))
-    both = by_url.unionByName(by_type)
-    # Q4: an exact url match wins over a same-type profile, then the newest
-    w = Window.partitionBy("cfg_id").orderBy("_pref", F.col("def_at").desc(), F.col("def_id").desc())
-    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_pref")
+    # Q4: an exact url match wins over a same-type profile
+    d = F.coalesce("_u", "_t")
+    return c.join(by_url, "sd_url", "left").join(by_type, "rt", "left").select(
+        *c.columns, d["def_id"].alias("def_id"), d["def_url"].alias("def_url"))
 
 
 def check_mappings(configs: DataFrame, field_mappings: DataFrame, definitions: DataFrame,
                    elements: DataFrame) -> DataFrame:
-    """All violations of all configs: cfg_name, phase, ordinal, kind, message, rank."""
-    # the three intermediates below are read by several rules; each is cut
-    # from its lineage once instead of re-running the profile pipeline per use
-    resolved = materialize(resolve_definitions(configs, definitions))
-    cfg_all = configs.select(F.col("id").alias("cfg_id"), F.col("name").alias("cfg_name"),
-                             F.col("fhirResourceType").alias("rt"), F.col("structureDefinitionUrl").alias("sd_url"))
-    els = elements.select(F.col("structureDefinitionId").alias("def_id"), "ordinal", "path", "cardinalityMin",
-                          "fixedValue", "fixedValueType", "defaultValue", "dataTypes")
-    ce = resolved.join(els, "def_id")  # config × its own definition's elements
-    ce = materialize(ce.withColumn("rel", F.when(F.col("path").startswith(F.concat(F.col("rt"), F.lit("."))),
-                                                 F.expr("substring(path, length(rt) + 2)")).otherwise(F.col("path"))))
-    n_el = ce.groupBy("cfg_id").agg(F.count(F.lit(1)).alias("n_el"))
-
-    # missing definition (or no elements) → one violation, nothing else checked
-    url, type_ = F.expr("nullif(sd_url, '')"), F.expr("nullif(rt, '')")
-    no_def = cfg_all.join(n_el, "cfg_id", "left_anti").select(
-        "cfg_id", "cfg_name", F.lit(0).alias("phase"), F.lit(0).alias("ordinal"),
-        F.when(url.isNull() & type_.isNull(), F.lit("incomplete")).otherwise(F.lit("definition")).alias("kind"),
-        F.coalesce(
-            F.concat(F.lit("Required StructureDefinition '"), F.coalesce(url, F.concat(F.lit("type '"), type_, F.lit("'"))),
-                     F.lit("' has not been processed or was not found in the database.")),
-            F.concat(F.lit("Mapping configuration '"), F.col("cfg_name"),
-                     F.lit("' is incomplete for validation (missing structureDefinitionUrl and fhirResourceType).")),
-        ).alias("message"))
-
-    fm = field_mappings.select(F.col("mappingConfigurationId").alias("cfg_id"), "ordinal",
-                               F.col("targetFhirPath").alias("target"), "transformationType", "transformationDetails")
-    m = materialize(fm.join(resolved.select("cfg_id", "cfg_name", "rt", "direction", "def_url"), "cfg_id"))
+    """All violations of all configs: cfg_id, cfg_name, phase, ordinal, kind, message, rank."""
+    # what needs parsing is parsed per element and per mapping, before they are gathered
+    fixed = stored_value_column(F.col("fixedValue"), F.coalesce(F.col("fixedValueType"), F.try_element_at("dataTypes", F.lit(1))))
+    mandatory = (F.coalesce(F.col("cardinalityMin"), F.lit(0)) >= 1) & F.col("fixedValue").isNull() & F.col("defaultValue").isNull()
+    els = elements.select(F.col("structureDefinitionId").alias("def_id"), F.struct(
+        "ordinal", "path", F.col("fixedValue").isNotNull().alias("is_fixed"), fixed.alias("fixed"), mandatory.alias("mandatory")).alias("e"))
+    els = els.groupBy("def_id").agg(F.sort_array(F.collect_list("e")).alias("els"))
+    user = F.to_json(F.try_variant_get(F.try_parse_json(F.col("transformationDetails")), "$.value", "variant"))
+    own = F.when(F.upper(F.col("transformationType")) == "DEFAULT_VALUE", user)
+    fms = field_mappings.select(F.col("mappingConfigurationId").alias("cfg_id"), F.struct(
+        "ordinal", F.col("targetFhirPath").alias("target"), path_candidates(F.col("targetFhirPath")).alias("cands"),
+        F.split_part(F.col("targetFhirPath"), F.lit("["), F.lit(1)).alias("plain"), own.alias("own")).alias("m"))
+    fms = fms.groupBy("cfg_id").agg(F.collect_list("m").alias("ms"))
+
+    # a row per config with the elements of its definition and its mappings
+    c = resolve_definitions(configs, definitions).join(els, "def_id", "left").join(fms, "cfg_id", "left")
+    name, rt, def_url = F.col("cfg_name"), F.col("rt"), F.col("def_url")
+    head = F.concat(rt, F.lit("."))
+    none = F.array().cast("array<struct<phase:int,ordinal:int,place:int,kind:string,message:string>>")
+
+    def relative(path: Column) -> Column:
+        return F.when(path.startswith(head), path.substr(F.length(rt) + 2, F.length(path))).otherwise(path)
+
+    def violation(phase: int, ordinal: Column, place: int, kind: str, message: Column) -> Column:
+        return F.struct(F.lit(phase).alias("phase"), ordinal.cast("int").alias("ordinal"), F.lit(place).alias("place"),
+                        F.lit(kind).alias("kind"), message.alias("message"))
+
+    def path_of(m: Column) -> Column:
+        return _invalid(name, F.concat(F.lit("Path '"), F.coalesce(m["target"], F.lit("")), F.lit("'")), def_url)
+
+    ms = F.coalesce("ms", F.array().cast(fms.schema["ms"].dataType))
+    c = c.select("*", F.transform("els", lambda e: relative(e["path"])).alias("rels"),  # A3
+                 F.transform(F.filter(ms, lambda m: F.length(m["target"]) > 0), lambda m: m["target"]).alias("targets"))
 
     # J5 path existence
-    rel_set = ce.select("cfg_id", F.col("rel").alias("cand")).distinct()  # A3
-    cands = m.select("cfg_id", "ordinal", F.explode(path_candidates(F.col("target"))).alias("cand"))
-    found = cands.join(rel_set, ["cfg_id", "cand"], "left_semi").select("cfg_id", "ordinal").distinct()
-    bad_path = m.join(found, ["cfg_id", "ordinal"], "left_anti").select(
-        "cfg_id", "cfg_name", F.lit(1).alias("phase"), "ordinal", F.lit("path").alias("kind"),
-        _invalid(F.col("cfg_name"), F.concat(F.lit("Path '"), F.coalesce(F.col("target"), F.lit("")), F.lit("'")),
-                 F.col("def_url")).alias("message"))
-
-    # J6 fixed-value conflict: equality on (path | each prefix before a ':')
-    parts = F.split("path", ":")
-    colon_prefixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), ":"))).otherwise(F.array().cast("array<string>"))
-    el_keys = ce.select("cfg_id", "ordinal", "fixedValue", "fixedValueType", "dataTypes",
-                        F.explode(F.array_union(F.array(F.col("path")), colon_prefixes)).alias("full")) \
-        .withColumnRenamed("ordinal", "el_ordinal")
-    m_full = m.select("cfg_id", "ordinal", "target", "transformationType", "transformationDetails", "cfg_name", "def_url",
-                      F.concat(F.col("rt"), F.lit("."), F.split_part(F.col("target"), F.lit("["), F.lit(1))).alias("full"))
-    hits = m_full.join(el_keys, ["cfg_id", "full"])
-    w_first = Window.partitionBy("cfg_id", "ordinal").orderBy("el_ordinal")
-    first = hits.withColumn("_rn", F.row_number().over(w_first)).where("_rn = 1").where(F.col("fixedValue").isNotNull())
-    fixed_json = stored_value_column(F.col("fixedValue"),
-                                     F.coalesce(F.col("fixedValueType"), F.try_element_at("dataTypes", F.lit(1))))
-    user_json = F.to_json(F.try_variant_get(F.try_parse_json(F.col("transformationDetails")), "$.value", "variant"))
-    same = (F.upper(F.col("transformationType")) == "DEFAULT_VALUE") & user_json.isNotNull() & (user_json == fixed_json)
-    bad_fixed = first.where(~F.coalesce(same, F.lit(False))).select(
-        "cfg_id", "cfg_name", F.lit(1).alias("phase"), "ordinal", F.lit("fixed").alias("kind"),
-        _invalid(F.col("cfg_name"), F.concat(F.lit("Path '"), F.col("target"), F.lit("'")), F.col("def_url")).alias("message"))
-
-    # J7 mandatory coverage (map-in only): some target of the config starts with
-    # the element's base path; a config's targets are as many as its field mappings
-    targets = m.where(F.col("target").isNotNull() & (F.length("target") > 0)).groupBy("cfg_id").agg(F.collect_set("target").alias("targets"))
-    mand = ce.where((F.col("direction") == "TO_FHIR") & (F.coalesce(F.col("cardinalityMin"), F.lit(0)) >= 1)
-                    & F.col("fixedValue").isNull()
-                    & (F.col("rel") != "") & (F.col("path") != F.col("rt")) & F.col("defaultValue").isNull())
-    mand = mand.withColumn("base", F.split_part(F.col("rel"), F.lit("["), F.lit(1)))
-    uncovered = ~F.coalesce(F.exists("targets", lambda t: t.startswith(F.col("base"))), F.lit(False))
-    bad_mand = mand.join(targets, "cfg_id", "left").where(uncovered).select(
-        "cfg_id", "cfg_name", F.lit(2).alias("phase"), "ordinal", F.lit("mandatory").alias("kind"),
-        _invalid(F.col("cfg_name"), F.concat(F.lit("Mandatory element '"), F.col("rel"), F.lit("'")),
-                 F.col("def_url")).alias("message"))
-
-    allv = no_def.unionByName(bad_path).unionByName(bad_fixed).unionByName(bad_mand)
+    bad_path = F.transform(F.filter(ms, lambda m: ~F.coalesce(F.arrays_overlap(m["cands"], F.col("rels")), F.lit(False))),
+                           lambda m: violation(1, m["ordinal"], 0, "path", path_of(m)))
+
+    # J6 fixed-value conflict: the first element that is the target's path, or a slice of it
+    def first_element(m: Column) -> Column:
+        full = F.concat(head, m["plain"])
+        return F.get(F.filter("els", lambda e: (e["path"] == full) | e["path"].startswith(F.concat(full, F.lit(":")))), 0)
+
+    conflicts = F.filter(F.transform(ms, lambda m: F.struct(m.alias("m"), first_element(m).alias("e"))),
+                         lambda x: F.coalesce(x["e"]["is_fixed"], F.lit(False)) & ~F.coalesce(x["m"]["own"] == x["e"]["fixed"], F.lit(False)))
+    bad_fixed = F.transform(conflicts, lambda x: violation(1, x["m"]["ordinal"], 1, "fixed", path_of(x["m"])))
+
+    # J7 mandatory coverage (map-in only): a target starts with the element's base path
+    def uncovered(e: Column) -> Column:
+        rel = relative(e["path"])
+        base = F.split_part(rel, F.lit("["), F.lit(1))
+        return e["mandatory"] & (rel != "") & (e["path"] != rt) & ~F.exists("targets", lambda t: t.startswith(base))
+
+    bad_mand = F.transform(F.filter("els", uncovered), lambda e: violation(
+        2, e["ordinal"], 1, "mandatory", _invalid(name, F.concat(F.lit("Mandatory element '"), relative(e["path"]), F.lit("'")), def_url)))
+    bad_mand = F.when(F.col("direction") == "TO_FHIR", bad_mand).otherwise(none)
+
+    # no definition (or one without elements): one violation, nothing else is checked
+    url, type_ = F.expr("nullif(sd_url, '')"), F.expr("nullif(rt, '')")
+    no_message = F.coalesce(
+        F.concat(F.lit("Required StructureDefinition '"), F.coalesce(url, F.concat(F.lit("type '"), type_, F.lit("'"))),
+                 F.lit("' has not been processed or was not found in the database.")),
+        F.concat(F.lit("Mapping configuration '"), name,
+                 F.lit("' is incomplete for validation (missing structureDefinitionUrl and fhirResourceType).")))
+    no_def = F.array(F.when(url.isNull() & type_.isNull(), violation(0, F.lit(0), 0, "incomplete", no_message))
+                     .otherwise(violation(0, F.lit(0), 0, "definition", no_message)))
+
     # path violations of a mapping come before its fixed-value violation
-    kind_order = F.when(F.col("kind") == "path", 0).otherwise(1)
-    w = Window.partitionBy("cfg_id").orderBy("phase", "ordinal", kind_order)
-    return allv.withColumn("rank", F.row_number().over(w))
+    every = F.when(F.col("els").isNull(), no_def).otherwise(F.array_sort(F.concat(bad_path, bad_fixed, bad_mand)))
+    ranked = c.select("cfg_id", "cfg_name", F.posexplode(every).alias("_at", "v"))
+    return ranked.select("cfg_id", "cfg_name", "v.phase", "v.ordinal", "v.kind", "v.message", (F.col("_at") + 1).alias("rank"))

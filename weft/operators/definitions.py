@@ -64,57 +64,59 @@ def _first_key(keys: Column, prefix: str) -> Column:
     return F.try_element_at(hit, F.lit(1))
 
 
+def _elements(sd: Column) -> Column:
+    """snapshot.element, or else differential.element, as an array."""
+    found = F.coalesce(_vv(sd, "$.snapshot.element"), _vv(sd, "$.differential.element"))
+    return F.try_variant_get(found, "$", "array<variant>")
+
+
+def _has_elements(sd: Column) -> Column:
+    """Whether that array has an element."""
+    pick = lambda part: F.when(_vv(sd, f"$.{part}.element").isNotNull(), F.try_variant_get(sd, f"$.{part}.element[0]", "variant").isNotNull())
+    return F.coalesce(pick("snapshot"), pick("differential"), F.lit(False))
+
+
 def ingest(docs: DataFrame, doc_col: str = "doc", processed_at: Column | None = None) -> Ingested:
     """Profile documents → definition rows, element rows, rejects."""
     # one literal per ingest: current_timestamp() would differ between the two writes
     now = processed_at if processed_at is not None else F.lit(
         datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp")
+    # a document's parts are read once: the profile, then its header fields and
+    # elements as one struct; the element array itself is not carried through
+    # the per-url shuffle but re-read from the chosen document
     d = F.col(doc_col)
-    base = docs.select(F.monotonically_increasing_id().alias("doc_pos"), d.alias("_doc"))
-    doc = F.col("_doc")
-    rtype = _vs(doc, "$.resourceType")
-    entries = F.try_variant_get(doc, "$.entry", "array<variant>")
-    first_res = _vv(doc, "$.entry[0].resource")
-    bundle_ok = (rtype == "Bundle") & (F.coalesce(F.size(entries), F.lit(0)) > 0) & (
-        F.coalesce(_vs(first_res, "$.resourceType") == "StructureDefinition", F.lit(False)))
-    sd = F.when(bundle_ok, first_res).when(rtype == "StructureDefinition", doc)
-    step = base.select("doc_pos", "_doc", sd.alias("sd"))
-    sdc = F.col("sd")
-    url = _vs(sdc, "$.url")
-    elements = F.coalesce(_vv(sdc, "$.snapshot.element"), _vv(sdc, "$.differential.element"))
-    el_arr = F.try_variant_get(elements, "$", "array<variant>")
-    n_el = F.coalesce(F.size(el_arr), F.lit(0))
+    rtype = _vs(d, "$.resourceType")
+    in_bundle = (rtype == "Bundle") & F.coalesce(_vs(d, "$.entry[0].resource.resourceType") == "StructureDefinition", F.lit(False))
+    sd = F.when(in_bundle, _vv(d, "$.entry[0].resource")).when(rtype == "StructureDefinition", d)
+    step = docs.select(d.alias("_doc"), rtype.alias("_rtype"), sd.alias("sd"))
+    s = F.col("sd")
+    step = step.select("*", _vs(s, "$.url").alias("url"), _has_elements(s).alias("_any"))
+    url = F.col("url")
     reason = (
-        F.when(F.coalesce(_vs(F.col("_doc"), "$.resourceType") == "Bundle", F.lit(False)) & sdc.isNull(),
+        F.when(s.isNull() & F.coalesce(F.col("_rtype") == "Bundle", F.lit(False)),
                F.lit("Bundle received, but no StructureDefinition found in the first entry."))
-        .when(sdc.isNull(), F.concat(F.lit("Unexpected document: "), F.to_json(F.col("_doc"))))
+        .when(s.isNull(), F.concat(F.lit("Unexpected document: "), F.to_json(F.col("_doc"))))
         .when(url.isNull() | (url == ""), F.lit("Document is not a valid StructureDefinition (missing URL)."))
-        .when(n_el == 0, F.concat(F.lit("StructureDefinition "), url, F.lit(" has no snapshot or differential elements.")))
+        .when(~F.col("_any"), F.concat(F.lit("StructureDefinition "), url, F.lit(" has no snapshot or differential elements.")))
     )
     # headers, elements and rejects each re-read the documents: measured, a
-    # second parse is cheaper than writing the VARIANT documents out and back
-    # the element array is not carried through the per-url shuffle below; it is
-    # re-derived from the chosen document afterwards
-    checked = step.select(
-        "doc_pos", sdc.alias("sd"), url.alias("url"), reason.alias("reason"), now.alias("processedAt"),
-    )
+    # second parse is cheaper than writing the VARIANT documents out and back.
+    # With the position in this projection filters on the reason stay above it:
+    # pushed below, they would repeat every expression it is made of.
+    checked = step.select(F.monotonically_increasing_id().alias("doc_pos"), "sd", "url", reason.alias("reason"), now.alias("processedAt"))
     ok = checked.where(F.col("reason").isNull())
     # the last document of a batch wins for a url, as sequential upserts would
     w_url = Window.partitionBy("url").orderBy(F.col("doc_pos").desc())
     ok = ok.withColumn("_rn", F.row_number().over(w_url)).where("_rn = 1").drop("_rn")
     def_id = F.sha2(F.concat_ws("|", F.col("url"), F.col("processedAt").cast("string")), 256)
     ok = ok.withColumn("id", def_id)
-    s = F.col("sd")
     headers = ok.select(
         "id", "url", _vs(s, "$.version").alias("version"), _vs(s, "$.name").alias("name"),
         _vs(s, "$.type").alias("type"), _vs(s, "$.fhirVersion").alias("fhirVersion"),
         _vs(s, "$.description").alias("description"), "processedAt", _vs(s, "$.id").alias("resourceId"),
     )
-    els_again = F.try_variant_get(
-        F.coalesce(_vv(F.col("sd"), "$.snapshot.element"), _vv(F.col("sd"), "$.differential.element")),
-        "$", "array<variant>")
     exploded = ok.select(F.col("id").alias("structureDefinitionId"), "url",
-                         F.posexplode(els_again).alias("ordinal", "el"))
+                         F.posexplode(_elements(s)).alias("ordinal", "el"))
     # bind each intermediate once (the element as a map, then the chosen keys,
     # then their values): every later expression reads plain columns
     e = F.col("el")
@@ -141,7 +143,8 @@ def ingest(docs: DataFrame, doc_col: str = "doc", processed_at: Column | None =
         F.lower(F.expr("substring(_dk, 13)")).alias("defaultValueType"),
     )
     counts = rows.groupBy("url", "structureDefinitionId").agg(F.count(F.lit(1)).alias("elementCount"))
-    w_dup = Window.partitionBy("structureDefinitionId", "path").orderBy("ordinal")
+    # by url, as the rows lie since the choice of documents: no second shuffle
+    w_dup = Window.partitionBy("url", "path").orderBy("ordinal")
     deduped = rows.withColumn("_rn", F.row_number().over(w_dup)).where("_rn = 1").drop("_rn", "url")
     rejects = checked.where(F.col("reason").isNotNull()).select("doc_pos", "url", "reason")
     return Ingested(headers, deduped, rejects, counts)
