@@ -16,7 +16,7 @@ def sets(texts):
     return out
 
 
-def brute(ids, texts):
+def brute(ids, texts, alike=0.8):
     s = sets(texts)
     up = list(range(len(s)))
 
@@ -27,7 +27,7 @@ def brute(ids, texts):
 
     n = [0] * len(s)
     for i, j in itertools.combinations(range(len(s)), 2):
-        if 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j]):
+        if len(s[i] & s[j]) >= alike * len(s[i] | s[j]) - 1e-9:
             n[i] += 1
             n[j] += 1
             up[find(i)] = find(j)
@@ -65,6 +65,12 @@ def test_links_and_classes_match_brute_force(spark, corpus, monkeypatch):
     assert sorted(map(tuple, nd.join(docs).collect()), key=str) == brute(range(len(corpus)), corpus)
 
 
+def test_short_texts_at_another_similarity(spark):
+    texts = ["a b c d e f", "a b c d e", "a b c d e f g h", "a b c d", "x b c d e f g h", "q r s t u v w", "q r s t u v z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(map(tuple, nd.join(docs, alike=0.5).collect()), key=str) == brute(range(len(texts)), texts, 0.5)
+
+
 def test_awkward_rows(spark):
     docs = h.awkward(spark)
     rows = docs.select("doc_id", "text").collect()

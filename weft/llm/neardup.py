@@ -134,11 +134,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b"))).distinct()
 
 
-def _ties(reps: DataFrame, depth: int) -> DataFrame:
+def _ties(reps: DataFrame, depth: int, alike: float) -> DataFrame:
     """Edges between the representatives under a node of ``depth`` values and the least of them."""
     prefix = F.expr(f"substring(sign, tree * {4 * DEEPEST} + 1, {4 * depth})")
-    # a set of fewer than four shingles is 0.8 alike to none but its equal
-    under = reps.where("n >= 4").select("rid", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("rid", F.xxhash64("tree", prefix).alias("key"))
+    # a set of n shingles is at most n / (n + 1) alike to another that isn't its equal
+    under = reps.where(F.col("n") >= alike * (F.col("n") + 1) - 1e-9).select("rid", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("rid", F.xxhash64("tree", prefix).alias("key"))
     nodes = under.groupBy("key").agg(F.min("rid").alias("least"), F.count("*").alias("members")).where("members > 1").drop("members")
     return under.join(nodes.hint("merge"), "key").where("rid <> least").select(F.col("rid").alias("a"), F.col("least").alias("b"))
 
@@ -213,10 +213,13 @@ def _item(key, held, alike: float, names):
 
 
 def next_depth(found: np.ndarray, depth: int, alike: float, recall: float) -> int:
-    """The longest prefix, of ``depth`` values at most, that is expected to find ``recall`` of the links, from those found by bins of similarity."""
+    """The longest prefix, of ``depth`` values at most, that is expected to find ``recall`` of the links, from those found by bins of similarity.
+
+    A link more is supposed in each bin, so that a prefix too long to find any is seen to be.
+    """
     s = alike + (1 - alike) * np.arange(BINS) / BINS
     chance = lambda d: 1 - (1 - s**d) ** TREES
-    there = found / chance(depth)
+    there = (found + 1) / chance(depth)
     while depth > 1 and (there * chance(depth)).sum() < recall * there.sum():
         depth -= 1
     return depth
@@ -295,7 +298,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ali
     reps = materialize(grouped.withColumn("rid", F.monotonically_increasing_id()))
     depth, results, old = DEEPEST, None, None
     while True:
-        comps = materialize(components(_ties(reps, depth)).join(reps.drop("sign"), F.col("node") == F.col("rid")).select("rid", F.col("root").alias("comp"), "mult", "rep", "n"))
+        comps = materialize(components(_ties(reps, depth, alike)).join(reps.drop("sign"), F.col("node") == F.col("rid")).select("rid", F.col("root").alias("comp"), "mult", "rep", "n"))
         size = comps.groupBy("comp").agg(F.count("*").alias("size"))
         if old is None:
             results = materialize(_verify(own, comps, alike))
