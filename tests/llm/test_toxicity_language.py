@@ -38,6 +38,44 @@ def test_nearest_are_exact():
     assert 0 not in skip
 
 
+def test_nearest_are_exact_with_rare_and_common_terms():
+    rng = np.random.default_rng(7)
+    v, n = 3000, 500
+    lists = [np.unique(np.concatenate([rng.choice(30, 6), rng.integers(30, v, rng.integers(1, 60))])) for _ in range(n - 1)]
+    lists.append(lists[3])  # an exact copy
+    bounds, at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]), np.concatenate(lists)
+    weight = rng.random(len(at)) + 0.1
+    weight[bounds[-2] :] = weight[bounds[3] : bounds[4]]
+    weight = (weight / np.repeat(np.sqrt(np.add.reduceat(weight**2, bounds[:-1])), np.diff(bounds))).astype(np.float32)
+    m = toxicity.Model(np.arange(v, dtype=tx.U64), np.ones(v), np.arange(n), rng.integers(0, 2, n), bounds, at, weight)
+    index = toxicity.Index(m, block=16)
+    assert index.dense.shape[1] and len(index.of)
+    dense = np.zeros((n, v))
+    dense[np.repeat(np.arange(n), np.diff(bounds)), at] = weight
+    for i in range(n):
+        own = slice(bounds[i], bounds[i + 1])
+        rows, c = index.nearest(at[own], weight[own].astype(float), 10)
+        cosine = dense @ dense[i]
+        assert np.allclose(c, np.sort(cosine)[::-1][:10]) and np.allclose(np.minimum(cosine[rows], 1), c)
+    assert index.nearest(at[bounds[3] : bounds[4]], weight[bounds[3] : bounds[4]])[0][:2].tolist() == [3, n - 1]
+
+
+def test_toxicity_weighs_every_term(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 4000, 40)) for _ in range(120)]  # no word tells the labels apart
+    docs = spark.createDataFrame([*enumerate([*texts, *texts, "unseen unheard", "", None])], "doc_id bigint, text string")
+    m = toxicity.train(docs, h.labels(spark, [(i, 1, int(i % 9 == 1)) for i in range(120)]), id_col="doc_id")
+    sampled = {i for i in range(120)} & set(m.ids.tolist())
+    assert len(sampled) == len(m.ids) == docs.where("doc_id < 120").where(queries.ln.fold(queries.F.col("doc_id"), 5) != 0).count()
+    held = {t for i in sampled for t in texts[i].split()}
+    assert len(m.vocabulary) >= len(held)
+    rows = {r.doc_id: r.t for r in toxicity.scores(docs, m, out="t").collect()}
+    for i in sampled:  # a copy finds its example
+        assert rows[i + 120].neighbours[0] == i and rows[i + 120].cosines[0] > 0.9999 and rows[i + 120].score == rows[i].score
+    assert min(rows[i].score for i in sampled if i % 9 == 1) > max(rows[i].score for i in sampled if i % 9 != 1)
+    assert rows[241].score == rows[242].score == m.blank_rate and rows[240].neighbours == []
+
+
 def test_toxicity_held_out(spark):
     got = queries.op3_toxicity(spark, SF).toPandas()
     assert len(got) == 10_000 and got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()

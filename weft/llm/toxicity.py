@@ -1,14 +1,16 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index (operator 3).
 
 A term is a word (A-Z lower-cased, ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``) or the first
-PREFIX bytes of a longer one.  Vectors hold the terms whose presence tells
-the labels apart (likelihood ratio G2 over a bounded sample of labelled
-documents, and a ratio of rates), weighted by (1 + ln tf) times an IDF over all documents, and have length 1.
-
-The examples lie in blocks.  For each term the index knows its largest weight in
-each block, so a block's best possible cosine with a query is known before any
+PREFIX bytes of a longer one.  Vectors hold every term of a text, weighted by
+(1 + ln tf) times an IDF over all documents, and have length 1.  What the labels
+of a bounded sample say about a term (likelihood ratio G2, and a ratio of rates)
+scales its weight between FLOOR and 1; it leaves no term out.
+
+The examples lie in blocks.  The weights of the commonest terms are a dense
+matrix; for each other term the index knows its largest weight in each block that
+has it, so a block's best possible cosine with a query is known before any
 posting of it is read.  Blocks are read from the best bound on, until none that is left can
-better the K-th neighbour: the K nearest are exact.  Their votes count with the
+better the K-th neighbour, and cosines are then summed anew: the K nearest are exact.  Their votes count with the
 square of the cosine, beside a prior; the share of the positive votes is made a
 probability by a logistic curve fitted to the examples' own leave-one-out votes.
 """
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,16 +30,22 @@ from weft.llm import automaton as sa
 from weft.llm import lines as ln
 from weft.llm import text as tx
 
-#: Labelled documents that are read for terms and examples, and terms in the vocabulary, at most.
-SAMPLE, TERMS = 20_000, 4096
-#: Least G2 of a term (by chance one term in a million has it), and least documents of the sample that hold it.
-SIGNIFICANT, LEAST_DOCS = 24.0, 3
-#: How many times likelier a term must be under one label than under the other.
+#: Labelled documents that are read for terms and examples, at most.
+SAMPLE = 20_000
+#: G2 up to which a label's hold on a term may be chance (one term in a thousand has it), and from which it counts in full (one in a million).
+CHANCE, SIGNIFICANT = 10.83, 24.0
+#: How many times likelier a term is under one label than under the other where that counts in full.
 RATIO = 10.0
+#: Share of its weight that a term keeps which says nothing about the labels.
+FLOOR = 0.05
+#: Places in which documents with terms that no example has are counted; such terms only lengthen a vector.
+PLACES = 1 << 22
 #: Bytes of a prefix term.
 PREFIX = 5
 #: Neighbours that vote, examples of a block, votes of the prior.
 K, BLOCK, PRIOR = 10, 64, 1.0
+#: Bytes of the dense matrix at most, and rows multiplied with it at once; how far its rounded sums may be off; blocks read before the others are judged.
+DENSE_BYTES, ROWS, ROUNDING, WAVE = 1 << 26, 128, 1e-5, 8
 THRESHOLD = 0.5
 
 SCORE = "score double, predicted int, neighbours array<bigint>, cosines array<double>"
@@ -53,18 +62,22 @@ def terms(run: tx.Run) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(run: tx.Run, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, index and count of each vocabulary term of each row, by row and index."""
+    """Row, index and count of each term of each row, by row and index; a term beyond the vocabulary has the index of its place, behind it."""
     term, row = terms(run)
-    if not len(vocabulary) or not len(term):
+    if not len(term):
         return (np.zeros(0, dtype=np.int64),) * 3
-    at = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
-    hit = vocabulary[at] == term
-    key, n = np.unique(row[hit] * len(vocabulary) + at[hit], return_counts=True)
-    return key // len(vocabulary), key % len(vocabulary), n
-
-
-def _vocabulary(sample: DataFrame, n_terms: int) -> np.ndarray:
-    """The terms that tell the labels apart best, ascending."""
+    own, again = np.unique(term, return_inverse=True)
+    code = len(vocabulary) + (own >> tx.U64(64 - PLACES.bit_length() + 1)).astype(np.int64)
+    if len(vocabulary):
+        at = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
+        code = np.where(vocabulary[at] == own, at, code)
+    width = len(vocabulary) + PLACES
+    key, n = np.unique(row * width + code[again], return_counts=True)
+    return key // width, key % width, n
+
+
+def _vocabulary(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of the sample, ascending, and the scale of each one's weight."""
     schema = T.StructType.fromDDL("term bigint, pos bigint, neg bigint")
 
     def run(batches):
@@ -84,48 +97,55 @@ def _vocabulary(sample: DataFrame, n_terms: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(term[head].astype(np.int64)), pa.array(pos), pa.array(np.diff(np.append(head, len(term))) - pos)], names=schema.names)
 
     n1, n0 = sample.agg(F.coalesce(F.sum("_label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("_label")), F.lit(0))).first()
+    counts = sample.select("_text", "_label").mapInArrow(run, schema).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()  # bounded by the sample
+    term = counts["term"].to_numpy().astype(np.int64).astype(tx.U64)
+    order = np.argsort(term)
+    return term[order], _scale(counts["pos"].to_numpy()[order].astype(float), counts["neg"].to_numpy()[order].astype(float), float(n1), float(n0))
+
+
+def _scale(pos: np.ndarray, neg: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """The scale of terms' weights, from the positive and negative examples that hold them and how many of either there are."""
     if not n1 or not n0:
-        return np.zeros(0, dtype=tx.U64)
-    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    n, df = float(n1 + n0), pos + neg
+        return np.ones(len(pos))
+    n, df = n1 + n0, pos + neg
 
     def part(seen, of, among):  # a cell's share of G2
-        return F.when(seen > 0, seen * F.log(seen * n / (of * among))).otherwise(0.0)
+        return seen * np.log(np.maximum(seen, 1) * n / np.maximum(of * among, 1))
 
-    absent1, absent0 = F.lit(float(n1)) - pos, F.lit(float(n0)) - neg
-    g2 = 2 * (part(pos, df, F.lit(float(n1))) + part(neg, df, F.lit(float(n0))) + part(absent1, n - df, F.lit(float(n1))) + part(absent0, n - df, F.lit(float(n0))))
-    counts = sample.select("_text", "_label").mapInArrow(run, schema).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ratio = F.abs(F.log((pos + 0.5) / (n1 + 1.0) * (n0 + 1.0) / (neg + 0.5)))
-    best = counts.withColumn("g2", g2).where((df >= LEAST_DOCS) & (F.col("g2") >= SIGNIFICANT) & (ratio >= F.log(F.lit(RATIO)))).orderBy(F.desc("g2"), "term").limit(n_terms)
-    return np.sort(np.array([r.term for r in best.select("term").collect()], dtype=np.int64).astype(tx.U64))
+    g2 = 2 * (part(pos, df, n1) + part(neg, df, n0) + part(n1 - pos, n - df, n1) + part(n0 - neg, n - df, n0))
+    ratio = np.abs(np.log((pos + 0.5) / (n1 + 1) * (n0 + 1) / (neg + 0.5))) / np.log(RATIO)
+    return FLOOR + (1 - FLOOR) * (np.clip((g2 - CHANCE) / (SIGNIFICANT - CHANCE), 0, 1) * np.clip(ratio, 0, 1)) ** 2
 
 
 def _document_counts(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term is, and how many there are."""
-    schema = T.StructType.fromDDL("term int, df bigint, n bigint")
+    """In how many of all documents each term of the vocabulary and, behind them, each place is, and how many there are."""
+    schema = T.StructType.fromDDL("term int, df bigint")
 
     def run(batches):
-        total, n = np.zeros(len(vocabulary), dtype=np.int64), 0
+        total, n = np.zeros(len(vocabulary) + PLACES, dtype=np.int32), 0
         for b in batches:
             n += b.num_rows
             for part in tx.runs(b.column(0)):
-                _, term, _ = _counted(part, vocabulary)
-                total += np.bincount(term, minlength=len(vocabulary))
+                some, df = np.unique(_counted(part, vocabulary)[1], return_counts=True)
+                total[some] += df.astype(np.int32)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(total[some], 0)), pa.array(np.append(np.zeros(len(some), dtype=np.int64), n))], names=schema.names)
+        for lo in range(0, len(some), 1 << 16):
+            at = some[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=schema.names)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], type=pa.int32()), pa.array([n], type=pa.int64())], names=schema.names)
 
     tx.bounded_batches(docs.sparkSession)
-    df, n = np.zeros(len(vocabulary)), 0
-    for r in docs.select(F.col(f"`{text_col}`")).mapInArrow(run, schema).groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).collect():  # one row per vocabulary term
-        if r.term >= 0:
-            df[r.term] = r.df
-        n += r.n
-    return df, n
+    df, n = np.zeros(len(vocabulary) + PLACES), 0
+    found = docs.select(F.col(f"`{text_col}`")).mapInArrow(run, schema).groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # one row per term and place
+    term, seen = found["term"].to_numpy(), found["df"].to_numpy()
+    df[term[term >= 0]] = seen[term >= 0]
+    return df, int(seen[term < 0].sum())
 
 
 @dataclass
 class Model:
     vocabulary: np.ndarray
+    #: IDF of the vocabulary's terms and of the places behind them, scaled.
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
@@ -139,45 +159,84 @@ class Model:
     shift: float = 0.0
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers lo..hi of each pair, one range after another."""
+    n = (hi - lo).astype(np.int64)
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class Index:
     """Block-max inverted index of a model's examples."""
 
-    def __init__(self, model: Model, block: int = BLOCK):
+    def __init__(self, model: Model, block: int = BLOCK, dense_bytes: int = DENSE_BYTES):
         n, v = len(model.ids), len(model.vocabulary)
-        self.block, self.n = block, n
-        row = np.repeat(np.arange(n), np.diff(model.bounds))
-        order = np.lexsort((row, model.index))
-        self.row, self.weight = row[order], model.weight[order]
-        blocks = -(-n // block) if n else 0
-        self.best = np.zeros((v, blocks))
-        np.maximum.at(self.best, (model.index, row // block), model.weight)
-        #: Where the postings of each term in each block begin.
-        self.begin = np.searchsorted(model.index[order] * (blocks + 1) + self.row // block, (np.arange(v)[:, None] * (blocks + 1) + np.arange(blocks + 1)[None]).ravel()).reshape(v, blocks + 1)
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine (ties: the first), and the cosines."""
+        self.block, self.n, self.model = block, n, model
+        df = np.bincount(model.index, minlength=v)
+        common = np.argsort(-df, kind="stable")[: dense_bytes // (4 * max(n, 1))]
+        common = common[df[common] * 16 > n]
+        #: Column of each common term; -1: the term has postings.
+        self.column = np.full(v, -1, dtype=np.int32)
+        self.column[common] = np.arange(len(common))
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(model.bounds))
+        column = self.column[model.index]
+        self.dense = np.zeros((n, len(common)), dtype=np.float32)
+        self.dense[row[column >= 0], column[column >= 0]] = model.weight[column >= 0]
+        order = np.flatnonzero(column < 0)
+        order = order[np.argsort(model.index[order], kind="stable")]
+        self.row, self.weight, term = row[order], model.weight[order], model.index[order]
+        of = self.row // block
+        at = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (of[1:] != of[:-1]))) if len(order) else order
+        #: Of each term in each block that has it: where its postings begin, the block, the largest weight; and each term's first of them.
+        self.begin, self.of = np.append(at, len(order)), of[at]
+        self.best = np.maximum.reduceat(self.weight, at) if len(at) else self.weight
+        self.first = np.searchsorted(term[at], np.arange(v + 1))
+        self.query = np.zeros(v)
+
+    def common(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+        """For each query (``row`` of a term): the examples' sums over the common terms, rounded."""
+        q = np.zeros((rows, self.dense.shape[1]), dtype=np.float32)
+        column = self.column[term]
+        q[row[column >= 0], column[column >= 0]] = weight[column >= 0]
+        return q @ self.dense.T
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K, skip: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest positive cosine (ties: the first), and the cosines; ``common``: the query's row of :meth:`common`."""
         if not self.n or not len(term):
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        bound = weight @ self.best[term]
-        rows, cosines, least = [], [], 0.0
-        top_r, top_c = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(top_c) == k and bound[b] * (1 + 1e-9) < least):
-                break
-            score = np.zeros(self.block)
-            for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-                lo, hi = self.begin[t, b], self.begin[t, b + 1]
-                if lo < hi:
-                    score[self.row[lo:hi] - b * self.block] += w * self.weight[lo:hi]
-            some = np.flatnonzero(score > 0)
-            r = some + b * self.block
+        if common is None:
+            common = self.common(np.zeros(len(term), dtype=np.int64), term, weight, 1)[0]
+        rare = self.column[term] < 0
+        lo, hi = self.first[term[rare]], self.first[term[rare] + 1]
+        entry, w = _ranges(lo, hi), np.repeat(weight[rare], hi - lo)
+        of = self.of[entry]
+        blocks = -(-self.n // self.block)
+        bound = np.bincount(of, w * self.best[entry], blocks) + np.maximum.reduceat(common, np.arange(0, self.n, self.block))
+        score, least = np.zeros(self.n), 0.0
+        order = np.argsort(-bound, kind="stable")
+        for wave in (order[:WAVE], order[WAVE:]):
+            read = np.zeros(blocks, dtype=bool)
+            read[wave] = (bound[wave] > 0) & (bound[wave] + ROUNDING >= least)
+            if not read.any():
+                continue
+            some = read[of]
+            begin, end = self.begin[entry[some]], self.begin[entry[some] + 1]
+            at = _ranges(begin, end)
+            found = np.bincount(self.row[at], np.repeat(w[some], end - begin) * self.weight[at], self.n) + common
+            score += np.where(np.repeat(read, self.block)[: self.n], found, 0.0)
             if skip >= 0:
-                some, r = some[r != skip], r[r != skip]
-            rows, cosines = np.concatenate([top_r, r]), np.concatenate([top_c, score[some]])
-            order = np.lexsort((rows, -cosines))[:k]
-            top_r, top_c = rows[order], cosines[order]
-            least = top_c[-1] if len(top_c) == k else 0.0
-        return top_r, np.minimum(top_c, 1.0)
+                score[skip] = 0.0
+            least = np.partition(score, -k)[-k] if self.n >= k else 0.0
+        rows = np.flatnonzero((score > 0) & (score >= least - 2 * ROUNDING))
+        self.query[term] = weight
+        cosines = np.concatenate([np.zeros(0), *(self._cosines(rows[a : a + 1024]) for a in range(0, len(rows), 1024))])
+        self.query[term] = 0.0
+        order = np.lexsort((rows, -cosines))[:k]
+        return rows[order], np.minimum(cosines[order], 1.0)
+
+    def _cosines(self, rows: np.ndarray) -> np.ndarray:
+        lo, hi = self.model.bounds[rows], self.model.bounds[rows + 1]
+        at = _ranges(lo, hi)
+        return np.bincount(np.repeat(np.arange(len(rows)), hi - lo), self.query[self.model.index[at]] * self.model.weight[at], len(rows))
 
 
 def _weights(count: np.ndarray, term: np.ndarray, row: np.ndarray, idf: np.ndarray, rows: int) -> np.ndarray:
@@ -213,18 +272,17 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(min(max(a, 0.5), 3.0)), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from at most ``sample`` labelled documents (see :func:`weft.llm.lines.labelled_sample`); IDF covers all documents.
 
-    Sampled documents without any vocabulary term aren't in the index; their
-    rate of positives is the score of documents without any.  Without positive
-    or negative examples the vocabulary is empty and every score that rate.
+    Sampled documents without any word have no vector; their rate of positives
+    is the score of documents without any.
     """
     tx.bounded_batches(docs.sparkSession)
     picked = ln.labelled_sample(docs, labels, label_col, sample, id_col, text_col)
-    vocabulary = _vocabulary(picked, n_terms)
+    vocabulary, scale = _vocabulary(picked)
     df, n_docs = _document_counts(docs, text_col, vocabulary)
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
+    idf = ((np.log((1 + n_docs) / (1 + df)) + 1) * np.append(scale, np.full(PLACES, FLOOR if scale.min(initial=1.0) < 1 else 1.0))).astype(np.float32)
     schema = T.StructType.fromDDL("id bigint, label int, term array<int>, count array<int>")
 
     def run(batches):
@@ -235,30 +293,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_terms: int
                 lists = [pa.ListArray.from_arrays(pa.array(upto), pa.array(x.astype(np.int32))) for x in (term, count)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(part.lo, part.rows), b.column(2).slice(part.lo, part.rows), *lists], names=schema.names)
 
-    rows = picked.select(F.col("_id").cast("bigint"), "_text", "_label").mapInArrow(run, schema).toPandas()
-    blank = rows["label"][[len(t) == 0 for t in rows["term"]]] if len(rows) else rows["label"]
-    full = rows[[len(t) > 0 for t in rows["term"]]] if len(rows) else rows
-    blank_rate = float((blank.sum() + 0.5) / (len(blank) + 2)) if len(rows) else 0.0
-    if not len(full):
+    rows = picked.select(F.col("_id").cast("bigint"), "_text", "_label").mapInArrow(run, schema).toArrow()
+    label, ids = rows["label"].to_numpy(), rows["id"].to_numpy()
+    size = pc.list_value_length(rows["term"]).to_numpy().astype(np.int64)
+    term, count = (pc.list_flatten(rows[c]).to_numpy() for c in ("term", "count"))
+    del rows
+    blank = label[size == 0]
+    blank_rate = float((blank.sum() + 0.5) / (len(blank) + 2)) if len(label) else 0.0
+    label, ids, size = label[size > 0], ids[size > 0], size[size > 0]
+    if not len(size):
         none = np.zeros(0, dtype=np.int64)
         return Model(vocabulary, idf, none, none, np.zeros(1, dtype=np.int64), none, np.zeros(0), 0.0, blank_rate)
-    size = full["term"].map(len).to_numpy()
-    term, count = np.concatenate(full["term"].tolist()), np.concatenate(full["count"].tolist())
-    row = np.repeat(np.arange(len(full)), size)
-    weight = _weights(count, term, row, idf, len(full))
+    start = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    weight = _weights(count, term, row, idf, len(size)).astype(np.float32)
     # examples with the same heaviest term lie together, so that bounds of blocks are tight
-    head = np.lexsort((-weight, row))[np.cumsum(size) - size]
-    order = np.lexsort((full["id"].to_numpy(), full["label"].to_numpy(), term[head]))
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    by = np.lexsort((term, place[row]))
-    y = full["label"].to_numpy()[order]
-    model = Model(vocabulary, idf, full["id"].to_numpy()[order], y, np.concatenate([[0], np.cumsum(size[order])]), term[by].astype(np.int64), weight[by], float(y.mean()), blank_rate)
+    head = np.flatnonzero(weight == np.maximum.reduceat(weight, start)[row])
+    head = term[head[np.unique(row[head], return_index=True)[1]]]
+    order = np.lexsort((ids, label, head))
+    by = _ranges(start[order], start[order] + size[order])
+    y = label[order]
+    model = Model(vocabulary, idf, ids[order], y, np.concatenate([[0], np.cumsum(size[order])]), term[by], weight[by], float(y.mean()), blank_rate)
     index, odds = Index(model), []
-    for i in range(len(y)):
-        lo, hi = model.bounds[i], model.bounds[i + 1]
-        r, c = index.nearest(model.index[lo:hi], model.weight[lo:hi], skip=i)
-        odds.append(_vote(y[r], c, model.base_rate))
+    for a in range(0, len(y), ROWS):
+        common = index.dense[a : a + ROWS] @ index.dense.T
+        for i in range(a, min(a + ROWS, len(y))):
+            lo, hi = model.bounds[i], model.bounds[i + 1]
+            r, c = index.nearest(model.index[lo:hi], model.weight[lo:hi].astype(float), skip=i, common=common[i - a])
+            odds.append(_vote(y[r], c, model.base_rate))
     model.slope, model.shift = _calibrate(np.array(odds), y)
     return model
 
@@ -266,11 +328,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_terms: int
 def scores(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity", threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a struct of their toxicity and its evidence: the nearest labelled examples and their cosines, nearest first.
 
-    A document without a vocabulary term, such as a null or empty one, has no
+    A document without a word, such as a null or empty one, has no
     neighbours; its score is the rate of positives among such examples.  Equal
     texts get equal scores; every row of the input is in the output once.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and the vocabulary
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and its terms
 
     def make():
         own = held.value
@@ -287,9 +349,14 @@ def judge(run: tx.Run, model: Model, index: Index, threshold: float) -> pa.Struc
     score = np.full(run.rows, model.blank_rate)
     near: list[list[int]] = [[]] * run.rows
     cosines: list[list[float]] = [[]] * run.rows
-    for r in np.flatnonzero(np.diff(upto)).tolist() if index.n else []:
-        own = slice(upto[r], upto[r + 1])
-        at, c = index.nearest(term[own], weight[own])
-        score[r] = 1 / (1 + np.exp(-(model.slope * _vote(model.labels[at], c, model.base_rate) + model.shift)))
-        near[r], cosines[r] = model.ids[at].tolist(), c.tolist()
+    held = term < len(model.vocabulary)  # other terms are in no example
+    for a in range(0, run.rows if index.n else 0, ROWS):
+        part = slice(upto[a], upto[min(a + ROWS, run.rows)])
+        own = held[part]
+        common = index.common(row[part][own] - a, term[part][own], weight[part][own], min(ROWS, run.rows - a))
+        for r in (a + np.flatnonzero(np.diff(upto[a : a + ROWS + 1]))).tolist():
+            mine = slice(upto[r], upto[r + 1])
+            at, c = index.nearest(term[mine][held[mine]], weight[mine][held[mine]], common=common[r - a])
+            score[r] = 1 / (1 + np.exp(-(model.slope * _vote(model.labels[at], c, model.base_rate) + model.shift)))
+            near[r], cosines[r] = model.ids[at].tolist(), c.tolist()
     return tx.struct(score=score, predicted=(score >= threshold).astype(np.int32), neighbours=pa.array(near, type=pa.list_(pa.int64())), cosines=pa.array(cosines, type=pa.list_(pa.float64())))
