@@ -127,3 +127,23 @@ def test_language_awkward(spark):
     empty = language.train(h.none(spark))
     assert language.identify(h.none(spark), empty, out="l").collect() == []
     assert {r.l.lang for r in language.identify(docs, empty, out="l").collect()} == {"und"}
+
+
+def test_every_length_can_be_rejected(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.1', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    m = language.train(docs)
+    assert (m.least > 0).all()
+    rng = np.random.default_rng(1)
+    foreign = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. ", "Все люди рождаются свободными и равными в своем достоинстве и правах. "]
+    texts = [(f * (n // len(f) + 1))[:n] for n in (12, 30, 300, 3000, 30_000, 300_000) for f in ("".join(rng.choice(list("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ0123456789"), 1000)), *foreign)]
+    planted = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert [r.doc_id for r in language.identify(planted, m, out="l").collect() if not r.l.rejected] == []
+    own = language.identify(docs, m, out="l").selectExpr("avg(int(l.rejected))").first()[0]
+    assert own < 0.01
+
+
+def test_thresholds_borrow_from_the_nearest_lengths():
+    size, cosine = np.array([16] * 30 + [64] * 5 + [4096] * 40), np.array([0.2] * 30 + [0.5] * 5 + [0.8] * 40)
+    least = language._least(size, cosine) / language.REJECT
+    assert np.allclose(least[[0, 4, 5]], 0.2) and np.allclose(least[[12, 20, 31]], 0.8)
+    assert not language._least(np.zeros(0), np.zeros(0)).any()

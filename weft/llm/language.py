@@ -6,7 +6,8 @@ other ASCII byte that isn't a letter a space) in DIMENSIONS hashed places, weigh
 language has up to CLUSTERS centroids, found by spherical k-means over a bounded sample
 of its training documents, one task a language.  A document takes the language
 of the centroid of largest cosine.  It is rejected where that cosine is far
-below what the sample has at the document's length.
+below what the sample has at the document's length, or at the lengths nearest to it
+that the sample has enough texts of.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from weft.llm import text as tx
 DIMENSIONS, CLUSTERS, SAMPLE = 8192, 4, 400
 #: A document is rejected below this part of the cosine that all but one in a hundred of the sample reach.
 REJECT = 0.4
+#: Texts of the sample that a threshold needs, at least; lengths that have fewer borrow from their neighbours.
+BACKED = 20
 #: Rows whose vectors are held at once.
 ROWS = 256
 
@@ -88,6 +91,17 @@ def _bin(size: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(size, 1)).astype(np.int64), 31)
 
 
+def _least(size: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """The least cosine by the doublings of a text's bytes: of the sample's texts of that many, and of the next ones up to BACKED in all."""
+    size, cosine = size[cosine > 0], cosine[cosine > 0]  # no likeness at all is always below
+    bins, least = _bin(size), np.zeros(32)
+    for k in range(32 if len(size) else 0):
+        away = np.abs(bins - k)
+        reach = np.sort(away)[min(BACKED, len(away)) - 1]  # 0 where the length itself has enough
+        least[k] = REJECT * np.quantile(cosine[away <= reach], 0.01)
+    return least
+
+
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Centroids of length 1 by spherical k-means, begun with rows far from each other."""
     seeds = [int((x @ x.sum(axis=0)).argmax())]
@@ -150,12 +164,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return pd.DataFrame({"l": [group["l"].iloc[0]], "c": [[v.tolist() for v in c]], "size": [size.tolist()], "cosine": [(x @ c.T).max(axis=1).astype(float).tolist()]})
 
     found = sorted(few.groupBy("l").applyInPandas(fit, schema).collect(), key=lambda r: r.l)  # a row per language
-    least = np.zeros(32)
-    if found:
-        size, cosine = np.concatenate([r["size"] for r in found]), np.concatenate([r.cosine for r in found])
-        for k in range(32):
-            own_ = cosine[_bin(size) == k]
-            least[k] = REJECT * np.quantile(own_, 0.01) if len(own_) >= 20 else 0.0
+    least = _least(*(np.concatenate([np.zeros(0), *(r[c] for r in found)]) for c in ("size", "cosine")))
     langs = [r.l for r in found]
     return Model(idf, langs, np.repeat(np.arange(len(found)), [len(r.c) for r in found]), np.array([v for r in found for v in r.c], dtype=np.float32).reshape(-1, DIMENSIONS), least)
 
