@@ -48,7 +48,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 4096 tokens."""
-    placed = packing.layout(docs, queries.tokenizer("word_bpe_49k.json"), queries.END_ID)
+    placed = packing.layout(docs, queries.tokenizer("word_bpe_49k.json"), queries.END_ID, added=True)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -45,6 +46,44 @@ def test_encoder_matches_whole_texts(name, spaced):
     any_text()
 
 
+ADDED = ["one <|endoftext|> two", "one <|ENDOFTEXT|> two", "x<|startoftext|>y's <|endoftext|><|endoftext|>", "<|endof", "text|> a", "<|endoftext|>", "A<|endoftext|>", "a<|endoftext|>", "　<|endoftext|> b"]
+
+
+@functools.cache
+def loaded(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def plain(path, texts):
+    return [x.ids + [2] for x in loaded(path).encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_encoder_keeps_added_tokens(name, spaced):
+    path = queries.tokenizer(name)
+    encoder = en.Encoder(path, 2, spaced, added=True)
+    texts = [*h.AWKWARD, *ODD, *ADDED]
+    assert own(encoder, texts) == own(encoder, texts, 1 << 20) == plain(path, texts)
+    assert plain(path, ADDED) != whole(path, ADDED)
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|ENDoftext|>", "<|startoftext|>", "<|", "a", "B", " ", "'s", ".", "　"]), max_size=6).map("".join), min_size=1, max_size=4))
+    def any_text(texts):
+        assert own(encoder, texts) == plain(path, texts)
+
+    any_text()
+
+
+def test_queries_keep_added_tokens(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id bigint, text string")
+    monkeypatch.setattr(queries, "texts", lambda *_: docs)
+    for query, name in ((queries.op5_packing, "word_bpe_49k.json"), (queries.op6_token_files, "byte_bpe_50k.json")):
+        got = {r.doc_id: r.ids_crc32 for r in query(spark, "").collect()}
+        assert got == {i: zlib.crc32(np.array(x, dtype="<u4").tobytes()) for i, x in enumerate(plain(queries.tokenizer(name), ADDED))}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_first_fit_decreasing(sizes):

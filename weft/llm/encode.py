@@ -5,7 +5,8 @@ place where white space begins, nor where letters end and punctuation begins.  S
 ASCII white space or punctuation follows something else or an ASCII letter), the distinct stretches of a run of documents are found by their
 hashes, and only those not met before go to the tokenizer; the ids of all the
 others are gathered with numpy.  A text with white space beyond ASCII, where that
-cut could change how neighbouring white space is split, is encoded as one stretch.
+cut could change how neighbouring white space is split, is encoded as one stretch;
+so is one with the string of an added token, where such strings aren't ordinary text.
 """
 
 from __future__ import annotations
@@ -29,14 +30,18 @@ _WIDE = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A, 0x80), (0xE2, 0x81, 0x9F), (0x
 
 
 class Encoder:
-    """``spaced``: white space and case count for ids; else white space only parts words and is left out of the stretches, and A-Z are as a-z."""
+    """``spaced``: white space and case count for ids; else white space only parts words and is left out of the stretches, and A-Z are as a-z.
 
-    def __init__(self, path: str, end_id: int, spaced: bool):
+    ``added``: the string of an added token in a text is that token, as the file says; else it is ordinary text.
+    """
+
+    def __init__(self, path: str, end_id: int, spaced: bool, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.end_id, self.spaced = end_id, spaced
         self._forget()
 
@@ -46,7 +51,21 @@ class Encoder:
         self.pool = np.zeros(1 << 16, dtype=np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32)
         self.used = 0
 
-    def _stretches(self, run: tx.Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _tokens(self, run: tx.Run) -> np.ndarray:
+        """Rows with the string of an added token, in any case."""
+        found, raw = [], run.data.tobytes().lower() if self.added else b""
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(run.bounds, at, "right")) - 1
+                if at + len(token) <= run.bounds[row + 1]:
+                    found.append(row)
+                    at = raw.find(token, int(run.bounds[row + 1]))
+                else:  # the end of a row and the start of the next
+                    at = raw.find(token, at + 1)
+        return np.unique(np.array(found, dtype=np.int64))
+
+    def _stretches(self, run: tx.Run, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data = run.data
         ends_word = np.zeros(len(data), dtype=bool)
         ends_word[1:] = _POINT[data[1:]] & _ASCII_LETTER[data[:-1]]  # a point right after a letter
@@ -66,7 +85,7 @@ class Encoder:
             if len(word_s):
                 last = np.append(np.searchsorted(starts, word_s)[1:], len(starts)) - 1  # each word's last stretch
                 ends[last] = word_e
-        rows = self._wide(run)
+        rows = np.union1d(self._wide(run), tokens)
         if len(rows):
             keep = ~np.isin(tx.row_of(first), rows)
             starts = np.concatenate([starts[keep], run.bounds[rows]])
@@ -105,8 +124,13 @@ class Encoder:
 
     def run(self, run: tx.Run) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a run's rows, each row's closed with the end id, and the rows' bounds in them."""
-        starts, ends, first = self._stretches(run)
-        keys, place, again = np.unique(run.hashes(starts, ends, lower=not self.spaced), return_index=True, return_inverse=True)
+        tokens = self._tokens(run)
+        starts, ends, first = self._stretches(run, tokens)
+        hashes = run.hashes(starts, ends, lower=not self.spaced)
+        if len(tokens):  # the case of an added token counts
+            at = first[tokens]
+            hashes[at] = tx.mix(run.hashes(starts[at], ends[at]) + tx.U64(1))
+        keys, place, again = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(keys) > REMEMBERED:
             self._forget()
         at = np.searchsorted(self.known, keys)
@@ -126,9 +150,9 @@ class Encoder:
 _held: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, end_id: int, spaced: bool) -> Encoder:
+def encoder(path: str, end_id: int, spaced: bool, added: bool = False) -> Encoder:
     """The worker's encoder for a tokenizer file; loaded once a process."""
-    key = (path, end_id, spaced)
+    key = (path, end_id, spaced, added)
     if key not in _held:
         _held.clear()
         _held[key] = Encoder(*key)

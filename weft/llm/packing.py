@@ -25,17 +25,17 @@ _PIECE = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.bi
 _ARROW = pa.struct([("doc_tokens", pa.int64()), ("pieces", pa.list_(_PIECE))])
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = False, text_col: str = "text", capacity: int = CAPACITY, out: str = "tokens") -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = False, text_col: str = "text", capacity: int = CAPACITY, out: str = "tokens", added: bool = False) -> DataFrame:
     """The documents with a struct of their tokens: ``doc_tokens`` and the pieces of at most ``capacity`` ids.
 
     A document's ids are its text's and ``end_id``; a null or empty text has
-    ``end_id`` alone.  A piece has its ``start`` in the document, its
+    ``end_id`` alone.  ``added``: see :class:`weft.llm.encode.Encoder`.  A piece has its ``start`` in the document, its
     ``length``, and its ids as little-endian unsigned 32-bit integers.
     """
 
     def make():
         def work(column: pa.Array) -> pa.Array:
-            encoder, parts = en.encoder(tokenizer, end_id, spaced), []
+            encoder, parts = en.encoder(tokenizer, end_id, spaced, added), []
             for run in tx.runs(column, en.RUN_BYTES):
                 ids, bounds = encoder.run(run)
                 raw = memoryview(ids.astype("<u4").tobytes())
@@ -116,12 +116,12 @@ def sequences(packed: DataFrame, ids_col: str = "ids") -> DataFrame:
     return whole.select("sequence_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"), F.transform("p", lambda x: x["length"]).alias("lengths"))
 
 
-def layout(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = False, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def layout(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = False, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """Where each piece of each document goes, with the crc32 of its ids in place of them.
 
     Tokens are made and digested in one pass; only the narrow table of pieces
     is written and shuffled.
     """
-    cut_ = cut(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), tokenizer, end_id, spaced, capacity=capacity)
+    cut_ = cut(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), tokenizer, end_id, spaced, capacity=capacity, added=added)
     pieces = cut_.select("doc_id", "tokens.doc_tokens", F.inline("tokens.pieces")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(materialize(pieces), capacity=capacity)

@@ -54,13 +54,13 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = packing.layout(texts(spark, sf_dir), tokenizer("word_bpe_49k.json"), END_ID)
+    placed = packing.layout(texts(spark, sf_dir), tokenizer("word_bpe_49k.json"), END_ID, added=True)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, f"token_files/{uuid.uuid4().hex}")
-    token_files.write(texts(spark, sf_dir), folder, tokenizer("byte_bpe_50k.json"), END_ID)
+    token_files.write(texts(spark, sf_dir), folder, tokenizer("byte_bpe_50k.json"), END_ID, added=True)
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -116,12 +116,12 @@ class Reader:
         return batch.column(0)[at].values.to_numpy(), batch.column(1)[at].values.to_numpy(zero_copy_only=False)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spaced: bool = True, wide: bool = False, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, batch: int = BATCH) -> None:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spaced: bool = True, wide: bool = False, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, batch: int = BATCH, added: bool = False) -> None:
     """Write all documents' tokens to Arrow shards under ``folder``, and the index to ``folder``/index.
 
     Documents go in ascending order of id (nulls first, ties by a hash of the
     text), each as its text's ids and ``end_id``; a null or empty text has
-    ``end_id`` alone.  ``wide``: ids need more than 16 bits.  Each attempt of a
+    ``end_id`` alone.  ``wide``: ids need more than 16 bits.  ``added``: see :class:`weft.llm.encode.Encoder`.  Each attempt of a
     task writes files of its own, and the index, which Spark commits, names
     those of the attempt that counts: what a lost executor leaves is not read.
     An empty table has an empty index.
@@ -135,7 +135,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spaced: boo
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, shard, path = en.encoder(tokenizer, end_id, spaced), None, ""
+        encoder, shard, path = en.encoder(tokenizer, end_id, spaced, added), None, ""
         number = TaskContext.get().partitionId()
         for b in batches:
             if shard is None:
