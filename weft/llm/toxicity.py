@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,7 +135,7 @@ def _document_counts(docs: DataFrame, text_col: str, vocabulary: np.ndarray) ->
         yield pa.RecordBatch.from_arrays([pa.array([-1], type=pa.int32()), pa.array([n], type=pa.int64())], names=schema.names)
 
     tx.bounded_batches(docs.sparkSession)
-    df, n = np.zeros(len(vocabulary) + PLACES), 0
+    df = np.zeros(len(vocabulary) + PLACES, dtype=np.float32)
     found = docs.select(F.col(f"`{text_col}`")).mapInArrow(run, schema).groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # one row per term and place
     term, seen = found["term"].to_numpy(), found["df"].to_numpy()
     df[term[term >= 0]] = seen[term >= 0]
@@ -181,13 +181,18 @@ class Index:
         column = self.column[model.index]
         self.dense = np.zeros((n, len(common)), dtype=np.float32)
         self.dense[row[column >= 0], column[column >= 0]] = model.weight[column >= 0]
-        order = np.flatnonzero(column < 0)
-        order = order[np.argsort(model.index[order], kind="stable")]
-        self.row, self.weight, term = row[order], model.weight[order], model.index[order]
+        at = np.flatnonzero(column < 0)
+        order = (model.index[at].astype(np.int64) << 32) | at
+        del column, at
+        order.sort()  # by term and row, in place
+        term = (order >> 32).astype(np.int32)
+        order &= 0xFFFFFFFF
+        self.row, self.weight = row[order], model.weight[order]
+        del row
         of = self.row // block
         at = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (of[1:] != of[:-1]))) if len(order) else order
         #: Of each term in each block that has it: where its postings begin, the block, the largest weight; and each term's first of them.
-        self.begin, self.of = np.append(at, len(order)), of[at]
+        self.begin, self.of = np.append(at, len(order)).astype(np.int32), of[at]
         self.best = np.maximum.reduceat(self.weight, at) if len(at) else self.weight
         self.first = np.searchsorted(term[at], np.arange(v + 1))
         self.query = np.zeros(v)
@@ -282,7 +287,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     picked = ln.labelled_sample(docs, labels, label_col, sample, id_col, text_col)
     vocabulary, scale = _vocabulary(picked)
     df, n_docs = _document_counts(docs, text_col, vocabulary)
-    idf = ((np.log((1 + n_docs) / (1 + df)) + 1) * np.append(scale, np.full(PLACES, FLOOR if scale.min(initial=1.0) < 1 else 1.0))).astype(np.float32)
+    idf = np.log1p(df, out=df)  # in place, as the driver's memory is small
+    np.subtract(np.float32(np.log(1 + n_docs) + 1), idf, out=idf)
+    idf[: len(vocabulary)] *= scale
+    idf[len(vocabulary) :] *= FLOOR if scale.min(initial=1.0) < 1 else 1.0
     schema = T.StructType.fromDDL("id bigint, label int, term array<int>, count array<int>")
 
     def run(batches):
@@ -305,26 +313,52 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         none = np.zeros(0, dtype=np.int64)
         return Model(vocabulary, idf, none, none, np.zeros(1, dtype=np.int64), none, np.zeros(0), 0.0, blank_rate)
     start = np.cumsum(size) - size
+    weight = np.log(count, dtype=np.float32)
+    del count
+    weight += 1
+    weight *= idf[term]
+    weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, start)), size)
     row = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    weight = _weights(count, term, row, idf, len(size)).astype(np.float32)
     # examples with the same heaviest term lie together, so that bounds of blocks are tight
     head = np.flatnonzero(weight == np.maximum.reduceat(weight, start)[row])
     head = term[head[np.unique(row[head], return_index=True)[1]]]
     order = np.lexsort((ids, label, head))
-    by = _ranges(start[order], start[order] + size[order])
-    y = label[order]
-    model = Model(vocabulary, idf, ids[order], y, np.concatenate([[0], np.cumsum(size[order])]), term[by], weight[by], float(y.mean()), blank_rate)
-    index, odds = Index(model), []
-    for a in range(0, len(y), ROWS):
-        common = index.dense[a : a + ROWS] @ index.dense.T
-        for i in range(a, min(a + ROWS, len(y))):
-            lo, hi = model.bounds[i], model.bounds[i + 1]
-            r, c = index.nearest(model.index[lo:hi], model.weight[lo:hi].astype(float), skip=i, common=common[i - a])
-            odds.append(_vote(y[r], c, model.base_rate))
-    model.slope, model.shift = _calibrate(np.array(odds), y)
+    del row
+    y, spans = label[order], [slice(a, a + n) for a, n in zip(start[order].tolist(), size[order].tolist(), strict=True)]
+    term = np.concatenate([term[x] for x in spans])
+    weight = np.concatenate([weight[x] for x in spans])
+    model = Model(vocabulary, idf, ids[order], y, np.concatenate([[0], np.cumsum(size[order])]), term, weight, float(y.mean()), blank_rate)
+    odds = _left_out(docs.sparkSession, model)
+    model.slope, model.shift = _calibrate(odds, y)
     return model
 
 
+def _left_out(spark: SparkSession, model: Model) -> np.ndarray:
+    """The log-odds of each example by the votes of the others."""
+    held, n = spark.sparkContext.broadcast(model), len(model.ids)
+
+    def run(batches):
+        own, index = held.value, None
+        for b in batches:
+            index = index or Index(own)
+            for a in b.column(0).to_pylist():
+                common = index.dense[a : a + ROWS] @ index.dense.T
+                odds = []
+                for i in range(a, min(a + ROWS, n)):
+                    lo, hi = own.bounds[i], own.bounds[i + 1]
+                    r, c = index.nearest(own.index[lo:hi], own.weight[lo:hi].astype(float), skip=i, common=common[i - a])
+                    odds.append(_vote(own.labels[r], c, own.base_rate))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(odds))), pa.array(odds)], names=["i", "odds"])
+        tx.give_back()
+
+    tasks = max(1, min(-(-n // 1024), spark.sparkContext.defaultParallelism))
+    got = spark.range(0, n, ROWS, tasks).mapInArrow(run, "i bigint, odds double").toArrow()  # a row per example
+    held.unpersist()
+    odds = np.zeros(n)
+    odds[got["i"].to_numpy()] = got["odds"].to_numpy()
+    return odds
+
+
 def scores(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity", threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a struct of their toxicity and its evidence: the nearest labelled examples and their cosines, nearest first.
 
