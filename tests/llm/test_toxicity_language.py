@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 import pyarrow as pa
 
@@ -67,6 +69,8 @@ def test_toxicity_weighs_every_term(spark):
     m = toxicity.train(docs, h.labels(spark, [(i, 1, int(i % 9 == 1)) for i in range(120)]), id_col="doc_id")
     sampled = {i for i in range(120)} & set(m.ids.tolist())
     assert len(sampled) == len(m.ids) == docs.where("doc_id < 120").where(queries.ln.fold(queries.F.col("doc_id"), 5) != 0).count()
+    sent = pickle.loads(pickle.dumps(m))
+    assert all(np.array_equal(getattr(sent, c), getattr(m, c)) for c in ("index", "weight", "count", "idf", "bounds", "vocabulary"))
     held = {t for i in sampled for t in texts[i].split()}
     assert len(m.vocabulary) >= len(held)
     rows = {r.doc_id: r.t for r in toxicity.scores(docs, m, out="t").collect()}

@@ -157,6 +157,30 @@ class Model:
     blank_rate: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
+    #: Terms' counts, from which the weights can be made again.
+    count: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        """Small, as each executor writes it to its disk: no weights where there are counts, and steps between a row's terms."""
+        state = dict(self.__dict__)
+        if self.count is not None:
+            state["weight"] = None
+            step = np.diff(self.index, prepend=self.index.dtype.type(0))
+            for name, x in (("index", step), ("count", self.count), ("idf", self.idf)):
+                raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)  # like bytes together
+                state[name] = (x.dtype, raw.shape, pa.compress(raw.tobytes(), "zstd", asbytes=True))
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        for name, x in state.items():
+            if isinstance(x, tuple):
+                kind, shape, raw = x
+                flat = np.frombuffer(pa.decompress(raw, shape[0] * shape[1], "zstd", asbytes=True), dtype=np.uint8)
+                state[name] = np.ascontiguousarray(flat.reshape(shape).T).reshape(-1).view(kind)
+        if state["weight"] is None:
+            state["index"] = np.cumsum(state["index"], dtype=state["index"].dtype)
+            state["weight"] = _example_weights(state["count"], state["index"], state["idf"], state["bounds"])
+        self.__dict__.update(state)
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -250,6 +274,15 @@ def _weights(count: np.ndarray, term: np.ndarray, row: np.ndarray, idf: np.ndarr
     return w / np.where(norm > 0, norm, 1)[row]
 
 
+def _example_weights(count: np.ndarray, term: np.ndarray, idf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The weights of rows that all have terms, in little memory."""
+    weight = np.log(count, dtype=np.float32)
+    weight += 1
+    weight *= idf[term]
+    weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, bounds[:-1])), np.diff(bounds))
+    return weight
+
+
 def _vote(labels: np.ndarray, cosines: np.ndarray, base: float) -> float:
     """The log-odds of the positive share of the votes."""
     w = cosines**2
@@ -313,11 +346,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         none = np.zeros(0, dtype=np.int64)
         return Model(vocabulary, idf, none, none, np.zeros(1, dtype=np.int64), none, np.zeros(0), 0.0, blank_rate)
     start = np.cumsum(size) - size
-    weight = np.log(count, dtype=np.float32)
-    del count
-    weight += 1
-    weight *= idf[term]
-    weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, start)), size)
+    weight = _example_weights(count, term, idf, np.append(start, len(term)))
     row = np.repeat(np.arange(len(size), dtype=np.int32), size)
     # examples with the same heaviest term lie together, so that bounds of blocks are tight
     head = np.flatnonzero(weight == np.maximum.reduceat(weight, start)[row])
@@ -327,7 +356,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     y, spans = label[order], [slice(a, a + n) for a, n in zip(start[order].tolist(), size[order].tolist(), strict=True)]
     term = np.concatenate([term[x] for x in spans])
     weight = np.concatenate([weight[x] for x in spans])
-    model = Model(vocabulary, idf, ids[order], y, np.concatenate([[0], np.cumsum(size[order])]), term, weight, float(y.mean()), blank_rate)
+    count = np.concatenate([count[x] for x in spans])
+    model = Model(vocabulary, idf, ids[order], y, np.concatenate([[0], np.cumsum(size[order])]), term, weight, float(y.mean()), blank_rate, count=count)
     odds = _left_out(docs.sparkSession, model)
     model.slope, model.shift = _calibrate(odds, y)
     return model
@@ -353,7 +383,7 @@ def _left_out(spark: SparkSession, model: Model) -> np.ndarray:
 
     tasks = max(1, min(-(-n // 1024), spark.sparkContext.defaultParallelism))
     got = spark.range(0, n, ROWS, tasks).mapInArrow(run, "i bigint, odds double").toArrow()  # a row per example
-    held.unpersist()
+    held.destroy()
     odds = np.zeros(n)
     odds[got["i"].to_numpy()] = got["odds"].to_numpy()
     return odds
