@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import decontam, fixity, language, licenses, neardup, packing, quality, rules, token_files, toxicity
+from weft.llm import decontam, filter_audit, fixity, language, licenses, neardup, packing, quality, rules, token_files, toxicity
 from weft.llm import lines as ln
 from weft.session import scratch_path
 
@@ -105,13 +105,21 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(listed, held).withColumnRenamed("key", "page_id")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, every order of them, by source; a document is good or toxic if any of its labels says so."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    failed = filter_audit.failures(docs).drop("text")
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
+    return filter_audit.audit(failed.join(marks, "doc_id", "left"), F.col("source"), F.col("good"), F.col("toxic"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_rules, op3_toxicity, op4_language, op5_packing, op6_token_files, op7_license_scan, op8_decontamination, op9_quality, op10_warc_fixity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_rules, op3_toxicity, op4_language, op5_packing, op6_token_files, op7_license_scan, op8_decontamination, op9_quality, op10_warc_fixity, op13_filter_audit, pipeline)}
 
 # words as the operators take them
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -150,4 +158,24 @@ SQL = {
         o AS (SELECT *, place // 1024 AS file FROM p)
         SELECT * FROM (SELECT page_id, place, file, CAST(sum(length) OVER (PARTITION BY file ORDER BY place) - length AS BIGINT) AS "offset", length, expected, found, damage FROM o)
         WHERE found IS DISTINCT FROM expected""",
+    "op13_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        m AS (SELECT x, min(doc_id) AS least FROM t GROUP BY x),
+        q AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        d AS (SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x),
+                            regexp_matches(x, '[#$%&*|]'), coalesce(t.doc_id > m.least, false)] AS f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+              FROM t JOIN m USING (x) LEFT JOIN q USING (doc_id)),
+        c AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL),
+        l AS (SELECT unnest(range(1, 6)) AS k),
+        o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+        r AS (SELECT part, o, f, n, good, toxic, list_min(list_filter(range(1, 6), lambda s: f[o[s]])) AS gone FROM c, o),
+        s AS (SELECT part, o, k AS step, o[k] AS filter,
+                     sum(n) FILTER (gone IS NULL OR gone > k) AS kept, sum(n) FILTER (gone = k) AS removed, sum(n) FILTER (f[o[k]] AND gone < k) AS redundant,
+                     sum(n) FILTER (f[o[k]] AND len(list_filter(f, lambda z: z)) = 1) AS unique_fails, sum(good) FILTER (gone = k) AS good_lost, sum(toxic) FILTER (gone = k) AS toxic_lost
+              FROM r, l GROUP BY part, o, k)
+        SELECT part, array_to_string(list_transform(o, lambda z: 'ABCDE'[z]), '') AS filter_order, CAST(step AS INTEGER) AS step,
+               CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+               CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+               CAST(coalesce(sum(removed) OVER (PARTITION BY part, filter), 0) AS BIGINT) AS shapley
+        FROM s""",
 }
