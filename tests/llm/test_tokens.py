@@ -146,3 +146,24 @@ def test_token_files_round_trip(spark):
     empty = scratch_path(spark, f"test_tokens/{np.random.default_rng().integers(1 << 60)}")
     token_files.write(h.none(spark), empty, path, 2)
     assert token_files.read(spark, empty).collect() == []
+
+
+def test_memory_is_bounded_by_ids(monkeypatch):
+    """Texts that must not be cut are not remembered; what is remembered starts anew at a bound, and ids stay the same."""
+    path = queries.tokenizer("byte_bpe_50k.json")
+    encoder = en.Encoder(path, 2, True)
+    wide = [f"w{i}\xa0" + " ".join(f"x{i * 7 + k}" for k in range(400)) for i in range(60)]
+    assert own(encoder, wide, 1 << 16) == whole(path, wide)
+    assert encoder.used < 1000 and len(encoder.known) < 100
+    monkeypatch.setattr(en, "REMEMBERED_IDS", 500)
+    narrow = [t.replace("\xa0", " ") for t in wide]
+    assert own(encoder, narrow, 1 << 12) == whole(path, narrow)
+    assert len(encoder.pool) <= 1 << 16
+
+
+def test_packing_keeps_ids_beside_nulls(spark):
+    big = [1152921504606846977, 4611686018427387907, -(2**63), None, None, 2**63 - 1]
+    docs = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(big)], "doc_id bigint, text string")
+    got = packing.layout(docs, queries.tokenizer("word_bpe_49k.json"), 2).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(d for d in big if d is not None)
+    assert sum(r.doc_id is None for r in got) == 2 and sorted(r.offset for r in got) == [sum(r.length for r in got) // 6 * k for k in range(6)]

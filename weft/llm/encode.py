@@ -18,8 +18,10 @@ import numpy as np
 
 from weft.llm import text as tx
 
-#: Stretches that a worker remembers, at most; beyond it the memory starts anew.
-REMEMBERED = 3 << 19
+#: Stretches that a worker remembers, and ids of them, at most; beyond either the memory starts anew.
+REMEMBERED, REMEMBERED_IDS = 3 << 19, 1 << 23
+#: Bytes of a stretch that is worth remembering; a longer one, such as a text that must not be cut, is encoded each time.
+LONGEST = 256
 #: Bytes of text encoded at once: a stretch that comes again in them is looked up once.
 RUN_BYTES = 1 << 20
 
@@ -47,10 +49,16 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known = np.zeros(0, dtype=tx.U64)
-        self.begin, self.size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)  # of the ids, in the order of known
-        self.pool = np.zeros(1 << 16, dtype=np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.int32)
+        self.begin, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)  # of the ids, in the order of known
+        self.pool = np.zeros(1 << 16, dtype=np.uint16 if self._ids_known() <= 1 << 16 else np.int32)
         self.used = 0
 
+    def _ids_known(self) -> int:
+        return self.tokenizer.get_vocab_size()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _tokens(self, run: tx.Run) -> np.ndarray:
         """Rows with the string of an added token, in any case."""
         found, raw = [], run.data.tobytes().lower() if self.added else b""
@@ -109,8 +117,7 @@ class Encoder:
 
     def _learn(self, run: tx.Run, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         raw = run.data.tobytes()
-        got = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], add_special_tokens=False)
-        ids = [x.ids for x in got]
+        ids = self._ids([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         flat = np.fromiter(chain.from_iterable(ids), dtype=self.pool.dtype, count=int(size.sum()))
         while self.used + len(flat) > len(self.pool):
@@ -131,19 +138,28 @@ class Encoder:
             at = first[tokens]
             hashes[at] = tx.mix(run.hashes(starts[at], ends[at]) + tx.U64(1))
         keys, place, again = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > REMEMBERED:
+        starts, ends = starts[place], ends[place]
+        if len(self.known) + len(keys) > REMEMBERED or self.used > REMEMBERED_IDS:
             self._forget()
         at = np.searchsorted(self.known, keys)
         new = np.ones(len(keys), dtype=bool)
         inside = at < len(self.known)
         new[inside] = self.known[at[inside]] != keys[inside]
+        long = new & (ends - starts > LONGEST)
+        new &= ~long
         if new.any():
-            self._learn(run, keys[new], starts[place[new]], ends[place[new]])
-            at = np.searchsorted(self.known, keys)
+            self._learn(run, keys[new], starts[new], ends[new])
+        kept = self.known, self.begin, self.size, self.used
+        if long.any():
+            self._learn(run, keys[long], starts[long], ends[long])
+        at = np.searchsorted(self.known, keys)
         begin, size = self.begin[at][again].astype(np.int64), self.size[at][again].astype(np.int64)
+        self.known, self.begin, self.size, self.used = kept
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
         bounds = upto[first] + np.arange(run.rows + 1)
+        if len(self.pool) > 4 * REMEMBERED_IDS:  # a giant text was encoded
+            self._forget()
         return np.insert(ids.astype(np.int32), upto[first[1:]], self.end_id), bounds
 
 

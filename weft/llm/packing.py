@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,14 +98,19 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     name = tx.free_name(pieces.columns, "_group")
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        own = group.drop(columns=[name]).reset_index(drop=True)
-        own = own.iloc[np.lexsort([own[c].to_numpy() for c in own.columns if own[c].dtype.kind in "iu"])]  # else the order follows the shuffle
+    def fill(key: tuple, group: pa.Table) -> pa.Table:  # Arrow: a null id must not make numbers of the others
+        own = group.drop_columns([name]).combine_chunks()
+        whole = [c for c in own.column_names if pa.types.is_integer(own.schema.field(c).type)]
+        order = np.arange(len(own))
+        for c in whole:  # else the order follows the shuffle; nulls first
+            column = own[c].take(pa.array(order))
+            order = order[np.lexsort([column.fill_null(0).to_numpy(), column.is_valid().to_numpy()])]
+        own = own.take(pa.array(order))
         bins, offsets = first_fit(own[length_col].to_numpy(), capacity)
-        return own.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
+        return own.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
     dealt = pieces.withColumn(name, F.floor(F.rand(seed) * groups).cast("int"))
-    return dealt.groupBy(name).applyInPandas(fill, schema)
+    return dealt.groupBy(name).applyInArrow(fill, schema)
 
 
 def sequences(packed: DataFrame, ids_col: str = "ids") -> DataFrame:
