@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import alignment, decontam, filter_audit, fixity, language, licenses, neardup, packing, quality, rules, token_files, toxicity
+from weft.llm import alignment, decontam, filter_audit, fixity, language, licenses, neardup, packing, quality, repeats, rules, token_files, toxicity
 from weft.llm import lines as ln
 from weft.session import scratch_path
 
@@ -105,6 +105,10 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(listed, held).withColumnRenamed("key", "page_id")
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(texts(spark, sf_dir))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.alignments(texts(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
     return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -124,7 +128,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_rules, op3_toxicity, op4_language, op5_packing, op6_token_files, op7_license_scan, op8_decontamination, op9_quality, op10_warc_fixity, op12_alignment, op13_filter_audit, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_rules, op3_toxicity, op4_language, op5_packing, op6_token_files, op7_license_scan, op8_decontamination, op9_quality, op10_warc_fixity, op11_repeats, op12_alignment, op13_filter_audit, pipeline)}
 
 # words as the operators take them
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
