@@ -114,3 +114,42 @@ def test_error_text_with_line_separator(spark):
 
     got = spark.createDataFrame([("a b",)], "s string").select(json_text(Val(F.col("s"), T.StringType())).alias("j")).first().j
     assert json.loads(got) == "a b"
+
+
+MIXED = {"1.csv": "a,b\n1,2\n,\n9,8,\n", "2.csv": "b,a\n3,4\n5,6,7\n", "3.csv": "\n\n﻿a,b,c\n5,6,7\n\n8\n", "4.csv": '"x\n""y""",a,a,\n1,2,3,4\n', "5.csv": "b,a\n", "6.csv": "", "7.csv": ",".join(f"k{i}" for i in range(90)) + "\n" + ",".join(str(i) for i in range(90)) + "\n"}
+MIXED_GOOD = [{"a": 1, "b": 2}, {}, {"a": 9, "b": 8}, {"b": 3, "a": 4}, {"a": 5, "b": 6, "c": 7}, {"a": 8}, {'x\n"y"': 1, "a": 3, "_c3": 4}, {f"k{i}": i for i in range(90)}]
+
+
+def _same(read_, multi_line=True):
+    good, bad = read_
+    rows = sorted(json.dumps({k: v for k, v in g.items() if v is not None}, sort_keys=True) for g in good)
+    want = [g for g in MIXED_GOOD if multi_line or "_c3" not in g]
+    return rows == sorted(json.dumps(g, sort_keys=True) for g in want) and bad == ["5,6,7"]
+
+
+def test_csv_files_have_their_own_headers(spark, tmp_path):
+    for name, text in MIXED.items():
+        (tmp_path / name).write_text(text)
+    assert _same(read(rec.read_csv_records(spark, str(tmp_path))))
+    (tmp_path / "4.csv").write_text("")
+    assert _same(read(rec.read_csv_records(spark, str(tmp_path), multi_line=False)), False)
+    assert read(rec.read_csv_records(spark, str(tmp_path / "6.csv"))) == ([], [])
+    texts = [json.loads(r[0]) for r in rec.read_csv_records(spark, str(tmp_path / "[12].csv"), cell_typing=False).where("_corrupt_record is null").select(F.to_json("record")).collect()]
+    assert {"a": "1", "b": "2"} in texts and {"b": "3", "a": "4"} in texts
+
+
+def test_csv_stream_reads_headers_of_later_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    got = [[], []]
+
+    def keep(batch, _):
+        good, bad = read(batch)
+        got[0].extend(good)
+        got[1].extend(bad)
+
+    for names in (["1.csv", "2.csv", "5.csv"], ["3.csv", "4.csv", "6.csv", "7.csv"]):  # the second lot comes to a running checkpoint
+        for name in names:
+            (tmp_path / "in" / name).write_text(MIXED[name])
+        stream = read_record_stream(spark, str(tmp_path / "in"), "csv", max_files_per_trigger=2)
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert _same(got)

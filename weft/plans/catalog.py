@@ -1329,3 +1329,41 @@ def q_set_resource_type(spark, sf):
     r = map_in(c, cfg("Type", "Observation", fm(0, "c_mktsegment", "resourceType")), keep=("c_custkey",), keep_original=False)
     whole = F.to_json("item")
     return r.df.select("c_custkey", F.regexp_extract(whole, r'^\{"resourceType":("[^"]*")\}$', 1).alias("j"))
+
+
+def _mixed_csv(spark, sf) -> str:
+    """Customers as CSV files of three kinds: two orders of columns, and one with another column."""
+    from weft.session import scratch_path
+
+    out = scratch_path(spark, f"csv_mixed-{uuid.uuid4().hex}")
+    c = table(spark, sf, "customer")
+    for k, cols in enumerate((("c_custkey", "c_name", "c_mktsegment"), ("c_mktsegment", "c_custkey", "c_name"), ("c_acctbal", "c_name", "c_custkey", "c_mktsegment"))):
+        c.where(F.col("c_custkey") % 3 == k).select(*cols).write.option("header", True).csv(f"{out}/k={k}")
+    return f"{out}/k=*"
+
+
+@register("csv_mixed_headers", """
+SELECT c_custkey, c_name AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 3 = 2 THEN CAST(c_acctbal AS DOUBLE) END AS acctbal FROM customer""")
+def q_csv_mixed_headers(spark, sf):
+    """Files of one folder with headers of their own; names follow each file's."""
+    from weft.sources.records import read_csv_records
+
+    recs = read_csv_records(spark, _mixed_csv(spark, sf))
+    r = F.col("record")
+    return recs.select(F.try_variant_get(r, "$.c_custkey", "bigint").alias("c_custkey"), F.try_variant_get(r, "$.c_name", "string").alias("name"),
+                       F.try_variant_get(r, "$.c_mktsegment", "string").alias("segment"), F.try_variant_get(r, "$.c_acctbal", "double").alias("acctbal"))
+
+
+@register("csv_stream", f"""
+SELECT 'data' AS type, c_custkey AS id, c_name AS name_text, {GENDER_SQL} AS gender FROM customer""")
+def q_csv_stream(spark, sf):
+    """X1 + X2: CSV files with headers of their own as a stream, mapped and written by the library's own writer, read back."""
+    from weft.session import scratch_path
+    from weft.streaming import read_record_stream, start_map_in_stream
+
+    base = scratch_path(spark, f"csv_stream-{uuid.uuid4().hex}")
+    stream = read_record_stream(spark, _mixed_csv(spark, sf), "csv")
+    start_map_in_stream(stream, CUSTOMER_TO_PATIENT, f"{base}/out", f"{base}/checkpoint", variant_col="record").awaitTermination()
+    line = F.from_json("value", "type string, item struct<id:bigint,name:array<struct<text:string>>,gender:string>")
+    back = spark.read.text(f"{base}/out").select(line.alias("l"))
+    return back.select("l.type", "l.item.id", F.get("l.item.name", 0)["text"].alias("name_text"), "l.item.gender")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions.coerce import type_cell
+from weft.sources.headers import header_catalogue, with_own_headers
 
 RECORD = "record"
 CORRUPT = "_corrupt_record"
@@ -50,46 +51,82 @@ def type_csv_columns(df: DataFrame, cell_typing: bool = True) -> DataFrame:
     return df.select(obj.alias(RECORD), *extra)
 
 
-def _csv_options(reader, multi_line: bool):
-    return reader.option("header", True).option("inferSchema", False).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
+def _csv_options(reader, multi_line: bool, header: bool = True):
+    return (reader.option("header", header).option("inferSchema", False).option("multiLine", multi_line).option("escape", '"')
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
 
 
-def _csv_names(spark: SparkSession, path: str, multi_line: bool) -> list[str]:
-    return _csv_options(spark.read, multi_line).csv(path).columns
+def _positional(width: int) -> T.StructType:
+    """Cells by place, and the text of a row that hasn't just as many."""
+    return T.StructType([T.StructField(c, T.StringType()) for c in (*(f"_c{k}" for k in range(width)), CORRUPT)])
 
 
-def _wider(names: list[str]) -> tuple[T.StructType, str]:
-    """A schema of the header's columns and one more, which only a row with too many cells fills."""
-    more = "_more_cells"
-    while more in names:
-        more += "_"
-    return T.StructType([T.StructField(c, T.StringType()) for c in (*names, more, CORRUPT)]), more
+def _cells(width: int) -> Column:
+    return F.array(*[F.col(f"_c{k}") for k in range(width)])
 
 
-def _csv_records(raw: DataFrame, names: list[str], more: str, cell_typing: bool, on_malformed: str) -> DataFrame:
-    cells = [F.col(f"`{c}`") for c in names]
-    # one cell beyond the header fits the schema, so the reader has no text of that row: the cells stand for it
-    text = F.coalesce(F.col(CORRUPT), F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in (*cells, F.col(more))]))
-    rows = raw.select(*cells, F.when(F.col(more).isNotNull(), text).alias(CORRUPT))
-    typed = type_csv_columns(rows, cell_typing)
+def _row_text(cells: Column) -> Column:
+    """What stands for the text of a row that fits the schema: its cells up to the last one that is there."""
+    return F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), ",")
+
+
+def _same_header(raw: DataFrame, fields: list[tuple[str, int]], width: int, cell_typing: bool) -> DataFrame:
+    """Rows of files that all have one header (one cell more than it is read): columns of a typed struct."""
+    cell = type_cell if cell_typing else (lambda c: F.when(c != "", c.cast("variant")))
+    record = F.to_variant_object(F.struct(*[cell(F.col(f"_c{at}")).alias(name) for name, at in fields]))
+    bad = F.when(F.col(f"_c{width}").isNotNull(), F.coalesce(F.col(CORRUPT), _row_text(_cells(width + 1))))
+    return raw.select(record.alias(RECORD), bad.alias(CORRUPT))
+
+
+def _own_header(rows: DataFrame, cell_typing: bool) -> DataFrame:
+    """Rows (fields, cells, text) of files with headers of their own: the names are looked up in the row."""
+    cell = type_cell if cell_typing else (lambda c: F.when(c != "", c.cast("variant")))
+    fields, cells = F.col("fields"), F.col("cells")
+    width = F.coalesce(F.array_max(fields["at"]), F.lit(-1)) + 1
+    more = F.exists(F.slice(cells, width + 1, F.greatest(F.size(cells) - width, F.lit(0))), lambda c: c.isNotNull())
+    values = F.transform(fields["at"], lambda k: cell(F.get(cells, k)))
+    return rows.select(F.to_variant_object(F.map_from_arrays(fields["name"], values)).alias(RECORD), F.when(more, F.coalesce(F.col("text"), _row_text(cells))).alias(CORRUPT))
+
+
+def _routed(typed: DataFrame, on_malformed: str) -> DataFrame:
     return _or_fail(typed.withColumn(RECORD, F.when(F.col(CORRUPT).isNull(), F.col(RECORD))), on_malformed)
 
 
 def read_csv_records(spark: SparkSession, path: str, cell_typing: bool = True,
                      on_malformed: str = "route", multi_line: bool = True) -> DataFrame:
-    """Header row names the fields, blank lines are skipped, cells typed.
+    """Each file's header row names the fields of its rows, blank lines are skipped, cells typed.
 
+    Files may have other columns or another order of them.  Where all have one header, the
+    names are part of the plan; else each row meets its file's header in a join by the file's path.
     Quoted cells may hold separators, line breaks and doubled quotes.  A row
     with fewer cells than the header lacks the last ones; a row with more goes
     whole to ``_corrupt_record``.  With ``multi_line`` a file is one task, so large
     data should come as many files; without it files are split, and no cell
-    may hold a line break.
+    may hold a line break.  Files that are blank give no rows.
     """
     _checked(on_malformed)
-    names = _csv_names(spark, path, multi_line)
-    schema, more = _wider(names)
-    raw = _csv_options(spark.read, multi_line).option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
-    return _csv_records(raw, names, more, cell_typing, on_malformed)
+    heads = header_catalogue(spark, path, multi_line)
+    known = heads.select("fields").distinct().limit(2).collect()
+    reader = _csv_options(spark.read, multi_line)
+    if len(known) < 2:
+        fields = [(f["name"], f["at"]) for f in known[0]["fields"]] if known else []
+        width = 1 + max((at for _, at in fields), default=-1)
+        raw = reader.schema(_positional(width + 1)).csv(path)  # one cell more than the header has
+        return _routed(_same_header(raw, fields, width, cell_typing), on_malformed)
+    width = 1 + heads.agg(F.max(F.array_max("fields.at"))).first()[0] + 1
+    raw = reader.schema(_positional(width)).csv(path).select(F.col("_metadata.file_path").alias("file"), _cells(width).alias("cells"), F.col(CORRUPT).alias("text"))
+    return _routed(_own_header(raw.join(heads, "file"), cell_typing), on_malformed)
+
+
+#: Cells of a row that a stream's reader takes apart itself; wider rows are taken apart from their text.
+_STREAM_CELLS = 64
+
+
+def stream_csv_records(reader, path: str, cell_typing: bool = True, on_malformed: str = "route") -> DataFrame:
+    """X1 over CSV files, read as :func:`read_csv_records` reads them; a file's header is its first row, also of files that come later."""
+    raw = _csv_options(reader, True, header=False).schema(_positional(_STREAM_CELLS)).csv(path)
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), _cells(_STREAM_CELLS).alias("cells"), F.col(CORRUPT).alias("text"))
+    return _routed(_own_header(with_own_headers(rows, _STREAM_CELLS), cell_typing), on_malformed)
 
 
 def _top_level_values(text: str) -> list[str]:

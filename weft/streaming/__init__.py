@@ -23,17 +23,14 @@ def read_record_stream(spark: SparkSession, path: str, fmt: str = "json", schema
                        on_malformed: str = "route", max_files_per_trigger: int | None = None) -> DataFrame:
     """X1 source: JSON lines (``fmt='json'``) or CSV files with a header (``fmt='csv'``)
     as one VARIANT column, read as :mod:`weft.sources.records` reads them; or a
-    typed stream of files with ``schema``.  The CSV header is that of the files there at the start."""
+    typed stream of files with ``schema``.  Each CSV file has its own header, also one that comes later."""
     r = spark.readStream
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "json" and schema is None:
         return records.json_text_records(r.text(path), records.values_of_lines(F.col("value")), on_malformed)
     if fmt == "csv" and schema is None:
-        names = records._csv_names(spark, path, True)
-        wide, more = records._wider(names)
-        raw = records._csv_options(r, True).option("columnNameOfCorruptRecord", records.CORRUPT).schema(wide).csv(path)
-        return records._csv_records(raw, names, more, True, on_malformed)
+        return records.stream_csv_records(r, path, on_malformed=on_malformed)
     if fmt == "csv":
         r = r.option("header", True).option("escape", '"').option("multiLine", True)
     return r.schema(schema).format(fmt).load(path)
