@@ -328,3 +328,30 @@ def test_array_writes_in_any_order(spark, writes, expected):
     r = map_in(df, cfg("W", "Observation", *[fm(i, s, t) for i, (s, t) in enumerate(writes)]), keep_original=False)
     got = json.loads(r.df.select(F.to_json("item").alias("j")).first().j)
     assert {k: v for k, v in got.items() if k != "resourceType" or k in expected} == expected
+
+
+def test_code_tables_in_a_mapping(spark):
+    """Typed and dynamic records; null, missing and repeated codes, an unknown table, mixed defaults."""
+    from weft.operators.map_in import map_in
+    from weft.plans.config import FieldMapping, MappingConfig
+    from weft.sources.records import inline_records
+
+    fms = (
+        FieldMapping("k", "code", "CODE_LOOKUP", {"table": "t"}),
+        FieldMapping("k", "other", "code_lookup", {"table": "t", "defaultValue": 5}),
+        FieldMapping("k", "own", "CODE_LOOKUP", {"map": {"1": "one"}, "table": "t", "defaultValue": "d"}),
+        FieldMapping("n", "none", "CODE_LOOKUP", {"table": "nowhere"}),
+    )
+    cfg = MappingConfig("c", "Basic", mappings=fms)
+    codes = spark.createDataFrame([("1", "x"), ("1", "w"), ("true", "y"), (None, "z"), ("undefined", "u")], "code string, value string")
+    recs = inline_records(spark, [{"k": 1}, {"k": "1"}, {"k": True}, {"k": None}, {"k": "q"}, {"k": 1, "n": "v"}])
+    out = map_in(recs, cfg, variant_col="record", code_tables={"t": codes}).df.collect()
+    got = {(json.loads(r.original)["k"] if r.original else "", len(r.errors)): [e.message for e in r.errors] for r in out}
+    assert sum(not r.errors for r in out) == 0  # the unknown table is an error of each record
+    assert got["q", 2] == ["Value 'q' not found in CODE_LOOKUP map and no defaultValue provided", "Code table 'nowhere' is not known to this run."]
+    known = MappingConfig("c", "Basic", mappings=fms[:3])
+    out = map_in(recs, known, variant_col="record", code_tables={"t": codes}).df
+    rows = [(json.loads(r.i), len(r.errors)) for r in out.select(F.to_json("item").alias("i"), "errors").collect()]
+    assert [i["code"] for i, n in rows if not n] == ["w", "w", "y", "u", "w"]
+    assert [i["other"] for i, _ in rows] == ["w", "w", "y", "u", 5, "w"]
+    assert [i["own"] for i, _ in rows] == ["one", "one", "d", "d", "d", "one"]

@@ -234,6 +234,23 @@ def code_lookup(value: Val, details: Any, ctx: Context) -> tuple[Val, Column]:
     return Val(hit, dtype), msg
 
 
+def code_table_of(details: Any) -> str | None:
+    """The name of the code table that a CODE_LOOKUP's details ask for, if they hold no map of their own."""
+    d = details if isinstance(details, dict) else {}
+    name = d.get("table")
+    return name if isinstance(name, str) and not isinstance(d.get("map"), (dict, list)) else None
+
+
+def table_lookup(key: Column, hit: Val, found: Column, details: dict) -> tuple[Val, list[Val], Column]:
+    """J4 in a mapping: the value a join found for a code, or the default, or the error that T4 gives.
+
+    Returns the hit, the default where there is one (the caller brings both to one type), and the message."""
+    if "defaultValue" in details:
+        return hit, [literal_val(details["defaultValue"])], _no_error()
+    msg = F.when(~found, F.concat(F.lit("Value '"), key, F.lit("' not found in CODE_LOOKUP map and no defaultValue provided")))
+    return hit, [], msg
+
+
 def concatenate(value: Val, details: Any, ctx: Context) -> tuple[Val, Column]:
     """T5: join other fields of the record; missing ones count as ''."""
     d = details if isinstance(details, dict) else {}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.coerce import js_string
 from weft.functions.paths import Val
+from weft.session import materialize
 
 
 def code_lookup_table(df: DataFrame, key: str, codes: DataFrame, code_key: str, code_value: str,
@@ -25,3 +26,14 @@ def code_lookup_table(df: DataFrame, key: str, codes: DataFrame, code_key: str,
     j = df.withColumn("_key", as_text(df, key)).join(c, F.col("_key") == F.col("_lk"), "left")
     val = F.col("_lv") if default is None else F.coalesce(F.col("_lv"), F.lit(default))
     return j.withColumn(out, val).drop("_lk", "_lv", "_key")
+
+
+def distinct_codes(codes: DataFrame, key: str = "code", value: str = "value") -> DataFrame:
+    """``_lk`` (the code's text) and ``_lv`` once each; of several values of a code the least.
+
+    The table is written, so that Spark knows its size: it is broadcast below
+    ``spark.sql.autoBroadcastJoinThreshold``, and beyond it both sides of the join are plain
+    shuffles, where AQE can split a code that very many records have.
+    """
+    text = js_string(Val(F.col(f"`{key}`"), codes.schema[key].dataType))
+    return materialize(codes.select(text.alias("_lk"), F.col(f"`{value}`").alias("_lv")).where("_lk is not null").groupBy("_lk").agg(F.min("_lv").alias("_lv")))

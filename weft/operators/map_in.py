@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 
 from weft.functions.coerce import is_blank, is_missing, is_undef, js_string, json_text, literal_val, parse_stored
 from weft.functions.paths import Val, base_path, get_path, get_value, parse_path, column
-from weft.functions.transforms import Context, lookup_transformation
+from weft.functions.transforms import Context, code_table_of, lookup_transformation, table_lookup
 from weft.functions.validations import lookup_validation
+from weft.operators.lookup import distinct_codes
 from weft.plans.config import MappingConfig, Profile
 from weft.plans.tree import TargetTree, _combine
 
@@ -112,8 +113,15 @@ def map_in(
     variant_col: str | None = None,
     keep: tuple[str, ...] = (),
     keep_original: bool = True,
+    code_tables: dict[str, DataFrame] | None = None,
 ) -> MapInPlan:
-    """Compile ``cfg`` against ``df``'s schema and apply it (one narrow stage)."""
+    """Compile ``cfg`` against ``df``'s schema and apply it (one narrow stage).
+
+    ``code_tables``: tables (``code``, ``value``) that CODE_LOOKUPs name by ``{"table": name}`` in
+    place of a map.  Each such mapping is a left join by the value's text, before
+    values are transformed, so codes never become part of the plan; a code that isn't there is
+    the default or the field's error, as with a map.
+    """
     cols = list(df.columns)
     root = record_root(df, variant_col)
     rt = cfg.resource_type or ""
@@ -147,7 +155,20 @@ def map_in(
                 if p not in bound:
                     v = get_value(root, p)
                     bound[p] = v if v.undefined else bind(f"_c{len(bound)}", v)
+    # codes held in tables: the value's text is bound as a key and joined
+    looked: dict[int, DataFrame] = {}
+    for i, m in live:
+        name = code_table_of(m.transformation_details) if m.transformation == "CODE_LOOKUP" else None
+        if name in (code_tables or {}):
+            looked[i] = code_tables[name]
     df1 = df.select(*[column(c) for c in cols], *s1)
+    if looked:
+        keys = [F.coalesce(js_string(raw[i]), F.lit("undefined")).alias(f"_k{i}") for i in looked]
+        df1 = df1.select("*", *keys)
+        tables = {id(t): distinct_codes(t) for t in looked.values()}
+        for i, t in looked.items():
+            codes = tables[id(t)].select(F.col("_lk").alias(f"_lk{i}"), F.col("_lv").alias(f"_l{i}"))
+            df1 = df1.join(codes, F.col(f"_k{i}") == F.col(f"_lk{i}"), "left")
     root1 = record_root(df, variant_col)
     ctx = Context(record=root1, bound=bound)
 
@@ -183,9 +204,20 @@ def map_in(
                 val = Val(F.col(f"_d{i}"), val.dtype)
         pl["val"] = val
         final = val
-        if tname and not is_default:
+        if i in looked:
+            found = F.col(f"_lk{i}").isNotNull()
+            hit, other, tmsg = table_lookup(F.col(f"_k{i}"), Val(F.col(f"_l{i}"), looked[i].schema["value"].dataType), found, m.transformation_details)
+            if other:
+                a_, b_ = _combine([hit, *other])
+                hit = Val(F.when(found, a_.col).otherwise(b_.col), a_.dtype)
+            final, pl["tmsg"] = hit, tmsg
+            pl["t_det"] = _dumps({"type": m.transformation_type, "details": m.transformation_details})
+        elif tname and not is_default:
             fn = lookup_transformation(tname)
-            if fn is not None:
+            if tname == "CODE_LOOKUP" and code_table_of(m.transformation_details):
+                tval, tmsg = val, F.lit(f"Code table '{code_table_of(m.transformation_details)}' is not known to this run.")
+                pl["t_det"] = _dumps({"type": m.transformation_type, "details": m.transformation_details})
+            elif fn is not None:
                 tval, tmsg = fn(val, m.transformation_details, ctx)
                 pl["t_det"] = _dumps({"type": m.transformation_type, "details": m.transformation_details})
             else:

@@ -1367,3 +1367,28 @@ def q_csv_stream(spark, sf):
     line = F.from_json("value", "type string, item struct<id:bigint,name:array<struct<text:string>>,gender:string>")
     back = spark.read.text(f"{base}/out").select(line.alias("l"))
     return back.select("l.type", "l.item.id", F.get("l.item.name", 0)["text"].alias("name_text"), "l.item.gender")
+
+
+PART_TO_DEVICE = cfg(
+    "PartToDevice", "Device",
+    fm(0, "p_partkey", "id"),
+    fm(1, "p_type", "type.text", None, None, "CODE_LOOKUP", {"table": "types"}),
+    fm(2, "p_type", "model", None, None, "CODE_LOOKUP", {"table": "types", "defaultValue": "unknown"}),
+    fm(3, "p_size", "size", None, None, "CODE_LOOKUP", {"table": "sizes", "defaultValue": 0}),
+)
+
+
+@register("map_in_code_table", """
+WITH c AS (SELECT DISTINCT p_type AS code FROM part WHERE length(p_type) % 5 <> 0)
+SELECT p_partkey, code IS NULL AS failed, 'is ' || code AS text, coalesce('is ' || code, 'unknown') AS model, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS BIGINT) * 10 ELSE 0 END AS size,
+  CASE WHEN code IS NULL THEN 'Value ''' || p_type || ''' not found in CODE_LOOKUP map and no defaultValue provided' END AS message
+FROM part LEFT JOIN c ON p_type = code""")
+def q_map_in_code_table(spark, sf):
+    """J4 + T4: codes held in tables, joined within a mapping; a missing code is the default or the field's error."""
+    p = table(spark, sf, "part")
+    # codes as often as there are such parts
+    types = p.where(F.length("p_type") % 5 != 0).select(F.col("p_type").alias("code"), F.concat(F.lit("is "), "p_type").alias("value"))
+    sizes = p.where(F.col("p_size") % 2 == 0).select(F.col("p_size").alias("code"), (F.col("p_size").cast("bigint") * 10).alias("value"))
+    r = map_in(p.select("p_partkey", "p_type", "p_size"), PART_TO_DEVICE, keep=("p_partkey",), keep_original=False, code_tables={"types": types, "sizes": sizes}).df
+    return r.select("p_partkey", (F.size("errors") > 0).alias("failed"), F.col("item.type.text").alias("text"), F.col("item.model").alias("model"),
+                    F.col("item.size").alias("size"), F.get("errors", 0)["message"].alias("message"))
