@@ -355,3 +355,28 @@ def test_code_tables_in_a_mapping(spark):
     assert [i["code"] for i, n in rows if not n] == ["w", "w", "y", "u", "w"]
     assert [i["other"] for i, _ in rows] == ["w", "w", "y", "u", 5, "w"]
     assert [i["own"] for i, _ in rows] == ["one", "one", "d", "d", "d", "one"]
+
+
+def test_many_configs_equal_their_own_runs(spark):
+    """Dynamic records of several configs, null and unknown ones, malformed records, clashing columns."""
+    from weft.operators.map_many import map_in_many
+    from weft.plans.config import FieldMapping, MappingConfig
+    from weft.sources.records import parse_json_column
+
+    texts = ['{"c":"a b/é","x":1}', '{"c":"b","x":"2"}', '{"c":"z","x":3}', '{"x":4}', "oops", '{"c":"b"}', '{"c":"a b/é","x":{"y":[1]}}']
+    recs = parse_json_column(spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, _config int"), "t", keep=("_config",))
+    a = MappingConfig("a", "Basic", mappings=(FieldMapping("x", "code"),))
+    b = MappingConfig("b", "Patient", mappings=(FieldMapping("x", "name[0].text", None, None, "REQUIRED"),))
+    name = F.try_variant_get(F.col("record"), "$.c", "string")
+    out = map_in_many(recs, name, {"a b/é": a, "b": b, "unused": a}, variant_col="record", keep=("_config",)).select("*", F.to_json("item").alias("j")).collect()
+    got = {r._config: (r.config, r.j if not r.errors else None, [e.message for e in r.errors], r.original) for r in out}
+    assert len(out) == len(texts)
+    for cfg_, rows in ((a, (0, 6)), (b, (1, 5))):
+        own = map_in(recs.where(F.col("_config").isin(*rows)), cfg_, variant_col="record", keep=("_config",)).df.select("*", F.to_json("item").alias("j")).collect()
+        for r in own:
+            config, j, messages, original = got[r._config]
+            assert messages == [e.message for e in r.errors] and original == r.original
+            assert (json.loads(j) if j else None) == (json.loads(r.j) if not r.errors else None)
+    assert got[2][2] == ["Mapping configuration 'z' not found"] and json.loads(got[2][3]) == {"c": "z", "x": 3}
+    assert got[3][2] == ["The record names no mapping configuration."] == got[4][2] and got[4][3] == "oops"
+    assert map_in_many(recs.where("false"), name, {"a": a}, variant_col="record").collect() == []

@@ -1392,3 +1392,34 @@ def q_map_in_code_table(spark, sf):
     r = map_in(p.select("p_partkey", "p_type", "p_size"), PART_TO_DEVICE, keep=("p_partkey",), keep_original=False, code_tables={"types": types, "sizes": sizes}).df
     return r.select("p_partkey", (F.size("errors") > 0).alias("failed"), F.col("item.type.text").alias("text"), F.col("item.model").alias("model"),
                     F.col("item.size").alias("size"), F.get("errors", 0)["message"].alias("message"))
+
+
+ORDER_TO_TASK = cfg(
+    "OrderToTask", "Task",
+    fm(0, "o_orderkey", "id"),
+    fm(1, "o_orderpriority", "priority", "REGEX", {"pattern": "^[1-4]"}, "STRING_CASE", {"case": "lower"}),
+)
+ORDER_TO_INVOICE = cfg(
+    "OrderToInvoice", "Invoice",
+    fm(0, "o_orderkey", "identifier[0].value"),
+    fm(1, "o_custkey", "subject.reference", "REQUIRED"),
+)
+
+
+@register("map_in_many_configs", r"""
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'OrderToTask' WHEN 'O' THEN 'Order/Invoice' ELSE 'no ''such''' END AS config,
+  CASE WHEN o_orderstatus = 'F' AND o_orderpriority SIMILAR TO '[1-4].*' THEN 'Task' WHEN o_orderstatus = 'O' THEN 'Invoice' END AS made,
+  CASE WHEN o_orderstatus = 'F' AND o_orderpriority SIMILAR TO '[1-4].*' THEN lower(o_orderpriority) END AS priority,
+  CASE WHEN o_orderstatus = 'O' THEN o_custkey END AS subject,
+  CASE WHEN o_orderstatus = 'P' THEN 'Mapping configuration ''no ''such'''' not found' WHEN o_orderstatus = 'F' AND NOT o_orderpriority SIMILAR TO '[1-4].*' THEN 'Value ''' || o_orderpriority || ''' does not match pattern /^[1-4]/.' END AS message
+FROM orders""")
+def q_map_in_many_configs(spark, sf):
+    """Every record names its config; two configs are run over one scan, the third isn't known."""
+    from weft.operators.map_many import map_in_many
+
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    name = F.when(F.col("o_orderstatus") == "F", "OrderToTask").when(F.col("o_orderstatus") == "O", "Order/Invoice").otherwise("no 'such'")
+    r = map_in_many(o, name, {"OrderToTask": ORDER_TO_TASK, "Order/Invoice": ORDER_TO_INVOICE}, keep=("o_orderkey",), keep_original=False)
+    clean = lambda path, t: F.when(F.size("errors") == 0, F.try_variant_get(F.col("item"), path, t))
+    return r.select("o_orderkey", "config", clean("$.resourceType", "string").alias("made"), clean("$.priority", "string").alias("priority"),
+                    clean("$.subject.reference", "bigint").alias("subject"), F.get("errors", 0)["message"].alias("message"))
