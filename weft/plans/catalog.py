@@ -1423,3 +1423,30 @@ def q_map_in_many_configs(spark, sf):
     clean = lambda path, t: F.when(F.size("errors") == 0, F.try_variant_get(F.col("item"), path, t))
     return r.select("o_orderkey", "config", clean("$.resourceType", "string").alias("made"), clean("$.priority", "string").alias("priority"),
                     clean("$.subject.reference", "bigint").alias("subject"), F.get("errors", 0)["message"].alias("message"))
+
+
+def _replayed(spark, sf, *mappings) -> DataFrame:
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name", F.struct(F.col("n_regionkey").alias("region"), F.col("n_name").alias("text")).alias("o"))
+    r = map_in(n, cfg("Replayed", "Basic", *mappings), keep=("n_nationkey",), keep_original=False).df
+    return r.select("n_nationkey", F.regexp_extract(F.to_json("item"), r'"(?:code|link|item)":(.*)\}$', 1).alias("j"))
+
+
+@register("set_whole_between", """
+SELECT n_nationkey, '{"coding":[{"code":"' || n_name || '"}],"region":' || n_regionkey || ',"text":"' || n_name || '"}' AS j FROM nation""")
+def q_set_whole_between(spark, sf):
+    """A whole value between writes below its key replaces the first and is written into by the second."""
+    return _replayed(spark, sf, fm(0, "n_nationkey", "code.other"), fm(1, "o", "code"), fm(2, "n_name", "code.coding[0].code"))
+
+
+@register("set_values_any_order", """
+SELECT n_nationkey, '["' || n_name || '",' || n_nationkey || ',null,"' || n_name || '"]' AS j FROM nation""")
+def q_set_values_any_order(spark, sf):
+    """Values (not objects) of an array, written out of order after an object was written to its place."""
+    return _replayed(spark, sf, fm(0, "n_name", "link[?k='v'].x"), fm(1, "n_name", "link[3]"), fm(2, "n_nationkey", "link[1]"), fm(3, "n_name", "link[0]"))
+
+
+@register("set_filter_then_lists", """
+SELECT n_nationkey, '[{"coding":[{"code":' || n_nationkey || ',"system":"s"}],"k":"v","text":"' || n_name || '"}]' AS j FROM nation""")
+def q_set_filter_then_lists(spark, sf):
+    """P10: lists and filters below an element that a filter made and an index finds again."""
+    return _replayed(spark, sf, fm(0, "n_name", "item[?k='v'].text"), fm(1, "n_nationkey", "item[0].coding[?system='s'].code"))

@@ -212,6 +212,9 @@ class TargetTree:
     def __init__(self, elements: tuple[Element, ...] = (), resource_type: str = "",
                  heuristics: bool = True) -> None:
         self.root = Obj()
+        #: All writes by the record's key they are at or below, and the keys that are built from them.
+        self.log: dict[str, list] = {}
+        self.replayed: set[str] = set()
         self.by_path = {e.path: e for e in reversed(elements)}  # first element wins
         self.resource_type = resource_type
         self.heuristics = heuristics
@@ -244,7 +247,51 @@ class TargetTree:
         """Register ``setValue(record, path, value)`` firing when ``cond``."""
         if not segments or value.dtype is None:
             return
-        self._set_obj(self.root, segments, value, cond, ordinal, self.resource_type)
+        if isinstance(segments[0], Pred):
+            return  # a filter step on an object: the reference drops the write
+        key = self._key(segments[0])
+        self.log.setdefault(key, []).append((ordinal, cond, segments[1:], value))
+        if key in self.replayed:
+            self.root.marks.append(Mark(ordinal, cond))
+            return
+        try:
+            self._set_obj(self.root, segments, value, cond, ordinal, self.resource_type)
+        except CompileError:  # writes that no static type can hold: the key's value is built from its log
+            self.replayed.add(key)
+
+    @staticmethod
+    def _key(seg: Segment) -> str:
+        return seg.name if isinstance(seg, Name) else str(seg.index) if isinstance(seg, Index) else seg.text
+
+    def _value(self, key: str, child: Node, cutoff: int | None) -> Val | None:
+        if key not in self.replayed:
+            try:
+                return _build(child, cutoff)
+            except CompileError:
+                self.replayed.add(key)
+        return self._build_log(key, cutoff)
+
+    def _build_log(self, key: str, cutoff: int | None) -> Val | None:
+        """General case: all writes at and below a key folded in their order over one VARIANT, a step per write.
+
+        Each step is bound once.  A value written to the key replaces what was there; a write below it goes into the object or array that
+        is there, or into the container that P12 chooses.
+        """
+        entries = [e for e in self.log[key] if cutoff is None or e[0] < cutoff]
+        if not entries:
+            return None
+        full = f"{self.resource_type}.{key}" if self.resource_type else key
+        acc = F.lit(None).cast(T.VariantType())
+        for _, cond, rest, value in entries:
+            def step(x, cond=cond, rest=rest, value=value):
+                if not rest:
+                    return F.when(cond, _to_variant(value)).otherwise(x)
+                made = F.parse_json(F.lit("[]" if self._as_array(full, key, rest[0]) else "{}"))
+                base = F.when(_is(x, "OBJECT") | _is(x, "ARRAY"), x).otherwise(made)
+                return F.when(cond, _bound(base, lambda y: _vset(y, rest, _to_variant(value), self._as_array, full, not self.heuristics))).otherwise(x)
+
+            acc = _bound(acc, step)
+        return Val(acc, T.VariantType())
 
     def _set_obj(self, node: Obj, segs, value, cond, ordinal, prefix) -> None:
         seg, rest = segs[0], segs[1:]
@@ -398,8 +445,11 @@ class TargetTree:
         """The record as a struct Val; ``head`` fields come first (e.g. resourceType)."""
         parts = list(head)
         heads = [k for k, _ in head]
-        for k, child in self.root.children.items():
-            v = _build(child, cutoff)
+        for k in self.log:
+            child = self.root.children.get(k)
+            if child is None and k not in self.replayed:
+                continue
+            v = self._value(k, child, cutoff)
             if v is None:
                 continue
             if k in heads:  # a write to a head field replaces it where it fires
@@ -478,7 +528,9 @@ def _vset(x: Column, segs, value: Column, choose, full: str, pad_null: bool) ->
             return F.transform(padded, lambda e, j: F.when(j == i, below_element(e, f"{full}[{i}]") if rest else value).otherwise(e))
         if isinstance(seg, Pred):
             place = f"{full}[?{seg.key}='{seg.value}']"
-            same = lambda e: F.coalesce(_is(e, "OBJECT") & (F.element_at(F.try_variant_get(e, "$", "map<string,variant>"), F.lit(seg.key)).cast("string") == seg.value), F.lit(False))
+            held = lambda e: F.try_element_at(F.try_variant_get(e, "$", "map<string,variant>"), F.lit(seg.key))
+            # a number isn't the text that spells it
+            same = lambda e: F.coalesce(_is(e, "OBJECT") & (F.schema_of_variant(held(e)) == "STRING") & (held(e).cast("string") == seg.value), F.lit(False))
             made = F.to_variant_object(F.create_map(F.lit(seg.key), F.lit(seg.value).cast(T.VariantType())))
             hit = F.array_position(F.transform(a, same), True)
             into = (lambda e: below_element(e, place)) if rest else (lambda e: e)
