@@ -2,16 +2,19 @@
 
 A term is a word (A-Z lower-cased, ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``) or the first
 PREFIX bytes of a longer one.  Vectors hold every term of a text, weighted by
-(1 + ln tf) times an IDF over all documents, and have length 1.  What the labels
+(1 + ln tf) times an IDF over all documents, and have length 1; a term that no sampled example has lengthens
+its document's vector as one that no other document has.  What the labels
 of a bounded sample say about a term (likelihood ratio G2, and a ratio of rates)
 scales its weight between FLOOR and 1; it leaves no term out.
 
-The examples lie in blocks.  The weights of the commonest terms are a dense
-matrix; for each other term the index knows its largest weight in each block that
-has it, so a block's best possible cosine with a query is known before any
-posting of it is read.  Blocks are read from the best bound on, until none that is left can
-better the K-th neighbour, and cosines are then summed anew: the K nearest are exact.  Their votes count with the
-square of the cosine, beside a prior; the share of the positive votes is made a
+Examples with equal text are one entry with the numbers of its copies and of the positive ones.  Entries
+lie in blocks, clusters of their vectors.  For each term the index knows its largest weight in each block that
+has it, so a block's best possible cosine with a query is known before
+it is read.  The best block is read first, then those that
+could still better the K-th neighbour: the weights of a block's common terms are a dense matrix, and where these and the bound of the others
+can't reach the K-th neighbour, no posting is read.  Cosines are then summed anew: the K nearest are exact.  All examples
+as near as the K-th vote, so that many as are beyond K with a smaller weight each; no order among
+equals plays a part.  Votes count with the square of the cosine, beside a prior; the share of the positive votes is made a
 probability by a logistic curve fitted to the examples' own leave-one-out votes.
 """
 
@@ -38,14 +41,20 @@ CHANCE, SIGNIFICANT = 10.83, 24.0
 RATIO = 10.0
 #: Share of its weight that a term keeps which says nothing about the labels.
 FLOOR = 0.05
-#: Places in which documents with terms that no example has are counted; such terms only lengthen a vector.
-PLACES = 1 << 22
 #: Bytes of a prefix term.
 PREFIX = 5
-#: Neighbours that vote, examples of a block, votes of the prior.
-K, BLOCK, PRIOR = 10, 64, 1.0
-#: Bytes of the dense matrix at most, and rows multiplied with it at once; how far its rounded sums may be off; blocks read before the others are judged.
-DENSE_BYTES, ROWS, ROUNDING, WAVE = 1 << 26, 128, 1e-5, 8
+#: Neighbours that vote, votes of the prior.
+K, PRIOR = 10, 1.0
+#: A term that more than one in DENSE entries of a block has is a column there.
+DENSE = 8
+#: Queries searched together; how far rounded sums may be off.
+ROWS, ROUNDING = 128, 1e-5
+#: Clusters that are blocks, entries of a block at most, the commonest terms that tell clusters apart, and rounds of k-means.
+CLUSTERS, BLOCK, CLUSTER_TERMS, ROUNDS = 8, 4096, 256, 6
+#: Terms whose document counts go through the shuffle together.
+SLICE = 1 << 14
+#: Texts whose scores a worker remembers.
+REMEMBERED = 1 << 13
 THRESHOLD = 0.5
 
 SCORE = "score double, predicted int, neighbours array<bigint>, cosines array<double>"
@@ -61,28 +70,28 @@ def terms(run: tx.Run) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([hashes, heads]), np.concatenate([row, row[long]])
 
 
-def _counted(run: tx.Run, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, index and count of each term of each row, by row and index; a term beyond the vocabulary has the index of its place, behind it."""
+def _counted(run: tx.Run, vocabulary: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, index (its place, if given) and count of each term of each row, by row and index; terms beyond the vocabulary have indices behind it."""
     term, row = terms(run)
     if not len(term):
         return (np.zeros(0, dtype=np.int64),) * 3
     own, again = np.unique(term, return_inverse=True)
-    code = len(vocabulary) + (own >> tx.U64(64 - PLACES.bit_length() + 1)).astype(np.int64)
+    code = len(vocabulary) + np.arange(len(own))
     if len(vocabulary):
         at = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
-        code = np.where(vocabulary[at] == own, at, code)
-    width = len(vocabulary) + PLACES
+        code = np.where(vocabulary[at] == own, at if place is None else place[at], code)
+    width = len(vocabulary) + len(own)
     key, n = np.unique(row * width + code[again], return_counts=True)
     return key // width, key % width, n
 
 
-def _vocabulary(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """All terms of the sample, ascending, and the scale of each one's weight."""
-    schema = T.StructType.fromDDL("term bigint, pos bigint, neg bigint")
+def _vocabulary(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All terms of the sample (text, n, pos), ascending, the scale of each one's weight, and its place when the commonest come first."""
+    schema = T.StructType.fromDDL("term bigint, pos bigint, n bigint")
 
     def run(batches):
         for b in batches:
-            label = b.column(1).to_numpy(zero_copy_only=False)
+            n, pos = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             for part in tx.runs(b.column(0)):
                 term, row = terms(part)
                 if not len(term):
@@ -91,16 +100,18 @@ def _vocabulary(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 term, row = term[order], row[order]
                 new = np.ones(len(term), dtype=bool)
                 new[1:] = (term[1:] != term[:-1]) | (row[1:] != row[:-1])
-                term, y = term[new], label[part.lo + row[new]]
+                term, at = term[new], part.lo + row[new]
                 head = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-                pos = np.add.reduceat(y.astype(np.int64), head)
-                yield pa.RecordBatch.from_arrays([pa.array(term[head].astype(np.int64)), pa.array(pos), pa.array(np.diff(np.append(head, len(term))) - pos)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(term[head].astype(np.int64)), pa.array(np.add.reduceat(pos[at], head)), pa.array(np.add.reduceat(n[at], head))], names=schema.names)
 
-    n1, n0 = sample.agg(F.coalesce(F.sum("_label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("_label")), F.lit(0))).first()
-    counts = sample.select("_text", "_label").mapInArrow(run, schema).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()  # bounded by the sample
+    total, positive = sample.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pos"), F.lit(0))).first()
+    counts = sample.select("text", "n", "pos").mapInArrow(run, schema).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).toArrow()  # bounded by the sample
     term = counts["term"].to_numpy().astype(np.int64).astype(tx.U64)
     order = np.argsort(term)
-    return term[order], _scale(counts["pos"].to_numpy()[order].astype(float), counts["neg"].to_numpy()[order].astype(float), float(n1), float(n0))
+    pos, n = (counts[c].to_numpy()[order].astype(float) for c in ("pos", "n"))
+    place = np.empty(len(term), dtype=np.int32)
+    place[np.argsort(-n, kind="stable")] = np.arange(len(term), dtype=np.int32)
+    return term[order], _scale(pos, n - pos, float(positive), float(total - positive)), place
 
 
 def _scale(pos: np.ndarray, neg: np.ndarray, n1: float, n0: float) -> np.ndarray:
@@ -118,51 +129,87 @@ def _scale(pos: np.ndarray, neg: np.ndarray, n1: float, n0: float) -> np.ndarray
 
 
 def _document_counts(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term of the vocabulary and, behind them, each place is, and how many there are."""
-    schema = T.StructType.fromDDL("term int, df bigint")
+    """In how many of all documents each term of the vocabulary is, and how many there are.
 
-    def run(batches):
-        total, n = np.zeros(len(vocabulary) + PLACES, dtype=np.int32), 0
+    A task counts into one array and sends it in slices of SLICE terms; tasks that get
+    slices add them up as they come.
+    """
+    schema = T.StructType.fromDDL("slice int, n bigint, df binary")
+
+    def count(batches):
+        total, n = np.zeros(len(vocabulary), dtype=np.int32), 0
         for b in batches:
             n += b.num_rows
             for part in tx.runs(b.column(0)):
-                some, df = np.unique(_counted(part, vocabulary)[1], return_counts=True)
+                term = _counted(part, vocabulary)[1]
+                some, df = np.unique(term[term < len(vocabulary)], return_counts=True)
                 total[some] += df.astype(np.int32)
-        some = np.flatnonzero(total)
-        for lo in range(0, len(some), 1 << 16):
-            at = some[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=schema.names)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], type=pa.int32()), pa.array([n], type=pa.int64())], names=schema.names)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64()), pa.array([b""], pa.binary())], names=schema.names)
+        for k, lo in enumerate(range(0, len(total), SLICE)):
+            own = total[lo : lo + SLICE]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int64()), pa.array([own.astype("<i8").tobytes()], pa.binary())], names=schema.names)
+
+    def add(batches):
+        held: dict[int, list] = {}
+        for b in batches:
+            for k, n, raw in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                own = np.frombuffer(raw, dtype="<i8")
+                if k in held:
+                    held[k] = [held[k][0] + n, held[k][1] + own]
+                else:
+                    held[k] = [n, own]
+        for k, (n, own) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=schema.names)
 
     tx.bounded_batches(docs.sparkSession)
-    df = np.zeros(len(vocabulary) + PLACES, dtype=np.float32)
-    found = docs.select(F.col(f"`{text_col}`")).mapInArrow(run, schema).groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # one row per term and place
-    term, seen = found["term"].to_numpy(), found["df"].to_numpy()
-    df[term[term >= 0]] = seen[term >= 0]
-    return df, int(seen[term < 0].sum())
+    found = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).toArrow()  # as large as the vocabulary
+    df, n_docs = np.zeros(len(vocabulary), dtype=np.float32), 0
+    for k, n, raw in zip(*(found[c].to_pylist() for c in schema.names), strict=True):
+        if k < 0:
+            n_docs += n
+        else:
+            df[k * SLICE : (k + 1) * SLICE] = np.frombuffer(raw, dtype="<i8")
+    return df, n_docs
 
 
 @dataclass
 class Model:
+    #: Terms' hashes, ascending, and their indices: the commonest first, so that what is known of them lies together.
     vocabulary: np.ndarray
-    #: IDF of the vocabulary's terms and of the places behind them, scaled.
+    place: np.ndarray
+    #: IDF of the vocabulary's terms by index, scaled, and of any other term.
     idf: np.ndarray
+    unseen: float
+    #: Entries: the least id of the examples with the text, how many they are, how many positive.
     ids: np.ndarray
-    labels: np.ndarray
-    #: Examples' vectors: bounds, term indices, weights.
+    n: np.ndarray
+    pos: np.ndarray
+    #: Entries' vectors: bounds, term indices, and terms' counts or the weights made of them.
     bounds: np.ndarray
     index: np.ndarray
-    weight: np.ndarray
+    count: np.ndarray | None
+    weight: np.ndarray | None = None
+    #: Where blocks of entries begin, and the last ends.
+    cuts: np.ndarray | None = None
     base_rate: float = 0.0
     blank_rate: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
-    #: Terms' counts, from which the weights can be made again.
-    count: np.ndarray | None = None
+
+    def weights(self) -> np.ndarray:
+        if self.weight is None:
+            weight = np.log(self.count, dtype=np.float32)
+            weight += 1
+            weight *= self.idf[self.index]
+            weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, self.bounds[:-1])), np.diff(self.bounds)) if len(weight) else 1
+            self.weight = weight
+        return self.weight
 
     def __getstate__(self) -> dict:
-        """Small, as each executor writes it to its disk: no weights where there are counts, and steps between a row's terms."""
+        """Small, as each executor writes it to its disk: no weights where there are counts, and steps between an entry's terms."""
         state = dict(self.__dict__)
+        state.pop("held", None)
         if self.count is not None:
             state["weight"] = None
             step = np.diff(self.index, prepend=self.index.dtype.type(0))
@@ -177,11 +224,16 @@ class Model:
                 kind, shape, raw = x
                 flat = np.frombuffer(pa.decompress(raw, shape[0] * shape[1], "zstd", asbytes=True), dtype=np.uint8)
                 state[name] = np.ascontiguousarray(flat.reshape(shape).T).reshape(-1).view(kind)
-        if state["weight"] is None:
+        if state["count"] is not None:
             state["index"] = np.cumsum(state["index"], dtype=state["index"].dtype)
-            state["weight"] = _example_weights(state["count"], state["index"], state["idf"], state["bounds"])
         self.__dict__.update(state)
 
+    def searched(self) -> Index:
+        """The index over the entries; made once a process."""
+        if "held" not in self.__dict__:
+            self.held = Index(self)
+        return self.held
+
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The numbers lo..hi of each pair, one range after another."""
@@ -190,124 +242,251 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Block-max inverted index of a model's examples."""
-
-    def __init__(self, model: Model, block: int = BLOCK, dense_bytes: int = DENSE_BYTES):
-        n, v = len(model.ids), len(model.vocabulary)
-        self.block, self.n, self.model = block, n, model
-        df = np.bincount(model.index, minlength=v)
-        common = np.argsort(-df, kind="stable")[: dense_bytes // (4 * max(n, 1))]
-        common = common[df[common] * 16 > n]
-        #: Column of each common term; -1: the term has postings.
-        self.column = np.full(v, -1, dtype=np.int32)
-        self.column[common] = np.arange(len(common))
-        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(model.bounds))
-        column = self.column[model.index]
-        self.dense = np.zeros((n, len(common)), dtype=np.float32)
-        self.dense[row[column >= 0], column[column >= 0]] = model.weight[column >= 0]
-        at = np.flatnonzero(column < 0)
-        order = (model.index[at].astype(np.int64) << 32) | at
-        del column, at
-        order.sort()  # by term and row, in place
-        term = (order >> 32).astype(np.int32)
-        order &= 0xFFFFFFFF
-        self.row, self.weight = row[order], model.weight[order]
-        del row
-        of = self.row // block
-        at = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (of[1:] != of[:-1]))) if len(order) else order
-        #: Of each term in each block that has it: where its postings begin, the block, the largest weight; and each term's first of them.
-        self.begin, self.of = np.append(at, len(order)).astype(np.int32), of[at]
-        self.best = np.maximum.reduceat(self.weight, at) if len(at) else self.weight
-        self.first = np.searchsorted(term[at], np.arange(v + 1))
-        self.query = np.zeros(v)
-
-    def common(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
-        """For each query (``row`` of a term): the examples' sums over the common terms, rounded."""
-        q = np.zeros((rows, self.dense.shape[1]), dtype=np.float32)
-        column = self.column[term]
-        q[row[column >= 0], column[column >= 0]] = weight[column >= 0]
-        return q @ self.dense.T
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K, skip: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine (ties: the first), and the cosines; ``common``: the query's row of :meth:`common`."""
-        if not self.n or not len(term):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        if common is None:
-            common = self.common(np.zeros(len(term), dtype=np.int64), term, weight, 1)[0]
-        rare = self.column[term] < 0
-        lo, hi = self.first[term[rare]], self.first[term[rare] + 1]
-        entry, w = _ranges(lo, hi), np.repeat(weight[rare], hi - lo)
-        of = self.of[entry]
-        blocks = -(-self.n // self.block)
-        bound = np.bincount(of, w * self.best[entry], blocks) + np.maximum.reduceat(common, np.arange(0, self.n, self.block))
-        score, least = np.zeros(self.n), 0.0
-        order = np.argsort(-bound, kind="stable")
-        for wave in (order[:WAVE], order[WAVE:]):
-            read = np.zeros(blocks, dtype=bool)
-            read[wave] = (bound[wave] > 0) & (bound[wave] + ROUNDING >= least)
-            if not read.any():
-                continue
-            some = read[of]
-            begin, end = self.begin[entry[some]], self.begin[entry[some] + 1]
-            at = _ranges(begin, end)
-            found = np.bincount(self.row[at], np.repeat(w[some], end - begin) * self.weight[at], self.n) + common
-            score += np.where(np.repeat(read, self.block)[: self.n], found, 0.0)
-            if skip >= 0:
-                score[skip] = 0.0
-            least = np.partition(score, -k)[-k] if self.n >= k else 0.0
+    """Block-max inverted index of a model's entries.
+
+    A block is a cluster of entries.  Terms that one in sixteen of its entries has are columns of
+    the block's dense matrix, all others have postings; of each term in each block the largest weight is known.
+    """
+
+    def __init__(self, model: Model, block: int | None = None):
+        n, v, weight = len(model.ids), len(model.vocabulary), model.weights()
+        self.n, self.model = n, model
+        cuts = np.append(np.arange(0, n, block), n) if block else model.cuts if model.cuts is not None else np.unique([0, n])
+        #: Where each block begins, and the last ends.
+        self.cuts = np.asarray(cuts, dtype=np.int64)
+        self.columns: list[np.ndarray] = []
+        self.dense: list[np.ndarray] = []
+        parts = []
+        seen, column = np.zeros(v, dtype=np.int32), np.full(v, -1, dtype=np.int32)
+        for b, (lo, hi) in enumerate(zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True)):
+            own = slice(int(model.bounds[lo]), int(model.bounds[hi]))
+            index, w = model.index[own], weight[own]
+            row = np.repeat(np.arange(lo, hi, dtype=np.int32), np.diff(model.bounds[lo : hi + 1]))
+            terms_, df = np.unique(index, return_counts=True)
+            seen[terms_] = df
+            columns = terms_[df * DENSE > hi - lo]
+            column[columns] = np.arange(len(columns), dtype=np.int32)
+            at = column[index]
+            dense = np.zeros((hi - lo, len(columns)), dtype=np.float32)
+            dense[row[at >= 0] - lo, at[at >= 0]] = w[at >= 0]
+            order = np.argsort(index, kind="stable")
+            head = np.cumsum(df) - df
+            best, mean = np.maximum.reduceat(w[order], head), np.add.reduceat(w[order], head) / np.float32(hi - lo)
+            rare = order[at[order] < 0]
+            parts.append((terms_.astype(np.int32), np.full(len(terms_), b, dtype=np.int16), best, mean, np.where(df * DENSE > hi - lo, 0, df).astype(np.int32), row[rare], w[rare]))
+            column[columns] = -1
+            self.columns.append(columns)
+            self.dense.append(dense)
+        del seen, column
+        term, of, best, mean, size, row, posted = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=np.float32 if k in (2, 3, 6) else np.int32) for k in range(7))
+        del parts
+        order = np.argsort(term, kind="stable")
+        # a term's postings lie together, block after block
+        begin = (np.cumsum(size, dtype=np.int64) - size)[order]
+        at = _ranges(begin, begin + size[order])
+        #: Row and weight of each posting, side by side.
+        self.postings = np.empty((len(at), 2), dtype=np.int32)
+        self.postings[:, 0], self.postings[:, 1] = row[at], posted[at].view(np.int32)
+        self.postings = self.postings.view(np.int64).ravel()
+        del at, begin, row, posted
+        #: Of each term in each block that has it: the block, the largest and the mean weight, where its postings begin and how many there are (0: a column); and each term's first of them.
+        self.of, self.best, self.mean, self.size = of[order].astype(np.intp), best[order], mean[order], size[order]
+        self.begin = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.first = np.searchsorted(term[order], np.arange(v + 1))
+        self.query = np.zeros(v, dtype=np.float32)
+        self.exact = np.zeros(v)
+        #: Blocks there were and blocks whose postings were read, over all searches.
+        self.blocks = self.read = 0
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`search` for one query."""
+        return self.search([(term, weight, skip)], k)[0]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray, int]], k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights, entry to skip or -1): the entries of the k nearest examples, by positive cosine, and all as near as the last of them; and the cosines.
+
+        An entry counts as many as it has examples, the skipped one less.
+        """
+        blocks = len(self.cuts) - 1
+        if not self.n:
+            return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(queries)
+        scores = np.zeros((len(queries), self.n), dtype=np.float32)
+        held, bound, loose, like = [], *np.zeros((3, len(queries), blocks))
+        for q, (term, weight, _) in enumerate(queries):
+            lo, hi = self.first[term], self.first[term + 1]
+            entry = _ranges(lo, hi)
+            w = np.repeat(weight.astype(np.float32), hi - lo)
+            of, most = self.of.take(entry), w * self.best.take(entry)
+            bound[q] = np.bincount(of, most, blocks)
+            like[q] = np.bincount(of, w * self.mean.take(entry), blocks)
+            some = np.flatnonzero(self.size.take(entry))  # those with postings
+            entry, w, of = entry[some], w[some], of[some]
+            loose[q] = np.bincount(of, most[some], blocks)
+            held.append((entry, w, of))
+        self.blocks += blocks * len(queries)
+        least, read = np.zeros(len(queries)), np.zeros((len(queries), blocks), dtype=bool)
+        head = like.argmax(axis=1)  # the block whose entries are nearest on average
+        wave = np.zeros_like(read)
+        wave[np.arange(len(queries)), head] = bound[np.arange(len(queries)), head] > 0
+        for second in (False, True):
+            if second:
+                wave = (bound > 0) & (bound + ROUNDING >= least[:, None]) & ~read
+            self._columns(queries, wave, scores)
+            for q, (_, _, skip) in enumerate(queries):
+                mine = wave[q]
+                if not mine.any():
+                    continue
+                if second:  # what the columns gave is known now
+                    top = np.maximum.reduceat(scores[q], self.cuts[:-1])
+                    drop = mine & (top + loose[q] + ROUNDING < least[q])
+                    for b in np.flatnonzero(drop):
+                        scores[q, self.cuts[b] : self.cuts[b + 1]] = 0.0
+                    mine &= ~drop
+                self.read += int(mine.sum())
+                entry, w, of = held[q]
+                some = mine[of]
+                self._postings(scores[q], entry[some], w[some])
+                read[q] |= mine
+                if skip >= 0 and self.model.n[skip] < 2:
+                    scores[q, skip] = 0.0
+                above = scores[q][scores[q] > least[q]]
+                if len(above) >= k:
+                    least[q] = np.partition(above, -k)[-k]
+        return [self._judged(scores[q], least[q], *queries[q], k) for q in range(len(queries))]
+
+    def _columns(self, queries, wave: np.ndarray, scores: np.ndarray) -> None:
+        """Adds the blocks' dense parts to the scores of the queries that read them, a block at a time."""
+        own = [np.flatnonzero(wave[:, b]) for b in range(wave.shape[1])]
+        put = [np.zeros((len(o), len(c)), dtype=np.float32) for o, c in zip(own, self.columns, strict=True)]
+        slot = np.cumsum(wave, axis=0) - 1
+        for q, (term, weight, _) in enumerate(queries):
+            self.query[term] = weight
+            for b in np.flatnonzero(wave[q]).tolist():
+                put[b][slot[q, b]] = self.query.take(self.columns[b])
+            self.query[term] = 0.0
+        for b, o in enumerate(own):
+            if len(o) and len(self.columns[b]):
+                scores[o, self.cuts[b] : self.cuts[b + 1]] += put[b] @ self.dense[b].T
+
+    def _postings(self, score: np.ndarray, entry: np.ndarray, w: np.ndarray) -> None:
+        """Adds the entries' postings to a query's scores."""
+        if not len(entry):
+            return
+        size = self.size.take(entry)
+        upto = np.cumsum(size, dtype=np.intp)
+        at = np.ones(int(upto[-1]), dtype=np.intp)
+        begin = self.begin.take(entry)
+        at[0] = begin[0]
+        at[upto[:-1]] = begin[1:] - begin[:-1] - size[:-1] + 1
+        np.cumsum(at, out=at)
+        found = self.postings.take(at)
+        x = np.repeat(w, size)
+        x *= found.view(np.float32)[1::2]
+        score += np.bincount(found.view(np.int32)[::2], x, self.n)
+
+    def _judged(self, score: np.ndarray, least: float, term: np.ndarray, weight: np.ndarray, skip: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero((score > 0) & (score >= least - 2 * ROUNDING))
-        self.query[term] = weight
+        self.exact[term] = weight
         cosines = np.concatenate([np.zeros(0), *(self._cosines(rows[a : a + 1024]) for a in range(0, len(rows), 1024))])
-        self.query[term] = 0.0
-        order = np.lexsort((rows, -cosines))[:k]
-        return rows[order], np.minimum(cosines[order], 1.0)
+        self.exact[term] = 0.0
+        order = np.argsort(-cosines, kind="stable")
+        rows, cosines = rows[order], np.minimum(cosines[order], 1.0)
+        many = np.cumsum(self.model.n[rows] - (rows == skip))
+        last = int(np.searchsorted(many, k))
+        if last < len(rows):
+            keep = cosines >= cosines[last] - 1e-9
+            rows, cosines = rows[keep], cosines[keep]
+        return rows, cosines
 
     def _cosines(self, rows: np.ndarray) -> np.ndarray:
         lo, hi = self.model.bounds[rows], self.model.bounds[rows + 1]
         at = _ranges(lo, hi)
-        return np.bincount(np.repeat(np.arange(len(rows)), hi - lo), self.query[self.model.index[at]] * self.model.weight[at], len(rows))
+        return np.bincount(np.repeat(np.arange(len(rows)), hi - lo), self.exact.take(self.model.index.take(at)) * self.model.weights().take(at), len(rows))
 
 
-def _weights(count: np.ndarray, term: np.ndarray, row: np.ndarray, idf: np.ndarray, rows: int) -> np.ndarray:
-    w = (1 + np.log(count)) * idf[term]
+def _weights(count: np.ndarray, term: np.ndarray, row: np.ndarray, model: Model, rows: int) -> np.ndarray:
+    seen = term < len(model.vocabulary)
+    w = (1 + np.log(count)) * np.where(seen, model.idf[np.where(seen, term, 0)] if len(model.idf) else model.unseen, model.unseen)
     norm = np.sqrt(np.bincount(row, w * w, rows))
     return w / np.where(norm > 0, norm, 1)[row]
 
 
-def _example_weights(count: np.ndarray, term: np.ndarray, idf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The weights of rows that all have terms, in little memory."""
-    weight = np.log(count, dtype=np.float32)
-    weight += 1
-    weight *= idf[term]
-    weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, bounds[:-1])), np.diff(bounds))
-    return weight
-
+def vote(n: np.ndarray, pos: np.ndarray, cosines: np.ndarray, base: float, k: int = K) -> float:
+    """The log-odds of the positive share of the votes of ``n`` examples a row, ``pos`` of them positive, nearest first.
 
-def _vote(labels: np.ndarray, cosines: np.ndarray, base: float) -> float:
-    """The log-odds of the positive share of the votes."""
+    The k nearest vote; of those as near as the k-th (within rounding) each has the same share of the places left.
+    """
+    many = np.cumsum(n)
     w = cosines**2
-    p = ((w * labels).sum() + PRIOR * base) / (w.sum() + PRIOR)
+    if len(many) and many[-1] > k:
+        tied = cosines <= cosines[min(int(np.searchsorted(many, k)), len(many) - 1)] + 1e-9
+        w = np.where(tied, w * (k - n[~tied].sum()) / n[tied].sum(), w)
+    p = ((w * pos).sum() + PRIOR * base) / ((w * n).sum() + PRIOR)
     p = min(max(p, 1e-6), 1 - 1e-6)
     return float(np.log(p / (1 - p)))
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (0.5 to 3) and shift of the logistic curve of y over x; targets smoothed by the classes' sizes."""
-    n1, n0 = y.sum(), len(y) - y.sum()
+def _calibrate(x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope (0.5 to 3) and shift of the logistic curve of y over x, the most likely pair within these bounds.
+
+    Targets are smoothed by the classes' sizes, the slope is drawn to 1 and the shift to 0.  The loss is convex, and a Newton step is halved until it lowers it; a slope
+    at a bound stays there while the shift is fitted to it.
+    """
+    times = np.ones(len(y)) if times is None else times
+    n1, n0 = (times * y).sum(), (times * (1 - y)).sum()
     if not n1 or not n0:
         return 1.0, 0.0
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+
+    def loss(a: float, b: float) -> float:
+        z = a * x + b
+        return float((times * (np.logaddexp(0, z) - t * z)).sum() + (a - 1) ** 2 / 2 + b * b / 2)
+
     a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-(a * x + b)))
-        g = np.array([((t - p) * x).sum() - (a - 1), (t - p).sum() - b])
-        w = p * (1 - p)
-        h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1]])
-        step = np.linalg.solve(h, g)
-        a, b = a + step[0], b + step[1]
-        if abs(step).max() < 1e-8:
+    for free in (True, False):  # both, then the shift alone
+        for _ in range(100):
+            p = 0.5 * (1 + np.tanh((a * x + b) / 2))
+            miss, w = times * (p - t), times * p * (1 - p)
+            g = np.array([(miss * x).sum() + a - 1, miss.sum() + b])
+            h = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1]])
+            step = np.linalg.solve(h, g) if free else np.array([0.0, g[1] / h[1, 1]])
+            size, now = 1.0, loss(a, b)
+            while size > 1e-10 and loss(a - size * step[0], b - size * step[1]) > now:
+                size /= 2
+            if size <= 1e-10 or abs(size * step).max() < 1e-9:
+                break
+            a, b = a - size * step[0], b - size * step[1]
+        if 0.5 <= a <= 3:
             break
-    return float(min(max(a, 0.5), 3.0)), float(b)
+        a = min(max(a, 0.5), 3.0)
+    return float(a), float(b)
+
+
+def _order(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Entries by clusters, and where blocks begin, the of their vectors over the commonest terms (spherical k-means), so that a block's entries are alike and its bounds tight."""
+    n = len(model.ids)
+    common = np.argsort(-np.bincount(model.index, minlength=len(model.vocabulary)), kind="stable")[:CLUSTER_TERMS]
+    column = np.full(len(model.vocabulary), -1, dtype=np.int32)
+    column[common] = np.arange(len(common))
+    x, weight = np.zeros((n, len(common)), dtype=np.float32), model.weights()
+    for lo in range(0, n, 1024):
+        part = slice(model.bounds[lo], model.bounds[min(lo + 1024, n)])
+        row = np.repeat(np.arange(lo, min(lo + 1024, n)), np.diff(model.bounds[lo : lo + 1025]))
+        own = column[model.index[part]]
+        x[row[own >= 0], own[own >= 0]] = weight[part][own >= 0]
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+    centre = x[np.linspace(0, n - 1, min(CLUSTERS, n)).astype(int)]
+    for _ in range(ROUNDS):
+        own = (x @ centre.T).argmax(axis=1)
+        centre = np.stack([x[own == c].sum(axis=0) if (own == c).any() else centre[c] for c in range(len(centre))])
+        centre /= np.maximum(np.sqrt((centre * centre).sum(axis=1, keepdims=True)), 1e-9)
+    near = x @ centre.T
+    own = near.argmax(axis=1)
+    order = np.lexsort((model.ids, -near[np.arange(n), own], own))
+    size = np.bincount(own, minlength=len(centre))
+    begin = np.cumsum(size) - size
+    cuts = np.concatenate([np.arange(a, a + m, BLOCK) for a, m in zip(begin, size, strict=True)])
+    return order, np.append(cuts, n)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -318,109 +497,113 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """
     tx.bounded_batches(docs.sparkSession)
     picked = ln.labelled_sample(docs, labels, label_col, sample, id_col, text_col)
-    vocabulary, scale = _vocabulary(picked)
+    texts = picked.groupBy(F.coalesce("_text", F.lit("")).alias("text")).agg(F.min("_id").cast("bigint").alias("id"), F.count(F.lit(1)).alias("n"), F.sum("_label").cast("bigint").alias("pos"))
+    vocabulary, scale, place = _vocabulary(texts)
     df, n_docs = _document_counts(docs, text_col, vocabulary)
-    idf = np.log1p(df, out=df)  # in place, as the driver's memory is small
-    np.subtract(np.float32(np.log(1 + n_docs) + 1), idf, out=idf)
-    idf[: len(vocabulary)] *= scale
-    idf[len(vocabulary) :] *= FLOOR if scale.min(initial=1.0) < 1 else 1.0
-    schema = T.StructType.fromDDL("id bigint, label int, term array<int>, count array<int>")
+    idf = (np.log(1 + n_docs) + 1 - np.log1p(df)).astype(np.float32) * scale.astype(np.float32)
+    idf[place] = idf.copy()
+    unseen = float((np.log(1 + n_docs) + 1 - np.log(2.0)) * (FLOOR if scale.min(initial=1.0) < 1 else 1.0))
+    schema = T.StructType.fromDDL("id bigint, n bigint, pos bigint, term array<int>, count array<int>")
 
     def run(batches):
         for b in batches:
-            for part in tx.runs(b.column(1)):
-                row, term, count = _counted(part, vocabulary)
+            for part in tx.runs(b.column(0)):
+                row, term, count = _counted(part, vocabulary, place)
                 upto = np.searchsorted(row, np.arange(part.rows + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(upto), pa.array(x.astype(np.int32))) for x in (term, count)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(part.lo, part.rows), b.column(2).slice(part.lo, part.rows), *lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(part.lo, part.rows) for k in (1, 2, 3)), *lists], names=schema.names)
 
-    rows = picked.select(F.col("_id").cast("bigint"), "_text", "_label").mapInArrow(run, schema).toArrow()
-    label, ids = rows["label"].to_numpy(), rows["id"].to_numpy()
+    rows = texts.select("text", "id", "n", "pos").mapInArrow(run, schema).toArrow()
+    ids, n, pos = (rows[c].to_numpy() for c in ("id", "n", "pos"))
     size = pc.list_value_length(rows["term"]).to_numpy().astype(np.int64)
     term, count = (pc.list_flatten(rows[c]).to_numpy() for c in ("term", "count"))
     del rows
-    blank = label[size == 0]
-    blank_rate = float((blank.sum() + 0.5) / (len(blank) + 2)) if len(label) else 0.0
-    label, ids, size = label[size > 0], ids[size > 0], size[size > 0]
-    if not len(size):
-        none = np.zeros(0, dtype=np.int64)
-        return Model(vocabulary, idf, none, none, np.zeros(1, dtype=np.int64), none, np.zeros(0), 0.0, blank_rate)
-    start = np.cumsum(size) - size
-    weight = _example_weights(count, term, idf, np.append(start, len(term)))
-    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    # examples with the same heaviest term lie together, so that bounds of blocks are tight
-    head = np.flatnonzero(weight == np.maximum.reduceat(weight, start)[row])
-    head = term[head[np.unique(row[head], return_index=True)[1]]]
-    order = np.lexsort((ids, label, head))
-    del row
-    y, spans = label[order], [slice(a, a + n) for a, n in zip(start[order].tolist(), size[order].tolist(), strict=True)]
-    term = np.concatenate([term[x] for x in spans])
-    weight = np.concatenate([weight[x] for x in spans])
-    count = np.concatenate([count[x] for x in spans])
-    model = Model(vocabulary, idf, ids[order], y, np.concatenate([[0], np.cumsum(size[order])]), term, weight, float(y.mean()), blank_rate, count=count)
-    odds = _left_out(docs.sparkSession, model)
-    model.slope, model.shift = _calibrate(odds, y)
+    blank = size == 0
+    blank_rate = float((pos[blank].sum() + 0.5) / (n[blank].sum() + 2)) if len(n) else 0.0
+    ids, n, pos, size = (x[~blank] for x in (ids, n, pos, size))
+    base = float(pos.sum() / n.sum()) if len(n) else 0.0
+    model = Model(vocabulary, place, idf, unseen, ids, n, pos, np.concatenate([[0], np.cumsum(size)]), term, count, base_rate=base, blank_rate=blank_rate)
+    if not len(ids):
+        return model
+    order, model.cuts = _order(model)
+    model.weight = None
+    spans = [slice(a, b) for a, b in zip(model.bounds[order].tolist(), model.bounds[order + 1].tolist(), strict=True)]
+    model.index = np.concatenate([term[x] for x in spans])
+    del term
+    model.count = np.concatenate([count[x] for x in spans])
+    del count
+    model.ids, model.n, model.pos, model.bounds = ids[order], n[order], pos[order], np.concatenate([[0], np.cumsum(size[order])])
+    x, y, times = _left_out(docs.sparkSession, model)
+    model.slope, model.shift = _calibrate(x, y, times)
     return model
 
 
-def _left_out(spark: SparkSession, model: Model) -> np.ndarray:
-    """The log-odds of each example by the votes of the others."""
+def _left_out(spark: SparkSession, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-odds of the examples by the votes of all others, their labels, and how many examples of an entry have that label."""
     held, n = spark.sparkContext.broadcast(model), len(model.ids)
 
     def run(batches):
-        own, index = held.value, None
+        own = held.value
+        index = own.searched()
         for b in batches:
-            index = index or Index(own)
             for a in b.column(0).to_pylist():
-                common = index.dense[a : a + ROWS] @ index.dense.T
-                odds = []
-                for i in range(a, min(a + ROWS, n)):
-                    lo, hi = own.bounds[i], own.bounds[i + 1]
-                    r, c = index.nearest(own.index[lo:hi], own.weight[lo:hi].astype(float), skip=i, common=common[i - a])
-                    odds.append(_vote(own.labels[r], c, own.base_rate))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(odds))), pa.array(odds)], names=["i", "odds"])
+                out, rows_of = [], range(a, min(a + ROWS, n))
+                spans = [slice(own.bounds[i], own.bounds[i + 1]) for i in rows_of]
+                for i, (rows, c) in zip(rows_of, index.search([(own.index[x], own.weights()[x], i) for i, x in zip(rows_of, spans, strict=True)]), strict=True):
+                    for label, times in ((1, own.pos[i]), (0, own.n[i] - own.pos[i])):
+                        if times:
+                            me = rows == i
+                            out.append((vote(own.n[rows] - me, own.pos[rows] - me * label, c, own.base_rate), label, int(times)))
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.float64(), pa.int64(), pa.int64()))], names=["odds", "label", "times"])
         tx.give_back()
 
     tasks = max(1, min(-(-n // 1024), spark.sparkContext.defaultParallelism))
-    got = spark.range(0, n, ROWS, tasks).mapInArrow(run, "i bigint, odds double").toArrow()  # a row per example
+    got = spark.range(0, n, ROWS, tasks).mapInArrow(run, "odds double, label bigint, times bigint").toArrow()  # two rows an entry at most
     held.destroy()
-    odds = np.zeros(n)
-    odds[got["i"].to_numpy()] = got["odds"].to_numpy()
-    return odds
+    return got["odds"].to_numpy(), got["label"].to_numpy(), got["times"].to_numpy()
 
 
 def scores(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity", threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a struct of their toxicity and its evidence: the nearest labelled examples and their cosines, nearest first.
 
+    Of examples with equal text the evidence names the one with the least id, and it holds K texts at most; all of them vote.
     A document without a word, such as a null or empty one, has no
     neighbours; its score is the rate of positives among such examples.  Equal
-    texts get equal scores; every row of the input is in the output once.
+    texts get equal scores; every row of the input is in the output once.  A very long text is one vector.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and its terms
 
     def make():
         own = held.value
-        index = Index(own)
-        return lambda column: tx.joined([judge(run, own, index, threshold) for run in tx.runs(column)], _ARROW)
+        return lambda column: tx.joined([judge(run, own, own.searched(), threshold) for run in tx.runs(column)], _ARROW)
 
     return tx.annotate(docs, text_col, make, SCORE, out)
 
 
 def judge(run: tx.Run, model: Model, index: Index, threshold: float) -> pa.StructArray:
-    row, term, count = _counted(run, model.vocabulary)
-    weight = _weights(count, term, row, model.idf, run.rows) if len(row) else np.zeros(0)
+    known = index.__dict__.setdefault("judged", {})
+    if len(known) > REMEMBERED:
+        known.clear()
+    text = list(zip(run.hashes(run.bounds[:-1], run.bounds[1:]).tolist(), np.diff(run.bounds).tolist(), strict=True))
+    new = {}
+    for r, key in enumerate(text):
+        if key not in known and key not in new:
+            new[key] = r
+    row, term, count = _counted(run, model.vocabulary, model.place)
+    weight = _weights(count, term, row, model, run.rows) if len(row) else np.zeros(0)
     upto = np.searchsorted(row, np.arange(run.rows + 1))
-    score = np.full(run.rows, model.blank_rate)
-    near: list[list[int]] = [[]] * run.rows
-    cosines: list[list[float]] = [[]] * run.rows
-    held = term < len(model.vocabulary)  # other terms are in no example
-    for a in range(0, run.rows if index.n else 0, ROWS):
-        part = slice(upto[a], upto[min(a + ROWS, run.rows)])
-        own = held[part]
-        common = index.common(row[part][own] - a, term[part][own], weight[part][own], min(ROWS, run.rows - a))
-        for r in (a + np.flatnonzero(np.diff(upto[a : a + ROWS + 1]))).tolist():
-            mine = slice(upto[r], upto[r + 1])
-            at, c = index.nearest(term[mine][held[mine]], weight[mine][held[mine]], common=common[r - a])
-            score[r] = 1 / (1 + np.exp(-(model.slope * _vote(model.labels[at], c, model.base_rate) + model.shift)))
-            near[r], cosines[r] = model.ids[at].tolist(), c.tolist()
-    return tx.struct(score=score, predicted=(score >= threshold).astype(np.int32), neighbours=pa.array(near, type=pa.list_(pa.int64())), cosines=pa.array(cosines, type=pa.list_(pa.float64())))
+    seen = term < len(model.vocabulary)  # other terms are in no example
+    todo = np.array(list(new.values()), dtype=np.int64)
+    for a in range(0, len(todo), ROWS):
+        part = todo[a : a + ROWS]
+        spans = [np.flatnonzero(seen[upto[r] : upto[r + 1]]) + upto[r] for r in part.tolist()]
+        near = index.search([(term[x], weight[x], -1) for x in spans])
+        for r, (at, c) in zip(part.tolist(), near, strict=True):
+            if not index.n or upto[r] == upto[r + 1]:
+                known[text[r]] = (model.blank_rate, [], [])
+                continue
+            score = 0.5 * (1 + np.tanh((model.slope * vote(model.n[at], model.pos[at], c, model.base_rate) + model.shift) / 2))
+            known[text[r]] = (float(score), model.ids[at[:K]].tolist(), c[:K].tolist())
+    found = [known[key] for key in text]
+    score = np.array([f[0] for f in found])
+    return tx.struct(score=score, predicted=(score >= threshold).astype(np.int32), neighbours=pa.array([f[1] for f in found], type=pa.list_(pa.int64())), cosines=pa.array([f[2] for f in found], type=pa.list_(pa.float64())))
