@@ -231,10 +231,26 @@ class Model:
     def searched(self) -> Index:
         """The index over the entries; made once a process."""
         if "held" not in self.__dict__:
+            _one_thread()
             self.held = Index(self)
         return self.held
 
 
+def _one_thread() -> None:
+    """Matrix products of this process use one thread: a task has a core, and the library's other threads would burn theirs waiting."""
+    import ctypes
+
+    try:
+        with open("/proc/self/maps") as f:
+            paths = {line.split()[-1] for line in f if "openblas" in line}
+        for lib in map(ctypes.CDLL, paths):
+            for name in ("openblas_set_num_threads", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "scipy_openblas_set_num_threads64_"):
+                if hasattr(lib, name):
+                    getattr(lib, name)(1)
+    except OSError:  # no such file system: as many threads as there are
+        pass
+
+
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The numbers lo..hi of each pair, one range after another."""
     n = (hi - lo).astype(np.int64)
