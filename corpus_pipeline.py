@@ -39,11 +39,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the spans they share with the benchmark, n_chars counted anew where one went; those mostly made of such spans go."""
-    cleaned = decontam.clean(docs.withColumn("_before", F.length("text")), queries.table(spark, sf_dir, "benchmark"))
-    changed = ~F.length("text").eqNullSafe(F.col("_before"))
+    name = tx.free_name(docs.columns, "_before")
+    cleaned = decontam.clean(docs.withColumn(name, F.length("text")), queries.table(spark, sf_dir, "benchmark"))
+    changed = ~F.length("text").eqNullSafe(F.col(name))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cleaned.drop("_before")
+    return cleaned.drop(name)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
