@@ -59,3 +59,22 @@ def test_awkward_rows_pass_all_stages(spark, tmp_path):
 def test_run_is_the_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 100 and "sequence_id" in got.columns
+
+
+#: Names that operators and stages give to columns of their own.
+OWN = "_before _class _f1 _f2 _set _top _lone _hits _hits0 _toxicity _language _words _digest _least _group tokens toxicity language hits fails k1 k2 z spans chunk kind id row _id _label _text config"
+
+
+def test_columns_named_like_the_operators_own_stay(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    h.labels(spark, [(i, 1, int(i == 8)) for i in range(9)]).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "same text again and once more")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = h.awkward(spark).select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in OWN.split()])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        rows = out.collect()
+        assert rows or name == "language_id"  # too few texts to learn a language from
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert all(r[n] == (None if r.doc_id is None else n + str(r.doc_id)) for r in rows for n in OWN.split())

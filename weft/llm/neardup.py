@@ -335,12 +335,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     from pyspark.sql import Window
 
     found, _ = classes(docs, id_col, text_col, **options)
-    mark, top, lone = (tx.free_name(docs.columns, x) for x in ("_set", "_top", "_lone"))
+    mark, top, lone, f1, f2, own_class = (tx.free_name(docs.columns, x) for x in ("_set", "_top", "_lone", "_f1", "_f2", "_class"))
     # texts without words stand alone: each has a number of its own
     sets = with_sets(docs, text_col, mark).withColumn(lone, F.when(F.col(f"{mark}.n") == 0, F.monotonically_increasing_id()))
-    other = found.select(F.col("h1").alias("_f1"), F.col("h2").alias("_f2"), F.col("class_id").alias("_class"))
-    own = sets.join(other, (F.col(f"{mark}.h1") == F.col("_f1")) & (F.col(f"{mark}.h2") == F.col("_f2")))
-    by = [F.col("_class"), F.when(F.col("_class").isNull(), F.col(f"{mark}.h1")), F.col(lone)]
+    other = found.select(F.col("h1").alias(f1), F.col("h2").alias(f2), F.col("class_id").alias(own_class))
+    own = sets.join(other, (F.col(f"{mark}.h1") == F.col(f1)) & (F.col(f"{mark}.h2") == F.col(f2)))
+    by = [F.col(own_class), F.when(F.col(own_class).isNull(), F.col(f"{mark}.h1")), F.col(lone)]
     # row_number() = 1: every task keeps a row a class before the shuffle, so a large class doesn't gather
     ranked = own.withColumn(top, F.row_number().over(Window.partitionBy(*by).orderBy(F.col(f"`{id_col}`").asc_nulls_last(), F.xxhash64(F.col(f"`{text_col}`")))))
     return ranked.where(F.col(top) == 1).select(*(docs_col(c) for c in docs.columns))
