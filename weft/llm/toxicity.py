@@ -47,8 +47,8 @@ PREFIX = 5
 K, PRIOR = 10, 1.0
 #: A term that more than one in DENSE entries of a block has is a column there.
 DENSE = 8
-#: Queries searched together; how far rounded sums may be off.
-ROWS, ROUNDING = 128, 1e-5
+#: Queries searched together; how far sums of single precision may be off; steps in which the weights of postings are held.
+ROWS, ROUNDING, STEP = 128, 1e-5, 1 / 65535
 #: Clusters that are blocks, entries of a block at most, the commonest terms that tell clusters apart, and rounds of k-means.
 CLUSTERS, BLOCK, CLUSTER_TERMS, ROUNDS = 8, 4096, 256, 6
 #: Terms whose document counts go through the shuffle together.
@@ -199,17 +199,19 @@ class Model:
 
     def weights(self) -> np.ndarray:
         if self.weight is None:
-            weight = np.log(self.count, dtype=np.float32)
-            weight += 1
-            weight *= self.idf[self.index]
-            weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, self.bounds[:-1])), np.diff(self.bounds)) if len(weight) else 1
-            self.weight = weight
+            self.weight = np.empty(len(self.index), dtype=np.float32)
+            for lo in range(0, len(self.ids), 1024):  # in parts, as workers are small
+                bounds = self.bounds[lo : lo + 1025]
+                own = slice(int(bounds[0]), int(bounds[-1]))
+                w = (1 + np.log(self.count[own], dtype=np.float32)) * self.idf[self.index[own]]
+                self.weight[own] = w / np.repeat(np.sqrt(np.add.reduceat(w * w, bounds[:-1] - bounds[0])), np.diff(bounds))
         return self.weight
 
     def __getstate__(self) -> dict:
         """Small, as each executor writes it to its disk: no weights where there are counts, and steps between an entry's terms."""
         state = dict(self.__dict__)
         state.pop("held", None)
+        state.pop("sent", None)
         if self.count is not None:
             state["weight"] = None
             step = np.diff(self.index, prepend=self.index.dtype.type(0))
@@ -227,6 +229,9 @@ class Model:
         if state["count"] is not None:
             state["index"] = np.cumsum(state["index"], dtype=state["index"].dtype)
         self.__dict__.update(state)
+        if self.count is not None:
+            self.weights()
+            self.count = None  # a model that was sent is searched only
 
     def searched(self) -> Index:
         """The index over the entries; made once a process."""
@@ -265,55 +270,57 @@ class Index:
     """
 
     def __init__(self, model: Model, block: int | None = None):
-        n, v, weight = len(model.ids), len(model.vocabulary), model.weights()
-        self.n, self.model = n, model
+        n, v = len(model.ids), len(model.vocabulary)
+        # no reference to the model, which holds this index: both go when the model does
+        self.n, self.copies, self.bounds, self.index, self.weight = n, model.n, model.bounds, model.index, model.weights()
         cuts = np.append(np.arange(0, n, block), n) if block else model.cuts if model.cuts is not None else np.unique([0, n])
         #: Where each block begins, and the last ends.
         self.cuts = np.asarray(cuts, dtype=np.int64)
         self.columns: list[np.ndarray] = []
         self.dense: list[np.ndarray] = []
-        parts = []
-        seen, column = np.zeros(v, dtype=np.int32), np.full(v, -1, dtype=np.int32)
+        blocks, column = len(self.cuts) - 1, np.full(v, -1, dtype=np.int32)
+        #: Of each term in each block: the largest weight, the mean weight, and where its postings begin (all but the last: and those of the block before end).
+        self.best, self.mean = np.zeros((2, v, blocks), dtype=np.float32)
+        size = np.zeros((v, blocks), dtype=np.int32)
         for b, (lo, hi) in enumerate(zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True)):
-            own = slice(int(model.bounds[lo]), int(model.bounds[hi]))
-            index, w = model.index[own], weight[own]
-            row = np.repeat(np.arange(lo, hi, dtype=np.int32), np.diff(model.bounds[lo : hi + 1]))
+            index, w, row = self._block(lo, hi)
             terms_, df = np.unique(index, return_counts=True)
-            seen[terms_] = df
             columns = terms_[df * DENSE > hi - lo]
             column[columns] = np.arange(len(columns), dtype=np.int32)
             at = column[index]
             dense = np.zeros((hi - lo, len(columns)), dtype=np.float32)
             dense[row[at >= 0] - lo, at[at >= 0]] = w[at >= 0]
-            order = np.argsort(index, kind="stable")
-            head = np.cumsum(df) - df
-            best, mean = np.maximum.reduceat(w[order], head), np.add.reduceat(w[order], head) / np.float32(hi - lo)
-            rare = order[at[order] < 0]
-            parts.append((terms_.astype(np.int32), np.full(len(terms_), b, dtype=np.int16), best, mean, np.where(df * DENSE > hi - lo, 0, df).astype(np.int32), row[rare], w[rare]))
             column[columns] = -1
+            w, head = w[np.argsort(index, kind="stable")], np.cumsum(df) - df
+            self.best[terms_, b] = np.maximum.reduceat(w, head)
+            self.mean[terms_, b] = np.add.reduceat(w, head) / np.float32(hi - lo)
+            size[terms_, b] = np.where(df * DENSE > hi - lo, 0, df)
             self.columns.append(columns)
             self.dense.append(dense)
-        del seen, column
-        term, of, best, mean, size, row, posted = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=np.float32 if k in (2, 3, 6) else np.int32) for k in range(7))
-        del parts
-        order = np.argsort(term, kind="stable")
-        # a term's postings lie together, block after block
-        begin = (np.cumsum(size, dtype=np.int64) - size)[order]
-        at = _ranges(begin, begin + size[order])
-        #: Row and weight of each posting, side by side.
-        self.postings = np.empty((len(at), 2), dtype=np.int32)
-        self.postings[:, 0], self.postings[:, 1] = row[at], posted[at].view(np.int32)
-        self.postings = self.postings.view(np.int64).ravel()
-        del at, begin, row, posted
-        #: Of each term in each block that has it: the block, the largest and the mean weight, where its postings begin and how many there are (0: a column); and each term's first of them.
-        self.of, self.best, self.mean, self.size = of[order].astype(np.intp), best[order], mean[order], size[order]
-        self.begin = np.cumsum(self.size, dtype=np.int64) - self.size
-        self.first = np.searchsorted(term[order], np.arange(v + 1))
+        self.begin = np.zeros(v * blocks + 1, dtype=np.int32)
+        np.cumsum(size.ravel(), out=self.begin[1:])
+        del size
+        #: Postings, a term's together, block after block: the row, and the weight in steps of STEP, as memory is what a search waits for.
+        self.postings = np.zeros(int(self.begin[-1]), dtype=np.uint32 if n <= 1 << 16 else np.uint64)
+        kind = self.postings.dtype.type
+        for b, (lo, hi) in enumerate(zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True)):
+            index, w, row = self._block(lo, hi)
+            column[self.columns[b]] = 0
+            rare = np.flatnonzero(column[index] < 0)
+            column[self.columns[b]] = -1
+            rare = rare[np.argsort(index[rare], kind="stable")]
+            own = np.unique(index[rare]).astype(np.int64) * blocks + b
+            self.postings[_ranges(self.begin[own].astype(np.int64), self.begin[own + 1])] = (row[rare].astype(kind) << kind(16)) | np.rint(w[rare] / STEP).astype(kind)
         self.query = np.zeros(v, dtype=np.float32)
         self.exact = np.zeros(v)
         #: Blocks there were and blocks whose postings were read, over all searches.
         self.blocks = self.read = 0
 
+    def _block(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms, weights and rows of entries lo..hi."""
+        own = slice(int(self.bounds[lo]), int(self.bounds[hi]))
+        return self.index[own], self.weight[own], np.repeat(np.arange(lo, hi, dtype=np.int32), np.diff(self.bounds[lo : hi + 1]))
+
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """:meth:`search` for one query."""
         return self.search([(term, weight, skip)], k)[0]
@@ -327,18 +334,17 @@ class Index:
         if not self.n:
             return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(queries)
         scores = np.zeros((len(queries), self.n), dtype=np.float32)
+        # how far a query's sums may be off: weights of postings are rounded
+        off = np.array([ROUNDING + STEP * float(np.abs(weight).sum()) for _, weight, _ in queries])
         held, bound, loose, like = [], *np.zeros((3, len(queries), blocks))
         for q, (term, weight, _) in enumerate(queries):
-            lo, hi = self.first[term], self.first[term + 1]
-            entry = _ranges(lo, hi)
-            w = np.repeat(weight.astype(np.float32), hi - lo)
-            of, most = self.of.take(entry), w * self.best.take(entry)
-            bound[q] = np.bincount(of, most, blocks)
-            like[q] = np.bincount(of, w * self.mean.take(entry), blocks)
-            some = np.flatnonzero(self.size.take(entry))  # those with postings
-            entry, w, of = entry[some], w[some], of[some]
-            loose[q] = np.bincount(of, most[some], blocks)
-            held.append((entry, w, of))
+            w = weight.astype(np.float32)
+            most = w[:, None] * self.best.take(term, axis=0)
+            at = term.astype(np.int64)[:, None] * blocks + np.arange(blocks)
+            begin = self.begin.take(at)
+            size = self.begin.take(at + 1) - begin
+            bound[q], loose[q], like[q] = most.sum(axis=0), (most * (size > 0)).sum(axis=0), w @ self.mean.take(term, axis=0)
+            held.append((begin, size, w))
         self.blocks += blocks * len(queries)
         least, read = np.zeros(len(queries)), np.zeros((len(queries), blocks), dtype=bool)
         head = like.argmax(axis=1)  # the block whose entries are nearest on average
@@ -346,7 +352,7 @@ class Index:
         wave[np.arange(len(queries)), head] = bound[np.arange(len(queries)), head] > 0
         for second in (False, True):
             if second:
-                wave = (bound > 0) & (bound + ROUNDING >= least[:, None]) & ~read
+                wave = (bound > 0) & (bound + off[:, None] >= least[:, None]) & ~read
             self._columns(queries, wave, scores)
             for q, (_, _, skip) in enumerate(queries):
                 mine = wave[q]
@@ -354,21 +360,21 @@ class Index:
                     continue
                 if second:  # what the columns gave is known now
                     top = np.maximum.reduceat(scores[q], self.cuts[:-1])
-                    drop = mine & (top + loose[q] + ROUNDING < least[q])
+                    drop = mine & (top + loose[q] + off[q] < least[q])
                     for b in np.flatnonzero(drop):
                         scores[q, self.cuts[b] : self.cuts[b + 1]] = 0.0
                     mine &= ~drop
                 self.read += int(mine.sum())
-                entry, w, of = held[q]
-                some = mine[of]
-                self._postings(scores[q], entry[some], w[some])
+                begin, size, w = held[q]
+                term, block = np.nonzero((size > 0) & mine)
+                self._postings(scores[q], begin[term, block], size[term, block], w[term])
                 read[q] |= mine
-                if skip >= 0 and self.model.n[skip] < 2:
+                if skip >= 0 and self.copies[skip] < 2:
                     scores[q, skip] = 0.0
                 above = scores[q][scores[q] > least[q]]
                 if len(above) >= k:
                     least[q] = np.partition(above, -k)[-k]
-        return [self._judged(scores[q], least[q], *queries[q], k) for q in range(len(queries))]
+        return [self._judged(scores[q], least[q] - 2 * off[q], *queries[q], k) for q in range(len(queries))]
 
     def _columns(self, queries, wave: np.ndarray, scores: np.ndarray) -> None:
         """Adds the blocks' dense parts to the scores of the queries that read them, a block at a time."""
@@ -384,30 +390,28 @@ class Index:
             if len(o) and len(self.columns[b]):
                 scores[o, self.cuts[b] : self.cuts[b + 1]] += put[b] @ self.dense[b].T
 
-    def _postings(self, score: np.ndarray, entry: np.ndarray, w: np.ndarray) -> None:
-        """Adds the entries' postings to a query's scores."""
-        if not len(entry):
+    def _postings(self, score: np.ndarray, begin: np.ndarray, size: np.ndarray, w: np.ndarray) -> None:
+        """Adds ranges of postings, times a query's weights, to its scores."""
+        if not len(begin):
             return
-        size = self.size.take(entry)
         upto = np.cumsum(size, dtype=np.intp)
         at = np.ones(int(upto[-1]), dtype=np.intp)
-        begin = self.begin.take(entry)
         at[0] = begin[0]
         at[upto[:-1]] = begin[1:] - begin[:-1] - size[:-1] + 1
         np.cumsum(at, out=at)
         found = self.postings.take(at)
-        x = np.repeat(w, size)
-        x *= found.view(np.float32)[1::2]
-        score += np.bincount(found.view(np.int32)[::2], x, self.n)
+        x = np.repeat(w * np.float32(STEP), size)
+        x *= found & found.dtype.type(0xFFFF)
+        score += np.bincount((found >> found.dtype.type(16)).astype(np.intp), x, self.n)
 
     def _judged(self, score: np.ndarray, least: float, term: np.ndarray, weight: np.ndarray, skip: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.flatnonzero((score > 0) & (score >= least - 2 * ROUNDING))
+        rows = np.flatnonzero((score > 0) & (score >= least))
         self.exact[term] = weight
         cosines = np.concatenate([np.zeros(0), *(self._cosines(rows[a : a + 1024]) for a in range(0, len(rows), 1024))])
         self.exact[term] = 0.0
         order = np.argsort(-cosines, kind="stable")
         rows, cosines = rows[order], np.minimum(cosines[order], 1.0)
-        many = np.cumsum(self.model.n[rows] - (rows == skip))
+        many = np.cumsum(self.copies[rows] - (rows == skip))
         last = int(np.searchsorted(many, k))
         if last < len(rows):
             keep = cosines >= cosines[last] - 1e-9
@@ -415,9 +419,9 @@ class Index:
         return rows, cosines
 
     def _cosines(self, rows: np.ndarray) -> np.ndarray:
-        lo, hi = self.model.bounds[rows], self.model.bounds[rows + 1]
+        lo, hi = self.bounds[rows], self.bounds[rows + 1]
         at = _ranges(lo, hi)
-        return np.bincount(np.repeat(np.arange(len(rows)), hi - lo), self.exact.take(self.model.index.take(at)) * self.model.weights().take(at), len(rows))
+        return np.bincount(np.repeat(np.arange(len(rows)), hi - lo), self.exact.take(self.index.take(at)) * self.weight.take(at), len(rows))
 
 
 def _weights(count: np.ndarray, term: np.ndarray, row: np.ndarray, model: Model, rows: int) -> np.ndarray:
@@ -556,7 +560,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 def _left_out(spark: SparkSession, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log-odds of the examples by the votes of all others, their labels, and how many examples of an entry have that label."""
+    # sent once: the tasks that score use it too, with the index that their workers have made
     held, n = spark.sparkContext.broadcast(model), len(model.ids)
+    model.sent = held
 
     def run(batches):
         own = held.value
@@ -575,7 +581,6 @@ def _left_out(spark: SparkSession, model: Model) -> tuple[np.ndarray, np.ndarray
 
     tasks = max(1, min(-(-n // 1024), spark.sparkContext.defaultParallelism))
     got = spark.range(0, n, ROWS, tasks).mapInArrow(run, "odds double, label bigint, times bigint").toArrow()  # two rows an entry at most
-    held.destroy()
     return got["odds"].to_numpy(), got["label"].to_numpy(), got["times"].to_numpy()
 
 
@@ -587,16 +592,17 @@ def scores(docs: DataFrame, model: Model, text_col: str = "text", out: str = "to
     neighbours; its score is the rate of positives among such examples.  Equal
     texts get equal scores; every row of the input is in the output once.  A very long text is one vector.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and its terms
+    held = model.__dict__.get("sent") or docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and its terms
+    curve = model.slope, model.shift
 
     def make():
         own = held.value
-        return lambda column: tx.joined([judge(run, own, own.searched(), threshold) for run in tx.runs(column)], _ARROW)
+        return lambda column: tx.joined([judge(run, own, own.searched(), threshold, curve) for run in tx.runs(column)], _ARROW)
 
     return tx.annotate(docs, text_col, make, SCORE, out)
 
 
-def judge(run: tx.Run, model: Model, index: Index, threshold: float) -> pa.StructArray:
+def judge(run: tx.Run, model: Model, index: Index, threshold: float, curve: tuple[float, float] = (1.0, 0.0)) -> pa.StructArray:
     known = index.__dict__.setdefault("judged", {})
     if len(known) > REMEMBERED:
         known.clear()
@@ -618,7 +624,7 @@ def judge(run: tx.Run, model: Model, index: Index, threshold: float) -> pa.Struc
             if not index.n or upto[r] == upto[r + 1]:
                 known[text[r]] = (model.blank_rate, [], [])
                 continue
-            score = 0.5 * (1 + np.tanh((model.slope * vote(model.n[at], model.pos[at], c, model.base_rate) + model.shift) / 2))
+            score = 0.5 * (1 + np.tanh((curve[0] * vote(model.n[at], model.pos[at], c, model.base_rate) + curve[1]) / 2))
             known[text[r]] = (float(score), model.ids[at[:K]].tolist(), c[:K].tolist())
     found = [known[key] for key in text]
     score = np.array([f[0] for f in found])
