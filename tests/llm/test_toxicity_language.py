@@ -223,3 +223,15 @@ def test_thresholds_borrow_from_the_nearest_lengths():
     least = language._least(size, cosine) / language.REJECT
     assert np.allclose(least[[0, 4, 5]], 0.2) and np.allclose(least[[12, 20, 31]], 0.8)
     assert not language._least(np.zeros(0), np.zeros(0)).any()
+
+
+def test_language_sample_is_rows_not_ids(spark):
+    """An id that many rows share is as many examples as it has texts; repeated rows are one; the sample is no larger than asked for."""
+    texts = [f"der die das und ist nicht {i} wort satz" for i in range(30)]
+    rows = [(1, t, "de") for t in texts] + [(1, texts[0], "de")] * 50 + [(k, f"the and of is not {k} word line", "en") for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    for sample in (10, 400):
+        m = language.train(docs, among=lambda i: i.isNotNull(), sample=sample, clusters=2)
+        assert m.langs == ["de", "en"]
+        got = language.identify(docs, m, out="t").select("lang", "t.lang").collect()
+        assert all(r[0] == r[1] for r in got) and len(got) == len(rows)

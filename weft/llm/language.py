@@ -42,6 +42,8 @@ _CLASS[0x41:0x5B] += 32
 _CLASS[:128][~np.isin(np.arange(128), [*range(0x41, 0x5B), *range(0x61, 0x7B)])] = 0x20
 _CLASS = _CLASS.astype(np.uint32)
 _LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
+#: Parts of a language whose ids are ranked apart.
+SALTS = 16
 
 
 def vectors(run: tx.Run, idf: np.ndarray | None):
@@ -120,8 +122,8 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", among: Callable | None = None, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Model:
     """A model from the documents with a language whose id's fold by 3 isn't 1 (``among``: another condition on the id).
 
-    IDF counts all of them; centroids are fitted to at most ``sample`` a
-    language, those whose ids hash lowest.  Without any the model knows no
+    IDF counts all of them; centroids are fitted to at most ``sample`` pairs of id and text a
+    language, those whose ids hash lowest; a pair that several rows repeat is one.  Without any the model knows no
     language.
     """
     tx.bounded_batches(docs.sparkSession)
@@ -142,10 +144,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for r in own.select("t").mapInArrow(count, "place int, df bigint").groupBy("place").agg(F.sum("df").alias("df")).collect():  # one row per place
         df[r.place + 1] = r.df
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
-    # row_number() <= sample: each task keeps that many rows a language before the shuffle
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
-    chosen = own.select("i", "l").withColumn("r", rank).where(F.col("r") <= sample).drop("r")
-    few = own.join(F.broadcast(chosen.withColumnRenamed("l", "l2")), ["i"]).where("l = l2").select("l", "i", "t")
+    # each task keeps at most that many ids of a language and salt before the shuffle, and a language's salts are ranked apart,
+    # so neither the number of tasks nor an id that many rows share makes what one task ranks grow
+    narrow = own.select("l", "i", F.xxhash64("t").alias("h"))
+    order = [F.xxhash64("i"), F.col("i"), F.col("h")]
+    salted = Window.partitionBy("l", F.pmod(F.xxhash64("i", "h"), F.lit(SALTS))).orderBy(*order)
+    first = narrow.withColumn("r", F.dense_rank().over(salted)).where(F.col("r") <= sample).select("l", "i", "h").distinct()
+    chosen = first.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(*order))).where(F.col("r") <= sample).drop("r")
+    few = own.withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), ["l", "i", "h"]).dropDuplicates(["l", "i", "h"]).select("l", "i", "t")
     schema = T.StructType.fromDDL("l string, c array<array<float>>, size array<bigint>, cosine array<double>")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -157,7 +163,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 parts.append(x[letters[lo:hi]])
             sizes.append(np.diff(run.bounds)[letters])
         x, size = np.concatenate(parts), np.concatenate(sizes)
-        x, size = x[: 4 * sample], size[: 4 * sample]  # ids that many rows share can't make a sample unbounded
         if not len(x):
             return pd.DataFrame({"l": [], "c": [], "size": [], "cosine": []})
         c = _cluster(x, clusters)
