@@ -274,7 +274,7 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 class Index:
     """Block-max inverted index of a model's entries.
 
-    A block is a cluster of entries.  Terms that one in sixteen of its entries has are columns of
+    A block is a cluster of entries.  Terms that more than one in DENSE of its entries has are columns of
     the block's dense matrix, all others have postings; of each term in each block the largest weight is known.
     """
 
@@ -288,9 +288,10 @@ class Index:
         self.columns: list[np.ndarray] = []
         self.dense: list[np.ndarray] = []
         blocks, column = len(self.cuts) - 1, np.full(v, -1, dtype=np.int32)
-        #: Of each term in each block: the largest weight, the mean weight, and where its postings begin (all but the last: and those of the block before end).
-        self.best, self.mean = np.zeros((2, v, blocks), dtype=np.float32)
-        size = np.zeros((v, blocks), dtype=np.int32)
+        #: Of each term: its largest weight in each block (the bits of floats), where its postings in each begin, and where the last ones end.  A row, so
+        #: that what a query asks of a term lies together.
+        self.of_term = np.zeros((v, 2 * blocks + 1), dtype=np.int32)
+        best, size = self.of_term.view(np.float32)[:, :blocks], self.of_term[:, blocks:-1]
         for b, (lo, hi) in enumerate(zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True)):
             index, w, row = self._block(lo, hi)
             terms_, df = np.unique(index, return_counts=True)
@@ -301,16 +302,20 @@ class Index:
             dense[row[at >= 0] - lo, at[at >= 0]] = w[at >= 0]
             column[columns] = -1
             w, head = w[np.argsort(index, kind="stable")], np.cumsum(df) - df
-            self.best[terms_, b] = np.maximum.reduceat(w, head)
-            self.mean[terms_, b] = np.add.reduceat(w, head) / np.float32(hi - lo)
+            best[terms_, b] = np.maximum.reduceat(w, head)
             size[terms_, b] = np.where(df * DENSE > hi - lo, 0, df)
             self.columns.append(columns)
             self.dense.append(dense)
-        self.begin = np.zeros(v * blocks + 1, dtype=np.int32)
-        np.cumsum(size.ravel(), out=self.begin[1:])
-        del size
-        #: Postings, a term's together, block after block: the row, and the weight in steps of STEP, as memory is what a search waits for.
-        self.postings = np.zeros(int(self.begin[-1]), dtype=np.uint32 if n <= 1 << 16 else np.uint64)
+        end = np.cumsum(size.ravel(), dtype=np.int32).reshape(v, blocks)  # a term's postings together, block after block
+        total = int(end[-1, -1]) if end.size else 0
+        if total:
+            size[:, 1:] = end[:, :-1]
+            size[1:, 0] = end[:-1, -1]
+            size[0, 0] = 0
+            self.of_term[:, -1] = end[:, -1]
+        del end
+        #: Postings: the row, and the weight in steps of STEP, as memory is what a search waits for.
+        self.postings = np.zeros(total, dtype=np.uint32 if n <= 1 << 16 else np.uint64)
         kind = self.postings.dtype.type
         for b, (lo, hi) in enumerate(zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True)):
             index, w, row = self._block(lo, hi)
@@ -318,8 +323,8 @@ class Index:
             rare = np.flatnonzero(column[index] < 0)
             column[self.columns[b]] = -1
             rare = rare[np.argsort(index[rare], kind="stable")]
-            own = np.unique(index[rare]).astype(np.int64) * blocks + b
-            self.postings[_ranges(self.begin[own].astype(np.int64), self.begin[own + 1])] = (row[rare].astype(kind) << kind(16)) | np.rint(w[rare] / STEP).astype(kind)
+            own = np.unique(index[rare])
+            self.postings[_ranges(self.of_term[own, blocks + b].astype(np.int64), self.of_term[own, blocks + b + 1])] = (row[rare].astype(kind) << kind(16)) | np.rint(w[rare] / STEP).astype(kind)
         self.query = np.zeros(v, dtype=np.float32)
         self.exact = np.zeros(v)
         #: Blocks there were and blocks whose postings were read, over all searches.
@@ -344,26 +349,24 @@ class Index:
             return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(queries)
         scores = np.zeros((len(queries), self.n), dtype=np.float32)
         # how far a query's sums may be off: weights of postings are rounded
-        off = np.array([ROUNDING + STEP * float(np.abs(weight).sum()) for _, weight, _ in queries])
-        held, bound, loose, like = [], *np.zeros((3, len(queries), blocks))
+        off = np.array([ROUNDING + STEP / 2 * float(np.abs(weight).sum()) for _, weight, _ in queries])
+        held, bound, loose = [], *np.zeros((2, len(queries), blocks))
         for q, (term, weight, _) in enumerate(queries):
             w = weight.astype(np.float32)
-            most = w[:, None] * self.best.take(term, axis=0)
-            at = term.astype(np.int64)[:, None] * blocks + np.arange(blocks)
-            begin = self.begin.take(at)
-            size = self.begin.take(at + 1) - begin
-            bound[q], loose[q], like[q] = most.sum(axis=0), (most * (size > 0)).sum(axis=0), w @ self.mean.take(term, axis=0)
-            held.append((begin, size, w))
+            known = self.of_term.take(term, axis=0)
+            best, edges = known.view(np.float32)[:, :blocks], known[:, blocks:]
+            bound[q], loose[q] = w @ best, w @ (best * (edges[:, 1:] > edges[:, :-1]))
+            held.append(edges)
         self.blocks += blocks * len(queries)
         least, read = np.zeros(len(queries)), np.zeros((len(queries), blocks), dtype=bool)
-        head = like.argmax(axis=1)  # the block whose entries are nearest on average
+        head = bound.argmax(axis=1)
         wave = np.zeros_like(read)
         wave[np.arange(len(queries)), head] = bound[np.arange(len(queries)), head] > 0
         for second in (False, True):
             if second:
                 wave = (bound > 0) & (bound + off[:, None] >= least[:, None]) & ~read
             self._columns(queries, wave, scores)
-            for q, (_, _, skip) in enumerate(queries):
+            for q, (_, weight, skip) in enumerate(queries):
                 mine = wave[q]
                 if not mine.any():
                     continue
@@ -374,9 +377,7 @@ class Index:
                         scores[q, self.cuts[b] : self.cuts[b + 1]] = 0.0
                     mine &= ~drop
                 self.read += int(mine.sum())
-                begin, size, w = held[q]
-                term, block = np.nonzero((size > 0) & mine)
-                self._postings(scores[q], begin[term, block], size[term, block], w[term])
+                self._postings(scores[q], held[q], mine, weight)
                 read[q] |= mine
                 if skip >= 0 and self.copies[skip] < 2:
                     scores[q, skip] = 0.0
@@ -399,24 +400,28 @@ class Index:
             if len(o) and len(self.columns[b]):
                 scores[o, self.cuts[b] : self.cuts[b + 1]] += put[b] @ self.dense[b].T
 
-    def _postings(self, score: np.ndarray, begin: np.ndarray, size: np.ndarray, w: np.ndarray) -> None:
-        """Adds ranges of postings, times a query's weights, to its scores."""
-        if not len(begin):
+    def _postings(self, score: np.ndarray, edges: np.ndarray, mine: np.ndarray, weight: np.ndarray) -> None:
+        """Adds the postings of a query's terms in the blocks it reads, times their weights, to its scores; a term's in blocks side by side are one range."""
+        turn = np.flatnonzero(np.diff(mine, prepend=False, append=False))
+        begin, end = edges[:, turn[::2]].ravel(), edges[:, turn[1::2]].ravel()
+        some = np.flatnonzero(end > begin)
+        if not len(some):
             return
-        upto = np.cumsum(size, dtype=np.intp)
-        at = np.ones(int(upto[-1]), dtype=np.intp)
+        begin, end = begin[some], end[some]
+        size = end - begin
+        at = np.ones(int(size.sum()), dtype=np.intp)  # the places of all ranges, by steps
         at[0] = begin[0]
-        at[upto[:-1]] = begin[1:] - begin[:-1] - size[:-1] + 1
+        at[np.cumsum(size[:-1], dtype=np.intp)] = begin[1:] - end[:-1] + 1
         np.cumsum(at, out=at)
         found = self.postings.take(at)
-        x = np.repeat(w * np.float32(STEP), size)
-        x *= found & found.dtype.type(0xFFFF)
+        x = np.repeat(weight[some // (len(turn) // 2)] * STEP, size)  # doubles, as they are summed
+        x *= (found & found.dtype.type(0xFFFF)).astype(np.float64)
         score += np.bincount((found >> found.dtype.type(16)).astype(np.intp), x, self.n)
 
     def _judged(self, score: np.ndarray, least: float, term: np.ndarray, weight: np.ndarray, skip: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero((score > 0) & (score >= least))
         self.exact[term] = weight
-        cosines = np.concatenate([np.zeros(0), *(self._cosines(rows[a : a + 1024]) for a in range(0, len(rows), 1024))])
+        cosines = self._cosines(rows)
         self.exact[term] = 0.0
         order = np.argsort(-cosines, kind="stable")
         rows, cosines = rows[order], np.minimum(cosines[order], 1.0)
@@ -428,9 +433,11 @@ class Index:
         return rows, cosines
 
     def _cosines(self, rows: np.ndarray) -> np.ndarray:
-        lo, hi = self.bounds[rows], self.bounds[rows + 1]
-        at = _ranges(lo, hi)
-        return np.bincount(np.repeat(np.arange(len(rows)), hi - lo), self.exact.take(self.index.take(at)) * self.weight.take(at), len(rows))
+        """Exact cosines of entries with the query that is laid out in ``exact``."""
+        found = np.empty(len(rows))
+        for i, (lo, hi) in enumerate(zip(self.bounds[rows].tolist(), self.bounds[rows + 1].tolist(), strict=True)):
+            found[i] = np.dot(self.exact.take(self.index[lo:hi]), self.weight[lo:hi])
+        return found
 
 
 def _weights(count: np.ndarray, term: np.ndarray, row: np.ndarray, model: Model, rows: int) -> np.ndarray:
