@@ -58,7 +58,7 @@ def _variant_scalar_string(v: Column, kind: Column | None = None) -> Column:
         .when(kind == "BOOLEAN", as_str)
         .when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT)$"), as_str)
         .when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)"), js_number(F.try_variant_get(v, "$", "double")))
-        .when(kind == "OBJECT", F.lit("[object Object]"))
+        .when(kind.startswith("OBJECT"), F.lit("[object Object]"))
         .when(kind == "VOID", F.lit(None).cast("string"))
         .otherwise(as_str)
     )

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -130,6 +131,21 @@ def _vget(c: Column, jsonpath: str) -> Column:
     return F.try_variant_get(c, jsonpath, "variant")
 
 
+def variant_at(c: Column, keys: tuple[str, ...]) -> Column:
+    """The value below an object's keys, each taken as it stands: no index, no filter, no first element of an array."""
+    return reduce(_key_of, keys, c)
+
+
+def _key_of(c: Column, key: str) -> Column:
+    if re.fullmatch(r"[^\s.\[][^.\[]*", key):
+        return _vget(c, f"$.{key}")
+    for quote in "'\"":
+        if re.fullmatch(rf"[^\s{quote}?][^{quote}?]*", key):
+            return _vget(c, f"$[{quote}{key}{quote}]")
+    # no path of Spark's can spell it
+    return F.try_element_at(F.try_variant_get(c, "$", "map<string,variant>"), F.lit(key))
+
+
 def _quote_key(name: str) -> str:
     return '$["' + name.replace("\\", "\\\\").replace('"', '\\"') + '"]'
 

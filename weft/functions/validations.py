@@ -24,6 +24,7 @@ MSG_REQUIRED = "Value is required but was missing or empty."
 MSG_REGEX_MISSING = "Configuration error: Missing regex pattern."
 MSG_MIN_CONFIG = 'Configuration error: Missing/invalid "min" number.'
 MSG_VALUESET_CONFIG = "Configuration error: Missing ValueSet URL."
+MSG_NOT_IN_VALUESET = "Value '{value}' is not valid according to ValueSet '{url}'."
 MSG_MAX_CONFIG = "Configuration error: Missing max length."
 
 Validation = Callable[[Val, Any, Context], Column]
@@ -100,6 +101,18 @@ def valueset(value: Val, details: Any, ctx: Context) -> Column:
     return F.lit(None).cast("string")
 
 
+def value_set_of(details: Any) -> str | None:
+    """The url of the value set that a VALUESET's details name."""
+    url = details.get("valueSetUrl") if isinstance(details, dict) else None
+    return url if isinstance(url, str) and url else None
+
+
+def not_in_value_set(text: Column, found: Column, url: str) -> Column:
+    """V4 against a table: the message for a value that a join didn't find among a set's codes."""
+    before, after = MSG_NOT_IN_VALUESET.replace("{url}", url).split("{value}", 1)
+    return F.when(~found, F.concat(F.lit(before), text, F.lit(after)))
+
+
 _REGISTRY: dict[str, Validation] = {}
 
 

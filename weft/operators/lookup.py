@@ -28,6 +28,18 @@ def code_lookup_table(df: DataFrame, key: str, codes: DataFrame, code_key: str,
     return j.withColumn(out, val).drop("_lk", "_lv", "_key")
 
 
+def value_set_codes(value_sets: DataFrame, urls: set[str]) -> dict[str, DataFrame]:
+    """The codes (``_lk``, as texts) of those of ``urls`` that ``value_sets`` (url, code) has any of.
+
+    The codes of all sets are written once, each code once a set; a set is a filter of that table, joined as Spark sees fit (see :func:`distinct_codes`).
+    """
+    text = js_string(Val(F.col("code"), value_sets.schema["code"].dataType))
+    own = value_sets.where(F.col("url").isin(sorted(urls))).select("url", text.alias("_lk")).where("_lk is not null")
+    held = materialize(own.distinct())
+    known = {r.url for r in held.select("url").distinct().collect()}  # of the config's urls
+    return {u: held.where(F.col("url") == u).select("_lk") for u in known}
+
+
 def distinct_codes(codes: DataFrame, key: str = "code", value: str = "value") -> DataFrame:
     """``_lk`` (the code's text) and ``_lv`` once each; of several values of a code the least.
 

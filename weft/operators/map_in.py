@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from weft.functions.coerce import is_blank, is_missing, is_undef, js_string, json_text, literal_val, parse_stored
 from weft.functions.paths import Val, base_path, get_path, get_value, parse_path, column
 from weft.functions.transforms import Context, code_table_of, lookup_transformation, table_lookup
-from weft.functions.validations import lookup_validation
-from weft.operators.lookup import distinct_codes
+from weft.functions.validations import lookup_validation, not_in_value_set, value_set_of
+from weft.operators.lookup import distinct_codes, value_set_codes
 from weft.plans.config import MappingConfig, Profile
 from weft.plans.tree import TargetTree, _combine
 
@@ -114,6 +114,7 @@ def map_in(
     keep: tuple[str, ...] = (),
     keep_original: bool = True,
     code_tables: dict[str, DataFrame] | None = None,
+    value_sets: DataFrame | None = None,
 ) -> MapInPlan:
     """Compile ``cfg`` against ``df``'s schema and apply it (one narrow stage).
 
@@ -121,6 +122,9 @@ def map_in(
     place of a map.  Each such mapping is a left join by the value's text, before
     values are transformed, so codes never become part of the plan; a code that isn't there is
     the default or the field's error, as with a map.
+
+    ``value_sets``: a table (``url``, ``code``); a VALUESET's value must be the text of a code of its set, or is
+    the field's error, whatever the strength.  A set that the table has no code of accepts every value, as all do without a table.
     """
     cols = list(df.columns)
     root = record_root(df, variant_col)
@@ -234,6 +238,19 @@ def map_in(
     bound_cols = [n for n in df1.columns if n not in cols]
     df2a = df1.select(*[column(c) for c in cols], *[F.col(n) for n in bound_cols], *s2)
 
+    # values that must be in a set meet its codes
+    member: dict[int, str] = {}
+    if value_sets is not None:
+        for i, m in live:
+            if (m.validation_type or "").upper() == "VALUESET" and value_set_of(m.validation_details) and not plans[i]["val"].undefined:
+                member[i] = value_set_of(m.validation_details)
+        sets = value_set_codes(value_sets, set(member.values())) if member else {}
+        member = {i: url for i, url in member.items() if url in sets}
+        df2a = df2a.select("*", *[F.coalesce(js_string(plans[i]["val"]), F.lit("")).alias(f"_vk{i}") for i in member])
+        for i, url in member.items():
+            codes = sets[url].select(F.col("_lk").alias(f"_vm{i}"))
+            df2a = df2a.join(codes, F.col(f"_vk{i}") == F.col(f"_vm{i}"), "left")
+
     # ---- stage 2b: one error struct per field mapping (first failing step wins)
     s3 = []
     finals: dict[int, Val] = {}
@@ -252,6 +269,8 @@ def map_in(
             fn = lookup_validation(vname)
             if fn is not None:
                 vmsg = fn(val, m.validation_details, ctx)
+                if i in member:
+                    vmsg = F.coalesce(vmsg, not_in_value_set(F.col(f"_vk{i}"), F.col(f"_vm{i}").isNotNull(), member[i]))
                 det = _dumps({"type": m.validation_type, "details": m.validation_details})
             else:
                 vmsg = F.lit(f"Validation function '{m.validation_type}' not registered.")

@@ -38,6 +38,7 @@ def map_in_many(
     keep: tuple[str, ...] = (),
     keep_original: bool = True,
     code_tables: dict[str, DataFrame] | None = None,
+    value_sets: DataFrame | None = None,
 ) -> DataFrame:
     """``config``, the ``keep`` columns, ``item`` (VARIANT: configs make different resources), ``errors`` and ``original`` of every record.
 
@@ -61,7 +62,7 @@ def map_in_many(
         own = configs[n]
         cfg, profile = own if isinstance(own, tuple) else (own, Profile())
         rows = dealt.where(F.col(known) == k).drop(name, known)
-        got = map_in(rows, cfg, profile, variant_col=variant_col, keep=keep, keep_original=keep_original, code_tables=code_tables).df
+        got = map_in(rows, cfg, profile, variant_col=variant_col, keep=keep, keep_original=keep_original, code_tables=code_tables, value_sets=value_sets).df
         branches.append(got.select(F.lit(n).alias("config"), *[F.col(f"`{c}`") for c in keep], F.parse_json(F.to_json("item")).alias("item"), "errors", "original"))
     lost = dealt.where(F.col(known) == -1)
     original = original_json(lost.drop(name, known), variant_col) if keep_original else F.lit(None).cast("string")

@@ -303,6 +303,26 @@ def q_validate_valueset(spark, sf):
     return a.join(b, "doc_id")
 
 
+@register("validate_valueset_members", """
+WITH s AS (SELECT DISTINCT p_brand AS code FROM part WHERE p_size % 7 = 0)
+SELECT p_partkey, CASE WHEN p_brand IS NOT NULL AND NOT regexp_matches(p_brand, {blank}) AND code IS NULL
+    THEN 'Value ''' || p_brand || ''' is not valid according to ValueSet ''http://x/brands''.' END AS brand_message,
+  CASE WHEN p_size > 25 THEN 'Value ''' || p_size || ''' is not valid according to ValueSet ''http://x/sizes''.' END AS size_message
+FROM part LEFT JOIN s ON p_brand = code""".replace("{blank}", BLANK_SQL))
+def q_validate_valueset_members(spark, sf):
+    """V4 against a table of sets: texts and numbers, codes that come often, a set that the table doesn't have."""
+    p = table(spark, sf, "part")
+    brands = p.where("p_size % 7 = 0").select(F.lit("http://x/brands").alias("url"), F.col("p_brand").alias("code"))
+    sizes = p.where("p_size <= 25").select(F.lit("http://x/sizes"), F.col("p_size").cast("string"))
+    m = cfg("PartSets", "Device",
+            fm(0, "p_brand", "manufacturer", "VALUESET", {"valueSetUrl": "http://x/brands", "strength": "required"}),
+            fm(1, "p_size", "size", "VALUESET", {"valueSetUrl": "http://x/sizes"}),
+            fm(2, "p_type", "type.text", "VALUESET", {"valueSetUrl": "http://x/unknown"}))
+    r = map_in(p.select("p_partkey", "p_brand", "p_size", "p_type"), m, keep=("p_partkey",), keep_original=False, value_sets=brands.union(sizes)).df
+    message = lambda c: F.get(F.filter("errors", lambda e: e["fieldSourcePath"] == c), 0)["message"]
+    return r.select("p_partkey", message("p_brand").alias("brand_message"), message("p_size").alias("size_message"))
+
+
 @register("validate_max_length", """
 SELECT page_id, CASE WHEN length(url) > 40
   THEN 'Value length (' || length(url) || ') exceeds maximum allowed (40).' END AS message FROM pages""")
@@ -938,6 +958,42 @@ def q_flatten_csv(spark, sf):
     return r.df.select("c_custkey", *flatten_columns(F.col("item"), r.item_type, ""))
 
 
+@register("run_counts", ORDER_ERRORS_CTE + """
+, b AS (SELECT count(DISTINCT o_orderkey) AS n, count(*) AS f FROM e), o AS (SELECT count(*) AS n FROM orders)
+SELECT o.n AS records, o.n - b.n AS data, b.n AS errors, b.f AS field_errors, o.n AS lines FROM o, b""")
+def q_run_counts(spark, sf):
+    """A2: what a run counted as it was written, beside the lines that it wrote."""
+    from weft.session import scratch_path
+    from weft.sinks import counted, write_ndjson
+
+    out = scratch_path(spark, f"run_counts-{uuid.uuid4().hex}")
+    rows, seen = counted(order_checks(spark, sf).df)
+    write_ndjson(rows, out)
+    counts = [F.lit(seen.get[c]).cast("bigint").alias(c) for c in ("records", "data", "errors", "field_errors")]
+    return spark.read.text(out).agg(F.count(F.lit(1)).alias("lines")).select(*counts, "lines")
+
+
+@register("write_csv_variant", """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, '[object Object]' AS links, CASE WHEN o_orderkey % 3 = 0 THEN replace(o_orderpriority, '-', '"') END AS "note.text",
+  o_orderstatus AS "status.code", o_orderpriority || ';;' || CAST(o_custkey AS VARCHAR) AS tags
+FROM orders""")
+def q_write_csv_variant(spark, sf):
+    """K3 + C6: VARIANT items; the first record's leaves are the header; a third of the records has a note like its own, the others a deeper one or none."""
+    from weft.session import scratch_path
+    from weft.sinks import write_csv_dynamic
+
+    key, quoted = F.col("o_orderkey"), F.replace("o_orderpriority", F.lit("-"), F.lit('"'))
+    same = [key.alias("id"), F.struct(F.col("o_orderstatus").alias("code")).alias("status"), F.array(F.struct(key.alias("a"))).alias("links"),
+            F.array("o_orderpriority", F.lit(None).cast("string"), F.col("o_custkey").cast("string")).alias("tags")]
+    like = F.to_json(F.struct(*same, F.struct(quoted.alias("text")).alias("note")))
+    deeper = F.to_json(F.struct(*same, F.struct(F.struct(quoted.alias("deep")).alias("text")).alias("note"), F.lit(1).alias("extra")))
+    text = F.when(key % 3 == 0, like).when(key % 3 == 1, deeper).otherwise(F.to_json(F.struct(*same)))
+    items = table(spark, sf, "orders").select("o_orderkey", F.parse_json(text).alias("item"), F.array().cast("array<string>").alias("errors"))
+    out = scratch_path(spark, f"csv_variant-{uuid.uuid4().hex}")
+    write_csv_dynamic(items, out, first_by="o_orderkey")
+    return spark.read.option("header", True).option("escape", '"').csv(out)
+
+
 @register("csv_cell_typing", """
 SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS j_key, CAST(to_json(c_mktsegment) AS VARCHAR) AS j_seg,
   CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END AS j_flag, CAST(c_nationkey AS VARCHAR) AS j_nation,

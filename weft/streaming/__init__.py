@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from weft.operators.map_in import map_in
 from weft.plans.config import MappingConfig, Profile
-from weft.sinks import tagged
+from weft.sinks import counted, tagged
 from weft.sources import records
 
 
@@ -38,13 +38,23 @@ def read_record_stream(spark: SparkSession, path: str, fmt: str = "json", schema
 
 def start_map_in_stream(stream: DataFrame, cfg: MappingConfig, out_dir: str, checkpoint_dir: str,
                         profile: Profile = Profile(), variant_col: str | None = None,
-                        available_now: bool = True):
-    """X1 + X2: run map-in on a stream and write tagged data/error outputs per batch."""
+                        available_now: bool = True, code_tables: dict[str, DataFrame] | None = None,
+                        value_sets: DataFrame | None = None, counts_dir: str | None = None):
+    """X1 + X2: run map-in on a stream and write tagged data/error outputs per batch.
+
+    ``counts_dir``: each batch's counts (A2, :func:`weft.sinks.counted`) are written there, one JSON row in a folder of
+    the batch's number, which a batch that is run again replaces."""
     # malformed lines stay in the stream: map-in routes them to the error output (X4 route mode)
-    plan = map_in(stream, cfg, profile, variant_col=variant_col)
+    plan = map_in(stream, cfg, profile, variant_col=variant_col, code_tables=code_tables, value_sets=value_sets)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        tagged(batch).write.mode("overwrite").partitionBy("type").text(f"{out_dir}/batch={batch_id}")
+        if counts_dir is None:
+            tagged(batch).write.mode("overwrite").partitionBy("type").text(f"{out_dir}/batch={batch_id}")
+            return
+        rows, seen = counted(batch)
+        tagged(rows).write.mode("overwrite").partitionBy("type").text(f"{out_dir}/batch={batch_id}")
+        row = batch.sparkSession.createDataFrame([seen.get], "records bigint, data bigint, errors bigint, field_errors bigint")
+        row.write.mode("overwrite").json(f"{counts_dir}/batch={batch_id}")
 
     w = plan.df.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
