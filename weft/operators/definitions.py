@@ -206,7 +206,7 @@ def read_store(spark, root: str) -> tuple[DataFrame, DataFrame]:
     except AnalysisException:  # no delete has been written yet
         return defs, els.drop("storedAt")
     dead = dead.groupBy("structureDefinitionId").agg(F.max("deletedAt").alias("deletedAt"))
-    live = els.join(dead, "structureDefinitionId", "left").where(F.col("deletedAt").isNull() | (F.col("storedAt") > F.col("deletedAt")))
+    live = els.join(dead.hint("merge"), "structureDefinitionId", "left").where(F.col("deletedAt").isNull() | (F.col("storedAt") > F.col("deletedAt")))
     return defs, live.drop("storedAt", "deletedAt")
 
 
@@ -263,5 +263,5 @@ def resolve_identifiers(ids: DataFrame, definitions: DataFrame, id_col: str = "i
     by_id = latest.select(F.col("def_rid").alias("_k"), "def_url", "def_at", F.lit("id").alias("_kind"))
     w = Window.partitionBy("_kind", "_k").orderBy(F.col("def_at").desc_nulls_last(), "def_url")
     cand = by_url.unionByName(by_id).where("_k is not null").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    j = q.join(cand, (q["key"] == cand["_k"]) & (q["kind"] == cand["_kind"]), "left")
+    j = q.join(cand.hint("merge"), (q["key"] == cand["_k"]) & (q["kind"] == cand["_kind"]), "left")
     return j.select(*[q[c] for c in ids.columns], q["kind"], q["key"], F.col("def_url").alias("url"))

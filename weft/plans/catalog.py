@@ -656,10 +656,17 @@ def _el(path=None, mn=None, mx=None, short=None, types=None, fixed_string=None,
                     (fixed_cc if fixed_cc is not None else F.lit(None).cast("struct<text:string>")).alias("fixedCodeableConcept"))
 
 
+def _dealt_parts(spark, sf) -> DataFrame:
+    """All part rows, dealt to tasks of about 5,000: the file is small, what is derived from its rows is not."""
+    p = table(spark, sf, "part")
+    tasks = -(-p.count() // 5_000)
+    return p.repartition(tasks, "p_partkey") if tasks > 1 else p
+
+
 def part_documents(spark, sf, names=None) -> DataFrame:
     """One profile document per part row (bare, or wrapped in a Bundle for even sizes;
     differential instead of snapshot above size 40)."""
-    p = table(spark, sf, "part")
+    p = _dealt_parts(spark, sf)
     size = F.col("p_size")
     elements = F.array(
         _el("Part", 0, "*"),
@@ -712,7 +719,7 @@ SELECT url, CAST(ordinal AS INTEGER) AS ordinal, path, CAST(card_min AS INTEGER)
 def q_definition_ingest(spark, sf):
     r = _ingested(spark, sf)
     h = r.definitions.select(F.col("id").alias("structureDefinitionId"), "url")
-    return r.elements.join(h, "structureDefinitionId").select(
+    return r.elements.join(h.hint("merge"), "structureDefinitionId").select(
         "url", "ordinal", "path", F.col("cardinalityMin").alias("card_min"), F.col("cardinalityMax").alias("card_max"),
         F.col("fixedValue").alias("fixed_value"), F.col("fixedValueType").alias("fixed_type"),
         F.col("defaultValue").alias("default_value"), F.col("defaultValueType").alias("default_type"),
@@ -724,7 +731,7 @@ SELECT {PART_URL} AS url, CAST(7 AS BIGINT) AS element_count, CAST(6 AS BIGINT)
 def q_definition_dedupe(spark, sf):
     r = _ingested(spark, sf)
     stored = r.elements.groupBy("structureDefinitionId").agg(F.count(F.lit(1)).alias("stored_count"))
-    return r.counts.join(stored, "structureDefinitionId").select(
+    return r.counts.join(stored.hint("merge"), "structureDefinitionId").select(
         "url", F.col("elementCount").alias("element_count"), "stored_count")
 
 
@@ -752,7 +759,7 @@ SELECT url, count(*) FILTER (WHERE card_min >= 1) AS n_mandatory,
 FROM el GROUP BY url""")
 def q_definition_filters(spark, sf):
     r = _ingested(spark, sf)
-    e = r.elements.join(r.definitions.select(F.col("id").alias("structureDefinitionId"), "url", "type"),
+    e = r.elements.join(r.definitions.select(F.col("id").alias("structureDefinitionId"), "url", "type").hint("merge"),
                         "structureDefinitionId")
     mand = F.col("cardinalityMin") >= 1
     fod = F.col("fixedValue").isNotNull() | F.col("defaultValue").isNotNull()
@@ -767,7 +774,7 @@ def q_definition_filters(spark, sf):
 
 
 def _part_configs(spark, sf):
-    p = table(spark, sf, "part")
+    p = _dealt_parts(spark, sf)
     cid = F.concat(F.lit("cfg-"), F.col("p_partkey"))
     configs = p.select(cid.alias("id"), cid.alias("name"), F.lit(None).cast("string").alias("description"),
                        F.lit("JSON").alias("sourceType"), F.lit("Part").alias("fhirResourceType"),
@@ -1154,9 +1161,9 @@ def q_store_roundtrip(spark, sf):
     defs, _ = read_store(spark, root)
     big = table(spark, sf, "part").where(F.col("p_size") > 40).select(
         F.concat(F.lit("http://example.org/sd/part-"), F.col("p_partkey")).alias("url"))
-    delete_elements(defs.join(big, "url", "left_semi").select(F.col("id").alias("structureDefinitionId")), root)
+    delete_elements(defs.join(big.hint("merge"), "url", "left_semi").select(F.col("id").alias("structureDefinitionId")), root)
     defs, els = read_store(spark, root)
-    return els.join(defs.select(F.col("id").alias("structureDefinitionId"), "url"), "structureDefinitionId") \
+    return els.join(defs.select(F.col("id").alias("structureDefinitionId"), "url").hint("merge"), "structureDefinitionId") \
         .groupBy("url").agg(F.count(F.lit(1)).alias("n_elements"))
 
 
@@ -1341,10 +1348,10 @@ def q_store_twice(spark, sf):
     defs, els = d.read_store(spark, root)
     big = table(spark, sf, "part").where(F.col("p_size") > 40).select(
         F.concat(F.lit("http://example.org/sd/part-"), F.col("p_partkey").cast("string")).alias("url"))
-    d.delete_elements(defs.join(big, "url", "left_semi").select(F.col("id").alias("structureDefinitionId")), root)
+    d.delete_elements(defs.join(big.hint("merge"), "url", "left_semi").select(F.col("id").alias("structureDefinitionId")), root)
     d.append_elements(r.elements, root)
     defs, els = d.read_store(spark, root)
-    return els.join(defs.select(F.col("id").alias("structureDefinitionId"), "url"), "structureDefinitionId") \
+    return els.join(defs.select(F.col("id").alias("structureDefinitionId"), "url").hint("merge"), "structureDefinitionId") \
         .groupBy("url").agg(F.count(F.lit(1)).alias("n_elements"))
 
 
