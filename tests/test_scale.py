@@ -2,6 +2,7 @@
 
 import re
 
+from weft.operators.definitions import ingest
 from weft.plans import catalog
 
 SF = "/root/testdata/sf0.1"
@@ -23,3 +24,14 @@ def test_store_and_lookup_joins_broadcast_nothing(spark):
 def test_documents_of_a_small_file_are_made_by_many_tasks(spark):
     assert catalog.part_documents(spark, SF).rdd.getNumPartitions() == 4
     assert catalog.part_documents(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 1
+
+
+def test_documents_are_dealt_before_the_choice_and_headers_without_them(spark):
+    docs = catalog.part_documents(spark, SF)
+    r = ingest(docs)
+    for df in (r.definitions, r.elements):
+        assert "REPARTITION_BY_NUM" in plan_of(df).split("WindowGroupLimit")[-1], "sorted where documents are read"
+    sort = next(line for line in r.definitions._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression [url" in line)
+    assert sort  # what lies below goes through the shuffle
+    below = r.definitions._jdf.queryExecution().optimizedPlan().toString().split(sort)[1].strip().splitlines()[0]
+    assert "sd#" not in below.split("Project")[-1]

@@ -59,6 +59,10 @@ def _stored_text(value: Column) -> Column:
     )
 
 
+#: Header columns and the fields of a profile that they hold.
+_HEADER = {"version": "version", "name": "name", "type": "type", "fhirVersion": "fhirVersion", "description": "description", "resourceId": "id"}
+
+
 def _first_key(keys: Column, prefix: str) -> Column:
     hit = F.array_sort(F.filter(keys, lambda k: k.startswith(prefix)))
     return F.try_element_at(hit, F.lit(1))
@@ -81,9 +85,9 @@ def ingest(docs: DataFrame, doc_col: str = "doc", processed_at: Column | None =
     # one literal per ingest: current_timestamp() would differ between the two writes
     now = processed_at if processed_at is not None else F.lit(
         datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp")
-    # a document's parts are read once: the profile, then its header fields and
-    # elements as one struct; the element array itself is not carried through
-    # the per-url shuffle but re-read from the chosen document
+    # a document's parts are read once: the profile, then its header fields.  Headers
+    # go through the per-url shuffle without the document; the element array
+    # is not carried through it but re-read from the chosen document
     d = F.col(doc_col)
     rtype = _vs(d, "$.resourceType")
     in_bundle = (rtype == "Bundle") & F.coalesce(_vs(d, "$.entry[0].resource.resourceType") == "StructureDefinition", F.lit(False))
@@ -103,18 +107,18 @@ def ingest(docs: DataFrame, doc_col: str = "doc", processed_at: Column | None =
     # second parse is cheaper than writing the VARIANT documents out and back.
     # With the position in this projection filters on the reason stay above it:
     # pushed below, they would repeat every expression it is made of.
-    checked = step.select(F.monotonically_increasing_id().alias("doc_pos"), "sd", "url", reason.alias("reason"), now.alias("processedAt"))
-    ok = checked.where(F.col("reason").isNull())
+    checked = step.select(F.monotonically_increasing_id().alias("doc_pos"), "sd", "url", reason.alias("reason"), now.alias("processedAt"), *(
+        _vs(s, f"$.{k}").alias(c) for c, k in _HEADER.items()))
+    # dealt by url first: else documents would be sorted in the tasks that read them,
+    # and the partitions made few by their compressed size
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ok = checked.where(F.col("reason").isNull()).repartition(parts, "url")
     # the last document of a batch wins for a url, as sequential upserts would
     w_url = Window.partitionBy("url").orderBy(F.col("doc_pos").desc())
     ok = ok.withColumn("_rn", F.row_number().over(w_url)).where("_rn = 1").drop("_rn")
     def_id = F.sha2(F.concat_ws("|", F.col("url"), F.col("processedAt").cast("string")), 256)
     ok = ok.withColumn("id", def_id)
-    headers = ok.select(
-        "id", "url", _vs(s, "$.version").alias("version"), _vs(s, "$.name").alias("name"),
-        _vs(s, "$.type").alias("type"), _vs(s, "$.fhirVersion").alias("fhirVersion"),
-        _vs(s, "$.description").alias("description"), "processedAt", _vs(s, "$.id").alias("resourceId"),
-    )
+    headers = ok.select("id", "url", "version", "name", "type", "fhirVersion", "description", "processedAt", "resourceId")
     exploded = ok.select(F.col("id").alias("structureDefinitionId"), "url",
                          F.posexplode(_elements(s)).alias("ordinal", "el"))
     # bind each intermediate once (the element as a map, then the chosen keys,
