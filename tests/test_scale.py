@@ -21,6 +21,16 @@ def test_store_and_lookup_joins_broadcast_nothing(spark):
         assert "Broadcast" not in plan_of(catalog.QUERIES[name](spark, SF)), name
 
 
+def test_an_ingest_stored_twice_reads_its_documents_once(spark, tmp_path):
+    from weft.operators import definitions as d
+
+    r = d.written(ingest(catalog.part_documents(spark, "/root/testdata/sf0.001")))
+    assert "parse_json" not in plan_of(r.elements) + plan_of(r.definitions)
+    assert d.store(r, str(tmp_path)) == d.store(r, str(tmp_path))
+    defs, els = d.read_store(spark, str(tmp_path))
+    assert (defs.count(), els.count()) == (r.definitions.count(), r.elements.count())
+
+
 def test_documents_of_a_small_file_are_made_by_many_tasks(spark):
     assert catalog.part_documents(spark, SF).rdd.getNumPartitions() == 4
     assert catalog.part_documents(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 1

@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 from weft.functions.coerce import js_string
 from weft.functions.paths import Val
 from weft.plans.config import latest_definitions
+from weft.session import materialize
 
 import pyspark.sql.types as T
 
@@ -154,6 +155,11 @@ def ingest(docs: DataFrame, doc_col: str = "doc", processed_at: Column | None =
     return Ingested(headers, deduped, rejects, counts)
 
 
+def written(result: Ingested) -> Ingested:
+    """The ingest with its definitions and elements written once, for one that is stored or read several times: else its documents are read each time."""
+    return Ingested(materialize(result.definitions), materialize(result.elements), result.rejects, result.counts)
+
+
 def store(result: Ingested, root: str, ingest_id: str | None = None) -> str:
     """K6: add the new versions — elements first, then headers (readers go
     through headers, so a failed run leaves nothing visible).
@@ -162,11 +168,13 @@ def store(result: Ingested, root: str, ingest_id: str | None = None) -> str:
     storing the same ingest again (a retry) changes nothing.  The id, which is
     returned, is by default a digest of the definitions' ids.
     """
+    definitions = result.definitions
     if ingest_id is None:
-        marks = result.definitions.agg(F.count("*"), F.sum(F.xxhash64("id").cast("decimal(38,0)"))).first()
+        definitions = materialize(definitions)  # for the digest and the write, or documents would be read twice
+        marks = definitions.agg(F.count("*"), F.sum(F.xxhash64("id").cast("decimal(38,0)"))).first()
         ingest_id = hashlib.sha256(f"{marks[0]}:{marks[1]}".encode()).hexdigest()[:32]
     _write(result.elements, root, "definition_elements", ingest_id)
-    _write(result.definitions, root, "definitions", ingest_id)
+    _write(definitions, root, "definitions", ingest_id)
     return ingest_id
 
 

@@ -1342,7 +1342,7 @@ def q_store_twice(spark, sf):
     from weft.session import scratch_path
 
     root = scratch_path(spark, f"store-{uuid.uuid4().hex}")
-    r = _ingested(spark, sf)
+    r = d.written(_ingested(spark, sf))
     d.store(r, root)
     d.store(r, root)
     defs, els = d.read_store(spark, root)
