@@ -171,5 +171,6 @@ def encoder(path: str, end_id: int, spaced: bool, added: bool = False) -> Encode
     key = (path, end_id, spaced, added)
     if key not in _held:
         _held.clear()
+        tx.keep(_held, _held.clear)
         _held[key] = Encoder(*key)
     return _held[key]

@@ -205,6 +205,25 @@ def give_back() -> None:
         pass
 
 
+#: What this process keeps from task to task: whose it is, and how to let go of it.
+_kept: list = []
+
+
+def keep(owner: object, release: Callable[[], object]) -> None:
+    """This process keeps what ``owner`` made, and lets go of what another kept: workers live on through all operators of a job."""
+    if not _kept or _kept[0] is not owner:
+        let_go()
+        _kept[:] = [owner, release]
+
+
+def let_go() -> None:
+    if _kept:
+        release = _kept[1]
+        _kept.clear()
+        release()
+        give_back()
+
+
 def annotate(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], pa.StructArray]], ddl: str, out: str) -> DataFrame:
     """The documents, row by row, with a struct column ``out`` of what ``make()``'s function returns for the text column.
 

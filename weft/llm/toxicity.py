@@ -173,10 +173,6 @@ def _document_counts(docs: DataFrame, text_col: str, vocabulary: np.ndarray) ->
     return df, n_docs
 
 
-#: The model whose index this process holds.
-_searched: list = []
-
-
 @dataclass
 class Model:
     #: Terms' hashes, ascending, and their indices: the commonest first, so that what is known of them lies together.
@@ -241,9 +237,7 @@ class Model:
         """The index over the entries; made once a process."""
         if "held" not in self.__dict__:
             _one_thread()
-            for other in _searched:  # a worker that lives on keeps the index of one model
-                other.__dict__.pop("held", None)
-            _searched[:] = [self]
+            tx.keep(self, lambda: self.__dict__.pop("held", None))
             tx.give_back()
             self.held = Index(self)
             tx.give_back()
