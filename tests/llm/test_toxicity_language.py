@@ -235,3 +235,40 @@ def test_language_sample_is_rows_not_ids(spark):
         assert m.langs == ["de", "en"]
         got = language.identify(docs, m, out="t").select("lang", "t.lang").collect()
         assert all(r[0] == r[1] for r in got) and len(got) == len(rows)
+
+
+def test_queries_alike_share_a_matrix():
+    """Terms that many queries and entries have are multiplied as a matrix; rare ones, and a query on its own, read postings.  All give exact cosines."""
+    rng = np.random.default_rng(3)
+    common = [np.unique(np.concatenate([rng.choice(12, 8), 100 + rng.integers(0, 900, 20)])) for _ in range(300)]
+    m = entries(rng, common, copies=1)
+    index = toxicity.Index(m, block=100)
+    dense = np.zeros((len(common), len(m.vocabulary)))
+    dense[np.repeat(np.arange(len(common)), np.diff(m.bounds)), m.index] = m.weight
+    asked = [(m.index[m.bounds[i] : m.bounds[i + 1]], m.weight[m.bounds[i] : m.bounds[i + 1]], i) for i in range(200)]
+    laid, columns = [], toxicity.Index._columns
+
+    def seen(self, *rest):
+        laid.append(columns(self, *rest))
+        return laid[-1]
+
+    toxicity.Index._columns = seen
+    try:
+        together = index.search(asked)
+        many, laid[:] = max(x.sum(axis=0).max() for x in laid), []
+        alone = [index.search([q])[0] for q in asked]
+    finally:
+        toxicity.Index._columns = columns
+    assert 8 <= many < 200 and not any(x.any() for x in laid)
+    for (term, w, skip), (rows, c), (rows1, c1) in zip(asked, together, alone, strict=True):
+        cosine = dense[:, term] @ w.astype(float)
+        cosine[skip] = 0
+        assert set(rows.tolist()) == set(rows1.tolist()) == nearest(cosine, m.n, toxicity.K)
+        assert np.allclose(c, np.minimum(cosine[rows], 1), atol=1e-6) and np.allclose(c, c1)
+
+
+def test_distinct_terms_with_equal_first_bits():
+    term = np.array([5, 1 << 40, 5, 4, 1 << 63, 4, (1 << 40) + 1], dtype=tx.U64)
+    for x in (term, term[:0], term[[1, 4, 1]]):
+        own, again = toxicity._distinct(x)
+        assert own.tolist() == sorted(set(x.tolist())) and (own[again] == x).all()
