@@ -1,6 +1,7 @@
 """A worker keeps what one operator made, not what all operators of a job did."""
 
 import numpy as np
+import pyarrow as pa
 
 from weft.llm import encode, queries, toxicity
 
@@ -15,3 +16,11 @@ def test_a_tokenizer_takes_the_place_of_an_index():
     assert encode.encoder(queries.tokenizer("word_bpe_49k.json"), 2, False) is encoder
     model.searched()
     assert not encode._held
+
+
+def test_counting_for_a_model_lets_go_of_a_tokenizer():
+    encode.encoder(queries.tokenizer("word_bpe_49k.json"), 2, False)
+    assert encode._held
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b", None, "b"])], names=["text"])
+    assert [b.column(1).to_pylist() for b in toxicity._counts([batch], np.array([7], dtype=np.uint64))] == [[3]]
+    assert not encode._held

@@ -152,26 +152,32 @@ def _scale(pos: np.ndarray, neg: np.ndarray, n1: float, n0: float) -> np.ndarray
     return FLOOR + (1 - FLOOR) * (np.clip((g2 - CHANCE) / (SIGNIFICANT - CHANCE), 0, 1) * np.clip(ratio, 0, 1)) ** 2
 
 
+_COUNTS = T.StructType([T.StructField("slice", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("df", T.BinaryType())])
+
+
+def _counts(batches, vocabulary: np.ndarray):
+    """A task's document counts of the terms, in slices, and under -1 how many documents it had."""
+    tx.let_go()  # what another operator made is gone before a worker gets the model
+    total, n = np.zeros(len(vocabulary), dtype=np.int32), 0
+    for b in batches:
+        n += b.num_rows
+        for part in tx.runs(b.column(0)):
+            term = _counted(part, vocabulary)[1]
+            np.add.at(total, term[term < len(vocabulary)], np.int32(1))
+    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64()), pa.array([b""], pa.binary())], names=_COUNTS.names)
+    for k, lo in enumerate(range(0, len(total), SLICE)):
+        own = total[lo : lo + SLICE]
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int64()), pa.array([own.astype("<i8").tobytes()], pa.binary())], names=_COUNTS.names)
+
+
 def _document_counts(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many of all documents each term of the vocabulary is, and how many there are.
 
     A task counts into one array and sends it in slices of SLICE terms; tasks that get
     slices add them up as they come.
     """
-    schema = T.StructType.fromDDL("slice int, n bigint, df binary")
-
-    def count(batches):
-        total, n = np.zeros(len(vocabulary), dtype=np.int32), 0
-        for b in batches:
-            n += b.num_rows
-            for part in tx.runs(b.column(0)):
-                term = _counted(part, vocabulary)[1]
-                np.add.at(total, term[term < len(vocabulary)], np.int32(1))
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64()), pa.array([b""], pa.binary())], names=schema.names)
-        for k, lo in enumerate(range(0, len(total), SLICE)):
-            own = total[lo : lo + SLICE]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int64()), pa.array([own.astype("<i8").tobytes()], pa.binary())], names=schema.names)
+    schema = _COUNTS
 
     def add(batches):
         held: dict[int, list] = {}
@@ -186,7 +192,7 @@ def _document_counts(docs: DataFrame, text_col: str, vocabulary: np.ndarray) ->
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=schema.names)
 
     tx.bounded_batches(docs.sparkSession)
-    found = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).toArrow()  # as large as the vocabulary
+    found = docs.select(F.col(f"`{text_col}`")).mapInArrow(lambda batches: _counts(batches, vocabulary), schema).repartition("slice").mapInArrow(add, schema).toArrow()  # as large as the vocabulary
     df, n_docs = np.zeros(len(vocabulary), dtype=np.float32), 0
     for k, n, raw in zip(*(found[c].to_pylist() for c in schema.names), strict=True):
         if k < 0:
