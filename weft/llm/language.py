@@ -132,6 +132,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     own = docs.select(ident.alias("i"), text.alias("t"), lang.cast("string").alias("l")).where(among(F.col("i")) & F.col("l").isNotNull() & F.col("t").isNotNull())
 
     def count(batches):
+        tx.let_go()  # a toxicity model and its index, say
         total, n = np.zeros(DIMENSIONS, dtype=np.int64), 0
         for b in batches:
             n += b.num_rows

@@ -93,9 +93,8 @@ def _signed(run: tx.Run) -> pa.StructArray:
         at = (np.cumsum(n) - n)[some]
         for k, f in enumerate(_FACTORS):
             sign[some, k] = np.minimum.reduceat((shingle * f) >> tx.U64(32), at)
-    raw = memoryview(sign.astype(">u4").tobytes())
-    w = 4 * len(_FACTORS)
-    return tx.struct(h1=a, h2=b, n=n.astype(np.int64), sign=pa.array([raw[i * w : (i + 1) * w] for i in range(run.rows)], type=pa.binary()))
+    raw = sign.astype(">u4").view(np.uint8).reshape(-1)
+    return tx.struct(h1=a, h2=b, n=n.astype(np.int64), sign=tx.binaries(raw, 4 * len(_FACTORS) * np.arange(run.rows + 1)))
 
 
 def with_sets(docs: DataFrame, text_col: str, out: str, signed: bool = False) -> DataFrame:

@@ -37,15 +37,13 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = False, text
             encoder, parts = en.encoder(tokenizer, end_id, spaced, added), []
             for run in tx.runs(column, en.RUN_BYTES):
                 ids, bounds = encoder.run(run)
-                raw = memoryview(ids.astype("<u4").tobytes())
                 n = np.diff(bounds)
                 each = -(-n // capacity)
                 row = np.repeat(np.arange(run.rows), each)
                 upto = np.concatenate([[0], np.cumsum(each)])
                 start = (np.arange(len(row)) - upto[row]) * capacity
                 length = np.minimum(n[row] - start, capacity)
-                at = 4 * (bounds[row] + start)
-                blobs = pa.array([raw[a:b] for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)], type=pa.binary())
+                blobs = tx.binaries(ids.astype("<u4").view(np.uint8), 4 * np.append(bounds[row] + start, len(ids)))  # pieces follow each other
                 pieces = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.StructArray.from_arrays([pa.array(start), pa.array(length), blobs], fields=list(_PIECE)))
                 parts.append(pa.StructArray.from_arrays([pa.array(n), pieces], fields=list(_ARROW)))
             return tx.joined(parts, _ARROW)

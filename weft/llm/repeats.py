@@ -338,8 +338,8 @@ def _halved(copies: DataFrame, length: int) -> DataFrame:
                 key = tx.mix(key + tx.mix(gram[own].view(tx.U64) + low[own].astype(tx.U64)))
                 x, y = at - first[own], at - last[own] + length
                 moved = anchor[own] - first[own]
-                raw = memoryview(data)
-                blobs = pa.array([raw[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], pa.binary())
+                parts = [data[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+                blobs = tx.binaries(np.concatenate([data[:0], *parts]), np.concatenate([[0], np.cumsum(y - x)]))
                 cols = [key.view(np.int64), run_.hashes(x, y).view(np.int64), root_gram[own], root_frame[own], (root_start[own] + moved).astype(np.int32), k1[own], k2[own].astype(np.int32), start[own] + moved, first[own].astype(np.int16), low[own].astype(np.int16), high[own].astype(np.int16)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), blobs], names=schema.names)
         tx.give_back()

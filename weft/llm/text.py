@@ -252,6 +252,14 @@ def struct(**arrays) -> pa.StructArray:
     return pa.StructArray.from_arrays(list(cols.values()), names=list(cols))
 
 
+def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes between neighbouring bounds as binary values, not copied.
+
+    Not made of memoryviews: Arrow never lets go of one, so a worker would keep the bytes of all batches it ever had.
+    """
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.array(bounds).cast(pa.int32()).buffers()[1], pa.py_buffer(data)])
+
+
 def joined(parts: list[pa.StructArray], ddl_type: pa.DataType | None = None) -> pa.Array:
     """The parts one after another."""
     if not parts:
